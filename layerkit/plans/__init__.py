@@ -9,6 +9,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from layerkit.plans import (  # noqa: F401
         ordered_queries,
+        profile_queries,
         quality_queries,
         scalar_queries,
         table_queries,

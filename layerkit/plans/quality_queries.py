@@ -184,8 +184,9 @@ def dq_drift(t):
 
 @query(
     """
-    select count(*) as total_rows, count(distinct id) as load_batches, min(at) as earliest_load, max(at) as latest_load
-    from (select 'load-' || year(o_orderdate) as id, o_orderdate as at from orders)
+    select count(*) as total_rows, count(distinct id) as load_batches, min(o_orderdate) as earliest_load,
+           max(o_orderdate) as latest_load
+    from (select 'load-' || year(o_orderdate) as id, o_orderdate from orders)
     """
 )
 def load_batches(t):
