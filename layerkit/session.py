@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings the operators count on: skewed join partitions are split at
+# Runtime settings the operators count on. Skewed join partitions are split at
 # run time even where that costs one more shuffle.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Whole workbooks travel to Python tasks as single values.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
