@@ -8,6 +8,8 @@ __all__ = ["ORACLE", "QUERIES", "load_all"]
 def load_all() -> None:
     """Import every module that registers queries."""
     from layerkit.plans import (  # noqa: F401
+        corpus_queries,
+        layer_queries,
         ordered_queries,
         profile_queries,
         quality_queries,

@@ -63,7 +63,7 @@ class TableStore:
         """A raw table with every column any load has brought."""
         if not name.startswith(self.RAW):
             raise ValueError(f"{name} is not a raw table: cleaned tables are built from raw ones only")
-        return self.spark.read.option("mergeSchema", True).parquet(self.path(name))
+        return self.spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(self.path(name))
 
     def write_bronze(self, df: DataFrame, name: str) -> None:
         """Append to a raw table; new columns are taken over."""

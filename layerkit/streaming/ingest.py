@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,16 +28,19 @@ def stream_folder(
 def ingest_bronze(
     store: TableStore, stream: DataFrame, name: str, load_id: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Append a stream of files to a raw table with lineage; each file is taken once."""
+    """Append a stream of files to a raw table with lineage; each file is taken once.
+
+    A batch owns a folder named after its checkpoint and number, so a batch that
+    is replayed after a failure replaces its own rows.
+    """
     if not name.startswith(store.RAW):
         raise ValueError(f"raw tables are named {store.RAW}...")
-    writer = (
-        add_load_lineage(stream, load_id)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .option("path", store.path(name))
-        .outputMode("append")
-    )
+    owner = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store.path(name)}/stream-{owner}-{batch_id}")
+
+    writer = add_load_lineage(stream, load_id).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -44,8 +49,8 @@ def merge_silver(
 ) -> StreamingQuery:
     """Merge each micro-batch into a cleaned table, the newest row per key winning.
 
-    Every version carries the number of the batch that made it, so a batch that
-    is replayed after a failure changes nothing.
+    Rows carry the number of the batch that wrote them, so a batch that is
+    replayed after a failure changes nothing. One checkpoint belongs to one table.
     """
     keys = as_list(keys)
 
