@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from layerkit.corpus.extract import NO_QUERIES, PARSE_ERROR
+from layerkit.corpus.extract import NO_QUERIES, PARSE_ERROR, line_count
 from layerkit.operators.joins import join_on
 
 # Source type by the calls a text contains; the first match wins, else "derived".
@@ -71,18 +71,47 @@ def role(name: Column, code: Column, referenced: Column) -> Column:
     )
 
 
-def dependency_edges(queries: DataFrame, salt: int = 8) -> DataFrame:
-    """Edges between queries of one document: ``from_query`` names ``to_query``.
+def _tokens(code: Column) -> Column:
+    """Identifiers of a text, quoted or bare; text literals are passed over."""
+    return F.array_distinct(F.concat(F.regexp_extract_all(code, F.lit(_TOKEN), 1), F.regexp_extract_all(code, F.lit(_TOKEN), 2)))
 
-    The identifiers of every text are matched to the document's query names by
-    equality, so ``Sales`` is not found inside ``SalesTotal``. A name that most
-    queries use is matched in ``salt`` tasks.
+
+def linked_queries(found: DataFrame) -> DataFrame:
+    """Add to each query of a document's array the names it depends on, and to the document those used.
+
+    Queries refer to others of their document only, so all is found inside its
+    row. Names are matched whole: ``Sales`` is not found inside ``SalesTotal``.
+    """
+
+    def link(names: Column):
+        def linked(q: Column) -> Column:
+            others = F.array_except(F.array_intersect(_tokens(q["code"]), names), F.array(q["name"]))
+            return F.struct(q["name"].alias("name"), q["code"].alias("code"), F.array_sort(others).alias("depends_on"))
+
+        return linked
+
+    # Separate projections: each array is computed once, not once per element.
+    out = found.withColumn("__names", F.transform("queries", lambda q: q["name"]))
+    out = out.withColumn("queries", F.transform("queries", link(F.col("__names"))))
+    return out.withColumn("used", F.array_distinct(F.flatten(F.transform("queries", lambda q: q["depends_on"])))).drop("__names")
+
+
+def dependency_edges(found: DataFrame) -> DataFrame:
+    """Edges ``from_query`` -> ``to_query`` of documents with an array of queries; no shuffle."""
+    rows = linked_queries(found).select("dataflow_name", F.explode_outer("queries").alias("q"))
+    return rows.select(
+        "dataflow_name", F.col("q.name").alias("from_query"), F.explode_outer("q.depends_on").alias("to_query")
+    ).filter(F.col("to_query").isNotNull())
+
+
+def query_edges(queries: DataFrame, salt: int = 8) -> DataFrame:
+    """The same edges from a table with one row per query.
+
+    Identifiers are matched to the document's query names by an equi-join; a
+    name that most queries use is matched in ``salt`` tasks.
     """
-    tokens = F.array_distinct(
-        F.concat(F.regexp_extract_all("code", F.lit(_TOKEN), 1), F.regexp_extract_all("code", F.lit(_TOKEN), 2))
-    )
     used = queries.select(
-        "dataflow_name", F.col("query_name").alias("from_query"), F.explode(tokens).alias("token")
+        "dataflow_name", F.col("query_name").alias("from_query"), F.explode(_tokens(F.col("code"))).alias("token")
     ).filter((F.col("token") != "") & (F.col("token") != F.col("from_query")))
     names = queries.select(F.col("dataflow_name").alias("d"), F.col("query_name").alias("to_query")).distinct()
     return join_on(used, names, ["dataflow_name", "token"], ["d", "to_query"], "inner", salt=salt).select(
@@ -98,18 +127,23 @@ def link_edges(sources: DataFrame, known: DataFrame, salt: int = 8) -> DataFrame
     )
 
 
-def inventory(queries: DataFrame) -> DataFrame:
-    """Queries with their source type and role."""
-    failed = F.col("query_name").isin(PARSE_ERROR, NO_QUERIES)
-    used = dependency_edges(queries.filter(~failed)).select(
-        F.col("dataflow_name").alias("__d"), F.col("to_query").alias("__q"), F.lit(True).alias("__used")
-    ).distinct()
-    joined = join_on(queries, used, ["dataflow_name", "query_name"], ["__d", "__q"], "left")
-    kind = F.when(F.col("query_name") == PARSE_ERROR, "error").when(F.col("query_name") == NO_QUERIES, "unknown")
-    return joined.select(
-        *[F.col(c) for c in queries.columns],
-        kind.otherwise(source_type(F.col("code"))).alias("source_type"),
-        kind.otherwise(role(F.col("query_name"), F.col("code"), F.col("__used").isNotNull())).alias("role"),
+def inventory(found: DataFrame) -> DataFrame:
+    """One row per query of documents with an array of queries: type, role, size and dependencies."""
+    kept = [c for c in found.columns if c not in ("dataflow_name", "queries")]
+    rows = linked_queries(found).select("dataflow_name", *kept, "used", F.explode_outer("queries").alias("q")).filter(
+        F.col("q").isNotNull()
+    )
+    name, code = F.col("q.name"), F.col("q.code")
+    kind = F.when(name == PARSE_ERROR, "error").when(name == NO_QUERIES, "unknown")
+    return rows.select(
+        "dataflow_name",
+        name.alias("query_name"),
+        line_count(code).alias("line_count"),
+        code.startswith("let").alias("starts_with_let"),
+        kind.otherwise(source_type(code)).alias("source_type"),
+        kind.otherwise(role(name, code, F.array_contains("used", name))).alias("role"),
+        F.col("q.depends_on").alias("depends_on"),
+        *kept,
     )
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from layerkit.functions.columns import as_list, col, require
+from layerkit.functions.columns import as_list, col, require, unused_name
+from layerkit.session import spread
 
 # Fixed values: (pattern, replacement), applied in this order.
 REDACTIONS = [
@@ -27,32 +28,40 @@ REDACTIONS = [
 PLACEHOLDER, VALUE = "<REDACTED_", "<REDACTED_VALUE>"
 
 
-def _redact_quoted(text: Column) -> Column:
-    """Replace what stands between quotes, paired from the left.
+def _rules_applied(text: Column) -> Column:
+    out = text
+    for pattern, replacement in REDACTIONS:
+        # Words and digits in any script, as the patterns mean them.
+        out = F.regexp_replace(out, "(?U)" + pattern, replacement)
+    return out
 
-    Placeholders, texts without a word character, and an unclosed last quote
-    are kept. Pieces at odd places between quotes are the quoted ones.
+
+def _values_hidden(pieces: Column) -> Column:
+    """Rejoin a text split at its quotes, with the quoted pieces replaced.
+
+    Quotes pair from the left, so pieces at odd places are the quoted ones.
+    Placeholders, pieces without a word character, and what follows an unclosed
+    last quote are kept.
     """
-    pieces = F.split(text, '"', -1)
-    last = F.size(pieces) - 1
 
     def piece(p: Column, i: Column) -> Column:
-        quoted = (i % 2 == 1) & (i < last)
+        quoted = (i % 2 == 1) & (i < F.size(pieces) - 1)
         return F.when(quoted & p.rlike(r"(?U)\w") & ~p.contains(PLACEHOLDER), VALUE).otherwise(p)
 
-    return F.when(text.contains('"'), F.array_join(F.transform(pieces, piece), '"')).otherwise(text)
-
-
-def redacted(text: Column) -> Column:
-    """Apply all rules in order, then the pass over quoted values."""
-    out = text
-    for pattern, replacement in REDACTIONS:
-        # Words and digits in any script, as the patterns mean them.
-        out = F.regexp_replace(out, "(?U)" + pattern, replacement)
-    return _redact_quoted(out)
+    return F.array_join(F.transform(pieces, piece), '"')
 
 
 def redact(df: DataFrame, columns) -> DataFrame:
+    """Apply all rules in order to text columns, then the pass over quoted values.
+
+    Each step is a projection of its own: were they one expression, the rules
+    would run again for every quoted piece.
+    """
     names = as_list(columns)
     require(df, names)
-    return df.withColumns({n: redacted(col(n)) for n in names})
+    pieces = {n: unused_name(df, f"__pieces{i}") for i, n in enumerate(names)}
+    out = spread(df).withColumns({n: _rules_applied(col(n)) for n in names})
+    out = out.withColumns({p: F.split(col(n), '"', -1) for n, p in pieces.items()})
+    return out.withColumns({n: _values_hidden(F.col(p)) for n, p in pieces.items()}).select(
+        *[col(c) for c in df.columns]
+    )

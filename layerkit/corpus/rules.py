@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from layerkit.functions.columns import col
+from layerkit.session import spread
 from layerkit.sources.changes import merge
 
 
@@ -82,13 +83,13 @@ def _hit(rule: Rule, line_number: Column, excerpt: Column) -> Column:
 def scan_rules(docs: DataFrame, rules: Sequence[Rule], file: str = "file_path", text: str = "text") -> DataFrame:
     """Lines that match a rule: ``(file_path, risk_id, pattern_name, severity, line_number, match_excerpt)``.
 
-    Runs inside the scan of the texts: nothing is joined or shuffled.
+    Rules are tried row by row: nothing is joined, and large corpora are not shuffled.
     """
     by_line = [r for r in rules if not r.whole_text]
     whole = [r for r in rules if r.whole_text]
     lines = F.split("__text", _LINE_END)
     parts = []
-    base = docs.select(col(file).alias("file_path"), col(text).alias("__text"))
+    base = spread(docs.select(col(file).alias("file_path"), col(text).alias("__text")))
     if by_line:
         numbered = base.select("file_path", F.posexplode(lines).alias("__i", "__line"))
         hits = F.array(*[
@@ -125,7 +126,8 @@ def unknown_names(
 
     ``known`` is a list, or a DataFrame with a ``name`` column for long ones.
     """
-    lines = docs.select(col(file).alias("file_path"), F.explode(F.split(col(text), _LINE_END)).alias("line"))
+    texts = spread(docs.select(col(file).alias("file_path"), col(text).alias("__text")))
+    lines = texts.select("file_path", F.explode(F.split("__text", _LINE_END)).alias("line"))
     names = lines.select(
         "file_path", "line", F.explode(F.regexp_extract_all("line", F.lit(pattern), 1)).alias("pattern")
     )

@@ -23,11 +23,11 @@ TOP_K_LIMIT = 100_000
 _LOCAL_BITS = 33
 
 
-def _partition_no(tag: str):
+def partition_no(tag: str):
     return F.shiftright(F.col(tag), _LOCAL_BITS)
 
 
-def _row_no(tag: str):
+def row_no(tag: str):
     return F.col(tag).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
 
 
@@ -36,7 +36,7 @@ def sort(df: DataFrame, order_by) -> DataFrame:
     return df.orderBy(*sort_columns(sort_keys(order_by)))
 
 
-def _range_sorted(df: DataFrame, leading: list[str], order_by, partitions: int | None, label: str):
+def range_sorted(df: DataFrame, leading: list[str], order_by, partitions: int | None, label: str):
     """Stage ``df`` range-partitioned and sorted, with a tag giving each row's place.
 
     Ties end in a hash of the row, which spreads a hot order value over several
@@ -66,15 +66,15 @@ def add_index(
     """
     keys = sort_keys(order_by)
     require(df, [k.name for k in keys])
-    placed, tag = _range_sorted(df, [], keys, partitions, "index")
-    sizes = placed.groupBy(_partition_no(tag).alias("__p")).agg((F.max(_row_no(tag)) + 1).alias("__n"))
+    placed, tag = range_sorted(df, [], keys, partitions, "index")
+    sizes = placed.groupBy(partition_no(tag).alias("__p")).agg((F.max(row_no(tag)) + 1).alias("__n"))
     # As many rows as range partitions: one task and a broadcast hold them.
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.col("__p").alias("__part"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
     )
-    position = F.col("__before") + _row_no(tag)
-    return placed.join(F.broadcast(offsets), _partition_no(tag) == F.col("__part")).select(
+    position = F.col("__before") + row_no(tag)
+    return placed.join(F.broadcast(offsets), partition_no(tag) == F.col("__part")).select(
         *[col(c) for c in df.columns], (position * step + start).cast("bigint").alias(name)
     )
 
@@ -159,9 +159,9 @@ def fill_down(
     """
     columns, groups = as_list(columns), as_list(partition_by)
     require(df, [*columns, *groups])
-    placed, tag = _range_sorted(df, groups, order_by, partitions, "fill")
+    placed, tag = range_sorted(df, groups, order_by, partitions, "fill")
     part = unused_name(df, "__part")
-    placed = placed.withColumn(part, _partition_no(tag))
+    placed = placed.withColumn(part, partition_no(tag))
 
     # Last value of each group in each range, then the last one of the ranges before.
     ends = placed.groupBy(part, *[col(g) for g in groups]).agg(

@@ -107,7 +107,18 @@ def read_documents(t):
 )
 def query_dependencies(t):
     """Edges between queries; a name inside a text literal is no reference."""
-    return C.dependency_edges(E.extract_queries(_sections(t)))
+    return C.dependency_edges(E.section_queries(_sections(t)))
+
+
+@query(
+    f"""
+    select dataflow_name, query_name as from_query, p_name as to_query from {_QUERIES}
+    where query_name = 'Clean' and p_size % 2 = 0
+    """
+)
+def query_dependencies_joined(t):
+    """The same edges from a table with one row per query."""
+    return C.query_edges(E.extract_queries(_sections(t)))
 
 
 _KIND = """case when query_name = 'Parameter' then 'helper' when query_name = 'Clean' then 'transformation'
@@ -118,14 +129,16 @@ _TYPE = """case when query_name in ('Parameter', 'Clean') then 'derived' else
 
 @query(
     f"""
-    select dataflow_name, query_name, source_type, role,
+    select dataflow_name, query_name, case query_name when 'Parameter' then 1 else 5 end as line_count, source_type, role,
+      case when query_name = 'Clean' and p_size % 2 = 0 then p_name else '' end as depends_on,
       case role when 'output_entity' then 'bronze' when 'transformation' then 'silver' when 'staging' then 'silver' else 'skip' end as layer
     from (select *, {_TYPE} as source_type, {_KIND} as role from {_QUERIES})
     """
 )
 def query_inventory(t):
-    found = C.inventory(E.extract_queries(_sections(t)))
-    return found.select("dataflow_name", "query_name", "source_type", "role", C.target_layer(F.col("role")).alias("layer"))
+    found = C.inventory(E.section_queries(_sections(t)))
+    depends = F.array_join("depends_on", ", ").alias("depends_on")
+    return found.select("dataflow_name", "query_name", "line_count", "source_type", "role", depends, C.target_layer(F.col("role")).alias("layer"))
 
 
 @query(
@@ -136,8 +149,25 @@ def query_inventory(t):
     """
 )
 def inventory_summary(t):
-    queries = E.extract_queries(_sections(t)).withColumn("starts_with_let", F.col("code").startswith("let"))
-    return C.inventory_summary(C.inventory(queries))
+    return C.inventory_summary(C.inventory(E.section_queries(_sections(t))))
+
+
+_LOCATED = f"""
+    select extraction_method, case when query_name in ('PARSE_ERROR', 'NO_QUERIES_FOUND') then
+        case extraction_method when 'failed' then 'error' else 'unknown' end
+        when extraction_method = 'entities' then 'output_entity' when query_name = 'Parameter' then 'helper'
+        when query_name = 'Clean' then 'transformation' when even then 'staging' else 'output_entity' end as role,
+      count(*) as queries
+    from (select f.*, p.p_size % 2 = 0 as even from ({_FOUND}) f join part p on f.dataflow_name = 'flow ' || p.p_partkey)
+    group by 1, 2
+"""
+
+
+@query(_LOCATED)
+def document_inventory(t):
+    """Inventory straight from JSON documents, failures included."""
+    found = C.inventory(E.document_queries(_documents(t)))
+    return found.groupBy("extraction_method", "role").agg(F.count(F.lit(1)).alias("queries"))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from layerkit.functions.columns import col
 from layerkit.operators.project import cast_types
+from layerkit.session import spread
 
 # Date layouts in order of preference (regex, name), and the shares that decide.
 DATE_LAYOUTS = [
@@ -21,52 +22,74 @@ DATE_LAYOUTS = [
 LAYOUT_SHARE = 0.8
 TYPE_SHARE = 0.9
 
-# Parse formats of each layout: month first, day first. The ISO layout goes by cast, or by slash format.
-_FORMATS = {
-    "D/M/YYYY": ("M/d/yyyy", "d/M/yyyy"),
-    "D-M-YYYY": ("M-d-yyyy", "d-M-yyyy"),
-    "D.M.YYYY": ("M.d.yyyy", "d.M.yyyy"),
-    "D/M/YY": ("M/d/yy", "d/M/yy"),
-    "YYYYMMDD": ("yyyyMMdd", "yyyyMMdd"),
-}
+# A plain number, as text.
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+# Rewrites that bring a date to year-month-day, in order. Months and days that
+# cannot exist stay as they are, so that the cast below rejects them cheaply.
+_MONTH, _DAY = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
+_FIXED_ORDER = [(r"^(\d{4})/(\d{1,2})/", "$1-$2-"), (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")]
+_MONTH_FIRST = [
+    (rf"^{_MONTH}([/.-]){_DAY}\2(\d{{4}})", "$4-$1-$3"),
+    # Two-digit years from 69 on are of the last century.
+    (rf"^{_MONTH}/{_DAY}/(69|[7-9]\d)$", "19$3-$1-$2"),
+    (rf"^{_MONTH}/{_DAY}/(\d\d)$", "20$3-$1-$2"),
+]
+_DAY_FIRST = [
+    (rf"^{_DAY}([/.-]){_MONTH}\2(\d{{4}})", "$4-$3-$1"),
+    (rf"^{_DAY}/{_MONTH}/(69|[7-9]\d)$", "19$3-$2-$1"),
+    (rf"^{_DAY}/{_MONTH}/(\d\d)$", "20$3-$2-$1"),
+]
 
 
-def parse_date(c: Column, day_first: bool) -> Column:
-    """Read a date written in any known layout; null when none fits.
+def is_number(c: Column) -> Column:
+    """Whether a text is a number. A pattern costs far less than a cast that fails."""
+    return c.rlike(_NUMBER)
 
-    A value is only parsed in the layout whose shape it has, since a failed
-    parse costs far more than a pattern match.
-    """
+
+def layout_no(c: Column) -> Column:
+    """Place of a text's layout in :data:`DATE_LAYOUTS`; null for texts without any."""
     out = None
-    for regex, name in DATE_LAYOUTS:
-        if name in _FORMATS:
-            value = F.try_to_timestamp(c, F.lit(_FORMATS[name][day_first]))
-        else:
-            value = F.replace(c, F.lit("/"), F.lit("-")).try_cast("timestamp")
-        out = F.when(c.rlike(regex), value) if out is None else out.when(c.rlike(regex), value)
-    return out
+    for i, (regex, _) in enumerate(DATE_LAYOUTS):
+        out = F.when(c.rlike(regex), i) if out is None else out.when(c.rlike(regex), i)
+    return F.when((c >= "0") & (c < ":"), out)
+
 
+def parse_date(c: Column, day_first: bool, layout: Column | None = None) -> Column:
+    """Read a date written in any known layout; null when none fits."""
+    layout = layout_no(c) if layout is None else layout
+    text = c
+    for pattern, order in _FIXED_ORDER + (_DAY_FIRST if day_first else _MONTH_FIRST):
+        text = F.regexp_replace(text, pattern, order)
+    return F.when(layout.isNotNull(), text.try_cast("timestamp"))
 
-def _per_column(df: DataFrame, measures) -> DataFrame:
-    """Aggregate every text column at once; ``measures(column)`` gives name -> aggregate."""
+
+def _per_column(df: DataFrame, steps, aggregates: dict[str, Column]) -> DataFrame:
+    """Aggregate every text column at once.
+
+    The columns are stacked as (position, text), so the plan does not grow with
+    their number. ``steps`` are rounds of values computed per text, each built
+    on those before.
+    """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         raise ValueError("no text column to look at")
-    aggregates, rows = [], []
-    for i, name in enumerate(names):
-        found = measures(col(name))
-        aggregates += [value.alias(f"{key}{i}") for key, value in found.items()]
-        rows.append(F.struct(F.lit(name).alias("column_name"), *[F.col(f"{key}{i}").alias(key) for key in found]))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    texts = spread(df.select(*[col(n) for n in names])).select(
+        F.posexplode(F.array(*[col(n) for n in names])).alias("position", "text")
+    )
+    for values in steps:
+        texts = texts.withColumns(values)
+    found = texts.groupBy("position").agg(*[v.alias(n) for n, v in aggregates.items()])
+    named = F.array(*[F.lit(n) for n in names])
+    return found.select(F.element_at(named, F.col("position") + 1).alias("column_name"), *aggregates)
 
 
-def _layout_measures(c: Column) -> dict[str, Column]:
-    found = {"present": F.count(c)}
-    for i, (regex, _) in enumerate(DATE_LAYOUTS):
-        found[f"layout_{i}_"] = F.count_if(c.rlike(regex))
-    found["first_field_"] = F.max(F.regexp_extract(c, r"^(\d{1,2})", 1).try_cast("int"))
-    found["sample_"] = F.min(c)
-    return found
+def _layout_aggregates() -> dict[str, Column]:
+    layout, text = F.col("layout"), F.col("text")
+    first = F.when(layout.between(1, 4), F.regexp_extract(text, r"^(\d{1,2})", 1).try_cast("int"))
+    found = {"present": F.count(text)}
+    found |= {f"layout_{i}_": F.count_if(layout == i) for i in range(len(DATE_LAYOUTS))}
+    return found | {"first_field_": F.max(first), "sample_": F.min(text)}
 
 
 def _layout_columns() -> list[Column]:
@@ -85,23 +108,27 @@ def _layout_columns() -> list[Column]:
 
 def date_formats(df: DataFrame) -> DataFrame:
     """Date layout of every text column, from all its values."""
-    return _per_column(df, _layout_measures).select("column_name", *_layout_columns())
+    return _per_column(df, [{"layout": layout_no(F.col("text"))}], _layout_aggregates()).select("column_name", *_layout_columns())
 
 
 def infer_types(df: DataFrame) -> DataFrame:
     """Type each text column could have: numeric, then date, if over 90 % of all rows convert."""
-
-    def measures(c):
-        return {
-            "total": F.count(F.lit(1)),
-            "numbers": F.count(F.trim(c).try_cast("double")),
-            "integers": F.count(F.trim(c).try_cast("bigint")),
-            "month_first": F.count(parse_date(c, False)),
-            "day_first": F.count(parse_date(c, True)),
-            **_layout_measures(c),
-        }
-
-    found = _per_column(df, measures).select("*", *_layout_columns())
+    text, layout = F.col("text"), F.col("layout")
+    values = {
+        "month_first_": parse_date(text, False, layout).isNotNull(),
+        "day_first_": parse_date(text, True, layout).isNotNull(),
+        "number_": is_number(text),
+        "integer_": F.trim(text).try_cast("bigint").isNotNull(),
+    }
+    aggregates = {
+        "total": F.count(F.lit(1)),
+        "numbers": F.count_if("number_"),
+        "integers": F.count_if("integer_"),
+        "month_first": F.count_if("month_first_"),
+        "day_first": F.count_if("day_first_"),
+        **_layout_aggregates(),
+    }
+    found = _per_column(df, [{"layout": layout_no(text)}, values], aggregates).select("*", *_layout_columns())
     best = F.greatest("month_first", "day_first")
     needed = TYPE_SHARE * F.col("total")
     return found.select(
@@ -132,7 +159,7 @@ def apply_inferred(df: DataFrame, inferred: DataFrame) -> DataFrame:
             types[row["column_name"]] = "bigint" if row["data_type"] == "bigint" else "double"
         elif row["data_type"] == "datetime2":
             dates[row["column_name"]] = row["use_day_first"]
-    out = df.withColumns({n: F.trim(col(n)) for n in types}) if types else df
+    out = df.withColumns({n: F.when(is_number(col(n)), F.trim(col(n))) for n in types}) if types else df
     out = cast_types(out, types, on_error="null") if types else out
     return out.withColumns({n: parse_date(col(n), day_first) for n, day_first in dates.items()}) if dates else out
 

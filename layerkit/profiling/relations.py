@@ -6,10 +6,11 @@ import datetime
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from layerkit.functions.columns import col
-from layerkit.profiling.findings import pk_candidates
+from layerkit.operators.ordered import partition_no, range_sorted
+from layerkit.profiling.findings import is_key_candidate
 from layerkit.profiling.profile import as_text
 
 
@@ -27,10 +28,10 @@ def candidate_links(profiles: DataFrame, threshold: float = 99.0) -> list[tuple[
 
     The parent column must be a key candidate. Works on profile rows, one per column.
     """
-    wanted = ["table_name", "column_name", "data_type"]
-    parents = [tuple(r) for r in pk_candidates(profiles, threshold).select(*wanted).collect()]
+    rows = profiles.select("table_name", "column_name", "data_type", is_key_candidate(threshold)).collect()
+    parents = [r[:3] for r in rows if r[3]]
     links = []
-    for table, column, kind in [tuple(r) for r in profiles.select(*wanted).collect()]:
+    for table, column, kind, _ in rows:
         for parent_table, parent_column, parent_kind in parents:
             named = _stem(table, column) in (_stem(parent_table, parent_column), parent_table.lower())
             if parent_table != table and kind == parent_kind and named:
@@ -80,10 +81,52 @@ def relationships(
     ).filter(F.col("match_percentage") >= min_match)
 
 
-def percentiles(
-    df: DataFrame, columns: Sequence[str], at: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int = 100_000
+def percentiles(df: DataFrame, columns: Sequence[str], at: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Exact percentiles of numeric columns, one row per column and point.
+
+    A percentile is the smallest value that at least that share of the values
+    does not exceed. Values are counted first, then sorted by range; only the
+    ranges that hold a wanted rank are looked into.
+    """
+    cells = F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), col(c).cast("double").alias("value")) for i, c in enumerate(columns)
+    ]))
+    counts = df.select(cells).filter(F.col("value").isNotNull()).groupBy("position", "value").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    placed, tag = range_sorted(counts, ["position"], "value", None, "percentile")
+    part = partition_no(tag).alias("part")
+    sizes = placed.groupBy(part, "position").agg(F.sum("n").alias("n"))
+    # One row per range and column, then one per wanted rank.
+    along = Window.partitionBy("position").orderBy("part")
+    ranges = sizes.select(
+        "part", "position",
+        (F.sum("n").over(along) - F.col("n")).alias("before"),
+        F.col("n").alias("size"),
+        F.sum("n").over(Window.partitionBy("position")).alias("total"),
+    )
+    points = F.array(*[F.lit(float(p)) for p in at])
+    rank = F.greatest(F.ceil(F.col("total") * F.col("percentile")), F.lit(1))
+    wanted = ranges.select("*", F.explode(points).alias("percentile")).select(
+        F.col("part").alias("__part"), F.col("position").alias("__position"), "percentile",
+        (rank - F.col("before")).alias("rank"), "size",
+    ).filter((F.col("rank") > 0) & (F.col("rank") <= F.col("size")))
+    inside = placed.join(
+        F.broadcast(wanted), (partition_no(tag) == F.col("__part")) & (F.col("position") == F.col("__position"))
+    )
+    up_to = Window.partitionBy("__part", "position", "percentile").orderBy(tag).rowsBetween(Window.unboundedPreceding, 0)
+    names = F.array(*[F.lit(c) for c in columns])
+    return (
+        inside.withColumn("upto", F.sum("n").over(up_to))
+        .filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        .select(F.element_at(names, F.col("position") + 1).alias("column_name"), "percentile", "value")
+    )
+
+
+def approximate_percentiles(
+    df: DataFrame, columns: Sequence[str], at: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int = 10_000
 ) -> DataFrame:
-    """Percentiles of numeric columns, one row per column and point; off by at most 1/accuracy in rank."""
+    """The same in one pass, off by at most 1/accuracy in rank."""
     found = df.agg(*[F.percentile_approx(col(c), list(at), accuracy).alias(f"p{i}") for i, c in enumerate(columns)])
     rows = [
         F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("percentile"), F.col(f"p{i}")[j].cast("double").alias("value"))
@@ -93,25 +136,19 @@ def percentiles(
     return found.select(F.inline(F.array(*rows)))
 
 
-def outliers(df: DataFrame, columns: Sequence[str], width: float = 1.5, accuracy: int = 100_000) -> DataFrame:
-    """Values outside the quartile fences, counted per column in a second pass."""
-    quartiles = df.agg(
-        *[F.percentile_approx(col(c), [0.25, 0.75], accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
-    )
-    bounds = quartiles.select(F.struct("*")).scalar()
+def outliers(df: DataFrame, columns: Sequence[str], width: float = 1.5) -> DataFrame:
+    """Number of values below and above the quartile fences of each column."""
+    quartiles = {(r[0], r[1]): r[2] for r in percentiles(df, columns, (0.25, 0.75)).collect()}  # two per column
     counts, rows = [], []
     for i, c in enumerate(columns):
-        q1, q3 = (bounds.getField(f"q{i}")[j].cast("double") for j in (0, 1))
-        low, high = q1 - width * (q3 - q1), q3 + width * (q3 - q1)
-        counts += [
-            F.first(low).alias(f"low{i}"),
-            F.first(high).alias(f"high{i}"),
-            F.count_if(col(c) < low).alias(f"below{i}"),
-            F.count_if(col(c) > high).alias(f"above{i}"),
-        ]
+        q1, q3 = quartiles.get((c, 0.25)), quartiles.get((c, 0.75))
+        known = q1 is not None
+        low = F.lit(q1 - width * (q3 - q1) if known else None).cast("double")
+        high = F.lit(q3 + width * (q3 - q1) if known else None).cast("double")
+        counts += [F.count_if(col(c) < low).alias(f"below{i}"), F.count_if(col(c) > high).alias(f"above{i}")]
         rows.append(F.struct(
-            F.lit(c).alias("column_name"),
-            *[F.col(f"{n}{i}").alias(a) for n, a in [("low", "low_fence"), ("high", "high_fence"), ("below", "below"), ("above", "above")]],
+            F.lit(c).alias("column_name"), low.alias("low_fence"), high.alias("high_fence"),
+            F.col(f"below{i}").alias("below"), F.col(f"above{i}").alias("above"),
         ))
     return df.agg(*counts).select(F.inline(F.array(*rows)))
 

@@ -53,3 +53,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/layerkit/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Bytes per core below which a table is spread before heavy per-row work.
+_SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table out over all cores before heavy per-row work.
+
+    A small file is often one row group, hence one task. Tables with more than
+    64 MB per core by the optimizer's estimate, or of unknown size, have tasks
+    enough and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < _SPREAD_BYTES * cores else df
