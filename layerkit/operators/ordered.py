@@ -7,6 +7,7 @@ then shifted by the sizes of those before them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -14,10 +15,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from layerkit.functions.columns import (
     as_list, col, require, row_hash, sort_columns, sort_keys, unused_name,
 )
-from layerkit.session import stage
+from layerkit.session import estimated_bytes, stage, task_count
 
-# First/last beyond this many rows go by position instead of a top-k merge.
-TOP_K_LIMIT = 100_000
+# Rows that one task may take in when the tops of other tasks are merged.
+TOP_ROWS = 20_000_000
+
+# Bytes a scan gives one task.
+_SCAN_BYTES = 128 << 20
 
 # monotonically_increasing_id: partition number above, row number in it below.
 _LOCAL_BITS = 33
@@ -42,8 +46,7 @@ def range_sorted(df: DataFrame, leading: list[str], order_by, partitions: int |
     Ties end in a hash of the row, which spreads a hot order value over several
     partitions and makes the result repeatable.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or task_count(df)
     tie, tag = unused_name(df, "__tie"), unused_name(df, "__tag")
     order = [*[col(c).asc_nulls_first() for c in leading], *sort_columns(sort_keys(order_by)), F.col(tie).asc()]
     placed = (
@@ -84,11 +87,32 @@ def sequential_key(df: DataFrame, name: str, order_by, partitions: int | None =
     return add_index(df, name, order_by, start=1, partitions=partitions)
 
 
+def _top(df: DataFrame, n: int, keys) -> DataFrame | None:
+    """The first ``n`` rows by merging each task's first ``n``; none when that is too many for one task.
+
+    With many tasks their tops are merged in groups first, whose number is the
+    square root of the number of tasks.
+    """
+    tasks = max(1, (estimated_bytes(df) or 0) // _SCAN_BYTES)
+    order = sort_columns(keys)
+    if n * tasks <= TOP_ROWS:
+        return df.orderBy(*order).limit(n)
+    groups = math.isqrt(tasks) + 1
+    if n * groups > TOP_ROWS:
+        return None
+    group, place = unused_name(df, "__group"), unused_name(df, "__place")
+    # Any grouping of rows serves; that by scan task lets each task drop all but n rows before the shuffle.
+    tops = df.withColumn(group, F.pmod(F.spark_partition_id(), F.lit(groups)))
+    tops = tops.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return tops.filter(F.col(place) <= n).drop(group, place).orderBy(*order).limit(n)
+
+
 def first_n(df: DataFrame, n: int, order_by) -> DataFrame:
     """The first ``n`` rows along ``order_by``."""
     keys = sort_keys(order_by)
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(*sort_columns(keys)).limit(n)
+    top = _top(df, n, keys)
+    if top is not None:
+        return top
     place = unused_name(df, "__place")
     return add_index(df, place, keys).filter(F.col(place) < n).drop(place)
 
@@ -102,27 +126,29 @@ def skip(df: DataFrame, n: int, order_by) -> DataFrame:
     """All rows but the first ``n`` along ``order_by``.
 
     Finds the ``n``-th sort position with a top-k and filters behind it, so the
-    table is neither sorted nor shuffled. Rows tied on that position are removed
-    one by one until ``n`` are gone.
+    table is neither sorted nor shuffled and the filter reaches the scan. Of rows
+    tied on that position as many go as make up ``n``. Runs two small jobs.
     """
     if n <= 0:
         return df
     keys = sort_keys(order_by)
-    if n > TOP_K_LIMIT:
+    names = [k.name for k in keys]
+    head = _top(df.select(*[col(c) for c in names]), n, keys)
+    if head is None:
         place = unused_name(df, "__place")
         return add_index(df, place, keys).filter(F.col(place) >= n).drop(place)
-    names = [k.name for k in keys]
-    head = df.orderBy(*sort_columns(keys)).limit(n)
-    edge = head.orderBy(*sort_columns([k.reversed() for k in keys])).limit(1)
-    bound = edge.select(F.struct(*[col(c) for c in names]).alias("__edge")).scalar()
+    edge = head.orderBy(*sort_columns([k.reversed() for k in keys])).limit(1).collect()
+    if not edge:
+        return df
 
     behind, tied = F.lit(False), F.lit(True)
-    for key in keys:
-        value = bound.getField(key.name)
+    for key, value in zip(keys, edge[0]):
+        value = F.lit(value).cast(df.schema[key.name].dataType)
         behind = behind | (tied & key.follows(value))
         tied = tied & col(key.name).eqNullSafe(value)
-    at_edge = bound.isNotNull() & tied
-    return df.filter(bound.isNotNull() & behind).union(df.filter(at_edge).exceptAll(head.filter(at_edge)))
+    gone = head.filter(tied).count()
+    at_edge = df.filter(tied)
+    return df.filter(behind).union(at_edge.exceptAll(at_edge.limit(gone)))
 
 
 def remove_last(df: DataFrame, n: int, order_by) -> DataFrame:

@@ -1,7 +1,5 @@
 """Sources, sinks, merges, versions, layered loads and streams."""
 
-import uuid
-
 from pyspark.sql import functions as F, types as T
 
 from layerkit.functions.columns import col
@@ -9,14 +7,14 @@ from layerkit.layers import pipeline as L
 from layerkit.operators import aggregate as A, project as X
 from layerkit.plans.base import exact_sum, query
 from layerkit.quality import not_null
-from layerkit.session import shared_dir
+from layerkit.session import scratch_path
 from layerkit.sources import changes as M, readers as R, sinks as S
 from layerkit.streaming import ingest as I
 
 
 def _folder(t, label: str) -> str:
     """A new folder all executors share."""
-    return f"{shared_dir(t.spark)}/layerkit/{label}-{uuid.uuid4().hex}"
+    return scratch_path(t.spark, label)
 
 
 # --- Scans and sinks ---

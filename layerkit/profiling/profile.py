@@ -1,4 +1,4 @@
-"""Column statistics of a table in two passes, whatever its number of columns."""
+"""Column statistics of a table in a fixed number of passes, whatever its number of columns."""
 
 from __future__ import annotations
 
@@ -128,13 +128,16 @@ def profile(
         counted = [(i, f) for i, f in fields if i in few]
     if counted:
         counts = value_counts(df, counted)
-        # Summing the counts too keeps both groupings on one shared shuffle.
+        # Both groupings use the counts, so that they share one shuffle.
         sizes = counts.groupBy("position").agg(
             F.count(F.lit(1)).alias("exact_distinct"), F.sum("count").alias("__rows")
         )
+        # At most one row per column of the table.
+        few = sizes.filter((F.col("exact_distinct") <= LISTED_DISTINCT) & (F.col("__rows") > 0)).select("position")
         frequent = Window.partitionBy("position").orderBy(F.col("count").desc(), F.col("value"))
         listed = (
-            counts.withColumn("__rank", F.row_number().over(frequent))
+            counts.join(F.broadcast(few), "position", "left_semi")
+            .withColumn("__rank", F.row_number().over(frequent))
             .filter(F.col("__rank") <= TOP_VALUES)
             .groupBy("position")
             .agg(F.array_sort(F.collect_list(F.struct("__rank", "value", "count"))).alias("__top"))
@@ -142,16 +145,16 @@ def profile(
         stats = stats.join(sizes, "position", "left").join(listed, "position", "left")
     else:
         stats = stats.select(
-            "*", F.lit(None).cast("bigint").alias("exact_distinct"),
+            "*", F.lit(None).cast("bigint").alias("exact_distinct"), F.lit(None).cast("bigint").alias("__rows"),
             F.lit(None).cast("array<struct<__rank:int,value:string,count:bigint>>").alias("__top"),
         )
     fallback = F.col("approx_distinct") if distinct_error else F.lit(0)
     distinct = F.coalesce(F.col("exact_distinct"), fallback, F.lit(0)).cast("bigint")
-    present, total = F.col("non_null_count"), F.col("total_count")
+    present, total = F.coalesce("__rows", "non_null_count"), F.col("total_count")
     top = F.transform("__top", lambda v: F.struct(v["value"].alias("value"), v["count"].alias("count")))
     return stats.select(
         F.lit(table).alias("table_name"),
-        "position", "column_name", "data_type", "total_count", "non_null_count",
+        "position", "column_name", "data_type", "total_count", present.alias("non_null_count"),
         (total - present).alias("null_count"),
         F.when(total > 0, (total - present) / total * 100).otherwise(0.0).alias("null_percentage"),
         distinct.alias("distinct_count"),

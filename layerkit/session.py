@@ -43,18 +43,49 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path for this application under the shared folder."""
+    return f"{shared_dir(spark)}/layerkit/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame reading it back.
 
     Cuts the lineage, fixes non-deterministic columns for every later use, and
-    survives the loss of executors. Runs one job.
+    survives the loss of executors. Runs one job. :func:`clear_scratch` frees
+    the space once no result that reads it is needed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/layerkit/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has staged."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_dir(spark)}/layerkit/{spark.sparkContext.applicationId}"
+    )
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate; none where it has no idea."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else None
+
+
+# Bytes one task of a full sort should hold, and the most tasks to cut a table into.
+_TASK_BYTES = 256 << 20
+_MAX_TASKS = 20_000
+
+
+def task_count(df: DataFrame) -> int:
+    """Number of partitions for a full shuffle of ``df``: by size, at least the session's."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min((estimated_bytes(df) or 0) // _TASK_BYTES, _MAX_TASKS))
+
+
 # Bytes per core below which a table is spread before heavy per-row work.
 _SPREAD_BYTES = 64 << 20
 
@@ -67,5 +98,5 @@ def spread(df: DataFrame) -> DataFrame:
     enough and are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < _SPREAD_BYTES * cores else df
+    size = estimated_bytes(df)
+    return df.repartition(cores) if size is not None and size < _SPREAD_BYTES * cores else df
