@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from layerkit.corpus.extract import NO_QUERIES, PARSE_ERROR, line_count
+from layerkit.functions.text import quote
 from layerkit.operators.joins import join_on
 
 # Source type by the calls a text contains; the first match wins, else "derived".
@@ -49,12 +50,22 @@ def _any(c: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(p) for p in parts])
 
 
+def _calls(c: Column, parts: list[str]) -> Column:
+    """Whether a text holds one of some names, not as the end of a longer name."""
+
+    def found(part: str) -> Column:
+        # Looking for the plain text first spares most texts the pattern.
+        return c.contains(part) & c.rlike((r"(?<![a-z0-9_])" if part[0].isalpha() else "") + quote(part))
+
+    return reduce(lambda a, b: a | b, map(found, parts))
+
+
 def source_type(code: Column, rules=SOURCE_TYPES) -> Column:
     """First source type whose calls appear in the text."""
     text = F.lower(code)
     out = F.lit("derived")
     for parts, name in reversed(rules):
-        out = F.when(_any(text, parts), F.lit(name)).otherwise(out)
+        out = F.when(_calls(text, parts), F.lit(name)).otherwise(out)
     return out
 
 

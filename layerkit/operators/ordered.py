@@ -156,6 +156,18 @@ def remove_last(df: DataFrame, n: int, order_by) -> DataFrame:
     return skip(df, n, [k.reversed() for k in sort_keys(order_by)])
 
 
+def promote_headers(df: DataFrame, order_by) -> DataFrame:
+    """Take the first row along ``order_by`` as column names; empty ones keep the old name.
+
+    For files use ``read_csv_skip``, which finds the header at the scan.
+    """
+    first = first_n(df, 1, order_by).collect()
+    if not first:
+        return df
+    names = [str(v) if v not in (None, "") else c for v, c in zip(first[0], df.columns)]
+    return skip(df, 1, order_by).toDF(*names)
+
+
 def dedup_latest(df: DataFrame, keys: str | Iterable[str], order_by) -> DataFrame:
     """The newest row of each key: last along ``order_by``, which must be a total order.
 

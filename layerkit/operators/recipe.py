@@ -35,12 +35,13 @@ STEPS = {
     "last_n": ordered.last_n,
     "skip": ordered.skip,
     "cache": project.buffer,
+    "promote_headers": ordered.promote_headers,
     "remove_last_n": ordered.remove_last,
 }
 
 
 def run_recipe(df: DataFrame, steps: Iterable[tuple[str, Mapping]]) -> DataFrame:
-    """Apply the steps in order. Headers are promoted at the scan, by ``read_csv_skip``."""
+    """Apply the steps in order; an unknown step raises."""
 
     def apply(table: DataFrame, step: tuple[str, Mapping]) -> DataFrame:
         name, arguments = step

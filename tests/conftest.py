@@ -11,6 +11,7 @@ def local_session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.warehouse.dir", "/tmp/layerkit-warehouse")
         .getOrCreate()
@@ -19,6 +20,11 @@ def local_session() -> SparkSession:
     return spark
 
 
+def pytest_sessionstart(session):
+    """Columns in parametrised tests need a running session."""
+    local_session()
+
+
 @pytest.fixture(scope="session")
 def spark():
-    yield local_session()
+    return local_session()

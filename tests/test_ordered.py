@@ -148,3 +148,9 @@ def test_sort_places_nulls_low(spark):
 def test_top_values_breaks_ties_by_value(spark):
     df = spark.createDataFrame([(v,) for v in "bbaaacdef"] + [(None,)], "v string")
     assert rows(O.top_values(df, "v", 3)) == [("a", 3), ("b", 2), ("c", 1)]
+
+
+def test_promote_headers(spark):
+    df = spark.createDataFrame([(0, "id", "name"), (1, "7", "Ann"), (2, "8", "Bob")], "n int, a string, b string")
+    out = O.promote_headers(df, "n")
+    assert out.columns == ["0", "id", "name"] and sorted(rows(out)) == [(1, "7", "Ann"), (2, "8", "Bob")]
