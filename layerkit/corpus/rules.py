@@ -131,24 +131,17 @@ def unknown_names(
     names = lines.select(
         "file_path", "line", F.explode(F.regexp_extract_all("line", F.lit(pattern), 1)).alias("pattern")
     )
-    if isinstance(known, DataFrame):
-        # Counted before the join, so a frequent name costs one row per file.
-        per_file = names.groupBy("pattern", "file_path").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.trim("line")).alias("line")
-        )
-        unknown = per_file.join(known.select(F.col("name").alias("pattern")).distinct(), "pattern", "left_anti")
-        return unknown.groupBy("pattern").agg(
-            F.count(F.lit(1)).alias("files_affected"), F.sum("n").alias("occurrences"), F.min("line").alias("sample")
-        )
-    return (
-        names.filter(~F.col("pattern").isin(list(known)))
-        .groupBy("pattern")
-        .agg(
-            F.count_distinct("file_path").alias("files_affected"),
-            F.count(F.lit(1)).alias("occurrences"),
-            F.min(F.trim("line")).alias("sample"),
-        )
+    if not isinstance(known, DataFrame):
+        names = names.filter(~F.col("pattern").isin(list(known)))
+    found = names.groupBy("pattern").agg(
+        F.count_distinct("file_path").alias("files_affected"),
+        F.count(F.lit(1)).alias("occurrences"),
+        F.min(F.trim("line")).alias("sample"),
     )
+    if isinstance(known, DataFrame):
+        # One row per name by now, however often it occurs.
+        found = found.join(known.select(F.col("name").alias("pattern")).distinct(), "pattern", "left_anti")
+    return found
 
 
 def update_backlog(backlog: DataFrame, unknown: DataFrame, seen_on: Column) -> DataFrame:

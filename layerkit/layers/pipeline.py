@@ -14,6 +14,7 @@ from layerkit.operators.project import add_load_lineage, to_clean_lineage
 from layerkit.operators.recipe import run_recipe
 from layerkit.quality import Check, referential, required_checks, run_checks
 from layerkit.sources.changes import merge
+from layerkit.sources.readers import read_since
 from layerkit.sources.sinks import TableStore
 
 
@@ -37,10 +38,19 @@ def build_silver(
     load_id: str = "",
     checks: Iterable[Check] = (),
     built_at: Column | None = None,
+    since=None,
 ) -> DataFrame:
-    """Clean a raw table: steps, newest row per key, new lineage, then refresh or merge."""
+    """Clean a raw table: steps, newest row per key, new lineage, then refresh or merge.
+
+    A merge may read only what was loaded after ``since``.
+    """
     keys = as_list(keys)
-    clean = run_recipe(store.read_bronze(source), steps)
+    raw = store.read_bronze(source)
+    if since is not None:
+        if mode != "merge":
+            raise ValueError("since suits a merge: a refresh needs every row")
+        raw = read_since(raw, "_load_timestamp", since)
+    clean = run_recipe(raw, steps)
     clean = to_clean_lineage(dedup_latest(clean, keys, list(order_by)), load_id, built_at)
     if mode == "merge" and store.exists(name):
         clean = merge(store.read(name), clean, keys, check=False)

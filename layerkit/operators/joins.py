@@ -2,8 +2,9 @@
 
 Spark picks the physical join from table sizes; nothing is broadcast by hint.
 Partitions of a sort-merge join that a hot key makes too big are split at run
-time (``session.configure``); ``salt`` does the same by plan for sides whose
-shape is known to be skewed.
+time (``session.configure``). Spark can do so only where each side is shuffled
+right before the join, so a side that was aggregated by the join key is shuffled
+once more; ``salt`` also spreads a hot key by plan.
 """
 
 from __future__ import annotations
@@ -61,7 +62,9 @@ def join_on(
     side), so other names must not repeat. ``key_type`` brings both sides' keys
     to one type first, with unreadable keys matching nothing. ``salt=n`` spreads
     the left rows of every key over ``n`` tasks and repeats the right rows ``n``
-    times: for inner, left and left anti joins with a hot key on the left.
+    times: for inner, left and anti joins with a hot key on the left. ``salt=1``
+    repeats nothing; it only makes Spark shuffle a right side that is already
+    laid out by the key, which splitting a hot key at run time needs.
     """
     how = join_kind(how)
     lk = as_list(left_keys)
@@ -84,17 +87,17 @@ def join_on(
     b, bk = _keyed(right, rk, "r")
     if anti:
         b = b.select(*bk).distinct()
+        salt = salt or 1
     elif same:
         b = b.drop(*same)
     condition = _condition(a, ak, b, bk, key_type)
     if salt:
         if how not in ("inner", "left", "left_anti"):
             raise ValueError("salt suits inner, left and left_anti joins")
-        a = a.withColumn("__lsalt", F.pmod(row_hash(left), F.lit(salt)).cast("int"))
+        spread = row_hash(left) if salt > 1 else F.xxhash64(*[col(k) for k in ak])
+        a = a.withColumn("__lsalt", F.pmod(spread, F.lit(salt)).cast("int"))
         b = b.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        condition = _condition(a, ak + ["__lsalt"], b, bk + ["__rsalt"], None) if not key_type else (
-            _condition(a, ak, b, bk, key_type) & (a["__lsalt"] == b["__rsalt"])
-        )
+        condition = _condition(a, ak, b, bk, key_type) & (a["__lsalt"] == b["__rsalt"])
     joined = a.join(b, condition, how)
     if how in ("right", "outer"):
         # A shared key name shows whichever side has a value.
@@ -113,6 +116,7 @@ def merge_queries(
     expand: Mapping[str, str] | None = None,
     aggregate: Mapping[str, Column] | None = None,
     key_type: str | None = None,
+    salt: int | None = None,
 ) -> DataFrame:
     """Nested join, then use of the nested table.
 
@@ -137,8 +141,9 @@ def merge_queries(
             *[col(k).alias(n) for k, n in zip(rk, keys)], *[col(c).alias(a) for c, a in expand.items()]
         )
     kind = join_kind(kind)
-    joined = join_on(left, small, lk, keys, kind, key_type)
-    return joined.drop(*keys)
+    if aggregate and kind in ("inner", "left"):
+        salt = salt or 1
+    return join_on(left, small, lk, keys, kind, key_type, salt).drop(*keys)
 
 
 def expand(df: DataFrame, column: str, fields: Mapping[str, str], outer: bool = True) -> DataFrame:
@@ -158,7 +163,10 @@ def enrich(df: DataFrame, lookup: DataFrame, on: str | Iterable[str]) -> DataFra
 
 
 def lookup_dimensions(df: DataFrame, dimensions: Iterable[tuple[DataFrame, str, str, Mapping[str, str]]]) -> DataFrame:
-    """Chain left lookups: ``(dimension, key in df, key in dimension, {column: alias})``."""
+    """Chain left lookups: ``(dimension, key in df, key in dimension, {column: alias})``.
+
+    Dimensions are often just built, hence laid out by their key already.
+    """
     for dimension, key, dim_key, wanted in dimensions:
-        df = merge_queries(df, dimension, key, dim_key, expand=wanted)
+        df = merge_queries(df, dimension, key, dim_key, expand=wanted, salt=1)
     return df

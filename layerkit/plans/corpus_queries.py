@@ -263,9 +263,7 @@ def severity_summary(t):
 def unknown_tokens(t):
     """Mail hosts that are not in a table of known names."""
     known = t.region.select(F.concat(F.lit("mail"), F.col("r_regionkey").cast("string")).alias("name"))
-    return R.unknown_names(_texts(t), known, pattern=r"@([A-Za-z0-9]+)\.").withColumn(
-        "occurrences", F.col("occurrences").cast("bigint")
-    )
+    return R.unknown_names(_texts(t), known, pattern=r"@([A-Za-z0-9]+)\.")
 
 
 def _redact_sql(column: str, source: str, keep: str) -> str:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from layerkit.functions.columns import as_list, col, require
+from layerkit.sources.sinks import export_csv, export_json
 
 # Text patterns in order of preference, and the share that must match.
 PATTERNS = [
@@ -172,6 +173,16 @@ def profile_all(tables: Mapping[str, DataFrame], distinct_error: float | None =
     )
 
 
+def save_profile(profile: DataFrame, path: str, fmt: str = "json") -> None:
+    """Write a profile as JSON, or as CSV with the top values as JSON text."""
+    if fmt == "json":
+        export_json(profile, path)
+    elif fmt == "csv":
+        export_csv(profile.withColumn("top_values", F.to_json("top_values")), path)
+    else:
+        raise ValueError(f"unknown format: {fmt}")
+
+
 def sample_fraction(df: DataFrame, fraction: float, keys: str | Iterable[str] | None = None) -> DataFrame:
     """Rows whose key hash falls in the first ``fraction`` of its range: the same rows on every run."""
     names = df.columns if keys is None else as_list(keys)

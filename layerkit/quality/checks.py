@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from layerkit.functions.columns import as_list, col, require
 from layerkit.functions.types import spark_type
+from layerkit.operators.joins import join_on
 
 REPORT_COLUMNS = ["check", "table_name", "column_name", "passed", "observed", "expected"]
 
@@ -177,8 +178,7 @@ def referential(df: DataFrame, table: str, links: Iterable[tuple[str, DataFrame,
 
 def orphans(df: DataFrame, fk: str, dimension: DataFrame, pk: str) -> DataFrame:
     """Rows whose key the dimension lacks."""
-    keys = dimension.select(col(pk).alias("__pk")).distinct()
-    return df.join(keys, col(fk) == F.col("__pk"), "left_anti")
+    return join_on(df, dimension, fk, pk, "left_anti")
 
 
 def has_types(df: DataFrame, table: str, types: Mapping[str, str | T.DataType]) -> DataFrame:

@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from layerkit.functions.columns import as_list, col, require
 from layerkit.functions.numbers import key_hash
+from layerkit.session import stage
+from layerkit.sources.sinks import write_partitioned
+
+# Partition column of a bucketed table.
+BUCKET = "_bucket"
 
 
 class DuplicateKeys(ValueError):
@@ -86,6 +91,46 @@ def merge(
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def bucket_of(keys: str | Iterable[str], buckets: int) -> Column:
+    """Bucket of a row by its keys, the same for ever."""
+    return F.pmod(F.xxhash64(*[col(k) for k in as_list(keys)]), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, keys: str | Iterable[str], buckets: int) -> None:
+    """Write a table as one folder per key bucket, for :func:`merge_buckets`."""
+    write_partitioned(df.withColumn(BUCKET, bucket_of(keys, buckets)), path, BUCKET)
+
+
+def merge_buckets(
+    spark: SparkSession,
+    path: str,
+    source: DataFrame,
+    keys: str | Iterable[str],
+    buckets: int,
+    update_when: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    set: Mapping[str, str | Column] | None = None,
+) -> int:
+    """Upsert into a bucketed table, rewriting only the buckets the source touches.
+
+    Returns how many were rewritten. The merged buckets are staged before they
+    replace the old ones, so a failure leaves the table as it was.
+    """
+    keys = as_list(keys)
+    require_unique(source, keys)
+    source = source.withColumn(BUCKET, bucket_of(keys, buckets))
+    touched = [r[0] for r in source.select(BUCKET).distinct().collect()]  # at most one number per bucket
+    if not touched:
+        return 0
+    target = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched))
+    if set is None:
+        set = {c: c for c in source.columns if c not in keys and c != BUCKET}
+    merged = stage(merge(target, source, [BUCKET, *keys], update_when, set, check=False), "merge")
+    merged.hint("rebalance", F.col(BUCKET)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        BUCKET
+    ).parquet(path)
+    return len(touched)
+
+
 def table_changes(old: DataFrame, new: DataFrame, keys: str | Iterable[str], check: bool = True) -> DataFrame:
     """Changes that turn ``old`` into ``new``, with ``_change_type`` as
     insert, update_preimage, update_postimage or delete. Keys may not repeat."""

@@ -105,3 +105,16 @@ def test_versions(spark):
     ], key=repr)
     assert third.select("version_key").distinct().count() == 6
     assert third.filter("is_current").groupBy("id").count().filter("count > 1").count() == 0
+
+
+def test_merge_rewrites_only_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    M.write_buckets(spark.range(200).select("id", F.lit("old").alias("v")), path, "id", 16)
+    before = {f for f in spark.read.parquet(path).inputFiles()}
+    source = spark.createDataFrame([(5, "new"), (777, "added")], "id long, v string")
+    rewritten = M.merge_buckets(spark, path, source, "id", 16)
+    after = spark.read.parquet(path)
+    assert 1 <= rewritten <= 2 and len(before & {f for f in after.inputFiles()}) == len(before) - rewritten
+    want = [(i, "new" if i == 5 else "old") for i in range(200)] + [(777, "added")]
+    assert rows(after.select("id", "v")) == sorted(want, key=repr)
+    assert M.merge_buckets(spark, path, source.limit(0), "id", 16) == 0

@@ -94,3 +94,16 @@ def test_a_run_stops_at_the_first_failed_stage(spark, store):
     with pytest.raises(CheckFailed, match="b"):
         assert_checks(report)
     assert L.run_layers(spark, [stage("a", 0), stage("c", 1)], strict=False).count() == 2
+
+
+def test_silver_merges_what_was_loaded_since(spark, store):
+    load(spark, store, 1, [(1, "ann", "Leeds"), (2, "bob", "Hull")])
+    build = lambda **more: L.build_silver(
+        store, "silver_customers", "bronze_customers", STEPS, "customer_id", load_id="r", built_at=at(9), **more
+    )
+    assert_checks(build())
+    load(spark, store, 2, [(2, "bob", "York")])
+    assert_checks(build(mode="merge", since=at(1)))
+    assert rows(store.read("silver_customers").select("customer_id", "city")) == [(1, "Leeds"), (2, "York")]
+    with pytest.raises(ValueError, match="merge"):
+        build(since=at(1))

@@ -87,3 +87,61 @@ def test_distinct_values_are_counted_over_one_shuffle(spark):
     df = QUERIES["profile_table"](spark, FOLDER)
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def small_tasks(spark):
+    """Thresholds that make a few kilobytes count as a big partition."""
+    changed = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1000",
+    }
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_a_hot_key_is_split_in_joins(spark, small_tasks, how):
+    from pyspark.sql import functions as F
+
+    from layerkit.operators.joins import join_on, merge_queries
+    from layerkit.session import configure
+
+    configure(spark)
+    # A third of all rows holds key 0.
+    left = spark.range(0, 60000, 1, 16).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(0, 30000, 1, 4).select((F.col("id") * 2).alias("rk"), F.lit("x").alias("v"))
+    out = join_on(left, right, "k", "rk", how)
+    rows = out.collect()
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    if how == "left":
+        totals = merge_queries(left, right, "k", "rk", aggregate={"n": F.count("*")})
+        assert totals.filter("n > 0").count() == sum(1 for i in range(60000) if i % 3 == 0 or i % 2 == 0)
+        totals.collect()
+        assert "skew=true" in totals._jdf.queryExecution().executedPlan().toString()
+    matched = sum(1 for i in range(60000) if i % 3 == 0 or i % 2 == 0)
+    assert len(rows) == {"inner": matched, "left": 60000, "left_anti": 60000 - matched}[how]
+
+
+def test_a_hot_partition_value_is_written_by_several_tasks(spark, small_tasks, tmp_path):
+    from pyspark.sql import functions as F
+
+    from layerkit.sources.sinks import write_partitioned
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300000")
+    df = spark.range(0, 60000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.col("id") % 50 + 1).otherwise(0).alias("p"), F.sha1(F.col("id").cast("string")).alias("v"))
+    write_partitioned(df, str(tmp_path / "t"), "p")
+    files = {}
+    for name in spark.read.parquet(str(tmp_path / "t")).inputFiles():
+        part = re.search(r"p=(\d+)", name).group(1)
+        files[part] = files.get(part, 0) + 1
+    assert files["0"] > 3 and sum(n for p, n in files.items() if p != "0") <= 2 * len(files)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 60000

@@ -227,3 +227,11 @@ def test_profile_diff(spark, df):
     before, after = P.profile(df.select("id", "ten"), "a"), P.profile(df.filter("id < 50").select("id", F.lit("x").alias("new")), "b")
     got = {r["column_name"]: (r["change"], r["rows_delta"]) for r in P.profile_diff(before, after).collect()}
     assert got == {"id": ("kept", -50), "ten": ("removed", None), "new": ("added", None)}
+
+
+def test_save_profile(spark, df, tmp_path):
+    profiled = P.profile(df.select("ten"), "t")
+    P.save_profile(profiled, str(tmp_path / "json"))
+    P.save_profile(profiled, str(tmp_path / "csv"), "csv")
+    assert spark.read.json(str(tmp_path / "json")).select("top_values.count").collect()[0][0] == [10] * 5
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
