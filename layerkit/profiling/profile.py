@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from layerkit.functions.columns import as_list, col, require
+from layerkit.session import spread
 from layerkit.sources.sinks import export_csv, export_json
 
 # Text patterns in order of preference, and the share that must match.
@@ -48,59 +50,49 @@ def as_text(field: T.StructField) -> Column:
     return c.cast("string")
 
 
-def value_counts(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
-    """Rows per (column position, value) over many columns in one grouping; nulls left out."""
-    cells = F.inline(
-        F.array(*[F.struct(F.lit(i).alias("position"), as_text(f).alias("value")) for i, f in fields])
-    )
-    return (
-        df.select(cells)
-        .filter(F.col("value").isNotNull())
-        .groupBy("position", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+def _cells(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    """The table stacked as (column position, value as text, value as number)."""
+
+    def cell(i: int, field: T.StructField) -> Column:
+        number = col(field.name).cast("double") if isinstance(field.dataType, T.NumericType) else F.lit(None).cast("double")
+        return F.struct(F.lit(i).alias("position"), as_text(field).alias("value"), number.alias("number"))
+
+    return df.select(F.inline(F.array(*[cell(i, f) for i, f in fields])))
+
+
+def _value_counts(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    """Rows per (column, value) over many columns in one grouping, nulls included.
+
+    The number goes with the value. As a key, unlike an aggregate, it is never
+    pruned, so that all uses of the counts share one shuffle.
+    """
+    return _cells(df, fields).groupBy("position", "value", "number").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _columns(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    """One row per column: position, name and type."""
+    rows = [{"position": i, "column_name": f.name, "data_type": type_name(f.dataType)} for i, f in fields]
+    listed = F.from_json(F.lit(json.dumps(rows)), "array<struct<position:int,column_name:string,data_type:string>>")
+    return df.sparkSession.range(0, 1, 1, 1).select(F.inline(listed))
 
 
-def _statistics(df: DataFrame, fields, distinct_error: float | None) -> DataFrame:
-    """One row per column from one aggregation over the table."""
-    aggregates, rows = [F.count(F.lit(1)).alias("total")], []
-    nothing = F.lit(None)
-
-    def seen(i: int, name: str, value: Column) -> Column:
-        aggregates.append(value.alias(f"{name}{i}"))
-        return F.col(f"{name}{i}")
-
-    for i, field in fields:
-        c, kind = col(field.name), type_name(field.dataType)
-        numeric, dated = kind in ("bigint", "decimal"), kind == "datetime2"
-        is_text = isinstance(field.dataType, T.StringType)
-        present = seen(i, "present", F.count(c))
-        pattern = nothing.cast("string")
-        if is_text:
-            for name, regex in reversed(PATTERNS):
-                hits = seen(i, name, F.count_if(c.rlike(regex)))
-                pattern = F.when(hits > PATTERN_SHARE * present, F.lit(name)).otherwise(pattern)
-        rows.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(field.name).alias("column_name"),
-                F.lit(kind).alias("data_type"),
-                F.col("total").alias("total_count"),
-                present.alias("non_null_count"),
-                (seen(i, "approx", F.approx_count_distinct(as_text(field), distinct_error)) if distinct_error else nothing)
-                .cast("bigint").alias("approx_distinct"),
-                (seen(i, "low", F.min(c.cast("double"))) if numeric else nothing).cast("double").alias("min_value"),
-                (seen(i, "high", F.max(c.cast("double"))) if numeric else nothing).cast("double").alias("max_value"),
-                (seen(i, "mean", F.avg(c.cast("double"))) if numeric else nothing).cast("double").alias("avg_value"),
-                (seen(i, "first", F.min(c)) if dated else nothing).cast("string").alias("min_date"),
-                (seen(i, "last", F.max(c)) if dated else nothing).cast("string").alias("max_date"),
-                (seen(i, "short", F.min(F.length(c))) if is_text else nothing).cast("bigint").alias("min_length"),
-                (seen(i, "long", F.max(F.length(c))) if is_text else nothing).cast("bigint").alias("max_length"),
-                (seen(i, "width", F.avg(F.length(c))) if is_text else nothing).cast("double").alias("avg_length"),
-                pattern.alias("pattern"),
-            )
+def _date_ranges(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    """First and last value, as text, of every date column."""
+    dated = [(i, f.name) for i, f in fields if type_name(f.dataType) == "datetime2"]
+    if not dated:
+        return df.sparkSession.range(0, 0, 1, 1).select(
+            F.col("id").cast("int").alias("__dated"), *[F.lit(None).cast("string").alias(c) for c in ("__first", "__last")]
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    ends = df.agg(*[F.struct(F.min(col(n)), F.max(col(n))).alias(f"d{i}") for i, n in dated])
+    rows = [
+        F.struct(
+            F.lit(i).alias("__dated"),
+            F.col(f"d{i}")["col1"].cast("string").alias("__first"),
+            F.col(f"d{i}")["col2"].cast("string").alias("__last"),
+        )
+        for i, _ in dated
+    ]
+    return ends.select(F.inline(F.array(*rows)))
 
 
 def profile(
@@ -111,58 +103,90 @@ def profile(
 ) -> DataFrame:
     """One row per column: counts, distinct values, range, lengths, pattern and top values.
 
-    Distinct values are counted exactly, by one grouping over (column, value)
-    that combines before its shuffle. On tables where most columns are nearly
-    unique that moves the whole table once; ``distinct_error`` (a relative
-    standard deviation) then estimates them inside the first pass, and only
-    columns estimated to hold few values are grouped.
+    The table is stacked and counted per (column, value) by one grouping, which
+    combines before its shuffle; all else follows from these counts. On tables
+    where most columns are nearly unique that moves the whole table once;
+    ``distinct_error`` (a relative standard deviation) then estimates distinct
+    values without it, and only columns estimated to hold few are grouped.
+    The plan does not grow with the number of columns.
     """
     names = df.columns if columns is None else as_list(columns)
     require(df, names)
     fields = [(i, f) for i, f in enumerate(df.schema.fields) if f.name in names]
-    stats = _statistics(df, fields, distinct_error)
+    df = spread(df.select(*[col(f.name) for _, f in fields]))
+    listed_columns = _columns(df, fields)
+
+    if distinct_error:
+        weighted = _cells(df, fields).withColumn("count", F.lit(1).cast("bigint"))
+        distinct = F.approx_count_distinct("value", distinct_error)
+    else:
+        counts = weighted = _value_counts(df, fields)
+        distinct = F.count("value")
+    n, value, number = F.col("count"), F.col("value"), F.col("number")
+    is_text = F.col("position").isin([i for i, f in fields if isinstance(f.dataType, T.StringType)])
+    width = F.when(is_text, F.length(value))
+    present = F.sum(F.when(value.isNotNull(), n))
+    stats = weighted.groupBy("position").agg(
+        F.sum(n).alias("__total"),
+        present.alias("__present"),
+        distinct.alias("__distinct"),
+        F.min(number).alias("__low"),
+        F.max(number).alias("__high"),
+        (F.sum(number * n) / F.sum(F.when(number.isNotNull(), n))).alias("__mean"),
+        F.min(width).alias("__short"),
+        F.max(width).alias("__long"),
+        (F.sum(width * n) / present).alias("__width"),
+        *[F.sum(F.when(is_text & value.rlike(regex), n)).alias(f"__{name}") for name, regex in PATTERNS],
+    )
 
-    counted = fields
     if distinct_error:
         # One row per column comes to the driver; twice the limit allows for the estimate's error.
-        few = {r[0] for r in stats.filter(F.col("approx_distinct") <= 2 * LISTED_DISTINCT).select("position").collect()}
+        few = {r[0] for r in stats.filter(F.col("__distinct") <= 2 * LISTED_DISTINCT).select("position").collect()}
         counted = [(i, f) for i, f in fields if i in few]
-    if counted:
-        counts = value_counts(df, counted)
-        # Both groupings use the counts, so that they share one shuffle.
-        sizes = counts.groupBy("position").agg(
-            F.count(F.lit(1)).alias("exact_distinct"), F.sum("count").alias("__rows")
-        )
-        # At most one row per column of the table.
-        few = sizes.filter((F.col("exact_distinct") <= LISTED_DISTINCT) & (F.col("__rows") > 0)).select("position")
-        frequent = Window.partitionBy("position").orderBy(F.col("count").desc(), F.col("value"))
-        listed = (
-            counts.join(F.broadcast(few), "position", "left_semi")
-            .withColumn("__rank", F.row_number().over(frequent))
-            .filter(F.col("__rank") <= TOP_VALUES)
-            .groupBy("position")
-            .agg(F.array_sort(F.collect_list(F.struct("__rank", "value", "count"))).alias("__top"))
-        )
-        stats = stats.join(sizes, "position", "left").join(listed, "position", "left")
-    else:
-        stats = stats.select(
-            "*", F.lit(None).cast("bigint").alias("exact_distinct"), F.lit(None).cast("bigint").alias("__rows"),
-            F.lit(None).cast("array<struct<__rank:int,value:string,count:bigint>>").alias("__top"),
+        counts = _value_counts(df, counted or fields[:1])
+    # At most one row per column. Uses the counts, to share their shuffle; and an
+    # inner join, as a semi join would be moved below the grouping.
+    sizes = counts.groupBy("position").agg(F.count("value").alias("__exact"), F.sum("count").alias("__rows"))
+    kept = sizes.filter((F.col("__exact") <= LISTED_DISTINCT) & (F.col("__rows") > 0)).select(
+        F.col("position").alias("__kept"), "__exact"
+    )
+    frequent = Window.partitionBy("position").orderBy(F.col("count").desc(), F.col("value"))
+    top = (
+        counts.join(F.broadcast(kept), F.col("position") == F.col("__kept"))
+        .filter(value.isNotNull())
+        .withColumn("__rank", F.row_number().over(frequent))
+        .filter(F.col("__rank") <= TOP_VALUES)
+        .groupBy(F.col("position").alias("__kept"))
+        .agg(
+            F.max("__exact").alias("__exact"),
+            F.array_sort(F.collect_list(F.struct("__rank", "value", "count"))).alias("__top"),
         )
-    fallback = F.col("approx_distinct") if distinct_error else F.lit(0)
-    distinct = F.coalesce(F.col("exact_distinct"), fallback, F.lit(0)).cast("bigint")
-    present, total = F.coalesce("__rows", "non_null_count"), F.col("total_count")
-    top = F.transform("__top", lambda v: F.struct(v["value"].alias("value"), v["count"].alias("count")))
-    return stats.select(
+    )
+    found = listed_columns.join(stats, "position", "left").join(top, F.col("position") == F.col("__kept"), "left")
+    found = found.join(_date_ranges(df, fields), F.col("position") == F.col("__dated"), "left")
+    total = F.coalesce("__total", F.lit(0)).cast("bigint")
+    present = F.coalesce("__present", F.lit(0)).cast("bigint")
+    distinct = F.coalesce("__exact", "__distinct", F.lit(0)).cast("bigint")
+    pattern = F.lit(None).cast("string")
+    for name, _ in reversed(PATTERNS):
+        pattern = F.when((F.col(f"__{name}") > PATTERN_SHARE * present), F.lit(name)).otherwise(pattern)
+    shown = F.transform("__top", lambda v: F.struct(v["value"].alias("value"), v["count"].alias("count")))
+    return found.select(
         F.lit(table).alias("table_name"),
-        "position", "column_name", "data_type", "total_count", present.alias("non_null_count"),
+        "position", "column_name", "data_type",
+        total.alias("total_count"),
+        present.alias("non_null_count"),
         (total - present).alias("null_count"),
         F.when(total > 0, (total - present) / total * 100).otherwise(0.0).alias("null_percentage"),
         distinct.alias("distinct_count"),
         F.when(present > 0, distinct / present * 100).otherwise(0.0).alias("cardinality_percentage"),
-        "min_value", "max_value", "avg_value", "min_date", "max_date",
-        "min_length", "max_length", "avg_length", "pattern",
-        F.when(distinct.between(1, LISTED_DISTINCT), top).alias("top_values"),
+        F.col("__low").alias("min_value"), F.col("__high").alias("max_value"), F.col("__mean").alias("avg_value"),
+        F.col("__first").alias("min_date"), F.col("__last").alias("max_date"),
+        F.col("__short").cast("bigint").alias("min_length"),
+        F.col("__long").cast("bigint").alias("max_length"),
+        F.col("__width").alias("avg_length"),
+        pattern.alias("pattern"),
+        shown.alias("top_values"),
     )
 
 
