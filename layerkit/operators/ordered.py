@@ -20,8 +20,9 @@ from layerkit.session import estimated_bytes, stage, task_count
 # Rows that one task may take in when the tops of other tasks are merged.
 TOP_ROWS = 20_000_000
 
-# Bytes a scan gives one task.
+# Bytes a scan gives one task, and the tasks assumed for a table of unknown size.
 _SCAN_BYTES = 128 << 20
+_UNKNOWN_TASKS = 10_000
 
 # monotonically_increasing_id: partition number above, row number in it below.
 _LOCAL_BITS = 33
@@ -93,7 +94,8 @@ def _top(df: DataFrame, n: int, keys) -> DataFrame | None:
     With many tasks their tops are merged in groups first, whose number is the
     square root of the number of tasks.
     """
-    tasks = max(1, (estimated_bytes(df) or 0) // _SCAN_BYTES)
+    size = estimated_bytes(df)
+    tasks = _UNKNOWN_TASKS if size is None else max(1, size // _SCAN_BYTES)
     order = sort_columns(keys)
     if n * tasks <= TOP_ROWS:
         return df.orderBy(*order).limit(n)

@@ -139,13 +139,14 @@ def clustered_write(t):
 # --- Merge, change set, versions ---
 
 # Second state of customer: every third gets a new balance and a later date,
-# every fifth an earlier date, keys divisible by 11 are gone, new keys start at a million.
+# every fifth an earlier date, customers of nation 11 are gone, and those of nation 13
+# come a second time under new keys, which start at a million.
 _OLD = """(select c_custkey, c_name, c_acctbal, c_mktsegment, date '2024-01-10' as modified from customer)"""
 _NEW = """(select c_custkey, c_name, case when c_custkey % 3 = 0 then c_acctbal + 100 else c_acctbal end as c_acctbal,
     c_mktsegment, case when c_custkey % 5 = 0 then date '2023-01-01' else date '2024-02-01' end as modified
-    from customer where c_custkey % 11 <> 0
+    from customer where c_nationkey <> 11
     union all select c_custkey + 1000000, 'New ' || c_custkey, c_acctbal, c_mktsegment, date '2024-02-01'
-    from customer where c_custkey % 13 = 0)"""
+    from customer where c_nationkey = 13)"""
 
 
 def _old(t):
@@ -154,14 +155,14 @@ def _old(t):
 
 def _new(t):
     key = F.col("c_custkey")
-    changed = t.customer.filter(key % 11 != 0).select(
+    changed = t.customer.filter(F.col("c_nationkey") != 11).select(
         key, "c_name",
         F.when(key % 3 == 0, F.col("c_acctbal") + 100).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
         "c_mktsegment",
         F.when(key % 5 == 0, F.lit("2023-01-01")).otherwise("2024-02-01").cast("date").alias("modified"),
     )
     return changed.union(
-        t.customer.filter(key % 13 == 0).select(
+        t.customer.filter(F.col("c_nationkey") == 13).select(
             key + 1000000, F.concat(F.lit("New "), key.cast("string")), "c_acctbal", "c_mktsegment",
             F.lit("2024-02-01").cast("date"),
         )
@@ -250,7 +251,7 @@ def build_dimension(t):
 
 @query(
     """
-    select case when c_custkey % 7 <> 0 then sha256(cast(c_custkey as varchar)) end as customer_key,
+    select case when c_mktsegment <> 'BUILDING' then sha256(cast(c_custkey as varchar)) end as customer_key,
            sha256(cast(p_partkey as varchar)) as part_key, count(*) as lines, sum(l_quantity) as quantity
     from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey
     group by all
@@ -259,7 +260,7 @@ def build_dimension(t):
 def build_fact(t):
     """Surrogate keys in place of business keys; customers the dimension lacks stay null."""
     customers = L.build_dimension(
-        t.customer.filter(F.col("c_custkey") % 7 != 0), ["c_mktsegment"], "c_custkey", "c_name", "customer_key"
+        t.customer.filter(F.col("c_mktsegment") != "BUILDING"), ["c_mktsegment"], "c_custkey", "c_name", "customer_key"
     )
     parts = L.build_dimension(t.part, ["p_brand"], "p_partkey", "p_name", "part_key")
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity").join(
@@ -279,10 +280,10 @@ def _layered(t):
     day = [F.lit(d).cast("timestamp") for d in ("2024-01-01", "2024-01-02")]
     first = t.orders.withColumnsRenamed({"o_orderkey": "OrderKey", "o_custkey": "CustKey"})
     second = (
-        first.filter(F.col("OrderKey") % 3 == 0)
+        first.filter(F.col("o_orderstatus") == "P")
         .withColumns({"o_orderstatus": F.lit("X"), "note": F.lit("restated")})
     )
-    customers = t.customer.filter(F.col("c_custkey") % 7 != 0)
+    customers = t.customer.filter(F.col("c_mktsegment") != "BUILDING")
     order_steps = [
         ("rename", {"pairs": {"OrderKey": "order_id", "CustKey": "customer_id"}}),
         ("filter", {"condition": col("customer_id").isNotNull()}),
@@ -326,8 +327,8 @@ def _layered(t):
     """
     select 'bronze orders' as stage, 'min_rows' as "check", 'bronze_orders' as table_name, '' as column_name, true as passed,
            count(*)::double as observed from orders
-    union all select 'bronze orders again', 'min_rows', 'bronze_orders', '', true, (count(*) + count(case when o_orderkey % 3 = 0 then 1 end))::double from orders
-    union all select 'bronze customers', 'min_rows', 'bronze_customers', '', true, count(case when c_custkey % 7 <> 0 then 1 end)::double from customer
+    union all select 'bronze orders again', 'min_rows', 'bronze_orders', '', true, (count(*) + count(case when o_orderstatus = 'P' then 1 end))::double from orders
+    union all select 'bronze customers', 'min_rows', 'bronze_customers', '', true, count(case when c_mktsegment <> 'BUILDING' then 1 end)::double from customer
     union all select 'silver orders', 'not_null', 'silver_orders', 'order_id', true, 0
     union all select 'silver orders', 'not_null', 'silver_orders', 'o_totalprice', true, 0
     union all select 'silver orders', 'unique', 'silver_orders', 'order_id', true, 0
@@ -336,7 +337,8 @@ def _layered(t):
     union all select 'dim customer', 'unique', 'dim_customer', 'customer_key', true, 0
     union all select 'dim customer', 'not_null', 'dim_customer', 'customer_key', true, 0
     union all select 'fct orders', 'min_rows', 'fct_orders', '', true, count(*)::double from orders
-    union all select 'fct orders', 'referential', 'fct_orders', 'customer_key', count(case when o_custkey % 7 = 0 then 1 end) = 0, count(case when o_custkey % 7 = 0 then 1 end)::double from orders
+    union all select 'fct orders', 'referential', 'fct_orders', 'customer_key', count(case when c_mktsegment = 'BUILDING' then 1 end) = 0, count(case when c_mktsegment = 'BUILDING' then 1 end)::double
+      from orders join customer on o_custkey = c_custkey
     """
 )
 def layered_run(t):
@@ -346,10 +348,10 @@ def layered_run(t):
 
 @query(
     """
-    select c_mktsegment as segment, case when o_orderkey % 3 = 0 then 'X' else o_orderstatus end as status,
-           count(*) as orders, count(case when o_orderkey % 3 = 0 then 1 end) as restated,
+    select c_mktsegment as segment, case when o_orderstatus = 'P' then 'X' else o_orderstatus end as status,
+           count(*) as orders, count(case when o_orderstatus = 'P' then 1 end) as restated,
            cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total
-    from orders left join (select * from customer where c_custkey % 7 <> 0) on o_custkey = c_custkey group by all
+    from orders left join (select * from customer where c_mktsegment <> 'BUILDING') on o_custkey = c_custkey group by all
     """
 )
 def layered_fact(t):
@@ -370,10 +372,11 @@ def stream_to_bronze(t):
     """New files appended to a raw table by a stream, run twice: each file is taken once."""
     landing, root = _folder(t, "landing"), _folder(t, "store")
     store = S.TableStore(t.spark, root)
-    for half in (0, 1):
-        t.events.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(landing)
+    early = F.col("event_type").isin("click", "view")
+    for load, arrived in enumerate((early, ~early)):
+        t.events.filter(arrived).write.mode("append").parquet(landing)
         stream = I.stream_folder(t.spark, landing, t.events.schema)
-        I.ingest_bronze(store, stream, "bronze_events", f"load-{half}", f"{root}/_checkpoints/events").awaitTermination()
+        I.ingest_bronze(store, stream, "bronze_events", f"load-{load}", f"{root}/_checkpoints/events").awaitTermination()
     raw = store.read("bronze_events")
     return raw.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("events"),

@@ -88,7 +88,7 @@ def dq_duplicates(t):
     return Q.duplicates(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-_FEW = "(select * from customer where c_custkey % 7 <> 0)"
+_FEW = "(select * from customer where c_mktsegment <> 'BUILDING')"
 
 
 @query(
@@ -99,7 +99,7 @@ _FEW = "(select * from customer where c_custkey % 7 <> 0)"
     )
 )
 def dq_referential(t):
-    few = t.customer.filter(F.col("c_custkey") % 7 != 0)
+    few = t.customer.filter(F.col("c_mktsegment") != "BUILDING")
     return Q.referential(t.orders, "orders", [("o_custkey", few, "c_custkey", "customer")]).unionByName(
         Q.referential(
             t.lineitem, "lineitem",
@@ -110,7 +110,7 @@ def dq_referential(t):
 
 @query(f"select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from {_FEW})")
 def dq_orphans(t):
-    few = t.customer.filter(F.col("c_custkey") % 7 != 0)
+    few = t.customer.filter(F.col("c_mktsegment") != "BUILDING")
     return Q.orphans(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", few, "c_custkey")
 
 
