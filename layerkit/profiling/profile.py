@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -50,83 +51,90 @@ def as_text(field: T.StructField) -> Column:
     return c.cast("string")
 
 
-def _cells(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
-    """The table stacked as (column position, value as text, value as number)."""
+class _Part(NamedTuple):
+    """A table to profile: its rows, and its columns under numbers unique over all tables."""
+
+    table: str
+    df: DataFrame
+    fields: list[tuple[int, T.StructField]]
+
+
+def _cells(parts: list[_Part]) -> DataFrame:
+    """All tables stacked as (column number, value as text, value as number)."""
 
     def cell(i: int, field: T.StructField) -> Column:
         number = col(field.name).cast("double") if isinstance(field.dataType, T.NumericType) else F.lit(None).cast("double")
-        return F.struct(F.lit(i).alias("position"), as_text(field).alias("value"), number.alias("number"))
+        return F.struct(F.lit(i).alias("id"), as_text(field).alias("value"), number.alias("number"))
 
-    return df.select(F.inline(F.array(*[cell(i, f) for i, f in fields])))
+    stacked = [p.df.select(F.inline(F.array(*[cell(i, f) for i, f in p.fields]))) for p in parts if p.fields]
+    return reduce(DataFrame.union, stacked)
 
 
-def _value_counts(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
-    """Rows per (column, value) over many columns in one grouping, nulls included.
+def _value_counts(parts: list[_Part]) -> DataFrame:
+    """Rows per (column, value) over all columns in one grouping, nulls included.
 
     The number goes with the value. As a key, unlike an aggregate, it is never
     pruned, so that all uses of the counts share one shuffle.
     """
-    return _cells(df, fields).groupBy("position", "value", "number").agg(F.count(F.lit(1)).alias("count"))
-
-
-def _columns(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
-    """One row per column: position, name and type."""
-    rows = [{"position": i, "column_name": f.name, "data_type": type_name(f.dataType)} for i, f in fields]
-    listed = F.from_json(F.lit(json.dumps(rows)), "array<struct<position:int,column_name:string,data_type:string>>")
-    return df.sparkSession.range(0, 1, 1, 1).select(F.inline(listed))
+    return _cells(parts).groupBy("id", "value", "number").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _date_ranges(df: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+def _date_ranges(parts: list[_Part]) -> DataFrame | None:
     """First and last value, as text, of every date column."""
-    dated = [(i, f.name) for i, f in fields if type_name(f.dataType) == "datetime2"]
-    if not dated:
-        return df.sparkSession.range(0, 0, 1, 1).select(
-            F.col("id").cast("int").alias("__dated"), *[F.lit(None).cast("string").alias(c) for c in ("__first", "__last")]
-        )
-    ends = df.agg(*[F.struct(F.min(col(n)), F.max(col(n))).alias(f"d{i}") for i, n in dated])
-    rows = [
-        F.struct(
-            F.lit(i).alias("__dated"),
-            F.col(f"d{i}")["col1"].cast("string").alias("__first"),
-            F.col(f"d{i}")["col2"].cast("string").alias("__last"),
-        )
-        for i, _ in dated
-    ]
-    return ends.select(F.inline(F.array(*rows)))
-
-
-def profile(
-    df: DataFrame,
-    table: str,
-    columns: str | Iterable[str] | None = None,
+    found = []
+    for part in parts:
+        dated = [(i, f.name) for i, f in part.fields if type_name(f.dataType) == "datetime2"]
+        if dated:
+            ends = part.df.agg(*[F.struct(F.min(col(n)), F.max(col(n))).alias(f"d{i}") for i, n in dated])
+            rows = [
+                F.struct(
+                    F.lit(i).alias("__dated"),
+                    F.col(f"d{i}")["col1"].cast("string").alias("__first"),
+                    F.col(f"d{i}")["col2"].cast("string").alias("__last"),
+                )
+                for i, _ in dated
+            ]
+            found.append(ends.select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.union, found) if found else None
+
+
+def profile_all(
+    tables: Mapping[str, DataFrame],
     distinct_error: float | None = None,
+    columns: Mapping[str, Iterable[str]] | None = None,
 ) -> DataFrame:
-    """One row per column: counts, distinct values, range, lengths, pattern and top values.
-
-    The table is stacked and counted per (column, value) by one grouping, which
-    combines before its shuffle; all else follows from these counts. On tables
-    where most columns are nearly unique that moves the whole table once;
-    ``distinct_error`` (a relative standard deviation) then estimates distinct
-    values without it, and only columns estimated to hold few are grouped.
-    The plan does not grow with the number of columns.
-    """
-    names = df.columns if columns is None else as_list(columns)
-    require(df, names)
-    fields = [(i, f) for i, f in enumerate(df.schema.fields) if f.name in names]
-    df = spread(df.select(*[col(f.name) for _, f in fields]))
-    listed_columns = _columns(df, fields)
+    """Profiles of several tables, by one plan over all of them: see :func:`profile`."""
+    parts, rows = [], []
+    for table, df in tables.items():
+        wanted = as_list((columns or {}).get(table, df.columns))
+        require(df, wanted)
+        fields = []
+        for position, field in enumerate(df.schema.fields):
+            if field.name in wanted:
+                fields.append((len(rows), field))
+                rows.append({
+                    "id": len(rows), "table_name": table, "position": position, "column_name": field.name,
+                    "data_type": type_name(field.dataType),
+                })
+        parts.append(_Part(table, spread(df.select(*[col(f.name) for _, f in fields])), fields))
+    # One row per column: a literal, whatever their number.
+    listed = F.from_json(
+        F.lit(json.dumps(rows)),
+        "array<struct<id:int,table_name:string,position:int,column_name:string,data_type:string>>",
+    )
+    listed_columns = parts[0].df.sparkSession.range(0, 1, 1, 1).select(F.inline(listed))
 
     if distinct_error:
-        weighted = _cells(df, fields).withColumn("count", F.lit(1).cast("bigint"))
+        weighted = _cells(parts).withColumn("count", F.lit(1).cast("bigint"))
         distinct = F.approx_count_distinct("value", distinct_error)
     else:
-        counts = weighted = _value_counts(df, fields)
+        counts = weighted = _value_counts(parts)
         distinct = F.count("value")
     n, value, number = F.col("count"), F.col("value"), F.col("number")
-    is_text = F.col("position").isin([i for i, f in fields if isinstance(f.dataType, T.StringType)])
+    is_text = F.col("id").isin([i for p in parts for i, f in p.fields if isinstance(f.dataType, T.StringType)])
     width = F.when(is_text, F.length(value))
     present = F.sum(F.when(value.isNotNull(), n))
-    stats = weighted.groupBy("position").agg(
+    stats = weighted.groupBy("id").agg(
         F.sum(n).alias("__total"),
         present.alias("__present"),
         distinct.alias("__distinct"),
@@ -141,39 +149,42 @@ def profile(
 
     if distinct_error:
         # One row per column comes to the driver; twice the limit allows for the estimate's error.
-        few = {r[0] for r in stats.filter(F.col("__distinct") <= 2 * LISTED_DISTINCT).select("position").collect()}
-        counted = [(i, f) for i, f in fields if i in few]
-        counts = _value_counts(df, counted or fields[:1])
+        few = {r[0] for r in stats.filter(F.col("__distinct") <= 2 * LISTED_DISTINCT).select("id").collect()}
+        counted = [p._replace(fields=[(i, f) for i, f in p.fields if i in few]) for p in parts]
+        counts = _value_counts(counted if few else [parts[0]._replace(fields=parts[0].fields[:1])])
     # At most one row per column. Uses the counts, to share their shuffle; and an
     # inner join, as a semi join would be moved below the grouping.
-    sizes = counts.groupBy("position").agg(F.count("value").alias("__exact"), F.sum("count").alias("__rows"))
+    sizes = counts.groupBy("id").agg(F.count("value").alias("__exact"), F.sum("count").alias("__rows"))
     kept = sizes.filter((F.col("__exact") <= LISTED_DISTINCT) & (F.col("__rows") > 0)).select(
-        F.col("position").alias("__kept"), "__exact"
+        F.col("id").alias("__kept"), "__exact"
     )
-    frequent = Window.partitionBy("position").orderBy(F.col("count").desc(), F.col("value"))
+    frequent = Window.partitionBy("id").orderBy(F.col("count").desc(), F.col("value"))
     top = (
-        counts.join(F.broadcast(kept), F.col("position") == F.col("__kept"))
+        counts.join(F.broadcast(kept), F.col("id") == F.col("__kept"))
         .filter(value.isNotNull())
         .withColumn("__rank", F.row_number().over(frequent))
         .filter(F.col("__rank") <= TOP_VALUES)
-        .groupBy(F.col("position").alias("__kept"))
+        .groupBy(F.col("id").alias("__kept"))
         .agg(
             F.max("__exact").alias("__exact"),
             F.array_sort(F.collect_list(F.struct("__rank", "value", "count"))).alias("__top"),
         )
     )
-    found = listed_columns.join(stats, "position", "left").join(top, F.col("position") == F.col("__kept"), "left")
-    found = found.join(_date_ranges(df, fields), F.col("position") == F.col("__dated"), "left")
+    found = listed_columns.join(stats, "id", "left").join(top, F.col("id") == F.col("__kept"), "left")
+    dates = _date_ranges(parts)
+    if dates is not None:
+        found = found.join(dates, F.col("id") == F.col("__dated"), "left")
+    first, last = ("__first", "__last") if dates is not None else (None, None)
+
     total = F.coalesce("__total", F.lit(0)).cast("bigint")
     present = F.coalesce("__present", F.lit(0)).cast("bigint")
     distinct = F.coalesce("__exact", "__distinct", F.lit(0)).cast("bigint")
     pattern = F.lit(None).cast("string")
     for name, _ in reversed(PATTERNS):
-        pattern = F.when((F.col(f"__{name}") > PATTERN_SHARE * present), F.lit(name)).otherwise(pattern)
+        pattern = F.when(F.col(f"__{name}") > PATTERN_SHARE * present, F.lit(name)).otherwise(pattern)
     shown = F.transform("__top", lambda v: F.struct(v["value"].alias("value"), v["count"].alias("count")))
     return found.select(
-        F.lit(table).alias("table_name"),
-        "position", "column_name", "data_type",
+        "table_name", "position", "column_name", "data_type",
         total.alias("total_count"),
         present.alias("non_null_count"),
         (total - present).alias("null_count"),
@@ -181,7 +192,8 @@ def profile(
         distinct.alias("distinct_count"),
         F.when(present > 0, distinct / present * 100).otherwise(0.0).alias("cardinality_percentage"),
         F.col("__low").alias("min_value"), F.col("__high").alias("max_value"), F.col("__mean").alias("avg_value"),
-        F.col("__first").alias("min_date"), F.col("__last").alias("max_date"),
+        (F.col(first) if first else F.lit(None).cast("string")).alias("min_date"),
+        (F.col(last) if last else F.lit(None).cast("string")).alias("max_date"),
         F.col("__short").cast("bigint").alias("min_length"),
         F.col("__long").cast("bigint").alias("max_length"),
         F.col("__width").alias("avg_length"),
@@ -190,11 +202,22 @@ def profile(
     )
 
 
-def profile_all(tables: Mapping[str, DataFrame], distinct_error: float | None = None) -> DataFrame:
-    """Profiles of several tables, stacked."""
-    return reduce(
-        DataFrame.unionByName, [profile(df, name, distinct_error=distinct_error) for name, df in tables.items()]
-    )
+def profile(
+    df: DataFrame,
+    table: str,
+    columns: str | Iterable[str] | None = None,
+    distinct_error: float | None = None,
+) -> DataFrame:
+    """One row per column: counts, distinct values, range, lengths, pattern and top values.
+
+    The table is stacked and counted per (column, value) by one grouping, which
+    combines before its shuffle; all else follows from these counts. On tables
+    where most columns are nearly unique that moves the whole table once;
+    ``distinct_error`` (a relative standard deviation) then estimates distinct
+    values without it, and only columns estimated to hold few are grouped.
+    The plan does not grow with the number of columns.
+    """
+    return profile_all({table: df}, distinct_error, None if columns is None else {table: as_list(columns)})
 
 
 def save_profile(profile: DataFrame, path: str, fmt: str = "json") -> None:

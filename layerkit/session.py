@@ -77,13 +77,15 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 # Bytes one task of a full sort should hold, and the most tasks to cut a table into.
 _TASK_BYTES = 256 << 20
-_MAX_TASKS = 20_000
+_MAX_TASKS = 50_000
 
 
 def task_count(df: DataFrame) -> int:
-    """Number of partitions for a full shuffle of ``df``: by size, at least the session's."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min((estimated_bytes(df) or 0) // _TASK_BYTES, _MAX_TASKS))
+    """Number of partitions for a full shuffle of ``df``: by size, but one per core at least."""
+    size = estimated_bytes(df)
+    if size is None:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(size // _TASK_BYTES, _MAX_TASKS))
 
 
 # Bytes per core below which a table is spread before heavy per-row work.
