@@ -27,6 +27,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Temporary folders of local-mode applications that name none.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor reaches, as named by ``spark.checkpoint.dir``.
 
@@ -38,9 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="layerkit-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="layerkit-")
+    return _LOCAL_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -88,8 +93,10 @@ def task_count(df: DataFrame) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, min(size // _TASK_BYTES, _MAX_TASKS))
 
 
-# Bytes per core below which a table is spread before heavy per-row work.
+# Bytes per core below which a table is spread before heavy per-row work, and
+# bytes in all below which that is not worth a shuffle.
 _SPREAD_BYTES = 64 << 20
+_TINY_BYTES = 1 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -97,8 +104,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small file is often one row group, hence one task. Tables with more than
     64 MB per core by the optimizer's estimate, or of unknown size, have tasks
-    enough and are left as they are.
+    enough and are left as they are; so are tiny ones.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = estimated_bytes(df)
-    return df.repartition(cores) if size is not None and size < _SPREAD_BYTES * cores else df
+    return df.repartition(cores) if size is not None and _TINY_BYTES < size < _SPREAD_BYTES * cores else df

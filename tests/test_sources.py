@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from layerkit.session import clear_scratch, shared_dir, stage
 from layerkit.sources import readers as R, sinks as S
 from layerkit.sources.workbooks import read_workbooks
 from tests.workbook import write_workbook
@@ -167,11 +166,3 @@ def test_a_hot_value_is_spread_over_files(spark, tmp_path):
 def test_export(spark, tmp_path):
     S.export_csv(spark.range(10), str(tmp_path / "csv"), limit=4)
     assert R.read_csv(spark, str(tmp_path / "csv"), "id long").count() == 4
-
-
-def test_stage_and_clear(spark):
-    df = stage(spark.range(5).select(F.monotonically_increasing_id().alias("a b"), "id"), "test")
-    assert df.count() == 5 and shared_dir(spark) in df.inputFiles()[0]
-    clear_scratch(spark)
-    with pytest.raises(Exception):
-        spark.read.parquet(df.inputFiles()[0]).count()
