@@ -383,6 +383,6 @@ def relationships(t):
         "customer": t.customer, "nation": t.nation, "orders": t.orders, "region": t.region,
         "lineitem": t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag"),
     }
-    links = R.candidate_links(P.profile_all(tables))
+    links = R.candidate_links(P.key_profile(tables))
     kept = t.customer.filter(F.col("c_mktsegment") != "BUILDING")
     return R.relationships({**tables, "customer": kept}, links, min_match=50.0)

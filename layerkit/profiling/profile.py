@@ -59,6 +59,31 @@ class _Part(NamedTuple):
     fields: list[tuple[int, T.StructField]]
 
 
+def _parts(
+    tables: Mapping[str, DataFrame], columns: Mapping[str, Iterable[str]] | None = None
+) -> tuple[list[_Part], DataFrame]:
+    """The tables to profile, and one row per column of them."""
+    parts, rows = [], []
+    for table, df in tables.items():
+        wanted = as_list((columns or {}).get(table, df.columns))
+        require(df, wanted)
+        fields = []
+        for position, field in enumerate(df.schema.fields):
+            if field.name in wanted:
+                fields.append((len(rows), field))
+                rows.append({
+                    "id": len(rows), "table_name": table, "position": position, "column_name": field.name,
+                    "data_type": type_name(field.dataType),
+                })
+        parts.append(_Part(table, spread(df.select(*[col(f.name) for _, f in fields])), fields))
+    # One row per column: a literal, whatever their number.
+    listed = F.from_json(
+        F.lit(json.dumps(rows)),
+        "array<struct<id:int,table_name:string,position:int,column_name:string,data_type:string>>",
+    )
+    return parts, parts[0].df.sparkSession.range(0, 1, 1, 1).select(F.inline(listed))
+
+
 def _cells(parts: list[_Part]) -> DataFrame:
     """All tables stacked as (column number, value as text, value as number)."""
 
@@ -98,32 +123,38 @@ def _date_ranges(parts: list[_Part]) -> DataFrame | None:
     return reduce(DataFrame.union, found) if found else None
 
 
+def _percentages(total: Column, present: Column, distinct: Column) -> list[Column]:
+    """Null counts are shares of all rows, distinct values of the non-null ones."""
+    return [
+        F.when(total > 0, (total - present) / total * 100).otherwise(0.0).alias("null_percentage"),
+        distinct.alias("distinct_count"),
+        F.when(present > 0, distinct / present * 100).otherwise(0.0).alias("cardinality_percentage"),
+    ]
+
+
+def key_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The part of a profile that finding keys needs: null and distinct counts."""
+    parts, listed_columns = _parts(tables)
+    counts, n = _value_counts(parts), F.col("count")
+    stats = counts.groupBy("id").agg(
+        F.sum(n).alias("__total"),
+        F.sum(F.when(F.col("value").isNotNull(), n)).alias("__present"),
+        F.count("value").alias("__distinct"),
+    )
+    total, present, distinct = (F.coalesce(c, F.lit(0)).cast("bigint") for c in ("__total", "__present", "__distinct"))
+    return listed_columns.join(stats, "id", "left").select(
+        "table_name", "position", "column_name", "data_type", total.alias("total_count"),
+        *_percentages(total, present, distinct),
+    )
+
+
 def profile_all(
     tables: Mapping[str, DataFrame],
     distinct_error: float | None = None,
     columns: Mapping[str, Iterable[str]] | None = None,
 ) -> DataFrame:
     """Profiles of several tables, by one plan over all of them: see :func:`profile`."""
-    parts, rows = [], []
-    for table, df in tables.items():
-        wanted = as_list((columns or {}).get(table, df.columns))
-        require(df, wanted)
-        fields = []
-        for position, field in enumerate(df.schema.fields):
-            if field.name in wanted:
-                fields.append((len(rows), field))
-                rows.append({
-                    "id": len(rows), "table_name": table, "position": position, "column_name": field.name,
-                    "data_type": type_name(field.dataType),
-                })
-        parts.append(_Part(table, spread(df.select(*[col(f.name) for _, f in fields])), fields))
-    # One row per column: a literal, whatever their number.
-    listed = F.from_json(
-        F.lit(json.dumps(rows)),
-        "array<struct<id:int,table_name:string,position:int,column_name:string,data_type:string>>",
-    )
-    listed_columns = parts[0].df.sparkSession.range(0, 1, 1, 1).select(F.inline(listed))
-
+    parts, listed_columns = _parts(tables, columns)
     if distinct_error:
         weighted = _cells(parts).withColumn("count", F.lit(1).cast("bigint"))
         distinct = F.approx_count_distinct("value", distinct_error)
@@ -188,9 +219,7 @@ def profile_all(
         total.alias("total_count"),
         present.alias("non_null_count"),
         (total - present).alias("null_count"),
-        F.when(total > 0, (total - present) / total * 100).otherwise(0.0).alias("null_percentage"),
-        distinct.alias("distinct_count"),
-        F.when(present > 0, distinct / present * 100).otherwise(0.0).alias("cardinality_percentage"),
+        *_percentages(total, present, distinct),
         F.col("__low").alias("min_value"), F.col("__high").alias("max_value"), F.col("__mean").alias("avg_value"),
         (F.col(first) if first else F.lit(None).cast("string")).alias("min_date"),
         (F.col(last) if last else F.lit(None).cast("string")).alias("max_date"),

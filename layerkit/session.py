@@ -96,7 +96,7 @@ def task_count(df: DataFrame) -> int:
 # Bytes per core below which a table is spread before heavy per-row work, and
 # bytes in all below which that is not worth a shuffle.
 _SPREAD_BYTES = 64 << 20
-_TINY_BYTES = 1 << 20
+_TINY_BYTES = 64 << 10
 
 
 def spread(df: DataFrame) -> DataFrame:

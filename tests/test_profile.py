@@ -217,7 +217,8 @@ def test_relationships(spark):
     parent = spark.createDataFrame([(i,) for i in range(10)], "customer_id long")
     child = spark.createDataFrame([(i, i % 12) for i in range(24)] + [(24, None)], "order_id long, customer_id long")
     tables = {"customer": parent, "orders": child}
-    links = R.candidate_links(P.profile_all(tables))
+    links = R.candidate_links(P.key_profile(tables))
+    assert links == R.candidate_links(P.profile_all(tables))
     assert links == [("orders", "customer_id", "customer", "customer_id")]
     row = R.relationships(tables, links).collect()[0]
     assert (row["distinct_keys"], row["matched_keys"], row["orphan_rows"]) == (12, 10, 4)

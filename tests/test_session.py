@@ -9,7 +9,7 @@ def parts(df):
 
 
 def test_small_tables_are_spread_and_tiny_or_unknown_ones_are_not(spark, tmp_path, monkeypatch):
-    spark.range(1000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.range(100).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v")).coalesce(1).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     assert parts(S.spread(df)) == parts(df)
     monkeypatch.setattr(S, "_TINY_BYTES", 10)
