@@ -37,7 +37,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: words of five, a similarity of about 0.8 or more."""
+    """One document of each class of near-duplicates, by the fingerprints and links of operator 5."""
     prepare(spark)
     return simhash.one_of_each(docs)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from layerkit.llm import bpe, nbsvm, packing, simhash, token_files, toxicity, weak_rules
+from layerkit.llm import bpe, nbsvm, packing, simhash, token_files, tool_calls, topk, toxicity, url_filter, weak_rules
 from layerkit.llm.common import held_out, table
 from layerkit.session import scratch_path, stage
 
@@ -35,6 +35,55 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(shards, "ids_crc32 long", token_files.ids_crc32)
 
 
+# Tools that the derived calls name, with the schemas of their arguments.
+TOOLS = {
+    "search": {
+        "type": "object", "required": ["query"], "additionalProperties": False,
+        "properties": {"query": {"type": "string", "minLength": 1, "maxLength": 400}, "limit": {"type": "integer", "minimum": 1, "maximum": 10}},
+    },
+    "lookup": {
+        "type": "object", "required": ["key", "exact"],
+        "properties": {"key": {"type": "string", "pattern": "^[a-z]"}, "exact": {"type": "boolean"}},
+    },
+}
+
+
+def derived_messages(conversations: DataFrame) -> DataFrame:
+    """Messages with tool calls, made from the turns of real conversations.
+
+    Each turn of the user makes a call whose arguments come from its text, and
+    each answer holds the result. One call in seven waits for the one two turns
+    later, the others for the one two turns before unless that waits for them.
+    Some calls break their schema, name an unknown tool, or have no result.
+    """
+    text, turn = F.coalesce(F.col("text"), F.lit("")), F.col("turn")
+    pick = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(7))
+    id_ = lambda t: F.concat(F.lit("call-"), t.cast("string"))
+    search = F.to_json(F.struct(F.pmod(F.length(text), F.lit(13)).alias("limit"), text.alias("query")))
+    lookup = F.to_json(F.struct(F.substring(F.lower(text), 1, 12).alias("key"), F.when(pick == 3, F.lit('"yes"')).otherwise(F.lit("true")).alias("x")))
+    lookup = F.concat(F.regexp_replace(lookup, r',"x":.*$', ""), F.lit(',"exact":'), F.when(pick == 3, F.lit('"yes"')).otherwise(F.lit("true")), F.lit("}"))
+    before = F.pmod(F.xxhash64("conv_id", turn - 2), F.lit(7))
+    waits = F.when(pick == 0, F.array(id_(turn + 2))).when(before == 0, F.array().cast("array<string>")).otherwise(F.array(id_(turn - 2)))
+    name = F.when(pick < 3, "search").when(pick < 6, "lookup").otherwise("browse")
+    call = F.concat(
+        F.lit('<tool_call>{"id":"'), id_(turn), F.lit('","name":"'), name, F.lit('","arguments":'),
+        F.when(name == "lookup", lookup).otherwise(search), F.lit(',"after":'), F.to_json(waits), F.lit("}</tool_call>"),
+    )
+    result = F.concat(F.lit("<tool_response>"), F.to_json(F.struct(id_(turn - 1).alias("id"), text.alias("content"))), F.lit("</tool_response>"))
+    said = F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(text)
+    return conversations.select("conv_id", "turn", said.alias("text"))
+
+
+@query()
+def op2_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls derived from all conversations: linked, ordered, validated, arguments as canonical JSON."""
+    found = tool_calls.tool_calls(derived_messages(table(spark, folder, "conversations")), TOOLS)
+    return found.select(
+        "conv_id", "turn", "call_id", "name", "status", "result_turn", F.expr("step >> 20").alias("step_turn"), "depth",
+        F.length("content").cast("long").alias("content_chars"), F.sha2("canonical", 256).alias("canonical_sha256"), F.concat_ws("; ", "faults").alias("faults"),
+    )
+
+
 def _scored(scored: DataFrame, cut: float) -> DataFrame:
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"),
@@ -63,6 +112,24 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("""
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+), ranked as (
+    select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+""")
+def op6_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten vectors with the highest integer inner product for every hundredth vector."""
+    return topk.top_k(topk.integer_vectors(table(spark, folder, "embeddings")))
+
+
 @query()
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Place of every piece of every document."""
@@ -80,3 +147,29 @@ def op8_weak_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op9_pair_index_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return bpe.encode_decode(table(spark, folder, "documents"), digests=True)
+
+
+URL_RULES = [
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"),
+]
+
+
+@query("""
+with rules(rule, rule_host, rule_path, verdict) as (values
+    ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+    ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+), cut as (
+    select page_id, coalesce(case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end, '') as rest from pages
+), parts as (
+    select page_id, row_number() over () as n, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+        translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host from cut
+), fits as (
+    select n, rule, verdict, row_number() over (partition by n order by length(rule) desc, length(rule_host) desc) as place
+    from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
+from parts left join (select * from fits where place = 1) using (n)
+""")
+def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page's URL."""
+    return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
