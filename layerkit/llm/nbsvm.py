@@ -69,15 +69,13 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), sizes).astype(np.int64)
     word, form = hashes[:, 0], hashes[:, 1]
-    mixed = [(row, word)]
-    grams = form
-    for n in range(1, 4):
-        mixed.append((row[: len(grams)], grams * np.uint64(2 * n + 1)))
-        if n == 3 or len(grams) < 2:
-            break
-        same = row[: len(grams) - 1] == row[n:]
-        longer = grams[:-1] * np.uint64(0x9E3779B97F4A7C15) + form[n:]
-        grams = np.where(same, longer, grams[:-1])  # at the end of a text the shorter one again
+    mixed = [(row, word), (row, form * np.uint64(3))]
+    grams, at = form, row
+    for n in (1, 2):  # a gram grows by the next shape, as long as that lies in the same text
+        inside = np.flatnonzero(at[: len(at) - 1] == row[n:]) if len(at) > 1 else np.zeros(0, np.int64)
+        longer = grams[: len(grams) - 1] * np.uint64(0x9E3779B97F4A7C15) + form[n:]
+        mixed.append((at[inside], longer[inside] * np.uint64(2 * n + 3)))
+        grams, at = longer, np.where(at[: len(at) - 1] == row[n:], at[: len(at) - 1], -1)
     rows = np.concatenate([r for r, _ in mixed])
     spread = np.concatenate([g for _, g in mixed]) * np.uint64(0xD6E8FEB86659FD93)
     buckets = (spread >> np.uint64(48)).astype(np.int64) % BUCKETS

@@ -133,8 +133,8 @@ def order_calls(linked: DataFrame, most_rounds: int = 200) -> DataFrame:
     that wait within a step follow by ``depth``. Both are minima and maxima over
     joins by identifier, so no conversation has to fit one task, and the rounds
     follow the longest chain of calls that wait for later ones, not the length
-    of a conversation. Calls in a cycle, or that wait for such a call, have the
-    depth -1. Identifiers that no call has are ignored.
+    of a conversation. Calls in a cycle, or that wait for one within its step,
+    have the depth -1. Identifiers that no call has are ignored.
     """
     taking = linked.where("status in ('linked', 'no_result')")
     own = (F.col("turn") * (1 << 20) + F.col("place")).alias("own")
