@@ -79,8 +79,16 @@ def crc32_of(ids: np.ndarray, start: int = 0) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"), start)
 
 
-def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions start, start + 1, ... of each span, one after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+def blocks(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``size`` bytes; empty ones are left out."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, held_bytes = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

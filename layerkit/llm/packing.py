@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from layerkit.llm.common import crc32_of
+from layerkit.llm.common import blocks, crc32_of
 from layerkit.llm.tokens import ChunkEncoder, default_tokenizer
 from layerkit.session import stage
 
@@ -263,9 +263,7 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.at(tokenizer or default_tokenizer())
         part, seen = TaskContext.get().partitionId(), Counter()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in blocks(batches):
             ids, sizes = encoder.encode(batch.column("text"))
             if end_id is not None:
                 ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1

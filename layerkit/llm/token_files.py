@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from layerkit.llm.common import crc32_of, partitions
+from layerkit.llm.common import blocks, crc32_of, partitions
 from layerkit.llm.tokens import ChunkEncoder, default_tokenizer
 
 MAGIC, END = b"PFOR0001", b"PFOREND1"
@@ -232,9 +232,7 @@ def write_token_files(
         encoder = ChunkEncoder.at(tokenizer or default_tokenizer())
         end = np.array([] if end_id is None else [end_id], np.uint32)
         writer = out = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in blocks(batches):
             if writer is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(own, compression=None, buffer_size=1 << 20)
