@@ -11,9 +11,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,35 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from layerkit.llm.common import blocks
 from layerkit.llm.tokens import default_tokenizer
 
-# Chunks held in memory per process, and bytes of text in one block.
+# Chunks held in memory per process.
 _MEMORY = 400_000
-_BLOCK_BYTES = 16 << 20
+
+
+# Letters and numbers that Unicode 16 added, and the pairs of upper and
+# lower case that Unicode 16 and 17 added. The tokenizers library knows them, and this
+# Python's tables (Unicode 15) do not.
+NEW_LETTERS = """1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e
+    11390-113b5 113b7 113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"""
+NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+NEW_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+
+@cache
+def character_class(kind: str) -> str:
+    """Members of the letters (L) or numbers (N) as the inside of a character class."""
+    added = [tuple(int(x, 16) for x in (r + "-" + r).split("-")[:2]) for r in (NEW_LETTERS if kind == "L" else NEW_NUMBERS).split()]
+    inside = np.zeros(0x110000 + 1, bool)
+    inside[:-1] = [unicodedata.category(chr(c))[0] == kind for c in range(0x110000)]
+    for first, last in added:
+        inside[first : last + 1] = True
+    edges = np.flatnonzero(np.diff(np.append(False, inside).astype(np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
 def byte_alphabet() -> list[str]:
@@ -69,7 +95,12 @@ class PairIndexBpe:
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         if split["behavior"] != "Removed" or not split["invert"] or level["use_regex"] or level["add_prefix_space"]:
             raise ValueError("unsupported split")
-        self.pieces = regex.compile(split["pattern"]["Regex"])
+        # The classes are spelled out, as libraries differ in the Unicode version they know.
+        spelled = split["pattern"]["Regex"]
+        for kind in "LN":
+            inside = character_class(kind)
+            spelled = re.sub(rf"\[\\p\{{{kind}\}}\]|\\p\{{{kind}\}}", lambda m: f"[{inside}]" if m.group()[0] == "[" else inside, spelled)
+        self.pieces = regex.compile(spelled)
 
         shown = byte_alphabet()
         self.byte = np.array([vocab[c] for c in shown], np.int64)
@@ -111,7 +142,7 @@ class PairIndexBpe:
                 if step == "NFC":
                     part = unicodedata.normalize("NFC", part)
                 elif step == "Lowercase":  # each letter by itself, so a sigma at a word's end is like any other
-                    part = part.replace("Σ", "σ").lower()
+                    part = part.replace("Σ", "σ").lower().translate(NEW_LOWER)
                 else:
                     part = step.sub(content, part)
             found += self.pieces.findall(part)
@@ -243,19 +274,6 @@ class PairIndexBpe:
         return np.diff(bounds), joined[0], joined[1]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together to about the bytes of one block."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= _BLOCK_BYTES:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", digests: bool = False) -> DataFrame:
     """Ids and decoded text of each whole text, one row per row, no shuffle.
 
@@ -269,7 +287,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = PairIndexBpe.at(tokenizer or default_tokenizer())
-        for block in _blocks(b for b in batches if b.num_rows):
+        for block in blocks(batches):
             counts, ids, decoded = bpe.encode_block(block.column("text"))
             if digests:
                 ids, decoded = (pa.array([hashlib.sha256(t).hexdigest() for t in x.cast(pa.binary()).to_pylist()]) for x in (ids, decoded))
