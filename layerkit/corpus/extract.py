@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from layerkit.functions.columns import col
-from layerkit.session import spread
 
 # Fixed value: how a section document introduces a query.
 SHARED = r'(?U)shared\s+(#?"[^"]+"|[\w.]+)\s*=\s*'
@@ -91,7 +90,7 @@ def _entity_queries(entities: Column) -> Column:
 
 def section_queries(docs: DataFrame, name: str = "dataflow_name", text: str = "text") -> DataFrame:
     """One row per section text, with the array of its queries (name, code)."""
-    base = spread(docs).select(col(name).alias("dataflow_name"), col(text).alias("__text"))
+    base = docs.select(col(name).alias("dataflow_name"), col(text).alias("__text"))
     return _with_queries(base, {"queries": F.col("__text")}).select("dataflow_name", "queries")
 
 
@@ -123,7 +122,7 @@ def document_queries(docs: DataFrame, name: str = "dataflow_name", json: str = "
     A document that is not JSON, or holds no query, has one entry saying so.
     """
     raw = col(json)
-    parsed = spread(docs).select(
+    parsed = docs.select(
         col(name).alias("dataflow_name"),
         F.try_parse_json(raw).isNull().alias("__bad"),
         F.from_json(raw, _DOCUMENT).alias("d"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from layerkit.functions.columns import as_list, col, require, unused_name
-from layerkit.session import spread
 
 # Fixed values: (pattern, replacement), applied in this order.
 REDACTIONS = [
@@ -60,7 +59,7 @@ def redact(df: DataFrame, columns) -> DataFrame:
     names = as_list(columns)
     require(df, names)
     pieces = {n: unused_name(df, f"__pieces{i}") for i, n in enumerate(names)}
-    out = spread(df).withColumns({n: _rules_applied(col(n)) for n in names})
+    out = df.withColumns({n: _rules_applied(col(n)) for n in names})
     out = out.withColumns({p: F.split(col(n), '"', -1) for n, p in pieces.items()})
     return out.withColumns({n: _values_hidden(F.col(p)) for n, p in pieces.items()}).select(
         *[col(c) for c in df.columns]

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from layerkit.functions.columns import col
-from layerkit.session import spread
 from layerkit.sources.changes import merge
 
 
@@ -18,7 +18,7 @@ class Rule(NamedTuple):
     regex: str
     severity: str
     marker: str
-    # Patterns over several lines are looked for in the whole text, once per text.
+    # Patterns over several lines are looked for in the whole text; a hit is on the line where it begins.
     whole_text: bool = False
 
 
@@ -67,6 +67,8 @@ KNOWN_FUNCTIONS = [
 ]
 
 _LINE_END = r"\r\n|\r|\n"
+# Put before a match; a text's own signs of this kind are left out of excerpts.
+_MARK = "\0"
 _CALL = r"\b([A-Za-z_][\w.]*)\s*\("
 
 
@@ -89,22 +91,22 @@ def scan_rules(docs: DataFrame, rules: Sequence[Rule], file: str = "file_path",
     whole = [r for r in rules if r.whole_text]
     lines = F.split("__text", _LINE_END)
     parts = []
-    base = spread(docs.select(col(file).alias("file_path"), col(text).alias("__text")))
+    base = docs.select(col(file).alias("file_path"), col(text).alias("__text"))
     if by_line:
         numbered = base.select("file_path", F.posexplode(lines).alias("__i", "__line"))
         hits = F.array(*[
             F.when(F.col("__line").rlike(r.regex), _hit(r, F.col("__i") + 1, F.col("__line"))) for r in by_line
         ])
         parts.append(numbered.select("file_path", F.inline(F.array_compact(hits))))
-    if whole:
-
-        def first(rule: Rule) -> Column:
-            before = F.left("__text", F.regexp_instr("__text", F.lit(rule.regex)) - 1)
-            number = F.size(F.split(before, _LINE_END))
-            return F.when(F.col("__text").rlike(rule.regex), _hit(rule, number, F.element_at(lines, number)))
-
-        parts.append(base.select("file_path", F.inline(F.array_compact(F.array(*map(first, whole))))))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    for rule in whole:
+        # A mark before each match says on which lines matches begin, and how many.
+        text = F.translate("__text", _MARK, "")
+        marked = base.select("file_path", text.alias("__text")).where(F.col("__text").rlike(rule.regex))
+        marked = marked.select("file_path", F.posexplode(F.split(F.regexp_replace("__text", rule.regex, f"{_MARK}$0"), _LINE_END)).alias("__i", "__line"))
+        n = F.length("__line") - F.length(F.translate("__line", _MARK, ""))
+        hit = _hit(rule, F.col("__i") + 1, F.translate("__line", _MARK, ""))
+        parts.append(marked.where(n > 0).select("file_path", F.inline(F.array_repeat(hit, n))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rule_summary(hits: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def unknown_names(
 
     ``known`` is a list, or a DataFrame with a ``name`` column for long ones.
     """
-    texts = spread(docs.select(col(file).alias("file_path"), col(text).alias("__text")))
+    texts = docs.select(col(file).alias("file_path"), col(text).alias("__text"))
     lines = texts.select("file_path", F.explode(F.split("__text", _LINE_END)).alias("line"))
     names = lines.select(
         "file_path", "line", F.explode(F.regexp_extract_all("line", F.lit(pattern), 1)).alias("pattern")

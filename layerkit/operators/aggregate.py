@@ -77,6 +77,14 @@ def group(df: DataFrame, keys: str | Iterable[str] = (), aggregates: Mapping[str
     )
 
 
+def _as_texts(df: DataFrame, values: list) -> list[str]:
+    """Values as Spark writes them in texts and column names."""
+    if not values:
+        return []
+    row = df.sparkSession.range(1).select(*[F.lit(v).cast("string") for v in values]).first()
+    return list(row)
+
+
 def pivot(
     df: DataFrame,
     column: str,
@@ -85,22 +93,26 @@ def pivot(
     keys: Iterable[str] | None = None,
     how: str = "first",
     order_by=None,
-    max_values: int = 1000,
+    null_name: str = "null",
 ) -> DataFrame:
     """Turn the values of ``column`` into columns.
 
     ``keys`` default to every other column. Without ``values`` they are found
-    with one extra job, which raises beyond ``max_values`` new columns. ``first``
-    takes the smallest value of a cell unless ``order_by`` says otherwise.
+    with one extra job; a null among them becomes the column ``null_name``.
+    ``first`` takes the smallest value of a cell unless ``order_by`` says otherwise.
     """
     require(df, [column, value])
     if keys is None:
         keys = [c for c in df.columns if c not in (column, value)]
     if values is None:
-        found = df.select(col(column)).distinct().filter(col(column).isNotNull()).limit(max_values + 1).collect()
-        if len(found) > max_values:
-            raise ValueError(f"{column} has more than {max_values} values; pass the wanted ones")
-        values = sorted(r[0] for r in found)
+        # As many rows as the result gets columns.
+        found = [r[0] for r in df.select(col(column)).distinct().collect()]
+        values = sorted(v for v in found if v is not None)
+        if None in found:
+            if null_name in map(str, values) or null_name in keys:
+                raise ValueError(f"{column} holds both null and {null_name!r}; pass another null_name")
+            text = F.coalesce(col(column).cast("string"), F.lit(null_name))
+            df, values = df.withColumn(column, text), [*_as_texts(df, values), null_name]
     how = AGGREGATES.get(how, how)
     if how == "first" and order_by is None:
         how = "min"

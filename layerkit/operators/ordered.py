@@ -13,12 +13,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from layerkit.functions.columns import (
-    as_list, col, require, row_hash, sort_columns, sort_keys, unused_name,
+    SortKey, as_list, col, require, row_hash, sort_columns, sort_keys, unused_name,
 )
 from layerkit.session import estimated_bytes, stage, task_count
 
-# Rows that one task may take in when the tops of other tasks are merged.
-TOP_ROWS = 20_000_000
+# Bytes that one task may take in when the tops of other tasks are merged. It picks
+# the plan only: every plan follows the same total order and keeps the same rows.
+TOP_BYTES = 1 << 30
 
 # Bytes a scan gives one task, and the tasks assumed for a table of unknown size.
 _SCAN_BYTES = 128 << 20
@@ -88,19 +89,30 @@ def sequential_key(df: DataFrame, name: str, order_by, partitions: int | None =
     return add_index(df, name, order_by, start=1, partitions=partitions)
 
 
+def _total(df: DataFrame, keys) -> tuple[DataFrame, list[SortKey], str]:
+    """``df`` with a hash of the row, and the keys ended by it: a total order but for equal rows."""
+    tie = unused_name(df, "__tie")
+    return df.withColumn(tie, row_hash(df)), [*keys, SortKey(tie)], tie
+
+
+def _row_bytes(df: DataFrame) -> int:
+    """Bytes of a row as the planner reckons them."""
+    return max(16, df._jdf.schema().defaultSize())
+
+
 def _top(df: DataFrame, n: int, keys) -> DataFrame | None:
-    """The first ``n`` rows by merging each task's first ``n``; none when that is too many for one task.
+    """The first ``n`` rows by merging each task's first ``n``; none when that is too much for one task.
 
     With many tasks their tops are merged in groups first, whose number is the
     square root of the number of tasks.
     """
     size = estimated_bytes(df)
     tasks = _UNKNOWN_TASKS if size is None else max(1, size // _SCAN_BYTES)
-    order = sort_columns(keys)
-    if n * tasks <= TOP_ROWS:
+    order, most = sort_columns(keys), TOP_BYTES // _row_bytes(df)
+    if n * tasks <= most:
         return df.orderBy(*order).limit(n)
     groups = math.isqrt(tasks) + 1
-    if n * groups > TOP_ROWS:
+    if n * groups > most:
         return None
     group, place = unused_name(df, "__group"), unused_name(df, "__place")
     # Any grouping of rows serves; that by scan task lets each task drop all but n rows before the shuffle.
@@ -110,11 +122,13 @@ def _top(df: DataFrame, n: int, keys) -> DataFrame | None:
 
 
 def first_n(df: DataFrame, n: int, order_by) -> DataFrame:
-    """The first ``n`` rows along ``order_by``."""
+    """The first ``n`` rows along ``order_by``; ties go by a hash of the row, so the rows are the same each time."""
     keys = sort_keys(order_by)
-    top = _top(df, n, keys)
+    require(df, [k.name for k in keys])
+    whole, total, tie = _total(df, keys)
+    top = _top(whole, n, total)
     if top is not None:
-        return top
+        return top.drop(tie)
     place = unused_name(df, "__place")
     return add_index(df, place, keys).filter(F.col(place) < n).drop(place)
 
@@ -125,32 +139,36 @@ def last_n(df: DataFrame, n: int, order_by) -> DataFrame:
 
 
 def skip(df: DataFrame, n: int, order_by) -> DataFrame:
-    """All rows but the first ``n`` along ``order_by``.
+    """All rows but those that ``first_n`` gives.
 
     Finds the ``n``-th sort position with a top-k and filters behind it, so the
-    table is neither sorted nor shuffled and the filter reaches the scan. Of rows
-    tied on that position as many go as make up ``n``. Runs two small jobs.
+    table is neither sorted nor shuffled and the filter on the order reaches the
+    scan. Ties go by a hash of the row; of rows equal to the last one that goes
+    as many go as make up ``n``. Runs two small jobs.
     """
     if n <= 0:
         return df
     keys = sort_keys(order_by)
-    names = [k.name for k in keys]
-    head = _top(df.select(*[col(c) for c in names]), n, keys)
+    require(df, [k.name for k in keys])
+    whole, total, tie = _total(df, keys)
+    head = _top(whole.select(*[col(k.name) for k in total]), n, total)
     if head is None:
         place = unused_name(df, "__place")
         return add_index(df, place, keys).filter(F.col(place) >= n).drop(place)
-    edge = head.orderBy(*sort_columns([k.reversed() for k in keys])).limit(1).collect()
+    edge = head.orderBy(*sort_columns([k.reversed() for k in total])).limit(1).collect()
     if not edge:
         return df
 
     behind, tied = F.lit(False), F.lit(True)
-    for key, value in zip(keys, edge[0]):
-        value = F.lit(value).cast(df.schema[key.name].dataType)
+    for key, value in zip(total, edge[0]):
+        value = F.lit(value).cast(whole.schema[key.name].dataType)
         behind = behind | (tied & key.follows(value))
         tied = tied & col(key.name).eqNullSafe(value)
     gone = head.filter(tied).count()
-    at_edge = df.filter(tied)
-    return df.filter(behind).union(at_edge.exceptAll(at_edge.limit(gone)))
+    left = whole.filter(tied).count() - gone
+    rest = whole.filter(behind).drop(tie)
+    # What is tied in everything is equal in everything.
+    return rest.union(whole.filter(tied).limit(left).drop(tie)) if left else rest
 
 
 def remove_last(df: DataFrame, n: int, order_by) -> DataFrame:
@@ -161,13 +179,18 @@ def remove_last(df: DataFrame, n: int, order_by) -> DataFrame:
 def promote_headers(df: DataFrame, order_by) -> DataFrame:
     """Take the first row along ``order_by`` as column names; empty ones keep the old name.
 
-    For files use ``read_csv_skip``, which finds the header at the scan.
+    Raises when the first place is tied, as then no row is the header. For files
+    use ``read_csv_skip``, which finds the header at the scan.
     """
-    first = first_n(df, 1, order_by).collect()
+    keys = sort_keys(order_by)
+    first = first_n(df, 2, keys).collect()
     if not first:
         return df
-    names = [str(v) if v not in (None, "") else c for v, c in zip(first[0], df.columns)]
-    return skip(df, 1, order_by).toDF(*names)
+    if len({tuple(r[k.name] for k in keys) for r in first}) < len(first):
+        raise ValueError(f"two rows share the first place along {', '.join(k.name for k in keys)}")
+    header = first_n(df, 1, keys).first()
+    names = [str(v) if v not in (None, "") else c for v, c in zip(header, df.columns)]
+    return skip(df, 1, keys).toDF(*names)
 
 
 def dedup_latest(df: DataFrame, keys: str | Iterable[str], order_by) -> DataFrame:

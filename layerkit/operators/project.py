@@ -119,9 +119,19 @@ def _checked(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def snake_name(name: str) -> str:
-    words = re.sub(r"[^A-Za-z0-9_\s]", "", name)
-    words = re.sub(r"(?<=[a-z])(?=[A-Z])", "_", words)
-    return re.sub(r"\s+", "_", words).lower().strip("_")
+    """Words in lower case, joined by ``_``: a word ends at white space or before a capital behind a small letter."""
+    words, last = [""], ""
+    for ch in name:
+        if ch.isspace():
+            words.append("")
+        elif ch == "_" or (ch.isascii() and ch.isalnum()):
+            if ch.isupper() and last.islower():
+                words.append("")
+            words[-1] += ch.lower()
+        else:
+            continue  # other signs vanish, and what stood beside them meets
+        last = ch
+    return "_".join(filter(None, words)).strip("_")
 
 
 def snake_case(df: DataFrame) -> DataFrame:

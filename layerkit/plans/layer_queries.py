@@ -6,6 +6,7 @@ from layerkit.functions.columns import col
 from layerkit.layers import pipeline as L
 from layerkit.operators import aggregate as A, project as X
 from layerkit.plans.base import exact_sum, query
+from layerkit.profiling.infer import detect_headers
 from layerkit.quality import not_null
 from layerkit.session import scratch_path
 from layerkit.sources import changes as M, readers as R, sinks as S
@@ -401,3 +402,36 @@ def stream_to_silver(t):
         store, stream, "silver_users", "user_id", ["ts", "event_id"], f"{root}/_checkpoints/users"
     ).awaitTermination()
     return store.read("silver_users").select("user_id", "event_id", "event_type", "value")
+
+
+@query(
+    """
+    select c_custkey, c_name, c_acctbal from customer union all select 1000000000 + c_custkey, c_name, c_acctbal from customer
+    """
+)
+def two_streams_to_silver(t):
+    """Two streams, each with a checkpoint of its own, merge other keys into one table."""
+    root = _folder(t, "two-streams")
+    store, schema = S.TableStore(t.spark, f"{root}/store"), "c_custkey bigint, c_name string, c_acctbal double"
+    for name, shift in (("one", 0), ("two", 1000000000)):
+        t.customer.select((F.col("c_custkey") + shift).alias("c_custkey"), "c_name", "c_acctbal").write.parquet(f"{root}/{name}")
+        stream = I.stream_folder(t.spark, f"{root}/{name}", schema, glob="*.parquet")
+        I.merge_silver(store, stream, "silver_customer", "c_custkey", ["c_name"], f"{root}/checkpoint-{name}").awaitTermination()
+    return store.read("silver_customer")
+
+
+@query(
+    """
+    select 'headed' as folder, 'present' as status, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderpriority' as names from (select 1 from orders limit 1)
+    union all select 'bare', 'missing', 'col_0,col_1,col_2,col_3,col_4' from (select 1 from orders limit 1)
+    """
+)
+def header_detection(t):
+    """Orders as text files with and without a header: every file of a folder is judged alike."""
+    root = _folder(t, "headers")
+    orders = t.orders.select(*_ORDER_COLUMNS)
+    orders.write.option("header", True).csv(f"{root}/headed")
+    orders.write.csv(f"{root}/bare")
+    found = detect_headers(t.spark, root)
+    folder = F.element_at(F.split("file_path", "/"), -2)
+    return found.select(folder.alias("folder"), "status", F.concat_ws(",", "names").alias("names")).distinct()

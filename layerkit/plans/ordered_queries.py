@@ -145,3 +145,28 @@ def top_values(t):
         return O.top_values(df, name).select(F.lit(name).alias("column_name"), "value", "count")
 
     return top(t.orders, "o_orderpriority").union(top(t.part, "p_brand"))
+
+
+@query(
+    """
+    select part, count(*) as rows, count(distinct o_orderkey) as orders from (
+      select o_orderkey, case when row_number() over (order by o_orderstatus) <= 100 then 'first' else 'rest' end as part from orders
+    ) group by part
+    union all select 'both', count(*), count(distinct o_orderkey) from orders
+    """
+)
+def first_and_rest_on_ties(t):
+    """The order is one column of three values; what first_n leaves is what skip gives, and both make up the table."""
+    orders = t.orders.select("o_orderkey", "o_orderstatus")
+    first = O.first_n(orders, 100, "o_orderstatus").withColumn("part", F.lit("first"))
+    both = first.union(O.skip(orders, 100, "o_orderstatus").withColumn("part", F.lit("rest")))
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_distinct("o_orderkey").alias("orders")]
+    return both.groupBy("part").agg(*counts).union(both.agg(*counts).select(F.lit("both"), "rows", "orders"))
+
+
+@query("select o_orderkey::varchar as orderkey, o_orderstatus as status from orders")
+def header_promoted(t):
+    """The header is the first line of a table of texts."""
+    orders = t.orders.select(F.col("o_orderkey").alias("n"), F.col("o_orderkey").cast("string").alias("a"), F.col("o_orderstatus").alias("b"))
+    header = t.spark.range(1).select(F.lit(-1).cast("bigint").alias("n"), F.lit("orderkey").alias("a"), F.lit("status").alias("b"))
+    return O.promote_headers(orders.union(header), "n").select("orderkey", "status")

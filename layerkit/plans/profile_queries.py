@@ -72,7 +72,7 @@ def _flat(profile):
     top = F.array_join(F.transform("top_values", lambda v: F.concat(v["value"], F.lit("="), v["count"].cast("string"))), "; ")
     return profile.withColumns(
         {"avg_value": F.round("avg_value", 4), "avg_length": F.round("avg_length", 4), "top_values": top}
-    )
+    ).drop("min_exact", "max_exact")
 
 
 @query(_profile_sql("sales", _SALES, _SALES_TYPES))
@@ -81,6 +81,18 @@ def profile_table(t):
     return _flat(P.profile(_sales(t), "sales"))
 
 
+@query(
+    """
+    select 'big_key' as column_name, min(9007199254740992 + o_orderkey)::varchar as min_exact, max(9007199254740992 + o_orderkey)::varchar as max_exact from orders
+    union all select 'price', min(o_totalprice::decimal(20, 4))::varchar, max(o_totalprice::decimal(20, 4))::varchar from orders
+    """
+)
+def profile_exact_ends(t):
+    """Ends of whole numbers beyond 2^53, and of decimals, to the last digit."""
+    orders = t.orders.select((F.lit(9007199254740992) + F.col("o_orderkey")).alias("big_key"), F.col("o_totalprice").cast("decimal(20,4)").alias("price"))
+    return P.profile(orders, "orders").select("column_name", "min_exact", "max_exact")
+
+
 _LINE_TYPES = {
     "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "bigint",
     "l_quantity": "decimal", "l_extendedprice": "decimal", "l_discount": "decimal", "l_tax": "decimal",

@@ -211,16 +211,17 @@ def tidy_customers(t):
     return X.tidy(df, names=["c_name"], emails=["c_mktsegment"], money=["c_acctbal"], keys=["c_custkey"])
 
 
-# Customers of one segment are left out, which leaves their orders unmatched;
-# some customers have no order above the price on the other side.
-_KEPT = "(select * from customer where c_mktsegment <> 'BUILDING')"
-_SOME = "(select * from orders where o_totalprice > 300000)"
+# All rows take part. Customers of one segment have a shifted key, which leaves
+# their orders unmatched; so have cheap orders, which leaves customers unmatched.
+_KEPT = "(select * replace (case when c_mktsegment = 'BUILDING' then -1 - c_custkey else c_custkey end as c_custkey) from customer)"
+_SOME = "(select * replace (case when o_totalprice > 300000 then o_custkey else 1000000000 + o_custkey end as o_custkey) from orders)"
 
 
 def _sides(t):
-    customers = t.customer.filter(F.col("c_mktsegment") != "BUILDING").select("c_custkey", "c_name", "c_mktsegment")
-    orders = t.orders.filter(F.col("o_totalprice") > 300000).select("o_orderkey", "o_custkey", "o_totalprice")
-    return orders, customers
+    building, dear = F.col("c_mktsegment") == "BUILDING", F.col("o_totalprice") > 300000
+    customers = t.customer.withColumn("c_custkey", F.when(building, -1 - F.col("c_custkey")).otherwise(F.col("c_custkey")))
+    orders = t.orders.withColumn("o_custkey", F.when(dear, F.col("o_custkey")).otherwise(1000000000 + F.col("o_custkey")))
+    return orders.select("o_orderkey", "o_custkey", "o_totalprice"), customers.select("c_custkey", "c_name", "c_mktsegment")
 
 
 def _register_joins():

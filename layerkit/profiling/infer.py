@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import csv
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from layerkit.functions.columns import col
 from layerkit.operators.project import cast_types
-from layerkit.session import spread
 
 # Date layouts in order of preference (regex, name), and the shares that decide.
 DATE_LAYOUTS = [
@@ -74,7 +73,7 @@ def _per_column(df: DataFrame, steps, aggregates: dict[str, Column]) -> DataFram
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         raise ValueError("no text column to look at")
-    texts = spread(df.select(*[col(n) for n in names])).select(
+    texts = df.select(*[col(n) for n in names]).select(
         F.posexplode(F.array(*[col(n) for n in names])).alias("position", "text")
     )
     for values in steps:
@@ -164,40 +163,64 @@ def apply_inferred(df: DataFrame, inferred: DataFrame) -> DataFrame:
     return out.withColumns({n: parse_date(col(n), day_first) for n, day_first in dates.items()}) if dates else out
 
 
-def _numeric(cell: str) -> bool:
-    try:
-        float(cell.strip())
-        return True
-    except ValueError:
-        return False
+# The statuses, and the numeric share of a first line that rules a header out.
+PRESENT, MISSING, AMBIGUOUS = "present", "missing", "ambiguous"
+HEADER_NUMERIC_SHARE = 0.5
+# Share of a column's cells that makes it numeric, or of one length.
+_COLUMN_SHARE = 0.9
 
 
-# Characters of a file looked at, and the numeric share that rules a header out.
-HEADER_SAMPLE = 16384
-HEADER_NUMERIC_SHARE = 0.5
+def detect_headers(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """One row per delimited text file: ``file_path``, ``status``, ``reason`` and ``names``.
 
+    The first line of a file is held against all its other lines. It is no
+    header when half of its cells are numbers. Else each column has a vote: for a
+    header where the cells below are numbers or all of one length and the first
+    cell is not, against one where the first cell is like those below. Columns of
+    mixed text have none, and without a majority the file is ambiguous.
 
-def header_status(lines: list[str]) -> tuple[str, str]:
-    """Judge from a file's first lines whether the first is a header: present, missing or ambiguous."""
-    sample = "\n".join(lines)[:HEADER_SAMPLE]
-    if not sample.strip():
-        return "missing", "file is empty or whitespace only"
-    try:
-        looks_like_header = csv.Sniffer().has_header(sample)
-    except csv.Error as error:
-        return "ambiguous", f"cannot decide: {error}"
-    first = next(csv.reader(sample.splitlines()), [])
-    share = sum(map(_numeric, first)) / len(first) if first else 1.0
-    if share >= HEADER_NUMERIC_SHARE:
-        return "missing", f"row 0 is {share:.0%} numeric"
-    if looks_like_header:
-        return "present", "row 0 differs from the rows below"
-    return "missing", "row 0 looks like the rows below"
-
-
-def detect_header(spark: SparkSession, path: str, sample_rows: int = 200) -> tuple[str, str, list[str]]:
-    """Header status, its reason, and column names for one file; reads only its first rows."""
-    lines = [r[0] for r in spark.read.text(path).limit(sample_rows).collect()]
-    status, reason = header_status(lines)
-    first = next(csv.reader(lines), [])
-    return status, reason, first if status == "present" else [f"col_{i}" for i in range(len(first))]
+    Lines are split and counted where they are read; only counts per file and
+    column are shuffled. A quoted cell must not span lines. Files with blank lines
+    only are missing a header; those of no bytes are not listed.
+    """
+    quoted = rf"{re.escape(separator)}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("file_path"), "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at")
+    )
+    filled = lines.where(F.trim("value") != "")
+    cells = F.transform(F.split("value", quoted), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
+    first = filled.groupBy("file_path").agg(F.min_by("value", "at").alias("value")).select("file_path", cells.alias("names"))
+    number = is_number(F.col("cell"))
+    columns = filled.select("file_path", F.posexplode(cells).alias("position", "cell")).groupBy("file_path", "position").agg(
+        F.count_if(F.col("cell") != "").alias("n"), F.count_if(number).alias("numbers"), F.count(F.lit(1)).alias("lines"),
+        F.min(F.when(F.col("cell") != "", F.length("cell"))).alias("shortest"), F.max(F.length("cell")).alias("longest"),
+        F.sum(F.length("cell")).alias("chars"),
+    )
+    heads = first.select("file_path", F.posexplode("names").alias("position", "cell")).withColumn("is_number", number)
+    both = heads.join(columns, ["file_path", "position"])
+    below = F.col("n") - (F.col("cell") != "").cast("int")
+    numeric = (F.col("numbers") - F.col("is_number").cast("int")) >= _COLUMN_SHARE * below
+    # Lengths include the first line's; the others are of one length when the mean without it is the shortest or the longest.
+    rest = F.col("chars") - F.length("cell")
+    even = (rest == below * F.col("shortest")) | (rest == below * F.col("longest"))
+    vote = (
+        F.when(below <= 0, 0).when(numeric & ~F.col("is_number"), 1).when(numeric, -1)
+        .when(even & (F.length("cell") * below != rest), 1).when(even, -1).otherwise(0)
+    )
+    votes = both.groupBy("file_path").agg(
+        F.sum(vote).alias("votes"), F.avg(F.col("is_number").cast("double")).alias("share"), F.max("lines").alias("lines")
+    )
+    percent = F.format_string("%.0f%%", F.col("share") * 100)
+    status = (
+        F.when(F.col("share").isNull() | (F.col("share") >= HEADER_NUMERIC_SHARE) | (F.col("votes") < 0), MISSING)
+        .when(F.col("votes") > 0, PRESENT).otherwise(AMBIGUOUS)
+    )
+    reason = (
+        F.when(F.col("share").isNull(), "no line with text").when(F.col("share") >= HEADER_NUMERIC_SHARE, F.concat(F.lit("numbers make up "), percent, F.lit(" of the first line")))
+        .when(F.col("votes") > 0, "the first line is unlike its columns").when(F.col("votes") < 0, "the first line is like its columns")
+        .when(F.col("lines") <= 1, "one line only").otherwise("text columns only")
+    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("file_path"))
+    judged = files.join(votes, "file_path", "left").join(first, "file_path", "left")
+    numbered = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda c, i: F.concat(F.lit("col_"), i.cast("string")))
+    return judged.select("file_path", status.alias("status"), reason.alias("reason"), F.when(status == PRESENT, F.col("names")).otherwise(numbered).alias("names"))

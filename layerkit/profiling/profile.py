@@ -10,7 +10,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from layerkit.functions.columns import as_list, col, require
-from layerkit.session import spread
 from layerkit.sources.sinks import export_csv, export_json
 
 # Text patterns in order of preference, and the share that must match.
@@ -75,7 +74,7 @@ def _parts(
                     "id": len(rows), "table_name": table, "position": position, "column_name": field.name,
                     "data_type": type_name(field.dataType),
                 })
-        parts.append(_Part(table, spread(df.select(*[col(f.name) for _, f in fields])), fields))
+        parts.append(_Part(table, df.select(*[col(f.name) for _, f in fields]), fields))
     # One row per column: a literal, whatever their number.
     listed = F.from_json(
         F.lit(json.dumps(rows)),
@@ -104,11 +103,15 @@ def _value_counts(parts: list[_Part]) -> DataFrame:
     return _cells(parts).groupBy("id", "value", "number").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _date_ranges(parts: list[_Part]) -> DataFrame | None:
-    """First and last value, as text, of every date column."""
+def _is_exact(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.IntegralType, T.DecimalType))
+
+
+def _ranges(parts: list[_Part]) -> DataFrame | None:
+    """First and last value, as text, of every column of dates, whole numbers or decimals."""
     found = []
     for part in parts:
-        dated = [(i, f.name) for i, f in part.fields if type_name(f.dataType) == "datetime2"]
+        dated = [(i, f.name) for i, f in part.fields if type_name(f.dataType) == "datetime2" or _is_exact(f.dataType)]
         if dated:
             ends = part.df.agg(*[F.struct(F.min(col(n)), F.max(col(n))).alias(f"d{i}") for i, n in dated])
             rows = [
@@ -202,10 +205,12 @@ def profile_all(
         )
     )
     found = listed_columns.join(stats, "id", "left").join(top, F.col("id") == F.col("__kept"), "left")
-    dates = _date_ranges(parts)
+    dates = _ranges(parts)
     if dates is not None:
         found = found.join(dates, F.col("id") == F.col("__dated"), "left")
-    first, last = ("__first", "__last") if dates is not None else (None, None)
+    none = F.lit(None).cast("string")
+    first, last = (F.col("__first"), F.col("__last")) if dates is not None else (none, none)
+    is_date = F.col("data_type") == "datetime2"
 
     total = F.coalesce("__total", F.lit(0)).cast("bigint")
     present = F.coalesce("__present", F.lit(0)).cast("bigint")
@@ -221,13 +226,14 @@ def profile_all(
         (total - present).alias("null_count"),
         *_percentages(total, present, distinct),
         F.col("__low").alias("min_value"), F.col("__high").alias("max_value"), F.col("__mean").alias("avg_value"),
-        (F.col(first) if first else F.lit(None).cast("string")).alias("min_date"),
-        (F.col(last) if last else F.lit(None).cast("string")).alias("max_date"),
+        F.when(is_date, first).alias("min_date"), F.when(is_date, last).alias("max_date"),
         F.col("__short").cast("bigint").alias("min_length"),
         F.col("__long").cast("bigint").alias("max_length"),
         F.col("__width").alias("avg_length"),
         pattern.alias("pattern"),
         shown.alias("top_values"),
+        # Whole numbers and decimals to the last digit, which the doubles above may not hold.
+        F.when(~is_date, first).alias("min_exact"), F.when(~is_date, last).alias("max_exact"),
     )
 
 

@@ -80,9 +80,8 @@ def estimated_bytes(df: DataFrame) -> int | None:
     return size if size < 1 << 55 else None
 
 
-# Bytes one task of a full sort should hold, and the most tasks to cut a table into.
+# Bytes one task of a full sort should hold.
 _TASK_BYTES = 256 << 20
-_MAX_TASKS = 50_000
 
 
 def task_count(df: DataFrame) -> int:
@@ -90,22 +89,4 @@ def task_count(df: DataFrame) -> int:
     size = estimated_bytes(df)
     if size is None:
         return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(df.sparkSession.sparkContext.defaultParallelism, min(size // _TASK_BYTES, _MAX_TASKS))
-
-
-# Bytes per core below which a table is spread before heavy per-row work, and
-# bytes in all below which that is not worth a shuffle.
-_SPREAD_BYTES = 64 << 20
-_TINY_BYTES = 64 << 10
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small table out over all cores before heavy per-row work.
-
-    A small file is often one row group, hence one task. Tables with more than
-    64 MB per core by the optimizer's estimate, or of unknown size, have tasks
-    enough and are left as they are; so are tiny ones.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
-    return df.repartition(cores) if size is not None and _TINY_BYTES < size < _SPREAD_BYTES * cores else df
+    return max(df.sparkSession.sparkContext.defaultParallelism, size // _TASK_BYTES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -71,13 +71,38 @@ class TableStore:
             raise ValueError(f"raw tables are named {self.RAW}...")
         df.write.mode("append").parquet(self.path(name))
 
-    def write_silver(self, df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
-        """Replace a table: write the next version whole, then let readers switch to it."""
-        target = f"{self.path(name)}/version={self.version(name) + 1}"
-        writer = df.write.mode("overwrite")
+    def notes(self, name: str) -> dict[str, str]:
+        """What the writers of the current version have noted beside it; of a table never written, nothing."""
+        version = self.version(name)
+        path = f"{self.path(name)}/notes-{version}"
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        if not version or not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+            return {}
+        return {r.key: r.value for r in self.spark.read.schema("key string, value string").parquet(path).collect()}
+
+    def write_silver(
+        self, df: DataFrame, name: str, partition_by: Iterable[str] = (), notes: Mapping[str, str] | None = None
+    ) -> DataFrame:
+        """Replace a table: write the next version whole, then let readers switch to it.
+
+        The version that readers may still use stays; older ones are removed.
+        ``notes``, a few pairs of texts, lie beside the version and are in place
+        before it counts; without any, those of the last version are carried on.
+        """
+        version = self.version(name)
+        notes = self.notes(name) if notes is None else dict(notes)
+        if notes:
+            rows = self.spark.createDataFrame(sorted(notes.items()), "key string, value string").coalesce(1)
+            rows.write.mode("overwrite").parquet(f"{self.path(name)}/notes-{version + 1}")
         if partition_by:
-            writer = writer.partitionBy(*as_list(partition_by))
-        writer.parquet(target)
+            write_partitioned(df, f"{self.path(name)}/version={version + 1}", partition_by)
+        else:
+            df.write.mode("overwrite").parquet(f"{self.path(name)}/version={version + 1}")
+        for old in [v for v in self._versions(name) if v < version]:
+            for folder in (f"version={old}", f"notes-{old}"):
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{folder}")
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
         return self.read(name)
 
 

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from layerkit.functions.columns import as_list
+from layerkit.functions.columns import as_list, sort_keys
 from layerkit.operators.ordered import dedup_latest
 from layerkit.operators.project import add_load_lineage
 from layerkit.sources.changes import merge
@@ -49,25 +49,32 @@ def merge_silver(
 ) -> StreamingQuery:
     """Merge each micro-batch into a cleaned table, the newest row per key winning.
 
-    Rows carry the number of the batch that wrote them, so a batch that is
-    replayed after a failure changes nothing. One checkpoint belongs to one table.
+    Beside each version of the table lies a note of the last batch that every
+    checkpoint has brought to it. So a batch replayed after a failure changes
+    nothing, and several streams, each with a checkpoint of its own, may feed one
+    table.
     """
-    keys = as_list(keys)
+    keys, order = as_list(keys), sort_keys(order_by)
+    owner = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = dedup_latest(batch, keys, order_by).withColumn("_batch_id", F.lit(batch_id).cast("bigint"))
-        if not store.exists(name):
-            store.write_silver(newest, name)
-            return
-        current = store.read(name)
-        if current.filter(F.col("_batch_id") >= batch_id).limit(1).count():
+        notes = store.notes(name)
+        if int(notes.get(owner, -1)) >= batch_id:
             return
-        # Rows of earlier batches may be newer in their own order.
-        def newer(target, source):
-            pairs = [(target(k), source(k)) for k in as_list(order_by)]
-            return F.struct(*[s for _, s in pairs]) >= F.struct(*[t for t, _ in pairs])
-
-        store.write_silver(merge(current, newest, keys, update_when=newer, check=False), name)
+        newest = dedup_latest(batch, keys, order)
+        if store.exists(name):
+            # Rows of earlier batches may be newer in their own order.
+            def newer(target, source):
+                older, same = F.lit(False), F.lit(True)
+                for key in order:
+                    was, now = target(key.name), source(key.name)
+                    low, high = (now, was) if key.descending else (was, now)
+                    older = older | (same & F.coalesce(low < high, low.isNull() & high.isNotNull()))
+                    same = same & was.eqNullSafe(now)
+                return older | same
+
+            newest = merge(store.read(name), newest, keys, update_when=newer, check=False)
+        store.write_silver(newest, name, notes=notes | {owner: str(batch_id)})
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -14,6 +15,7 @@ def local_session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.warehouse.dir", "/tmp/layerkit-warehouse")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="layerkit-tests-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

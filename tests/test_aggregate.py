@@ -51,8 +51,11 @@ def test_pivot_keeps_the_other_columns_as_keys(spark):
     assert out.columns == ["code", "births", "deaths"]
     assert rows(out) == [("E1", 5, 3), ("E2", 4, None)]
     assert rows(A.pivot(df, "attribute", "value")) == rows(out)
-    with pytest.raises(ValueError, match="more than 1"):
-        A.pivot(df, "attribute", "value", max_values=1)
+    holes = df.union(spark.createDataFrame([("E2", None, 99)], df.schema))
+    assert A.pivot(holes, "attribute", "value").columns == ["code", "births", "deaths", "null"]
+    assert rows(A.pivot(holes, "attribute", "value")) == [("E1", 5, 3, None), ("E2", 4, None, 99)]
+    with pytest.raises(ValueError, match="null_name"):
+        A.pivot(holes, "attribute", "value", null_name="births")
 
 
 def test_pivot_first_follows_its_order(spark):

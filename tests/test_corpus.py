@@ -170,3 +170,12 @@ def test_links(spark):
     edges = spark.createDataFrame([(1, "/a"), (1, "/b"), (2, "/a")], "from_id int, to_name string")
     known = spark.createDataFrame([("/a",), ("/a",)], "name string")
     assert rows(C.link_edges(edges, known)) == [(1, "/a", True), (1, "/b", False), (2, "/a", True)]
+
+
+def test_whole_text_rules_give_every_hit(spark):
+    line = 'x = Table.AddColumn(t, "n",\n  each if [a] then 1 else 2)'
+    docs = spark.createDataFrame([("f", "\n".join([line] * 3)), ("g", line + " " + line.replace("\n", " ")), ("h", "nothing\0"), ("i", None)], "file string, text string")
+    hits = R.scan_rules(docs, [r for r in R.RISKS if r.risk_id == "RISK-11"], "file")
+    got = sorted((r.file_path, r.line_number, r.match_excerpt) for r in hits.collect())
+    first = 'x = Table.AddColumn(t, "n",'
+    assert got == [("f", 1, first), ("f", 3, first), ("f", 5, first), ("g", 1, first), ("g", 2, 'each if [a] then 1 else 2) x = Table.AddColumn(t, "n",   each if [a] then 1 else 2)')]

@@ -107,12 +107,12 @@ def test_first_and_skip_by_position_and_in_groups(spark, monkeypatch, tmp_path):
     want_head = sorted(r[0] for r in O.first_n(df, 30, "id").select("id").collect())
     want_tail = sorted(r[0] for r in O.skip(df, 30, "id").select("id").collect())
     monkeypatch.setattr(O, "_SCAN_BYTES", 64)
-    monkeypatch.setattr(O, "TOP_ROWS", 600)  # merged in groups
+    monkeypatch.setattr(O, "TOP_BYTES", 600 * O._row_bytes(df.withColumn("t", F.lit(1).cast("long"))))  # merged in groups
     grouped = O.first_n(df, 30, "id")
     assert "WindowGroupLimit" in grouped._jdf.queryExecution().toString()
     assert sorted(r[0] for r in grouped.select("id").collect()) == want_head
     assert sorted(r[0] for r in O.skip(df, 30, "id").select("id").collect()) == want_tail
-    monkeypatch.setattr(O, "TOP_ROWS", 10)  # by position
+    monkeypatch.setattr(O, "TOP_BYTES", 10)  # by position
     assert sorted(r[0] for r in O.first_n(df, 30, "id").select("id").collect()) == want_head
     assert sorted(r[0] for r in O.skip(df, 30, "id").select("id").collect()) == want_tail
 
@@ -154,3 +154,24 @@ def test_promote_headers(spark):
     df = spark.createDataFrame([(0, "id", "name"), (1, "7", "Ann"), (2, "8", "Bob")], "n int, a string, b string")
     out = O.promote_headers(df, "n")
     assert out.columns == ["0", "id", "name"] and sorted(rows(out)) == [(1, "7", "Ann"), (2, "8", "Bob")]
+
+
+def test_a_tied_header_raises(spark):
+    df = spark.createDataFrame([(1, "id"), (1, "a"), (2, "b")], "n int, a string").repartition(3)
+    with pytest.raises(ValueError, match="first place"):
+        O.promote_headers(df, "n")
+    assert O.promote_headers(df.limit(0), "n").columns == ["n", "a"]
+
+
+@pytest.mark.parametrize("most", [1 << 30, 4000, 10])
+@pytest.mark.parametrize("n", [1, 100, 999])
+def test_first_and_skip_are_complements_on_ties(spark, tmp_path, monkeypatch, most, n):
+    spark.range(1000).select("id", (F.col("id") % 3).alias("k")).repartition(7).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    whole = sorted(rows(O.first_n(df, n, "k")))
+    monkeypatch.setattr(O, "TOP_BYTES", most)
+    first, rest = rows(O.first_n(df, n, "k")), rows(O.skip(df, n, "k"))
+    assert sorted(first) == whole and len(first) == n
+    assert sorted(first + rest) == sorted(rows(df))
+    last, front = rows(O.last_n(df, n, "k")), rows(O.remove_last(df, n, "k"))
+    assert len(last) == n and sorted(last + front) == sorted(rows(df))

@@ -162,24 +162,30 @@ def test_parse_date(spark, text, day_first, expected):
 
 
 @pytest.mark.parametrize(
-    "lines, status",
+    "text, status, names",
     [
-        (["id,name,born", "1,Ann,1990", "2,Bob,1991", "3,Cy,1992"], "present"),
-        (["1,5,9", "2,6,8", "3,7,7"], "missing"),
-        ([], "missing"),
-        (["", "  "], "missing"),
+        ("id,name,born\n1,Ann,1990\n2,Bob,1991\n3,Cy,1992\n", "present", ["id", "name", "born"]),
+        ("\n  \nid,\"full, name\"\n1,\"x, y\"\n2,z\n", "present", ["id", "full, name"]),
+        ("1,5,9\n2,6,8\n3,7,7\n", "missing", ["col_0", "col_1", "col_2"]),
+        ("1,2,x\n3,4,y\n5,6,z\n", "missing", ["col_0", "col_1", "col_2"]),
+        ("ab,x\ncd,yy\nef,z\n", "missing", ["col_0", "col_1"]),
+        ("code\nAA1\nBB2\nCC3\n", "present", ["code"]),
+        ("red\nlilac\nblue\n", "ambiguous", ["col_0"]),
+        ("id,name\n", "ambiguous", ["col_0", "col_1"]),
+        ("\n  \n", "missing", []),
     ],
 )
-def test_header_status(lines, status):
-    assert I.header_status(lines)[0] == status
+def test_detect_headers(spark, tmp_path, text, status, names):
+    (tmp_path / "a.csv").write_text(text)
+    found = I.detect_headers(spark, str(tmp_path)).collect()
+    assert [(r.status, r.names) for r in found] == [(status, names)]
 
 
-def test_detect_header_names_columns(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("1,2,x\n3,4,y\n5,6,z\n")
-    assert I.detect_header(spark, str(tmp_path / "a.csv"))[2] == ["col_0", "col_1", "col_2"]
-    (tmp_path / "b.csv").write_text("id,name,born\n1,Ann,1990\n2,Bob,1991\n3,Cy,1992\n")
-    status, _, names = I.detect_header(spark, str(tmp_path / "b.csv"))
-    assert (status, names) == ("present", ["id", "name", "born"])
+def test_detect_headers_looks_at_all_lines_of_each_file(spark, tmp_path):
+    (tmp_path / "late.csv").write_text("key\n" + "word\n" * 50 + "".join(f"{i}\n" for i in range(5000)))
+    (tmp_path / "none.csv").write_text("key\n" + "1\n" * 50 + "".join(f"word{i}\n" for i in range(5000)))
+    found = {r.file_path.rpartition("/")[2]: r.status for r in I.detect_headers(spark, str(tmp_path)).collect()}
+    assert found == {"late.csv": "present", "none.csv": "ambiguous"}
 
 
 def test_percentiles_against_brute_force(spark):
@@ -236,3 +242,11 @@ def test_save_profile(spark, df, tmp_path):
     P.save_profile(profiled, str(tmp_path / "csv"), "csv")
     assert spark.read.json(str(tmp_path / "json")).select("top_values.count").collect()[0][0] == [10] * 5
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
+
+
+def test_ends_of_whole_numbers_and_decimals_are_exact(spark):
+    from decimal import Decimal
+
+    df = spark.createDataFrame([(9007199254740993, Decimal("0.1000000000000000001")), (-9007199254740993, Decimal("12345678901234567.7")), (None, None)], "n bigint, d decimal(38,19)")
+    found = {r.column_name: (r.min_exact, r.max_exact) for r in P.profile(df, "t").collect()}
+    assert found == {"n": ("-9007199254740993", "9007199254740993"), "d": ("0.1000000000000000001", "12345678901234567.7000000000000000000")}

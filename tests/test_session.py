@@ -4,20 +4,8 @@ from pyspark.sql import functions as F
 from layerkit import session as S
 
 
-def parts(df):
-    return df.rdd.getNumPartitions()
-
-
-def test_small_tables_are_spread_and_tiny_or_unknown_ones_are_not(spark, tmp_path, monkeypatch):
-    spark.range(100).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v")).coalesce(1).write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    assert parts(S.spread(df)) == parts(df)
-    monkeypatch.setattr(S, "_TINY_BYTES", 10)
-    assert "RoundRobin" in S.spread(df)._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(S, "_SPREAD_BYTES", 20)
-    assert S.spread(df) is df
-    unknown = spark.createDataFrame([(1,)], "a int")
-    assert S.estimated_bytes(unknown) is None and S.spread(unknown) is unknown
+def test_the_size_of_rows_in_memory_is_unknown(spark):
+    assert S.estimated_bytes(spark.createDataFrame([(1,)], "a int")) is None
 
 
 def test_tasks_follow_the_size(spark, tmp_path, monkeypatch):
@@ -27,8 +15,6 @@ def test_tasks_follow_the_size(spark, tmp_path, monkeypatch):
     assert S.task_count(df) == cores
     monkeypatch.setattr(S, "_TASK_BYTES", 100)
     assert S.task_count(df) > cores
-    monkeypatch.setattr(S, "_MAX_TASKS", cores + 1)
-    assert S.task_count(df) == cores + 1
     assert S.task_count(spark.createDataFrame([(1,)], "a int")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 

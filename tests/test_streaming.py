@@ -1,6 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
 from layerkit.sources.sinks import TableStore
 from layerkit.streaming import ingest as I
 
@@ -58,11 +56,34 @@ def test_batches_merge_and_late_rows_do_not_win(spark, place):
     assert rows(store.read("silver_t").select("id", "v")) == want and store.version("silver_t") == version
 
 
-def test_a_replayed_batch_changes_nothing(spark, place, tmp_path):
-    store, landing, _ = place
+def test_a_replayed_batch_changes_nothing(spark, place, monkeypatch):
+    store, landing, checkpoint = place
     drop(spark, landing, "a", [(1, 5, "five")])
-    for attempt in ("one", "two"):  # a fresh checkpoint sends the same batch number again
+    applied = []
+    whole = store.write_silver
+
+    def twice(df, name, **kwargs):  # the batch is written, then the stream fails before it notes so
+        applied.append(kwargs["notes"])
+        whole(df, name, **kwargs)
+        if len(applied) == 1:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, "write_silver", twice)
+    run = lambda: I.merge_silver(
+        store, I.stream_folder(spark, landing, SCHEMA), "silver_t", "id", ["t"], checkpoint
+    ).awaitTermination()
+    with pytest.raises(Exception):
+        run()
+    run()
+    assert len(applied) == 1 and store.version("silver_t") == 1 and rows(store.read("silver_t")) == [(1, 5, "five")]
+
+
+def test_two_streams_feed_one_table(spark, place, tmp_path):
+    store, landing, _ = place
+    for k, part in enumerate(("one", "two")):
+        drop(spark, landing, part, [(10 * k + i, i, part) for i in range(10)])
         I.merge_silver(
-            store, I.stream_folder(spark, landing, SCHEMA), "silver_t", "id", ["t"], str(tmp_path / attempt)
+            store, I.stream_folder(spark, f"{landing}/{part}", SCHEMA), "silver_t", "id", [("t", "desc")], str(tmp_path / part)
         ).awaitTermination()
-    assert store.version("silver_t") == 1 and store.read("silver_t").filter(F.col("_batch_id") == 0).count() == 1
+    assert store.read("silver_t").count() == 20 and len(store.notes("silver_t")) == 2
+    assert store.read("silver_t").columns == ["id", "t", "v"]
