@@ -55,6 +55,7 @@ def join_on(
     how: str = "left",
     key_type: str | None = None,
     salt: int | None = None,
+    many: str = "kept",
 ) -> DataFrame:
     """Join on one or more keys, whose names may differ.
 
@@ -65,8 +66,16 @@ def join_on(
     times: for inner, left and anti joins with a hot key on the left. ``salt=1``
     repeats nothing; it only makes Spark shuffle a right side that is already
     laid out by the key, which splitting a hot key at run time needs.
+
+    ``many`` tells which side may hold hot keys. Spark splits those of the side
+    that an outer join keeps, and of both sides of an inner join. With ``any``
+    an outer join becomes the inner join and the unmatched rows of the kept
+    side, so that a hot key of the other side is split too. A full join always
+    is, as Spark splits neither side of one.
     """
     how = join_kind(how)
+    if many not in ("kept", "any"):
+        raise ValueError("many is kept or any")
     lk = as_list(left_keys)
     rk = lk if right_keys is None else as_list(right_keys)
     if len(lk) != len(rk):
@@ -76,6 +85,10 @@ def join_on(
     if how == "right_anti":
         return join_on(right, left, rk, lk, "left_anti", key_type, salt)
 
+    if how == "outer" or (many == "any" and how in ("left", "right")):
+        if salt:
+            raise ValueError("salt suits inner, left and left_anti joins")
+        return _matched_and_rest(left, right, lk, rk, how, key_type)
     anti = how == "left_anti"
     same = [b for a, b in zip(lk, rk) if a == b]
     clash = set(left.columns) & set(right.columns) - set(same)
@@ -107,6 +120,30 @@ def join_on(
     return joined.select(*[col(n) for n in out_columns])
 
 
+def _matched_and_rest(left: DataFrame, right: DataFrame, lk: list[str], rk: list[str], how: str, key_type: str | None) -> DataFrame:
+    """An outer join as its matches and the rows without any."""
+    inner = join_on(left, right, lk, rk, "inner", key_type)
+    out = inner
+    same = {r: l for l, r in zip(lk, rk) if l == r}
+    if how in ("left", "outer"):
+        alone = join_on(left, right, lk, rk, "left_anti", key_type)
+        out = out.unionByName(_widened(alone, inner))
+    if how in ("right", "outer"):
+        alone = join_on(right, left, rk, lk, "left_anti", key_type)
+        out = out.unionByName(_widened(alone, inner))
+    if same and how != "left":
+        # A key of two types keeps the left one's, as its matches do.
+        out = out.select(*[col(f.name).cast(inner.schema[f.name].dataType).alias(f.name) if f.name in same else col(f.name) for f in out.schema.fields])
+    return out
+
+
+def _widened(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` with the columns it lacks as nulls, in the order of ``like``."""
+    return df.select(*[
+        (col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in like.schema.fields
+    ])
+
+
 def merge_queries(
     left: DataFrame,
     right: DataFrame,
@@ -143,7 +180,9 @@ def merge_queries(
     kind = join_kind(kind)
     if aggregate and kind in ("inner", "left"):
         salt = salt or 1
-    return join_on(left, small, lk, keys, kind, key_type, salt).drop(*keys)
+    # An expanded side has many rows of a key; one that is aggregated or looked up has one.
+    many = "any" if not aggregate and not salt else "kept"
+    return join_on(left, small, lk, keys, kind, key_type, salt, many).drop(*keys)
 
 
 def expand(df: DataFrame, column: str, fields: Mapping[str, str], outer: bool = True) -> DataFrame:

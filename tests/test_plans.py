@@ -5,10 +5,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from layerkit.plans import QUERIES, load_all
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+load_all()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are missing")
 
@@ -131,6 +131,32 @@ def test_a_hot_key_is_split_in_joins(spark, small_tasks, how):
     assert len(rows) == {"inner": matched, "left": 60000, "left_anti": 60000 - matched}[how]
 
 
+@pytest.mark.parametrize("how", ["left", "right", "outer", "expand", "expand_right"])
+@pytest.mark.parametrize("hot", ["left", "right"])
+def test_a_hot_key_of_either_side_is_split(spark, small_tasks, how, hot):
+    from pyspark.sql import functions as F
+
+    from layerkit.operators.joins import join_on, merge_queries
+    from layerkit.session import configure
+
+    configure(spark)
+    many = spark.range(0, 60000, 1, 16).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("mk"), F.col("id").alias("m"))
+    one = spark.range(0, 30000, 1, 4).select((F.col("id") * 4).alias("ok"), F.lit("x").alias("v"))
+    left, right, lk, rk = (many, one, "mk", "ok") if hot == "left" else (one, many, "ok", "mk")
+    kind = {"expand": "left", "expand_right": "right"}.get(how, how)
+    if how.startswith("expand"):
+        out = merge_queries(left, right, lk, rk, kind, expand={c: c for c in right.columns if c != rk})
+    else:
+        out = join_on(left, right, lk, rk, kind, many="any")
+    rows = out.collect()
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    keys = [0 if i % 3 == 0 else i for i in range(60000)]
+    matched = sum(1 for k in keys if k % 4 == 0)
+    alone = {"many": 60000 - matched, "one": 30000 - len({k for k in keys if k % 4 == 0})}
+    kept = ["many" if (kind == "left") == (hot == "left") else "one"] if kind != "outer" else ["many", "one"]
+    assert len(rows) == matched + sum(alone[k] for k in kept)
+
+
 def test_a_hot_partition_value_is_written_by_several_tasks(spark, small_tasks, tmp_path):
     from pyspark.sql import functions as F
 
