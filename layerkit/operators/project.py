@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.storagelevel import StorageLevel
 
-from layerkit.functions.columns import as_list, col, require
+from layerkit.functions.columns import as_list, col, require, unused_name
 from layerkit.functions.types import spark_type
 
 
@@ -98,16 +98,41 @@ def replace_value(df: DataFrame, old, new, columns: str | Iterable[str], mode: s
 _KEEP = object()
 
 
-def map_values(df: DataFrame, column: str, mapping: Mapping, default=_KEEP) -> DataFrame:
-    """Decode values; without ``default`` an unmapped value stays as it is."""
+def map_values(df: DataFrame, column: str, mapping: Mapping | DataFrame, default=_KEEP) -> DataFrame:
+    """Decode values; without ``default`` an unmapped value stays as it is. A null may be a key.
+
+    A long mapping comes as a table of two columns, old value and new one, with
+    each old value once; it is joined, and by Spark's choice broadcast.
+    """
     require(df, [column])
     c = col(column)
-    out = case([(c == F.lit(k), F.lit(v)) for k, v in mapping.items()], c if default is _KEEP else default)
-    return df.withColumn(column, out)
+    if not isinstance(mapping, DataFrame):
+        out = case([(c.eqNullSafe(F.lit(k)), F.lit(v)) for k, v in mapping.items()], c if default is _KEEP else default)
+        return df.withColumn(column, out)
+    if len(mapping.columns) != 2:
+        raise ValueError("a mapping has two columns: old value and new one")
+    old, new, found = (unused_name(df, n) for n in ("__old", "__new", "__found"))
+    pairs = mapping.toDF(old, new).withColumn(found, F.lit(True))
+    twice = pairs.groupBy(old).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"mapped twice: {twice[0][0]!r}")
+    joined = df.join(pairs, c.eqNullSafe(col(old)), "left")
+    other = c if default is _KEEP else F.lit(default)
+    return joined.withColumn(column, F.when(col(found), col(new)).otherwise(other)).select(*[col(n) for n in df.columns])
 
 
 def fill_nulls(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
+    """Replace nulls; raises where a value does not fit its column, which Spark would pass over."""
     require(df, values)
+    for name, value in values.items():
+        kind = df.schema[name].dataType
+        fits = (
+            isinstance(kind, T.BooleanType) if isinstance(value, bool)
+            else isinstance(kind, T.NumericType) if isinstance(value, (int, float))
+            else isinstance(kind, T.StringType) and isinstance(value, str)
+        )
+        if not fits:
+            raise ValueError(f"{value!r} does not fit {name}, which is {kind.simpleString()}")
     return df.fillna(dict(values))
 
 

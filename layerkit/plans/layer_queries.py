@@ -187,6 +187,22 @@ def merge_upsert(t):
     )
 
 
+@query(
+    f"""
+    select coalesce(s.c_custkey, t.c_custkey) as c_custkey, coalesce(s.c_name, t.c_name) as c_name,
+           coalesce(s.c_acctbal, t.c_acctbal) as c_acctbal, coalesce(s.c_mktsegment, t.c_mktsegment) as c_mktsegment,
+           coalesce(s.modified, t.modified) as modified
+    from {_OLD} t full join {_NEW} s on t.c_custkey = s.c_custkey
+    """
+)
+def bucketed_upsert(t):
+    """Upsert that rewrites only the key buckets the source touches."""
+    path = _folder(t, "buckets")
+    M.write_buckets(_old(t), path, "c_custkey", 16)
+    M.merge_buckets(t.spark, path, _new(t), "c_custkey", 16)
+    return M.read_buckets(t.spark, path)
+
+
 @query(
     f"""
     select coalesce(s.c_custkey, t.c_custkey) as c_custkey, coalesce(s.c_name, t.c_name) as c_name,
@@ -435,3 +451,37 @@ def header_detection(t):
     found = detect_headers(t.spark, root)
     folder = F.element_at(F.split("file_path", "/"), -2)
     return found.select(folder.alias("folder"), "status", F.concat_ws(",", "names").alias("names")).distinct()
+
+
+@query("select o_orderpriority, o_orderstatus, count(*) as n, sum(o_custkey)::bigint as customers from orders group by all")
+def partitioned_silver(t):
+    """A cleaned table partitioned by a column, read back by its folders."""
+    store = S.TableStore(t.spark, _folder(t, "partitioned-silver"))
+    written = store.write_silver(t.orders, "silver_orders", ["o_orderpriority"])
+    return written.groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("customers"))
+
+
+@query(
+    """
+    select l_returnflag, l_linestatus, count(*) as lines, l_returnflag = 'R' as ordered from lineitem group by l_returnflag, l_linestatus
+    """
+)
+def reclustered_partition(t):
+    """One partition is compacted into key ranges; the others keep their files."""
+    path = _folder(t, "reclustered")
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
+    lines.repartition(6, "l_orderkey").write.partitionBy("l_returnflag").parquet(path)
+    S.recluster_partitions(t.spark, path, "l_returnflag", F.col("l_returnflag") == "R", "l_partkey", 4)
+    found = t.spark.read.parquet(path).withColumn("file", F.input_file_name())
+    ends = found.groupBy("l_returnflag", "file").agg(F.min("l_partkey").alias("low"), F.max("l_partkey").alias("high"))
+    both = ends.alias("a").join(ends.alias("b"), F.expr("a.l_returnflag = b.l_returnflag and a.file < b.file and a.low < b.high and b.low < a.high"), "left_semi")
+    apart = both.select("l_returnflag").distinct().withColumn("mixed", F.lit(True))
+    totals = found.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("lines"))
+    return totals.join(apart, "l_returnflag", "left").select("l_returnflag", "l_linestatus", "lines", F.col("mixed").isNull().alias("ordered"))
+
+
+@query("select o_orderstatus, count(*) as n, sum(o_orderkey)::bigint as keys from orders group by 1")
+def table_by_name(t):
+    """A catalogue table read by its name."""
+    t.orders.createOrReplaceTempView("named_orders")
+    return R.read_table(t.spark, "named_orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))

@@ -496,10 +496,34 @@ def distinct_and_combine(t):
     return S.combine([S.distinct(customers), S.distinct(suppliers)])
 
 
-@query("select distinct l_returnflag, l_linestatus, l_suppkey from lineitem")
+@query(
+    """
+    select l_returnflag, l_linestatus, l_suppkey, true as is_a_row from lineitem group by all
+    """
+)
 def distinct_by_keys(t):
+    """One whole row per key, whichever it is; that it is one row of the table is checked against the table."""
     keys = ["l_returnflag", "l_linestatus", "l_suppkey"]
-    return S.distinct_by(t.lineitem.select(*keys), keys)
+    lines = t.lineitem.select(*keys, "l_orderkey", "l_linenumber", "l_extendedprice")
+    one = S.distinct_by(lines, keys)
+    there = lines.distinct().withColumn("is_a_row", F.lit(True))
+    return one.join(there, one.columns, "left").select(*keys, F.coalesce("is_a_row", F.lit(False)).alias("is_a_row"))
+
+
+@query(
+    """
+    select o_orderkey, case o_orderpriority when '5-LOW' then 'none' when '1-URGENT' then 'urgent' else o_orderpriority end as priority,
+           coalesce(s_name, 'nobody') as customer
+    from orders left join supplier on o_custkey = s_suppkey
+    """
+)
+def mapped_by_table(t):
+    """Values mapped by a table: a null is a key like any other, and a long mapping is a join."""
+    orders = t.orders.select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"), F.col("o_custkey").cast("string").alias("customer"))
+    pairs = t.orders.select(F.nullif("o_orderpriority", F.lit("5-LOW")).alias("old")).where("old is null or old = '1-URGENT'").distinct()
+    short = pairs.select("old", F.when(F.col("old").isNull(), "none").otherwise("urgent").alias("new"))
+    long = t.supplier.select(F.col("s_suppkey").cast("string").alias("old"), F.col("s_name").alias("new"))
+    return X.map_values(X.map_values(orders, "priority", short), "customer", long, default="nobody")
 
 
 _COUNTED = [

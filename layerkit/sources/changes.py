@@ -53,8 +53,9 @@ def merge(
     shared columns are taken. A null key matches nothing. Source keys may not
     repeat. With ``evolve`` new source columns are added, else they raise.
 
-    A small source is broadcast by Spark, so the target is not shuffled; only
-    its keys found in the source are, to tell which rows are new.
+    The source is staged, so that it is worked out once. A small one is broadcast
+    by Spark, so the target is not shuffled; only its keys found in the source
+    are, to tell which rows are new.
     """
     keys = as_list(keys)
     require(target, keys)
@@ -62,6 +63,7 @@ def merge(
     extra = [c for c in source.columns if c not in target.columns]
     if extra and not evolve:
         raise ValueError(f"columns not in the target: {', '.join(extra)}")
+    source = stage(source, "merge-source")
     if check:
         require_unique(source, keys)
     named = {c: f"__s_{c}" for c in source.columns}
@@ -101,6 +103,11 @@ def write_buckets(df: DataFrame, path: str, keys: str | Iterable[str], buckets:
     write_partitioned(df.withColumn(BUCKET, bucket_of(keys, buckets)), path, BUCKET)
 
 
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """A bucketed table without its bucket column."""
+    return spark.read.parquet(path).drop(BUCKET)
+
+
 def merge_buckets(
     spark: SparkSession,
     path: str,
@@ -116,8 +123,8 @@ def merge_buckets(
     replace the old ones, so a failure leaves the table as it was.
     """
     keys = as_list(keys)
+    source = stage(source.withColumn(BUCKET, bucket_of(keys, buckets)), "merge-source")
     require_unique(source, keys)
-    source = source.withColumn(BUCKET, bucket_of(keys, buckets))
     touched = [r[0] for r in source.select(BUCKET).distinct().collect()]  # at most one number per bucket
     if not touched:
         return 0
