@@ -276,9 +276,9 @@ def build_dimension(t):
 )
 def build_fact(t):
     """Surrogate keys in place of business keys; customers the dimension lacks stay null."""
-    customers = L.build_dimension(
-        t.customer.filter(F.col("c_mktsegment") != "BUILDING"), ["c_mktsegment"], "c_custkey", "c_name", "customer_key"
-    )
+    key = F.col("c_custkey")
+    shifted = t.customer.withColumn("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", -1 - key).otherwise(key))
+    customers = L.build_dimension(shifted, ["c_mktsegment"], "c_custkey", "c_name", "customer_key")
     parts = L.build_dimension(t.part, ["p_brand"], "p_partkey", "p_name", "part_key")
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity").join(
         t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")

@@ -136,13 +136,13 @@ def profile_subset(t):
 @query(
     """
     select * from (
-      select 'orders' as table_name, 'o_orderpriority' as column_name, o_orderpriority as value, count(*) as count from orders group by 3
-      union all select 'orders', 'o_orderstatus', o_orderstatus, count(*) from orders group by 3
-    ) qualify row_number() over (partition by column_name order by count desc, value) <= 5
+      select 'orders' as table_name, name as column_name, value, count(*) as count
+      from (unpivot (select columns(*)::varchar from orders) on columns(*) into name name value value) group by all
+    ) qualify count(*) over (partition by column_name) <= 10 and row_number() over (partition by column_name order by count desc, value) <= 5
     """
 )
 def profile_top_values(t):
-    found = P.profile(t.orders, "orders", ["o_orderpriority", "o_orderstatus"])
+    found = P.profile(t.orders, "orders")
     return found.select("table_name", "column_name", F.inline("top_values"))
 
 
@@ -215,19 +215,20 @@ def profile_recommendations(t):
     """
     with b as (select count(*) as n, count(distinct o_orderpriority) as d, count(distinct o_totalprice) as p from orders),
          a as (select count(*) as n, count(distinct nullif(o_orderpriority, '5-LOW')) as d,
-                      count(*) - count(nullif(o_orderpriority, '5-LOW')) as e from orders where o_orderstatus <> 'P')
+                      count(*) - count(nullif(o_orderpriority, '5-LOW')) as e
+               from (select * from orders union all select * from orders where o_orderstatus = 'P'))
     select 'o_orderpriority' as column_name, 'kept' as change, 'nvarchar' as data_type_before, 'nvarchar' as data_type_after,
            a.n - b.n as rows_delta, a.e / a.n * 100 as null_percentage_delta, a.d - b.d as distinct_delta from a, b
     union all select 'o_totalprice', 'removed', 'decimal', null, null, null, null from a, b
     union all select 'price_text', 'added', null, 'nvarchar', null, null, null from a, b
     union all select 'o_custkey', 'retyped', 'bigint', 'nvarchar', a.n - b.n, 0.0,
-      (select count(distinct o_custkey) from orders where o_orderstatus <> 'P') - (select count(distinct o_custkey) from orders) from a, b
+      0 from a, b
     """
 )
 def profile_diff(t):
-    """Profiles before and after a transformation."""
+    """Profiles before and after a transformation that repeats some rows and changes columns."""
     before = t.orders.select("o_orderpriority", "o_totalprice", "o_custkey")
-    after = t.orders.filter(F.col("o_orderstatus") != "P").select(
+    after = t.orders.union(t.orders.filter(F.col("o_orderstatus") == "P")).select(
         F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("o_orderpriority"),
         F.col("o_totalprice").cast("string").alias("price_text"),
         F.col("o_custkey").cast("string").alias("o_custkey"),
@@ -333,13 +334,15 @@ def outliers(t):
 
 @query(
     """
-    select unnest(generate_series(min(o_orderdate)::date, max(o_orderdate)::date, interval 1 day))::date as day
-    from orders where month(o_orderdate) <> 3
-    except select o_orderdate::date from orders where month(o_orderdate) <> 3
+    with moved as (select case when month(o_orderdate) = 3 then o_orderdate::date + interval 1 month else o_orderdate end::date as day from orders)
+    select unnest(generate_series(min(day), max(day), interval 1 day))::date as day from moved
+    except select day from moved
     """
 )
 def date_gaps(t):
-    return R.date_gaps(t.orders.filter(F.month("o_orderdate") != 3), "o_orderdate")
+    """Orders of March are dated a month later, which leaves that month empty."""
+    on = F.col("o_orderdate").cast("date")
+    return R.date_gaps(t.orders.select(F.when(F.month(on) == 3, F.add_months(on, 1)).otherwise(on).alias("day")), "day")
 
 
 @query(

@@ -282,35 +282,42 @@ def join_two_keys(t):
     return X.remove_columns(joined, ["ok", "s"])
 
 
+# All lines take part; those not returned have a shifted key, so no order finds them.
+_RETURNED = "(select * replace (case when l_returnflag = 'R' then l_orderkey else -1 - l_orderkey end as l_orderkey) from lineitem)"
+
+
+def _returned(t):
+    key = F.col("l_orderkey")
+    return t.lineitem.withColumn("l_orderkey", F.when(F.col("l_returnflag") == "R", key).otherwise(-1 - key))
+
+
 @query(
-    """
+    f"""
     select o_orderkey, o_totalprice, l_partkey as "Part", l_quantity as "Quantity"
-    from orders left join (select * from lineitem where l_returnflag = 'R') on o_orderkey = l_orderkey
+    from orders left join {_RETURNED} on o_orderkey = l_orderkey
     """
 )
 def nested_join_expand(t):
     orders = X.select_columns(t.orders, ["o_orderkey", "o_totalprice"])
-    returned = t.lineitem.filter(F.col("l_returnflag") == "R")
     return J.merge_queries(
-        orders, returned, "o_orderkey", "l_orderkey", "left", {"l_partkey": "Part", "l_quantity": "Quantity"}
+        orders, _returned(t), "o_orderkey", "l_orderkey", "left", {"l_partkey": "Part", "l_quantity": "Quantity"}
     )
 
 
 @query(
-    """
+    f"""
     select o_orderkey, o_custkey, n_lines, quantity
     from orders left join (
       select l_orderkey, count(*) as n_lines, sum(l_quantity) as quantity
-      from lineitem where l_returnflag = 'R' group by 1
+      from {_RETURNED} group by 1
     ) on o_orderkey = l_orderkey
     """
 )
 def nested_join_totals(t):
     """Size and sum of each order's nested lines, aggregated before the join."""
     orders = X.select_columns(t.orders, ["o_orderkey", "o_custkey"])
-    returned = t.lineitem.filter(F.col("l_returnflag") == "R")
     return J.merge_queries(
-        orders, returned, "o_orderkey", "l_orderkey", "left",
+        orders, _returned(t), "o_orderkey", "l_orderkey", "left",
         aggregate={"n_lines": F.count(F.lit(1)), "quantity": F.sum("l_quantity")},
     )
 
