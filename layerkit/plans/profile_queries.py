@@ -377,6 +377,9 @@ _LINKS = [
     ("lineitem", "l_orderkey", "orders", "o_orderkey"),
     ("nation", "n_regionkey", "region", "r_regionkey"),
     ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"),
 ]
 
 
@@ -389,15 +392,14 @@ def _link_sql(child, column, parent, key):
 
 
 @query(
-    "with customers as (select * from customer where c_mktsegment <> 'BUILDING') "
+    "with customers as (select * replace (case when c_mktsegment = 'BUILDING' then -1 - c_custkey else c_custkey end as c_custkey) from customer) "
     + "\nunion all ".join(_link_sql(*(x.replace("customer", "customers") if x == "customer" and i == 2 else x for i, x in enumerate(link))) for link in _LINKS).replace("'customers'", "'customer'")
 )
 def relationships(t):
-    """Foreign keys found by name and type among key candidates, and how well they hold."""
-    tables = {
-        "customer": t.customer, "nation": t.nation, "orders": t.orders, "region": t.region,
-        "lineitem": t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag"),
-    }
+    """Foreign keys found by name and type among key candidates, over whole tables, and how well they hold."""
+    names = ("customer", "nation", "orders", "region", "lineitem", "part", "supplier", "events")
+    tables = {n: getattr(t, n) for n in names}
     links = R.candidate_links(P.key_profile(tables))
-    kept = t.customer.filter(F.col("c_mktsegment") != "BUILDING")
+    key = F.col("c_custkey")
+    kept = t.customer.withColumn("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", -1 - key).otherwise(key))
     return R.relationships({**tables, "customer": kept}, links, min_match=50.0)
