@@ -399,7 +399,7 @@ def relationships(t):
     """Foreign keys found by name and type among key candidates, over whole tables, and how well they hold."""
     names = ("customer", "nation", "orders", "region", "lineitem", "part", "supplier", "events")
     tables = {n: getattr(t, n) for n in names}
-    links = R.candidate_links(P.key_profile(tables))
+    links = R.candidate_links(P.key_profile(tables, R.linkable_columns(tables)))
     key = F.col("c_custkey")
     kept = t.customer.withColumn("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", -1 - key).otherwise(key))
     return R.relationships({**tables, "customer": kept}, links, min_match=50.0)

@@ -135,9 +135,9 @@ def _percentages(total: Column, present: Column, distinct: Column) -> list[Colum
     ]
 
 
-def key_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The part of a profile that finding keys needs: null and distinct counts."""
-    parts, listed_columns = _parts(tables)
+def key_profile(tables: Mapping[str, DataFrame], columns: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
+    """The part of a profile that finding keys needs: null and distinct counts, of all columns or of those named."""
+    parts, listed_columns = _parts(tables, columns)
     counts, n = _value_counts(parts), F.col("count")
     stats = counts.groupBy("id").agg(
         F.sum(n).alias("__total"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from layerkit.functions.columns import col
 from layerkit.operators.ordered import partition_no, range_sorted
 from layerkit.profiling.findings import is_key_candidate
-from layerkit.profiling.profile import as_text
+from layerkit.profiling.profile import as_text, type_name
 
 
 def _stem(table: str, column: str) -> str:
@@ -23,6 +23,25 @@ def _stem(table: str, column: str) -> str:
     return name.split("_", 1)[1] if "_" in name else name
 
 
+def linkable_columns(tables: Mapping[str, DataFrame]) -> dict[str, list[str]]:
+    """Columns of each table that share type and name stem with a column, or the name, of another table.
+
+    Only these can be an end of a link, so only these need a profile. Reads no data.
+    """
+    keys = [(t, f.name, (_stem(t, f.name), type_name(f.dataType))) for t, df in tables.items() for f in df.schema.fields]
+    held: dict[tuple[str, str], set[str]] = {}
+    for table, _, key in keys:
+        held.setdefault(key, set()).add(table)
+    names = {t.lower(): t for t in tables}
+
+    def linkable(table: str, key: tuple[str, str]) -> bool:
+        by_name = names.get(key[0], table) != table  # a child named after its parent
+        parent = held.get((table.lower(), key[1]), set()) - {table}  # any key of a parent that a child is named after
+        return bool(held[key] - {table}) or by_name or bool(parent)
+
+    return {t: [c for table, c, key in keys if table == t and linkable(t, key)] for t in tables}
+
+
 def candidate_links(profiles: DataFrame, threshold: float = 99.0) -> list[tuple[str, str, str, str]]:
     """Pairs (child table, column, parent table, column) with one type and one name stem.
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from layerkit.functions.columns import col
@@ -119,16 +120,29 @@ def read_since(df: DataFrame, column: str, value) -> DataFrame:
     return df.filter(col(column) > (value if isinstance(value, Column) else F.lit(value)))
 
 
-def _drop_head_lines(n: int):
+# A line that ends inside a quoted cell.
+_OPEN_QUOTE = r'(^|,)\s*"([^"]|"")*$'
+
+
+def _drop_head_lines(n: int, names: list[str] | None, strict: bool):
     """Drop the first ``n`` lines of every file; later blocks of a file pass through.
 
     ``head`` is the file's hash in its first block and 0 elsewhere. Rows of a
-    block arrive together and in file order, as the scan gives them.
+    block arrive together and in file order, as the scan gives them. With
+    ``names`` the last line dropped is the header: it must give them in this
+    order, or, unless ``strict``, at least not in another one.
     """
 
+    def check(line: str) -> None:
+        found = next(csv.reader([line]), [])
+        if found != names and (strict or sorted(found) == sorted(names)):
+            raise ValueError(f"a file has the columns {', '.join(found)}, not {', '.join(names)}")
+
     def drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, seen = 0, 0
         for batch in batches:
+            if pc.any(pc.match_substring_regex(batch.column(0), _OPEN_QUOTE)).as_py():
+                raise ValueError("a quoted cell spans lines; read such files with read_csv and multiLine")
             head = np.asarray(batch.column(1))
             keep = np.ones(len(head), dtype=bool)
             edges = [0, *(np.flatnonzero(np.diff(head)) + 1), len(head)]
@@ -138,6 +152,8 @@ def _drop_head_lines(n: int):
                 if head[begin] != current:
                     current, seen = head[begin], 0
                 if current != 0:
+                    if names and seen < n <= seen + end - begin:
+                        check(batch.column(0)[int(begin + n - 1 - seen)].as_py())
                     keep[begin : begin + max(0, min(n - seen, end - begin))] = False
                     seen += end - begin
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=["value"])
@@ -154,9 +170,12 @@ def read_csv_skip(
 ) -> DataFrame:
     """CSV files with ``skip`` lines before the header, split and read in parallel.
 
-    Without a schema the header of the first file names the columns, all text.
-    Records may not span lines. Nothing is shuffled.
+    Without a schema the header of the first file names the columns, all text,
+    and a file with another header raises as it is read. With a schema columns
+    go by position, and a header that has its names in another order raises.
+    Cells may not span lines; one that does raises. Nothing is shuffled.
     """
+    strict = schema is None
     lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
     if schema is None:
         first = list_files(spark, path, glob).orderBy("path").limit(1).collect()[0]["path"]
@@ -169,6 +188,6 @@ def read_csv_skip(
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     head = F.when(F.col("_metadata.file_block_start") == 0, F.xxhash64("_metadata.file_path")).otherwise(F.lit(0))
     rows = lines.select("value", head.cast("bigint").alias("head")).mapInArrow(
-        _drop_head_lines(skip + int(header)), "value string"
+        _drop_head_lines(skip + int(header), schema.names if header else None, strict), "value string"
     )
-    return rows.filter(F.length(F.trim("value")) > 0).select(F.from_csv("value", _ddl(schema)).alias("r")).select("r.*")
+    return rows.filter(F.length(F.trim("value")) > 0).select(F.from_csv("value", _ddl(schema), {"escape": '"'}).alias("r")).select("r.*")

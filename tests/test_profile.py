@@ -250,3 +250,15 @@ def test_ends_of_whole_numbers_and_decimals_are_exact(spark):
     df = spark.createDataFrame([(9007199254740993, Decimal("0.1000000000000000001")), (-9007199254740993, Decimal("12345678901234567.7")), (None, None)], "n bigint, d decimal(38,19)")
     found = {r.column_name: (r.min_exact, r.max_exact) for r in P.profile(df, "t").collect()}
     assert found == {"n": ("-9007199254740993", "9007199254740993"), "d": ("0.1000000000000000001", "12345678901234567.7000000000000000000")}
+
+
+def test_linkable_columns_hold_both_ends_of_every_link(spark):
+    tables = {
+        "customer": spark.createDataFrame([(i, f"n{i}", 1.5) for i in range(20)], "c_custkey bigint, c_name string, c_score double"),
+        "orders": spark.createDataFrame([(i, i % 20, "x") for i in range(40)], "o_id bigint, customer_id bigint, note string"),
+        "returns": spark.createDataFrame([(i,) for i in range(9)], "r_custkey bigint"),
+    }
+    some = R.linkable_columns(tables)
+    assert some == {"customer": ["c_custkey"], "orders": ["customer_id"], "returns": ["r_custkey"]}
+    links = R.candidate_links(P.key_profile(tables, some))
+    assert links == R.candidate_links(P.key_profile(tables)) and ("orders", "customer_id", "customer", "c_custkey") in links

@@ -166,3 +166,17 @@ def test_a_hot_value_is_spread_over_files(spark, tmp_path):
 def test_export(spark, tmp_path):
     S.export_csv(spark.range(10), str(tmp_path / "csv"), limit=4)
     assert R.read_csv(spark, str(tmp_path / "csv"), "id long").count() == 4
+
+
+def test_files_with_other_headers_or_quoted_line_ends_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\nid,name\n1,Ann\n2,\"B, \"\"C\"\"\"\n3,5\" pipe\n")
+    folder = str(tmp_path)
+    assert sorted(r.name for r in R.read_csv_skip(spark, folder, 1).collect()) == ["5\" pipe", "Ann", "B, \"C\""]
+    (tmp_path / "b.csv").write_text("x\nname,id\nBob,2\n")
+    for schema in (None, T.StructType.fromDDL("id string, name string")):
+        with pytest.raises(Exception, match="has the columns name, id"):
+            R.read_csv_skip(spark, folder, 1, schema).collect()
+    assert R.read_csv_skip(spark, folder, 1, T.StructType.fromDDL("p string, q string")).count() == 4
+    (tmp_path / "b.csv").write_text("x\nid,name\n4,\"one\ntwo\"\n")
+    with pytest.raises(Exception, match="spans lines"):
+        R.read_csv_skip(spark, folder, 1).collect()
