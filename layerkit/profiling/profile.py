@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from layerkit.functions.columns import as_list, col, require
+from layerkit.session import stage
 from layerkit.sources.sinks import export_csv, export_json
 
 # Text patterns in order of preference, and the share that must match.
@@ -83,47 +84,57 @@ def _parts(
     return parts, parts[0].df.sparkSession.range(0, 1, 1, 1).select(F.inline(listed))
 
 
-def _cells(parts: list[_Part]) -> DataFrame:
-    """All tables stacked as (column number, value as text, value as number)."""
+def _is_exact(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.IntegralType, T.DecimalType))
 
-    def cell(i: int, field: T.StructField) -> Column:
-        number = col(field.name).cast("double") if isinstance(field.dataType, T.NumericType) else F.lit(None).cast("double")
-        return F.struct(F.lit(i).alias("id"), as_text(field).alias("value"), number.alias("number"))
 
-    stacked = [p.df.select(F.inline(F.array(*[cell(i, f) for i, f in p.fields]))) for p in parts if p.fields]
-    return reduce(DataFrame.union, stacked)
+def _column_stats(i: int, field: T.StructField, distinct_error: float | None) -> Column:
+    """All that one pass over a column gives without moving its values."""
+    c, value, kind = col(field.name), as_text(field), field.dataType
+    none = lambda t: F.lit(None).cast(t)
+    number = c.cast("double") if isinstance(kind, T.NumericType) else None
+    width = F.length(value) if isinstance(kind, T.StringType) else None
+    ends = type_name(kind) == "datetime2" or _is_exact(kind)
+    return F.struct(
+        F.lit(i).alias("id"),
+        F.count(F.lit(1)).alias("__total"),
+        F.count(c).alias("__present"),
+        (F.approx_count_distinct(value, distinct_error) if distinct_error else none("bigint")).alias("__near"),
+        (F.min(number) if number is not None else none("double")).alias("__low"),
+        (F.max(number) if number is not None else none("double")).alias("__high"),
+        (F.avg(number) if number is not None else none("double")).alias("__mean"),
+        (F.min(width) if width is not None else none("int")).alias("__short"),
+        (F.max(width) if width is not None else none("int")).alias("__long"),
+        (F.avg(width) if width is not None else none("double")).alias("__width"),
+        (F.min(c).cast("string") if ends else none("string")).alias("__first"),
+        (F.max(c).cast("string") if ends else none("string")).alias("__last"),
+        *[(F.count_if(value.rlike(regex)) if width is not None else none("bigint")).alias(f"__{name}") for name, regex in PATTERNS],
+    )
 
 
-def _value_counts(parts: list[_Part]) -> DataFrame:
-    """Rows per (column, value) over all columns in one grouping, nulls included.
+def _stats(parts: list[_Part], distinct_error: float | None) -> DataFrame:
+    """One row per column, by one aggregate per table: only its results are shuffled."""
+    each = [p.df.agg(F.array(*[_column_stats(i, f, distinct_error) for i, f in p.fields]).alias("s")).select(F.inline("s")) for p in parts if p.fields]
+    return reduce(DataFrame.union, each)
 
-    The number goes with the value. As a key, unlike an aggregate, it is never
-    pruned, so that all uses of the counts share one shuffle.
-    """
-    return _cells(parts).groupBy("id", "value", "number").agg(F.count(F.lit(1)).alias("count"))
 
+def _distinct_counts(parts: list[_Part]) -> DataFrame:
+    """Distinct values of each column, told apart by digests of 128 bits: long values are never moved."""
 
-def _is_exact(data_type: T.DataType) -> bool:
-    return isinstance(data_type, (T.IntegralType, T.DecimalType))
+    def cell(i: int, field: T.StructField) -> Column:
+        value = as_text(field)
+        return F.struct(F.lit(i).alias("id"), F.xxhash64(value).alias("a"), F.xxhash64(value, F.lit(i)).alias("b"), value.isNull().alias("none"))
 
+    stacked = [p.df.select(F.inline(F.array(*[cell(i, f) for i, f in p.fields]))) for p in parts if p.fields]
+    found = reduce(DataFrame.union, stacked).where(~F.col("none")).select("id", "a", "b").distinct()
+    return found.groupBy(F.col("id").alias("__counted")).agg(F.count(F.lit(1)).alias("__distinct"))
 
-def _ranges(parts: list[_Part]) -> DataFrame | None:
-    """First and last value, as text, of every column of dates, whole numbers or decimals."""
-    found = []
-    for part in parts:
-        dated = [(i, f.name) for i, f in part.fields if type_name(f.dataType) == "datetime2" or _is_exact(f.dataType)]
-        if dated:
-            ends = part.df.agg(*[F.struct(F.min(col(n)), F.max(col(n))).alias(f"d{i}") for i, n in dated])
-            rows = [
-                F.struct(
-                    F.lit(i).alias("__dated"),
-                    F.col(f"d{i}")["col1"].cast("string").alias("__first"),
-                    F.col(f"d{i}")["col2"].cast("string").alias("__last"),
-                )
-                for i, _ in dated
-            ]
-            found.append(ends.select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.union, found) if found else None
+
+def _value_counts(parts: list[_Part]) -> DataFrame:
+    """Rows per (column, value) over columns of few values."""
+    cell = lambda i, f: F.struct(F.lit(i).alias("id"), as_text(f).alias("value"))
+    stacked = [p.df.select(F.inline(F.array(*[cell(i, f) for i, f in p.fields]))) for p in parts if p.fields]
+    return reduce(DataFrame.union, stacked).where("value is not null").groupBy("id", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _percentages(total: Column, present: Column, distinct: Column) -> list[Column]:
@@ -138,14 +149,15 @@ def _percentages(total: Column, present: Column, distinct: Column) -> list[Colum
 def key_profile(tables: Mapping[str, DataFrame], columns: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
     """The part of a profile that finding keys needs: null and distinct counts, of all columns or of those named."""
     parts, listed_columns = _parts(tables, columns)
-    counts, n = _value_counts(parts), F.col("count")
-    stats = counts.groupBy("id").agg(
-        F.sum(n).alias("__total"),
-        F.sum(F.when(F.col("value").isNotNull(), n)).alias("__present"),
-        F.count("value").alias("__distinct"),
-    )
+    counts = [
+        p.df.agg(F.array(*[
+            F.struct(F.lit(i).alias("id"), F.count(F.lit(1)).alias("__total"), F.count(col(f.name)).alias("__present")) for i, f in p.fields
+        ]).alias("s")).select(F.inline("s"))
+        for p in parts if p.fields
+    ]
+    found = reduce(DataFrame.union, counts).join(_distinct_counts(parts), F.col("id") == F.col("__counted"), "left").drop("__counted")
     total, present, distinct = (F.coalesce(c, F.lit(0)).cast("bigint") for c in ("__total", "__present", "__distinct"))
-    return listed_columns.join(stats, "id", "left").select(
+    return listed_columns.join(found, "id", "left").select(
         "table_name", "position", "column_name", "data_type", total.alias("total_count"),
         *_percentages(total, present, distinct),
     )
@@ -158,58 +170,33 @@ def profile_all(
 ) -> DataFrame:
     """Profiles of several tables, by one plan over all of them: see :func:`profile`."""
     parts, listed_columns = _parts(tables, columns)
-    if distinct_error:
-        weighted = _cells(parts).withColumn("count", F.lit(1).cast("bigint"))
-        distinct = F.approx_count_distinct("value", distinct_error)
+    if not any(p.fields for p in parts):
+        raise ValueError("no columns to profile")
+    stats = _stats(parts, distinct_error)
+    if not distinct_error:
+        stats = stats.join(_distinct_counts(parts), F.col("id") == F.col("__counted"), "left").drop("__counted")
     else:
-        counts = weighted = _value_counts(parts)
-        distinct = F.count("value")
-    n, value, number = F.col("count"), F.col("value"), F.col("number")
-    is_text = F.col("id").isin([i for p in parts for i, f in p.fields if isinstance(f.dataType, T.StringType)])
-    width = F.when(is_text, F.length(value))
-    present = F.sum(F.when(value.isNotNull(), n))
-    stats = weighted.groupBy("id").agg(
-        F.sum(n).alias("__total"),
-        present.alias("__present"),
-        distinct.alias("__distinct"),
-        F.min(number).alias("__low"),
-        F.max(number).alias("__high"),
-        (F.sum(number * n) / F.sum(F.when(number.isNotNull(), n))).alias("__mean"),
-        F.min(width).alias("__short"),
-        F.max(width).alias("__long"),
-        (F.sum(width * n) / present).alias("__width"),
-        *[F.sum(F.when(is_text & value.rlike(regex), n)).alias(f"__{name}") for name, regex in PATTERNS],
-    )
-
-    if distinct_error:
-        # One row per column comes to the driver; twice the limit allows for the estimate's error.
-        few = {r[0] for r in stats.filter(F.col("__distinct") <= 2 * LISTED_DISTINCT).select("id").collect()}
-        counted = [p._replace(fields=[(i, f) for i, f in p.fields if i in few]) for p in parts]
-        counts = _value_counts(counted if few else [parts[0]._replace(fields=parts[0].fields[:1])])
-    # At most one row per column. Uses the counts, to share their shuffle; and an
-    # inner join, as a semi join would be moved below the grouping.
-    sizes = counts.groupBy("id").agg(F.count("value").alias("__exact"), F.sum("count").alias("__rows"))
-    kept = sizes.filter((F.col("__exact") <= LISTED_DISTINCT) & (F.col("__rows") > 0)).select(
-        F.col("id").alias("__kept"), "__exact"
-    )
-    frequent = Window.partitionBy("id").orderBy(F.col("count").desc(), F.col("value"))
-    top = (
-        counts.join(F.broadcast(kept), F.col("id") == F.col("__kept"))
-        .filter(value.isNotNull())
-        .withColumn("__rank", F.row_number().over(frequent))
-        .filter(F.col("__rank") <= TOP_VALUES)
-        .groupBy(F.col("id").alias("__kept"))
-        .agg(
+        stats = stats.withColumn("__distinct", F.col("__near"))
+    stats = stage(stats, "profile")
+    # One row per column comes to the driver; twice the limit allows for an estimate's error.
+    few = {r[0] for r in stats.filter(F.col("__distinct") <= LISTED_DISTINCT * (2 if distinct_error else 1)).select("id").collect()}
+    counted = [p._replace(fields=[(i, f) for i, f in p.fields if i in few]) for p in parts]
+    found = listed_columns.join(stats, "id", "left")
+    if any(p.fields for p in counted):
+        # At most twice ten rows per column.
+        counts = _value_counts(counted)
+        frequent = Window.partitionBy("id").orderBy(F.col("count").desc(), F.col("value"))
+        ranked = counts.withColumn("__rank", F.row_number().over(frequent)).withColumn("__exact", F.count(F.lit(1)).over(Window.partitionBy("id")))
+        top = ranked.groupBy(F.col("id").alias("__kept")).agg(
             F.max("__exact").alias("__exact"),
-            F.array_sort(F.collect_list(F.struct("__rank", "value", "count"))).alias("__top"),
+            F.array_sort(F.collect_list(F.when(F.col("__rank") <= TOP_VALUES, F.struct("__rank", "value", "count")))).alias("__top"),
         )
-    )
-    found = listed_columns.join(stats, "id", "left").join(top, F.col("id") == F.col("__kept"), "left")
-    dates = _ranges(parts)
-    if dates is not None:
-        found = found.join(dates, F.col("id") == F.col("__dated"), "left")
-    none = F.lit(None).cast("string")
-    first, last = (F.col("__first"), F.col("__last")) if dates is not None else (none, none)
+        found = found.join(top, F.col("id") == F.col("__kept"), "left")
+        found = found.withColumn("__top", F.when(F.col("__exact") <= LISTED_DISTINCT, F.col("__top")))
+    else:
+        nothing = "array<struct<__rank:int,value:string,count:bigint>>"
+        found = found.withColumns({"__exact": F.lit(None).cast("bigint"), "__top": F.lit(None).cast(nothing)})
+    first, last = F.col("__first"), F.col("__last")
     is_date = F.col("data_type") == "datetime2"
 
     total = F.coalesce("__total", F.lit(0)).cast("bigint")
@@ -245,12 +232,11 @@ def profile(
 ) -> DataFrame:
     """One row per column: counts, distinct values, range, lengths, pattern and top values.
 
-    The table is stacked and counted per (column, value) by one grouping, which
-    combines before its shuffle; all else follows from these counts. On tables
-    where most columns are nearly unique that moves the whole table once;
-    ``distinct_error`` (a relative standard deviation) then estimates distinct
-    values without it, and only columns estimated to hold few are grouped.
-    The plan does not grow with the number of columns.
+    Counts, ranges, lengths and patterns come from one aggregate, which moves
+    none of the values. Distinct values are counted by digests of fixed width;
+    ``distinct_error`` (a relative standard deviation) estimates them in that
+    aggregate instead, without moving anything. Only columns that hold few values
+    are then grouped by value. Runs one job, whose result is staged.
     """
     return profile_all({table: df}, distinct_error, None if columns is None else {table: as_list(columns)})
 
