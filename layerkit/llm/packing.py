@@ -25,8 +25,8 @@ from layerkit.session import stage
 
 CAPACITY = 2048
 # Search steps for the fillings of one sequence, fillings kept for it, and
-# sequences tried in all; beyond them the best plan so far stands.
-FILL_STEPS, FILLINGS, NODES = 2000, 4, 20_000
+# fillings tried in all; beyond them the best plan so far stands.
+FILL_STEPS, FILLINGS, NODES = 1000, 16, 6000
 _DEEP = 60
 
 # A plan: how often a filling is used, and its lengths from the largest on.
@@ -88,58 +88,57 @@ def fillings(lengths: list[int], counts: dict[int, int], first: int, capacity: i
     may be used with itself.
     """
     found: dict[tuple[int, ...], int] = {}
-    steps = 0
+    left = dict(counts)
+    steps = exact = 0
 
     def dominated(filling: tuple[int, ...], room: int) -> bool:
-        if not room:
-            return False
-        used = Counter(filling)
         for k in {0, *filling[1:]}:
-            # the longest length that fits in place of k (0: besides all)
+            # a length that fits in place of k (0: besides all)
             at = bisect_left(lengths, k + room + 1) - 1
             while at >= 0 and lengths[at] > k:
-                if counts[lengths[at]] > used[lengths[at]]:
+                if left[lengths[at]]:
                     return True
                 at -= 1
         return False
 
-    def search(filling: tuple[int, ...], room: int, most: int) -> None:
-        nonlocal steps
+    def fill_up(filling: tuple[int, ...], room: int, most: int) -> None:
+        """The rest from the longest on."""
+        for k in reversed(lengths[: bisect_left(lengths, min(most, room) + 1)]):
+            n = min(room // k, left[k])
+            filling, room = filling + (k,) * n, room - k * n
+        found[filling] = room
+
+    def search(filling: tuple[int, ...], room: int, most: int) -> bool:
+        """Extend a filling; false when it is time to stop."""
+        nonlocal steps, exact
         steps += 1
-        used = Counter(filling)
-        if len(filling) >= _DEEP:  # many short lengths: the rest from the longest on
-            for k in reversed(lengths[: bisect_left(lengths, most + 1)]):
-                n = min(room // k, counts[k] - used[k])
-                filling, room = filling + (k,) * n, room - k * n
-            found[filling] = room
-            return
-        if counts.get(room, 0) > used[room] and room <= most:
+        if room <= most and left.get(room):
             found[(*filling, room)] = 0
-            return
-        at = bisect_left(lengths, min(room, most) + 1) - 1
-        grown = False
+            exact += 1
+            return exact < FILLINGS
+        if len(filling) >= _DEEP or steps >= FILL_STEPS:
+            fill_up(filling, room, most)
+            return steps < FILL_STEPS
+        at, grown = bisect_left(lengths, min(room, most) + 1) - 1, False
         while at >= 0:
             k = lengths[at]
             at -= 1
-            if counts[k] <= used[k]:
+            if not left[k]:
                 continue
             grown = True
-            search((*filling, k), room - k, k)
-            # A filling without any waste cannot be bettered; a few of them are choice enough.
-            if steps >= FILL_STEPS or sum(1 for w in found.values() if not w) >= FILLINGS:
-                return
-        if not grown and not dominated(filling, room):
+            left[k] -= 1
+            go_on = search((*filling, k), room - k, k)
+            left[k] += 1
+            if not go_on:
+                return False
+        if not grown and not (room and dominated(filling, room)):
             found[filling] = room
+        return True
 
+    left[first] -= 1
     search((first,), capacity - first, capacity)
-    if not found:  # the steps ran out before any end was reached
-        filling, room, used = (first,), capacity - first, Counter([first])
-        for k in reversed(lengths):
-            n = min(room // k, counts[k] - used[k])
-            filling, room = filling + (k,) * n, room - k * n
-        found[filling] = room
-    # Least waste first; among equals the one of fewer and longer lengths, which keeps the short ones for later.
-    return [f for f, _ in sorted(found.items(), key=lambda x: (x[1], len(x[0])))][:FILLINGS]
+    # Least waste first; among equals the one whose lengths are the most frequent, lest a hot length is left for last.
+    return [f for f, _ in sorted(found.items(), key=lambda x: (x[1], -sum(counts[k] for k in x[0]) / len(x[0])))][:FILLINGS]
 
 
 def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
