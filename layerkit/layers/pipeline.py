@@ -13,7 +13,7 @@ from layerkit.operators.ordered import dedup_latest
 from layerkit.operators.project import add_load_lineage, to_clean_lineage
 from layerkit.operators.recipe import run_recipe
 from layerkit.quality import Check, referential, required_checks, run_checks
-from layerkit.sources.changes import merge
+from layerkit.sources.changes import merge_table
 from layerkit.sources.readers import read_since
 from layerkit.sources.sinks import TableStore
 
@@ -52,11 +52,9 @@ def build_silver(
         raw = read_since(raw, "_load_timestamp", since)
     clean = run_recipe(raw, steps)
     clean = to_clean_lineage(dedup_latest(clean, keys, list(order_by)), load_id, built_at)
-    if mode == "merge" and store.exists(name):
-        clean = merge(store.read(name), clean, keys, check=False)
-    elif mode not in ("merge", "refresh"):
+    if mode not in ("merge", "refresh"):
         raise ValueError(f"unknown mode: {mode}")
-    written = store.write_silver(clean, name)
+    written = merge_table(store, name, clean, keys, check=False) if mode == "merge" else store.write_silver(clean, name)
     return run_checks(written, name, [*required_checks("silver", keys), *checks])
 
 
@@ -72,9 +70,7 @@ def build_dimension(
 
 def store_dimension(store: TableStore, name: str, dimension: DataFrame, key_name: str) -> DataFrame:
     """Merge a dimension into its stored table by surrogate key."""
-    if store.exists(name):
-        dimension = merge(store.read(name), dimension, key_name)
-    written = store.write_silver(dimension, name)
+    written = merge_table(store, name, dimension, key_name)
     return run_checks(written, name, required_checks("dimension", [key_name]))
 
 

@@ -9,11 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from layerkit.functions.columns import as_list, col, require
 from layerkit.functions.numbers import key_hash
-from layerkit.session import stage
-from layerkit.sources.sinks import write_partitioned
-
-# Partition column of a bucketed table.
-BUCKET = "_bucket"
+from layerkit.session import estimated_bytes, stage
+from layerkit.sources.sinks import BUCKET, TableStore, write_partitioned
 
 
 class DuplicateKeys(ValueError):
@@ -37,6 +34,14 @@ def _equal(pairs: Iterable[tuple[str, str]], null_safe: bool = False) -> Column:
     return reduce(lambda x, y: x & y, tests)
 
 
+def _no_more(target: DataFrame, source: DataFrame) -> list[str]:
+    """No columns; raises when the source has some that the target lacks."""
+    extra = [c for c in source.columns if c not in target.columns]
+    if extra:
+        raise ValueError(f"columns not in the target: {', '.join(extra)}")
+    return []
+
+
 def merge(
     target: DataFrame,
     source: DataFrame,
@@ -60,12 +65,15 @@ def merge(
     keys = as_list(keys)
     require(target, keys)
     require(source, keys)
-    extra = [c for c in source.columns if c not in target.columns]
-    if extra and not evolve:
-        raise ValueError(f"columns not in the target: {', '.join(extra)}")
+    extra = [c for c in source.columns if c not in target.columns] if evolve else _no_more(target, source)
     source = stage(source, "merge-source")
     if check:
         require_unique(source, keys)
+    return _merged(target, source, keys, extra, update_when, set)
+
+
+def _merged(target: DataFrame, source: DataFrame, keys: list[str], extra: list[str], update_when, set) -> DataFrame:
+    """:func:`merge` of a staged source."""
     named = {c: f"__s_{c}" for c in source.columns}
     changed = source.select(*[col(c).alias(n) for c, n in named.items()], F.lit(True).alias("__matched"))
     joined = target.join(changed, _equal((k, named[k]) for k in keys), "left")
@@ -131,13 +139,51 @@ def merge_buckets(
     target = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched))
     if set is None:
         set = {c: c for c in source.columns if c not in keys and c != BUCKET}
-    merged = stage(merge(target, source, [BUCKET, *keys], update_when, set, check=False), "merge")
+    merged = stage(_merged(target, source, [BUCKET, *keys], _no_more(target, source), update_when, set), "merge")
     merged.hint("rebalance", F.col(BUCKET)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         BUCKET
     ).parquet(path)
     return len(touched)
 
 
+def merge_table(
+    store: TableStore,
+    name: str,
+    source: DataFrame,
+    keys: str | Iterable[str],
+    update_when: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    buckets: int | None = None,
+    check: bool = True,
+    notes: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Upsert into a table of a store, which lies in key buckets: only those the source touches are written anew.
+
+    ``buckets`` counts when the table is first merged: by default one for each
+    128 MB that it holds then, and 8 at least; pass more for one that will grow. A table that was written whole until then is
+    bucketed by its first merge. The new version holds the touched buckets; the
+    others are read from the versions that wrote them.
+    """
+    keys = as_list(keys)
+    notes = store.notes(name) if notes is None else notes
+    source = stage(source, "merge-source")
+    if check:
+        require_unique(source, keys)
+    version, count = store.version(name), store.bucket_count(name)
+    if not count:
+        target = store.read(name) if version else None
+        whole = _merged(target, source, keys, _no_more(target, source), update_when, None) if version else source
+        size = sum(estimated_bytes(df) or 0 for df in (target, source) if df is not None)
+        count, layout, schema = buckets or max(8, size >> 27), {}, whole.schema
+    else:
+        layout, schema = store.layout(name, version), store.read(name).schema
+        touched = [r[0] for r in source.select(bucket_of(keys, count)).distinct().collect()]  # one number per bucket at most
+        target = store.read_buckets(name, {b: v for b, v in layout.items() if b in touched}, schema)
+        whole = _merged(target, source, keys, _no_more(target, source), update_when, None)
+    whole = stage(whole.withColumn(BUCKET, bucket_of(keys, count)), "merged")
+    written = [r[0] for r in whole.select(BUCKET).distinct().collect()]
+    return store.write_buckets(whole, name, layout | {b: version + 1 for b in written}, count, schema, notes)
+
+
 def table_changes(old: DataFrame, new: DataFrame, keys: str | Iterable[str], check: bool = True) -> DataFrame:
     """Changes that turn ``old`` into ``new``, with ``_change_type`` as
     insert, update_preimage, update_postimage or delete. Keys may not repeat."""

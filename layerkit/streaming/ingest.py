@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from layerkit.functions.columns import as_list, sort_keys
 from layerkit.operators.ordered import dedup_latest
 from layerkit.operators.project import add_load_lineage
-from layerkit.sources.changes import merge
+from layerkit.sources.changes import merge_table
 from layerkit.sources.sinks import TableStore
 
 
@@ -62,19 +62,18 @@ def merge_silver(
         if int(notes.get(owner, -1)) >= batch_id:
             return
         newest = dedup_latest(batch, keys, order)
-        if store.exists(name):
-            # Rows of earlier batches may be newer in their own order.
-            def newer(target, source):
-                older, same = F.lit(False), F.lit(True)
-                for key in order:
-                    was, now = target(key.name), source(key.name)
-                    low, high = (now, was) if key.descending else (was, now)
-                    older = older | (same & F.coalesce(low < high, low.isNull() & high.isNotNull()))
-                    same = same & was.eqNullSafe(now)
-                return older | same
-
-            newest = merge(store.read(name), newest, keys, update_when=newer, check=False)
-        store.write_silver(newest, name, notes=notes | {owner: str(batch_id)})
+
+        # Rows of earlier batches may be newer in their own order.
+        def newer(target, source):
+            older, same = F.lit(False), F.lit(True)
+            for key in order:
+                was, now = target(key.name), source(key.name)
+                low, high = (now, was) if key.descending else (was, now)
+                older = older | (same & F.coalesce(low < high, low.isNull() & high.isNotNull()))
+                same = same & was.eqNullSafe(now)
+            return older | same
+
+        merge_table(store, name, newest, keys, update_when=newer, check=False, notes=notes | {owner: str(batch_id)})
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

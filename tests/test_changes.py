@@ -118,3 +118,27 @@ def test_merge_rewrites_only_touched_buckets(spark, tmp_path):
     want = [(i, "new" if i == 5 else "old") for i in range(200)] + [(777, "added")]
     assert rows(after.select("id", "v")) == sorted(want, key=repr)
     assert M.merge_buckets(spark, path, source.limit(0), "id", 16) == 0
+
+
+def test_a_merged_table_rewrites_only_touched_buckets(spark, tmp_path):
+    import os
+
+    from layerkit.sources.sinks import TableStore
+
+    store = TableStore(spark, str(tmp_path))
+    table = lambda rows: spark.createDataFrame(rows, "k bigint, v string")
+    assert M.merge_table(store, "silver_t", table([]), "k", buckets=8).count() == 0
+    want = {i: "a" for i in range(100)}
+    M.merge_table(store, "silver_t", table(list(want.items())), "k", notes={"by": "me"})
+    for n, step in enumerate(([(5, "b")], [(5, "c"), (100, "new")], [], [(7, "d")])):
+        out = M.merge_table(store, "silver_t", table(step), "k", notes={"by": f"step {n}"})
+        want |= dict(step)
+        assert dict(map(tuple, out.collect())) == want and store.notes("silver_t") == {"by": f"step {n}"}
+        folder = f"{tmp_path}/silver_t/version={store.version('silver_t')}"
+        assert len([d for d in os.listdir(folder) if d.startswith("_bucket=")]) <= len(step)
+    before = store.read("silver_t", store.version("silver_t") - 1)
+    assert dict(map(tuple, before.collect())) == want | {7: "a"}
+    store.write_silver(table([(1, "whole")]), "silver_t")
+    assert store.bucket_count("silver_t") == 0 and store.read("silver_t").count() == 1
+    out = M.merge_table(store, "silver_t", table([(2, "x")]), "k", buckets=4)
+    assert dict(map(tuple, out.collect())) == {1: "whole", 2: "x"} and store.bucket_count("silver_t") == 4

@@ -60,15 +60,15 @@ def test_a_replayed_batch_changes_nothing(spark, place, monkeypatch):
     store, landing, checkpoint = place
     drop(spark, landing, "a", [(1, 5, "five")])
     applied = []
-    whole = store.write_silver
+    write = store.write_buckets
 
-    def twice(df, name, **kwargs):  # the batch is written, then the stream fails before it notes so
-        applied.append(kwargs["notes"])
-        whole(df, name, **kwargs)
+    def failing(*args):  # the batch is written, then the stream fails before it notes so
+        applied.append(args)
+        write(*args)
         if len(applied) == 1:
             raise RuntimeError("lost")
 
-    monkeypatch.setattr(store, "write_silver", twice)
+    monkeypatch.setattr(store, "write_buckets", failing)
     run = lambda: I.merge_silver(
         store, I.stream_folder(spark, landing, SCHEMA), "silver_t", "id", ["t"], checkpoint
     ).awaitTermination()
