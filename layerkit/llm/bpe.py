@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from layerkit.llm.common import blocks
+from layerkit.llm.common import begin, blocks, remember
 from layerkit.llm.tokens import default_tokenizer
 
 # Chunks held in memory per process.
@@ -127,6 +127,7 @@ class PairIndexBpe:
     @classmethod
     def at(cls, path: str) -> "PairIndexBpe":
         """The encoder of this process for a file."""
+        begin("bpe")
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
@@ -274,6 +275,9 @@ class PairIndexBpe:
         return np.diff(bounds), joined[0], joined[1]
 
 
+remember("bpe", PairIndexBpe._made.clear)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", digests: bool = False) -> DataFrame:
     """Ids and decoded text of each whole text, one row per row, no shuffle.
 

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from layerkit.session import RUNTIME_SETTINGS, estimated_bytes
@@ -33,6 +34,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# What the operators remember in a Python worker, by operator, and the one at work.
+_MEMORIES: dict[str, Callable[[], None]] = {}
+_AT_WORK: list[str] = []
+
+
+def remember(operator: str, forget: Callable[[], None]) -> None:
+    """Name the way to free what an operator remembers from task to task."""
+    _MEMORIES[operator] = forget
+
+
+def begin(operator: str) -> None:
+    """Free what other operators remember: a worker lives on from stage to stage, and serves one operator at a time."""
+    if _AT_WORK != [operator]:
+        for name, forget in _MEMORIES.items():
+            if name != operator:
+                forget()
+        _AT_WORK[:] = [operator]
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -92,3 +113,14 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[
             held, held_bytes = [], 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def runs(texts: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
+    """A text column in consecutive pieces of about ``size`` bytes, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop

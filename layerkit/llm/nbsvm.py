@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from layerkit.llm.common import bounded_sample, held_out, map_arrow
+from layerkit.llm.common import begin, bounded_sample, held_out, map_arrow, remember, runs
 
 # Buckets that n-grams are hashed into.
 BUCKETS = 1 << 16
@@ -46,18 +46,24 @@ def shape(chunk: str) -> str:
 class Shapes:
     """Hashes of the word and the shape of chunks, kept per process."""
 
-    known: dict[str, tuple[int, int]] = {}
+    known: dict[str, int] = {}
 
     @classmethod
     def of(cls, chunks: list[str]) -> np.ndarray:
-        if len(cls.known) > 500_000:
+        """Hash of the word and hash of the shape of each chunk."""
+        begin("shapes")
+        if len(cls.known) > 200_000:
             cls.known.clear()
         known = cls.known
         for c in chunks:
             if c not in known:
                 core = "".join(_LETTERS.findall(c.lower())) if not c.islower() or not c.isalpha() else c
-                known[c] = (zlib.crc32(core.encode()), zlib.crc32(shape(c).encode(), 7))
-        return np.array([known[c] for c in chunks], np.uint64).reshape(-1, 2)
+                known[c] = zlib.crc32(core.encode()) << 32 | zlib.crc32(shape(c).encode(), 7)
+        both = np.array([known[c] for c in chunks], np.uint64)
+        return np.stack([both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)], axis=1)
+
+
+remember("shapes", Shapes.known.clear)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +99,10 @@ class NbSvm:
     offset: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
+        """Probability of label 1 of each text, worked out in pieces that keep the arrays small."""
+        return np.concatenate([np.zeros(0), *(self._score(piece) for piece in runs(texts))])
+
+    def _score(self, texts: pa.Array) -> np.ndarray:
         rows, buckets = features(texts)
         n = np.maximum(np.bincount(rows, minlength=len(texts)), 1)
         margin = np.bincount(rows, self.weights[buckets], len(texts)) / np.sqrt(n) + self.bias
@@ -200,9 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     """
 
     def buckets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, found = features(batch.column("text"))
-        cuts = np.searchsorted(at, np.arange(1, batch.num_rows))
-        packed = [x.astype("<u2").tobytes() for x in np.split(found, cuts)]
+        packed = []
+        for piece in runs(batch.column("text")):
+            at, found = features(piece)
+            packed += [x.astype("<u2").tobytes() for x in np.split(found, np.searchsorted(at, np.arange(1, len(piece))))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], names=["doc_id", "label", "grams"])
 
     found = map_arrow(labelled(docs, labels, label, rows), buckets, "doc_id long, label int, grams binary")

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from layerkit.llm.common import map_arrow, texts_of
+from layerkit.llm.common import begin, map_arrow, texts_of
 from layerkit.llm.components import connected_components
 from layerkit.session import stage
 
@@ -50,6 +50,7 @@ def fingerprints(texts: DataFrame, words: int = 3) -> DataFrame:
     kept = [c for c in texts.columns if c != "text"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        begin("simhash")
         found = np.array([fingerprint(t, words) for t in texts_of(batch)], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.int64())], names=[*kept, "fp"])
 

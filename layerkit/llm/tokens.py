@@ -15,10 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from layerkit.llm.common import begin, remember
+
 # Letters, then ASCII signs other than the apostrophe: two pieces for the tokenizer.
 _WORD_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 # Chunks held in memory; beyond it the memory starts afresh.
-_MEMORY = 900_000
+_MEMORY = 500_000
 _JOINED = 20_000
 
 
@@ -53,6 +55,7 @@ class ChunkEncoder:
     @classmethod
     def at(cls, path: str) -> "ChunkEncoder":
         """The encoder of this process for a file, kept from task to task."""
+        begin("tokens")
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
@@ -99,3 +102,6 @@ class ChunkEncoder:
         flat = np.frombuffer(whole.buffers()[2] or b"", "<u4")[stops[0] : stops[-1]]
         edges = chunks.offsets.to_numpy()
         return flat, np.diff(stops[edges - edges[0]] - stops[0])
+
+
+remember("tokens", ChunkEncoder._made.clear)

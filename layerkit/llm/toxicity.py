@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from layerkit.llm.common import map_arrow
+from layerkit.llm.common import begin, map_arrow, remember, runs
 from layerkit.llm.nbsvm import labelled, logistic_curve, score_column
 
 # Labelled rows that stems and curve are learned from at most, about.
@@ -127,6 +127,11 @@ class Words:
         self.row = np.repeat(np.arange(len(lists)), np.diff(self.offsets))
 
 
+# Symbols of chunks, by model, that a worker has worked out.
+_SEEN: dict[int, dict[str, tuple[int, float, bool]]] = {}
+remember("toxicity", _SEEN.clear)
+
+
 @dataclass
 class Toxicity:
     """Weights of learned stems, and the curve from evidence to score."""
@@ -137,13 +142,14 @@ class Toxicity:
 
     def __post_init__(self):
         self.machine = grammar()
-        self._seen: dict[str, tuple[int, float, bool]] = {}
+        self._key = hash(frozenset(self.stems.items()))
 
     def symbol(self, chunk: str) -> tuple[int, float, bool]:
         """Symbol and weight of a chunk, and whether a clause ends with it."""
-        if chunk not in self._seen:
-            if len(self._seen) > 500_000:
-                self._seen.clear()
+        seen = _SEEN.setdefault(self._key, {})
+        if chunk not in seen:
+            if len(seen) > 150_000:
+                seen.clear()
             word = core(chunk)
             kind = _WORDS.get(word, OTHER)
             learned = max((self.stems[s] for s in stems(word) if s in self.stems), default=0.0)
@@ -152,8 +158,8 @@ class Toxicity:
             weight = max(learned, _SEED_WEIGHT) if kind in (INSULT, THREAT) else 0.0
             if kind == INSULT and word not in _WORDS:
                 weight = learned
-            self._seen[chunk] = (kind, weight, bool(_CLAUSE_END.search(chunk)))
-        return self._seen[chunk]
+            seen[chunk] = (kind, weight, bool(_CLAUSE_END.search(chunk)))
+        return seen[chunk]
 
     def clause(self, symbols: list[tuple[int, float]]) -> float:
         """Weight of one clause."""
@@ -168,6 +174,7 @@ class Toxicity:
 
     def matches(self, texts: pa.Array) -> list[tuple[int, str, float]]:
         """Row, text and weight of each matched clause, in order."""
+        begin("toxicity")
         words = Words(texts)
         known = [self.symbol(c) for c in words.chunks]
         kind = np.array([k[0] for k in known], np.int8)[words.at]
@@ -190,6 +197,10 @@ class Toxicity:
         return found
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
+        """Evidence of each text, worked out in pieces that keep the arrays small."""
+        return np.concatenate([np.zeros(0), *(self._evidence(piece) for piece in runs(texts, 2 << 20))])
+
+    def _evidence(self, texts: pa.Array) -> np.ndarray:
         total = np.zeros(len(texts))
         for row, _, weight in self.matches(texts):
             total[row] += weight
@@ -201,9 +212,17 @@ class Toxicity:
 
 
 def _stem_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Documents of each class that hold a stem, summed over a batch."""
-    words = Words(batch.column("text"))
-    label = batch.column("label").to_numpy(zero_copy_only=False) > 0
+    """Documents of each class that hold a stem, summed over the pieces of a batch."""
+    begin("toxicity")
+    found, at = [], 0
+    for piece in runs(batch.column("text"), 4 << 20):
+        found.append(_piece_counts(piece, batch.column("label").slice(at, len(piece)).to_numpy(zero_copy_only=False) > 0))
+        at += len(piece)
+    return pa.concat_batches(found)
+
+
+def _piece_counts(texts: pa.Array, label: np.ndarray) -> pa.RecordBatch:
+    words = Words(texts)
     names: dict[str, int] = {}
     listed = [[names.setdefault(s, len(names)) for s in stems(core(c))] for c in words.chunks]
     sizes = np.array([len(x) for x in listed], np.int64)

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from layerkit.llm import nbsvm, queries, toxicity, weak_rules
+from layerkit.llm import common, nbsvm, queries, toxicity, weak_rules
 from layerkit.llm.common import held_out, table
 from tests.llm.conftest import ODD
 
@@ -113,6 +113,24 @@ def test_a_group_of_copies_teaches_no_stem(spark, docs):
     assert "zzbad" in model.stems and not {"zzword", "alone", "stands"} & set(model.stems)
 
 
+def test_texts_are_cut_into_runs_by_size():
+    texts = pa.array(["a" * 10, None, "b" * 100, "", "c" * 3, "d" * 3])
+    for size in (1, 8, 50, 1000):
+        pieces = [p.to_pylist() for p in common.runs(texts, size)]
+        assert [t for p in pieces for t in p] == texts.to_pylist()
+        assert all(len(p) == 1 or sum(len(t or "") for t in p) <= size for p in pieces)
+    assert list(common.runs(pa.array([], pa.string()))) == []
+
+
+def test_a_worker_remembers_one_operator(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common, "_MEMORIES", {n: lambda n=n: freed.append(n) for n in "abc"})
+    monkeypatch.setattr(common, "_AT_WORK", [])
+    for name in "aabb":
+        common.begin(name)
+    assert freed == ["b", "c", "a", "c"]
+
+
 def brute_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = {}
