@@ -104,28 +104,58 @@ def grammar() -> Transducer:
 
 
 def core(chunk: str) -> str:
-    """Letters of a white-space separated chunk, lower-cased; the first run of them."""
+    """Letters of a chunk of one run, lower-cased."""
     m = _CORE.search(chunk)
     return m.group().lower().replace("’", "'") if m else ""
 
 
+def runs_of(chunk: str) -> list[str]:
+    """A chunk cut before each of its runs of letters but the first, so that every part holds one run at most."""
+    if chunk.isalpha():
+        return [chunk]
+    starts = [m.start() for m in _CORE.finditer(chunk)]
+    return [chunk[a:b] for a, b in zip([0, *starts[1:]], [*starts[1:], None])]
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def stems(word: str) -> list[str]:
     """The word itself and its beginnings, which end in ``*``."""
     return [word, *(word[:n] + "*" for n in STEM_LENGTHS if len(word) > n)] if word else []
 
 
 class Words:
-    """Text as words with clause ends: arrays over the distinct chunks of a batch."""
+    """Text as words with clause ends: arrays over the distinct chunks of a batch.
+
+    A chunk is what white space separates, cut into its runs of letters;
+    ``joined`` marks those that follow the one before without white space.
+    """
 
     def __init__(self, texts: pa.Array):
         lines = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " ¶ ")
         lists = pc.ascii_split_whitespace(lines)
         coded = lists.flatten().dictionary_encode()
-        self.chunks: list[str] = coded.dictionary.to_pylist()
-        self.at = coded.indices.to_numpy(zero_copy_only=False)
-        self.offsets = lists.offsets.to_numpy()
+        names: dict[str, int] = {}
+        cut = [[names.setdefault(r, len(names)) for r in runs_of(c)] for c in coded.dictionary.to_pylist()]
+        self.chunks: list[str] = list(names)
+        sizes = np.array([len(x) for x in cut], np.int64)
+        flat = np.array([i for x in cut for i in x], np.int32)
+        whole = coded.indices.to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(sizes[whole])])
+        self.at = flat[_spread((np.cumsum(sizes) - sizes)[whole], sizes[whole])]
+        self.joined = np.ones(len(self.at), bool)
+        self.joined[starts[:-1]] = False
+        self.offsets = starts[lists.offsets.to_numpy()]
         self.row = np.repeat(np.arange(len(lists)), np.diff(self.offsets))
 
+    def text(self, first: int, last: int) -> str:
+        """The words from ``first`` to ``last``, as they are joined."""
+        return "".join(("" if self.joined[i] else " ") + self.chunks[self.at[i]] for i in range(first, last + 1)).removeprefix(" ")
+
 
 # Symbols of chunks, by model, that a worker has worked out.
 _SEEN: dict[int, dict[str, tuple[int, float, bool]]] = {}
@@ -193,7 +223,7 @@ class Toxicity:
                 done += 1
             weight = self.clause([(known[w][0], known[w][1]) for w in words.at[a : done + 1].tolist()])
             if weight > 0:
-                found.append((int(words.row[i]), " ".join(words.chunks[w] for w in words.at[a : done + 1].tolist()), weight))
+                found.append((int(words.row[i]), words.text(a, done), weight))
         return found
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
@@ -231,9 +261,7 @@ def _piece_counts(texts: pa.Array, label: np.ndarray) -> pa.RecordBatch:
     pairs = np.unique(words.row.astype(np.int64) * len(words.chunks) + words.at)
     row, chunk = pairs // max(len(words.chunks), 1), pairs % max(len(words.chunks), 1)
     n = sizes[chunk]
-    ends = np.cumsum(n)
-    spread = np.repeat(starts[chunk] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-    pairs = np.unique(np.repeat(row, n) * max(len(names), 1) + flat[spread])
+    pairs = np.unique(np.repeat(row, n) * max(len(names), 1) + flat[_spread(starts[chunk], n)])
     stem, toxic = pairs % max(len(names), 1), label[pairs // max(len(names), 1)]
     both = [np.bincount(stem[toxic == t], minlength=len(names)) for t in (True, False)]
     return pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), *(pa.array(b, pa.int64()) for b in both)], names=["stem", "toxic", "clean"])

@@ -104,6 +104,30 @@ def test_composition_equals_one_transducer_after_the_other():
             assert (got, h, z) == (out, f * g, x * g + y)
 
 
+def test_every_word_of_a_joined_text_is_read():
+    plain, aimed = weight("moron")[0][2], weight("you moron")[0][2]
+    for text in ("hello,moron", "well...moron", "a_moron", "1moron2", "so/what;moron", "this is,moron"):
+        assert weight(text)[0][2] == plain
+    assert weight("hello,moron")[0][1] == "moron" and weight("all, you-moron here")[0][1] == "you-moron here"
+    for text in ("you-moron", "you\u00a0moron", "you\u3000moron", "“you”—moron"):
+        assert [w for _, _, w in weight(text)] == [aimed]
+    assert weight("not-a-moron")[0][2] == weight("not a moron")[0][2] < plain
+    assert weight("one\u00a0of us,\u00a0you\u00a0moron.you\u3000idiot") == [(0, "you\u00a0moron.", aimed), (0, "you\u3000idiot", aimed)]
+    words = "some plain words and then you moron".split()
+    assert weight("\u00a0".join(words * 500))[0][2] == weight(" ".join(words * 500))[0][2] > aimed
+    assert not weight("") and not weight("... 123 --") and weight("isn’t,moron")[0][2] == plain
+
+
+def test_stems_are_learned_from_joined_texts(spark, docs):
+    words = "one two three four five six seven eight".split()
+    bad = [(i, f"{words[i % 8]},zzbad\u00a0{words[i % 7]}") for i in range(40)]
+    plain = [(i, f"{words[i % 8]},fine\u00a0{words[i % 7]}") for i in range(40, 400)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs([*bad, *plain]), labels)
+    assert "zzbad" in model.stems and "fine" not in model.stems
+    assert (model.score(pa.array(["so,zzbad", "so,fine"])) > 0.5).tolist() == [True, False]
+
+
 def test_a_group_of_copies_teaches_no_stem(spark, docs):
     copies = [(i, "this strange zzword stands alone") for i in range(0, 300)]
     plain = [(i, f"quite another text of number n{i}") for i in range(300, 600)]
