@@ -26,7 +26,7 @@ from layerkit.session import stage
 CAPACITY = 2048
 # Search steps for the fillings of one sequence, fillings kept for it, and
 # fillings tried in all; beyond them the best plan so far stands.
-FILL_STEPS, FILLINGS, NODES = 1000, 16, 6000
+FILL_STEPS, FILLINGS, NODES = 2000, 16, 20_000
 _DEEP = 60
 
 # A plan: how often a filling is used, and its lengths from the largest on.

@@ -178,6 +178,15 @@ def test_bin_completion_against_all_packings(lengths):
     assert least <= sum(n for n, _ in plan) <= sum(n for n, _ in packing.best_fit(counts, 20))
 
 
+def test_bin_completion_searches_long_enough():
+    counts = {
+        67: 1, 68: 2, 71: 1, 75: 1, 80: 1, 85: 1, 87: 3, 88: 2, 93: 3, 95: 1, 97: 2, 99: 3, 112: 1, 125: 4, 129: 3, 130: 1, 132: 1,
+        136: 1, 137: 2, 138: 3, 155: 3, 176: 4, 178: 3, 202: 2, 210: 4, 213: 1, 214: 1, 218: 1, 224: 3, 227: 3, 240: 3, 241: 2, 242: 5, 244: 2,
+    }
+    assert sum(n for n, _ in packing.best_fit(counts, 500)) == 25
+    assert sum(n for n, _ in packing.complete_bins(counts, 500)) == packing.lower_bound(counts, 500) == 24
+
+
 def test_bin_completion_betters_best_fit_and_takes_tiny_lengths():
     counts = Counter({36: 5, 35: 7, 34: 6, 30: 9, 27: 8, 26: 7, 25: 6, 23: 5, 51: 3})
     size = lambda plan: sum(n for n, _ in plan)
