@@ -95,6 +95,28 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if t is None else t for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def whole_components(column: str, scale: int) -> Column:
+    """A vector's components as floor(scale * component); null where it or one of its components is null or not finite."""
+    wide = F.transform(F.col(column), lambda x: x.cast("double"))
+    sound = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(sound, F.transform(wide, lambda x: F.floor(x * scale).cast("long")))
+
+
+def matrix_of(lists: pa.ListArray, dims: int | None = None) -> np.ndarray:
+    """Integer vectors as rows, as wide as ``dims`` or the longest; shorter ones end in zeros."""
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    dims = int(lengths.max(initial=0)) if dims is None else dims
+    out = np.zeros((len(lists), dims), np.int64)
+    within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[np.repeat(np.arange(len(lists)), lengths), within] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def widest(x: np.ndarray) -> int:
+    """The largest absolute value, also where it is 2^63."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
 def crc32_of(ids: np.ndarray, start: int = 0) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"), start)

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from layerkit.llm import bpe, nbsvm, packing, simhash, token_files, tool_calls, topk, toxicity, url_filter, weak_rules
+from layerkit.llm import (
+    bpe, mixing, nbsvm, packing, simhash, token_files, tool_calls, topk, toxicity, url_filter, vector_codes, weak_rules, whitening,
+)
 from layerkit.llm.common import held_out, table
 from layerkit.session import scratch_path, stage
 
@@ -173,3 +175,94 @@ from parts left join (select * from fits where place = 1) using (n)
 def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Host, path, deciding rule and verdict of every page's URL."""
     return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+@query()
+def op11_whitened_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sound vector projected on the four leading components of the distinct ones."""
+    return whitening.whitened_components(table(spark, folder, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """Two rounds of assignment and means, and a last assignment, over all parts and entries."""
+    step = """
+), a{n} as (
+    select p.r, p.part, arg_min(b.entry, (list_sum(list_transform(list_zip(p.c, b.c), lambda z: (z[1] - z[2]) ** 2))::bigint, b.entry)) as entry,
+        min(list_sum(list_transform(list_zip(p.c, b.c), lambda z: (z[1] - z[2]) ** 2))::bigint) as gap
+    from p join b{n} b using (part) group by p.r, p.part"""
+    means = """
+), m{n} as (
+    select part, entry, list(mean order by i) as c from (
+        select a.part, a.entry, i, floor(sum(p.c[i]) / count(*))::bigint as mean
+        from a{n} a join p using (r, part) cross join width cross join unnest(range(1, w + 1)) as t(i) group by a.part, a.entry, i
+    ) group by part, entry
+), b{next} as (
+    select part, entry, coalesce(m.c, b.c) as c from b{n} b left join m{n} m using (part, entry)"""
+    rounds = "".join(step.format(n=n) + (means.format(n=n, next=n + 1) if n < 2 else "") for n in range(3))
+    return f"""
+with v as (
+    select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), width as (
+    select max(len(x)) // 16 as w from v
+), p as (
+    select r, part, x[part * w + 1 : part * w + w] as c from v cross join width cross join unnest(range(16)) as t(part)
+), seeds as (
+    select row_number() over (order by vec_id) - 1 as entry, x from (select vec_id, min(x) as x from v where vec_id is not null group by vec_id order by vec_id limit 64)
+), b0 as (
+    select part, entry, x[part * w + 1 : part * w + w] as c from seeds cross join width cross join unnest(range(16)) as t(part){rounds}
+), coded as (
+    select v.vec_id, v.label, string_agg(lpad(lower(to_hex(a.entry)), 2, '0'), '' order by a.part) as code, sum(a.gap)::bigint as error
+    from a2 a join v using (r) group by v.r, v.vec_id, v.label
+), books as (
+    select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as codebooks_sha256 from b2
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded cross join books
+"""
+
+
+@query(_codes_sql())
+def op12_orchard_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and error of every sound vector, and the digest of the codebooks."""
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+@query("""
+with recursive sized as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+        ('0x' || substr(md5(coalesce(doc_id::varchar, text, '')), 1, 13))::bigint % 2147483647 as bits from documents
+), sources as (
+    select source, sum(size)::bigint as source_size from sized group by source
+), placed as (
+    select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as weight from sources
+), whole as (
+    select 3 * sum(source_size)::hugeint as over_words from placed
+), rounds as (
+    select 0 as step, 0::hugeint as stopped, sum(weight)::hugeint as free from placed
+    union all
+    select step + 1, (select coalesce(sum(source_size), 0)::hugeint from placed where weight * (over_words - 4 * stopped) >= 4 * source_size * free),
+        (select coalesce(sum(weight), 0)::hugeint from placed where weight * (over_words - 4 * stopped) < 4 * source_size * free)
+    from rounds, whole where step < 40 and free > 0
+), last as (
+    select (over_words - 4 * stopped) as num, 2 * free as den, free from rounds, whole order by step desc limit 1
+), targets as (
+    select source, source_size, case when free > 0 and weight * num < 4 * source_size * free
+        then weight::double * num::double / den::double else (2 * source_size)::double end as target from placed, last
+), rated as (
+    select *, case when source_size > 0 then target / source_size else 0 end as rate from targets
+), drawn as (
+    select s.source, j, sum(case when (s.bits * (j * 15485863 + 1) % 2147483647)::double < (rate - floor(rate)) * 2147483647 then size else 0 end) as drawn_words
+    from sized s join rated r on s.source is not distinct from r.source cross join (select unnest(range(64)) as j) group by s.source, j
+), chosen as (
+    select d.source, arg_min(j, (abs((floor(rate) * source_size + drawn_words)::double - target), j)) as draw
+    from drawn d join rated r on d.source is not distinct from r.source group by d.source
+)
+select s.doc_id, s.source, s.size, r.source_size, r.target,
+    (s.size * (floor(r.rate) + case when (s.bits * (c.draw * 15485863 + 1) % 2147483647)::double < (r.rate - floor(r.rate)) * 2147483647 then 1 else 0 end))::bigint as taken
+from sized s join rated r on s.source is not distinct from r.source join chosen c on s.source is not distinct from c.source
+""")
+def op13_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words the mix takes of every document, by targets of their sources."""
+    sizes = stage(mixing.sized(table(spark, folder, "documents")), "sizes")
+    rates = stage(mixing.mixing_rates(sizes), "mixing-rates")
+    return mixing.copies(sizes, rates).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
