@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from layerkit.llm import shingle_links
 from layerkit.llm.common import begin, map_arrow, texts_of
 from layerkit.llm.components import connected_components
 from layerkit.session import stage
@@ -194,21 +195,51 @@ def near_duplicates(
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _links_of_texts(found: DataFrame, most: int) -> DataFrame:
+    """Links ``a``, ``b`` between nodes that connect what fingerprints link: equal ones, and those within ``most`` bits."""
+    of_fp = stage(found.groupBy("fp").agg(F.min("node").alias("low")), "distinct-fingerprints")
+    equal = found.select("fp", F.col("node").alias("a")).distinct().join(of_fp, "fp").select("a", F.col("low").alias("b"))
+    close = near_links(of_fp.select("fp"), most)
+    ends = [of_fp.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")) for c in ("a", "b")]
+    near = close.join(ends[0], "a").join(ends[1], "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+    return equal.unionByName(near).where("a != b").distinct()
+
+
 def one_of_each(docs: DataFrame, most: int = 2, words: int = 3) -> DataFrame:
     """The rows of ``docs`` (columns as they are) of which each class of near-duplicates keeps one.
 
-    The row of the smallest id stays, null ids last; among rows of that id the
-    one with the smallest hash. Rows equal in all columns are one row. Texts are
-    shuffled once, by id and hash; a hot repeated row collapses before that.
+    Two texts are linked if their fingerprints differ in ``most`` bits at most (operator 5), or if their sets of
+    five-word shingles are alike by 0.8 or more (:mod:`shingle_links`), which fingerprints alone do not tell; classes go
+    over links of both kinds. The row of the smallest id stays, null ids last; among rows of that id the one with the
+    smallest hash. Rows equal in all columns are one row. What goes is found from keys, so texts are read twice (those
+    of candidates three times) and shuffled only where the list of keys that go is too large for Spark to broadcast.
     """
-    columns = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    columns = [F.col(f"`{c}`").cast("string") if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(*columns).alias("x"), F.hash(*columns).alias("h"))
+    texts = docs.select(F.col("text").cast("string").alias("text"), key.alias("row"))
+    mark = lambda text: int(np.array([fingerprint(text, words)], np.uint64).view(np.int64)[0])
+    pass_one = stage(shingle_links.described(texts, ["row"], {"fp": ("long", mark)}), "described")
+    found = pass_one.where("kind = 0").select("row", "fp", "node")
+    sent = pass_one.where("kind = 1").select("signature", "node", "size")
+    met = pass_one.where("kind = 2").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = stage(met.unionByName(shingle_links.candidate_pairs(sent)).distinct(), "candidate-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = stage(found.join(needed, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "candidates")
+    # Rows equal in all columns have one key: any of them has the text.
+    theirs = texts.join(first, "row").select("node", "text").dropDuplicates(["node"])
+    alike = shingle_links.alike(pairs, theirs)
+    links = alike.unionByName(_links_of_texts(found, most))
+    roots = stage(connected_components(links), "roots")
+    rooted = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = rooted.groupBy("root").agg(F.min("row").alias("row")).select("row")
+    once = found.groupBy("row").agg((F.count(F.lit(1)) > 1).alias("repeated")).join(stays.withColumn("stays", F.lit(True)), "row", "left")
+    once = stage(once.where("stays is null or repeated").select("row", F.coalesce("stays", F.lit(False)).alias("stays")), "rows-that-go")
     taken = {c.lower() for c in docs.columns}
     own = "row_key"
     while own in taken:
         own += "_"
-    keyed = docs.withColumn(own, key).dropDuplicates([own])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("row"))
-    found = classes(stage(fingerprints(texts, words), "fingerprints"), most)
-    stays = found.groupBy("root").agg(F.min("row").alias(own)).select(own)
-    return keyed.join(stays, own, "left_semi").drop(own)
+    keyed = docs.withColumn(own, key)
+    gone = once.select(F.col("row").alias(own))
+    kept = keyed.join(gone, own, "left_anti")
+    again = keyed.join(once.where("stays").select(F.col("row").alias(own)), own, "left_semi").dropDuplicates([own])
+    return kept.unionByName(again).drop(own)
