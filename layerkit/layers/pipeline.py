@@ -14,8 +14,7 @@ from layerkit.operators.project import add_load_lineage, to_clean_lineage
 from layerkit.operators.recipe import run_recipe
 from layerkit.quality import Check, referential, required_checks, run_checks
 from layerkit.sources.changes import merge_table
-from layerkit.sources.readers import read_since
-from layerkit.sources.sinks import TableStore
+from layerkit.sources.store import TableStore
 
 
 def load_bronze(
@@ -42,14 +41,12 @@ def build_silver(
 ) -> DataFrame:
     """Clean a raw table: steps, newest row per key, new lineage, then refresh or merge.
 
-    A merge may read only what was loaded after ``since``.
+    A merge may read only what was loaded after ``since``: files of earlier loads are not opened.
     """
     keys = as_list(keys)
-    raw = store.read_bronze(source)
-    if since is not None:
-        if mode != "merge":
-            raise ValueError("since suits a merge: a refresh needs every row")
-        raw = read_since(raw, "_load_timestamp", since)
+    if since is not None and mode != "merge":
+        raise ValueError("since suits a merge: a refresh needs every row")
+    raw = store.read_bronze(source) if since is None else store.read_since(source, "_load_timestamp", since)
     clean = run_recipe(raw, steps)
     clean = to_clean_lineage(dedup_latest(clean, keys, list(order_by)), load_id, built_at)
     if mode not in ("merge", "refresh"):

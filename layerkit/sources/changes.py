@@ -7,10 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from layerkit.functions.columns import as_list, col, require
+from layerkit.functions.columns import as_list, col, require, row_hash
 from layerkit.functions.numbers import key_hash
-from layerkit.session import estimated_bytes, stage
-from layerkit.sources.sinks import BUCKET, TableStore, write_partitioned
+from layerkit.session import stage
+from layerkit.sources import files
+from layerkit.sources.sinks import write_partitioned
+from layerkit.sources.store import BUCKET, TableStore, Version
 
 
 class DuplicateKeys(ValueError):
@@ -146,6 +148,42 @@ def merge_buckets(
     return len(touched)
 
 
+# Bytes on disk above which a table gets one more bucket for each such amount.
+BUCKET_BYTES = 128 << 20
+
+
+def _address(hashed: Column, count: int) -> Column:
+    """Bucket of a hash in a table of ``count`` buckets, by linear hashing.
+
+    With ``count`` between 2^n and 2^(n+1), the first buckets are already split: their rows
+    go by n + 1 bits, the others by n. One bucket more therefore splits one bucket and
+    moves no other row, and the number of buckets is all there is to know.
+    """
+    level = count.bit_length() - 1
+    low = hashed.bitwiseAND(F.lit((1 << level) - 1))
+    high = hashed.bitwiseAND(F.lit((2 << level) - 1))
+    return F.when(low < count - (1 << level), high).otherwise(low).cast("int")
+
+
+def split_parents(count: int, grown: int) -> set[int]:
+    """Buckets of a table of ``count`` that pass rows on when it grows to ``grown``."""
+    level = count.bit_length() - 1
+    found = set()
+    for b in range(count, grown):
+        low = b & ((1 << level) - 1)
+        found.add(b & ((2 << level) - 1) if low < count - (1 << level) else low)
+    return found
+
+
+def _key_hash(df: DataFrame, keys: list[str]) -> Column:
+    """Hash of the keys. A row with a null key matches nothing, so its whole row spreads it over the buckets.
+
+    Columns go by name and nulls leave a hash as it is, so a change set without some of the columns agrees with the table.
+    """
+    unkeyed = reduce(lambda a, b: a | b, [col(k).isNull() for k in keys])
+    return F.when(unkeyed, row_hash(df.select(*[col(c) for c in sorted(df.columns)]))).otherwise(F.xxhash64(*[col(k) for k in keys]))
+
+
 def merge_table(
     store: TableStore,
     name: str,
@@ -155,33 +193,52 @@ def merge_table(
     buckets: int | None = None,
     check: bool = True,
     notes: Mapping[str, str] | None = None,
+    before: Version | None = None,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """Upsert into a table of a store, which lies in key buckets: only those the source touches are written anew.
 
-    ``buckets`` counts when the table is first merged: by default one for each
-    128 MB that it holds then, and 8 at least; pass more for one that will grow. A table that was written whole until then is
-    bucketed by its first merge. The new version holds the touched buckets; the
-    others are read from the versions that wrote them.
+    The table has one bucket for each ``bucket_bytes`` that it holds, and
+    ``buckets`` at least. When a merge makes it grow beyond, single buckets are
+    split (linear hashing): what a split costs is the bucket, never the table.
+    A table that was written whole until then is bucketed by its first merge.
+    The new version holds the buckets written anew; the others are read from the
+    versions that wrote them. ``before`` is the current version where the caller
+    has read it already; sizes come from its notes and from the file system, so
+    metadata takes no Spark job.
     """
-    keys = as_list(keys)
-    notes = store.notes(name) if notes is None else notes
+    keys, spark = as_list(keys), store.spark
+    before = before or store.state(name)
+    notes = (before.notes if before else {}) if notes is None else notes
+    if before:  # the table's types, so that files and hashes agree
+        kinds = {f.name: f.dataType for f in before.schema.fields}
+        source = source.select(*[col(c).cast(kinds[c]).alias(c) if c in kinds else col(c) for c in source.columns])
     source = stage(source, "merge-source")
     if check:
         require_unique(source, keys)
-    version, count = store.version(name), store.bucket_count(name)
+    count = before.count if before else 0
+    added = sum(sum(files.file_bytes(spark, path).values()) for path in _folders(source))
     if not count:
-        target = store.read(name) if version else None
-        whole = _merged(target, source, keys, _no_more(target, source), update_when, None) if version else source
-        size = sum(estimated_bytes(df) or 0 for df in (target, source) if df is not None)
-        count, layout, schema = buckets or max(8, size >> 27), {}, whole.schema
+        target = store.read_state(name, before) if before else None
+        held = sum(files.file_bytes(spark, f"{store.path(name)}/{before.folder}").values()) if before else 0
+        grown = max(buckets or 1, -(-(held + added) // bucket_bytes))
+        rewritten: set[int] = set()
+        whole = _merged(target, source, keys, _no_more(target, source), update_when, None) if before else source
     else:
-        layout, schema = store.layout(name, version), store.read(name).schema
-        touched = [r[0] for r in source.select(bucket_of(keys, count)).distinct().collect()]  # one number per bucket at most
-        target = store.read_buckets(name, {b: v for b, v in layout.items() if b in touched}, schema)
+        held = sum(size for _, size in before.buckets.values())
+        grown = max(count, buckets or 1, -(-(held + added) // bucket_bytes))
+        touched = [r[0] for r in source.select(_address(_key_hash(source, keys), count)).distinct().collect()]  # one number per bucket at most
+        rewritten = {*touched} | split_parents(count, grown)
+        target = store.read_state(name, before, rewritten)
         whole = _merged(target, source, keys, _no_more(target, source), update_when, None)
-    whole = stage(whole.withColumn(BUCKET, bucket_of(keys, count)), "merged")
-    written = [r[0] for r in whole.select(BUCKET).distinct().collect()]
-    return store.write_buckets(whole, name, layout | {b: version + 1 for b in written}, count, schema, notes)
+    whole = whole.withColumn(BUCKET, _address(_key_hash(whole, keys), grown))
+    schema = before.schema if count else whole.drop(BUCKET).schema
+    return store.write_buckets(whole, name, before, grown, schema, rewritten, notes)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    """Folders of the files that a staged table is read from."""
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
 
 
 def table_changes(old: DataFrame, new: DataFrame, keys: str | Iterable[str], check: bool = True) -> DataFrame:

@@ -1,149 +1,15 @@
-"""Layered tables on Parquet, partitioned and clustered writes, exports."""
+"""Partitioned and clustered writes, exports."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from layerkit.functions.columns import as_list, col, require, row_hash, unused_name
 from layerkit.session import stage
 
 
-# Partition column of a bucketed table, and the names of what the store notes for itself.
-BUCKET = "_bucket"
-_OWN = "store:"
-_SCHEMA, _COUNT, _PLACE = f"{_OWN}schema", f"{_OWN}buckets", f"{_OWN}bucket-"
-
-
-class TableStore:
-    """Tables of one lakehouse folder.
-
-    A raw table is one growing Parquet folder. Any other table is a folder of
-    versions; a version counts once Spark has marked it complete, so a reader
-    never sees half a write and a table may be rebuilt from itself. A version is
-    whole, or, of a table merged by key, holds the key buckets that changed.
-    """
-
-    RAW = "bronze_"
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        found = []
-        for status in fs.listStatus(folder):
-            part = status.getPath()
-            done = jvm.org.apache.hadoop.fs.Path(part, "_SUCCESS")
-            if part.getName().startswith("version=") and fs.exists(done):
-                found.append(int(part.getName().removeprefix("version=")))
-        return sorted(found)
-
-    def version(self, name: str) -> int:
-        """Current version of a table; 0 when it was never written."""
-        return max(self._versions(name), default=0)
-
-    def exists(self, name: str) -> bool:
-        if not name.startswith(self.RAW):
-            return bool(self._versions(name))
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
-
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        if name.startswith(self.RAW):
-            return self.read_bronze(name)
-        version = version or self.version(name)
-        if not version:
-            raise ValueError(f"no table {name}")
-        pairs = self._pairs(name, version)
-        if _SCHEMA not in pairs:
-            return self.spark.read.parquet(f"{self.path(name)}/version={version}")
-        return self.read_buckets(name, self.layout(name, version), T.StructType.fromJson(json.loads(pairs[_SCHEMA])))
-
-    def layout(self, name: str, version: int) -> dict[int, int]:
-        """Of a bucketed table: the version that holds each of its buckets."""
-        return {int(k.removeprefix(_PLACE)): int(v) for k, v in self._pairs(name, version).items() if k.startswith(_PLACE)}
-
-    def read_buckets(self, name: str, layout: Mapping[int, int], schema: T.StructType) -> DataFrame:
-        """Some buckets of a table, each from the version that holds it."""
-        paths = [f"{self.path(name)}/version={v}/{BUCKET}={b}" for b, v in sorted(layout.items())]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def read_bronze(self, name: str) -> DataFrame:
-        """A raw table with every column any load has brought."""
-        if not name.startswith(self.RAW):
-            raise ValueError(f"{name} is not a raw table: cleaned tables are built from raw ones only")
-        return self.spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(self.path(name))
-
-    def write_bronze(self, df: DataFrame, name: str) -> None:
-        """Append to a raw table; new columns are taken over."""
-        if not name.startswith(self.RAW):
-            raise ValueError(f"raw tables are named {self.RAW}...")
-        df.write.mode("append").parquet(self.path(name))
-
-    def _folder(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _pairs(self, name: str, version: int) -> dict[str, str]:
-        """Pairs of texts that lie beside a version."""
-        place, fs = self._folder(f"{self.path(name)}/notes-{version}")
-        if not version or not fs.exists(place):
-            return {}
-        return {r.key: r.value for r in self.spark.read.schema("key string, value string").parquet(str(place.toString())).collect()}
-
-    def notes(self, name: str) -> dict[str, str]:
-        """What the writers of the current version have noted beside it; of a table never written, nothing."""
-        return {k: v for k, v in self._pairs(name, self.version(name)).items() if not k.startswith(_OWN)}
-
-    def write_silver(
-        self, df: DataFrame, name: str, partition_by: Iterable[str] = (), notes: Mapping[str, str] | None = None
-    ) -> DataFrame:
-        """Replace a table: write the next version whole, then let readers switch to it.
-
-        The version that readers may still use stays; older ones are removed.
-        ``notes``, a few pairs of texts, lie beside the version and are in place
-        before it counts; without any, those of the last version are carried on.
-        """
-        self._next(df, name, as_list(partition_by), self.notes(name) if notes is None else dict(notes))
-        return self.read(name)
-
-    def write_buckets(self, df: DataFrame, name: str, layout: Mapping[int, int], buckets: int, schema: T.StructType, notes: Mapping[str, str]) -> DataFrame:
-        """The next version of a bucketed table: ``df`` holds whole buckets, ``layout`` says where all of them lie."""
-        own = {_SCHEMA: schema.json(), _COUNT: str(buckets)} | {f"{_PLACE}{b}": str(v) for b, v in layout.items()}
-        self._next(df, name, [BUCKET], dict(notes) | own)
-        return self.read(name)
-
-    def bucket_count(self, name: str) -> int:
-        """Buckets of a table's current version; 0 when it is not bucketed."""
-        return int(self._pairs(name, self.version(name)).get(_COUNT, 0))
-
-    def _next(self, df: DataFrame, name: str, partition_by: list[str], pairs: Mapping[str, str]) -> None:
-        version = self.version(name)
-        if pairs:
-            rows = self.spark.createDataFrame(sorted(pairs.items()), "key string, value string").coalesce(1)
-            rows.write.mode("overwrite").parquet(f"{self.path(name)}/notes-{version + 1}")
-        if partition_by:
-            write_partitioned(df, f"{self.path(name)}/version={version + 1}", partition_by)
-        else:
-            df.write.mode("overwrite").parquet(f"{self.path(name)}/version={version + 1}")
-        used = {*self.layout(name, version).values(), *self.layout(name, version + 1).values(), version, version + 1}
-        for old in [v for v in self._versions(name) if v not in used]:
-            for path in (f"version={old}", f"notes-{old}"):
-                place, fs = self._folder(f"{self.path(name)}/{path}")
-                fs.delete(place, True)
-
-
 def write_partitioned(df: DataFrame, path: str, columns: str | Iterable[str], mode: str = "overwrite") -> None:
     """Write one folder per value. Spark evens out the tasks: small values share one, a big one is split."""
     columns = as_list(columns)

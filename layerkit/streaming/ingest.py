@@ -11,7 +11,7 @@ from layerkit.functions.columns import as_list, sort_keys
 from layerkit.operators.ordered import dedup_latest
 from layerkit.operators.project import add_load_lineage
 from layerkit.sources.changes import merge_table
-from layerkit.sources.sinks import TableStore
+from layerkit.sources.store import TableStore
 
 
 def stream_folder(
@@ -30,15 +30,15 @@ def ingest_bronze(
 ) -> StreamingQuery:
     """Append a stream of files to a raw table with lineage; each file is taken once.
 
-    A batch owns a folder named after its checkpoint and number, so a batch that
-    is replayed after a failure replaces its own rows.
+    A batch is a load named after its checkpoint and number, so a batch that is
+    replayed after a failure replaces its own rows.
     """
     if not name.startswith(store.RAW):
         raise ValueError(f"raw tables are named {store.RAW}...")
     owner = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store.path(name)}/stream-{owner}-{batch_id}")
+        store.write_bronze(batch, name, f"stream-{owner}-{batch_id}")
 
     writer = add_load_lineage(stream, load_id).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -58,7 +58,8 @@ def merge_silver(
     owner = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        notes = store.notes(name)
+        before = store.state(name)
+        notes = before.notes if before else {}
         if int(notes.get(owner, -1)) >= batch_id:
             return
         newest = dedup_latest(batch, keys, order)
@@ -73,7 +74,7 @@ def merge_silver(
                 same = same & was.eqNullSafe(now)
             return older | same
 
-        merge_table(store, name, newest, keys, update_when=newer, check=False, notes=notes | {owner: str(batch_id)})
+        merge_table(store, name, newest, keys, update_when=newer, check=False, notes=notes | {owner: str(batch_id)}, before=before)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -123,7 +123,7 @@ def test_merge_rewrites_only_touched_buckets(spark, tmp_path):
 def test_a_merged_table_rewrites_only_touched_buckets(spark, tmp_path):
     import os
 
-    from layerkit.sources.sinks import TableStore
+    from layerkit.sources.store import TableStore
 
     store = TableStore(spark, str(tmp_path))
     table = lambda rows: spark.createDataFrame(rows, "k bigint, v string")
@@ -134,7 +134,7 @@ def test_a_merged_table_rewrites_only_touched_buckets(spark, tmp_path):
         out = M.merge_table(store, "silver_t", table(step), "k", notes={"by": f"step {n}"})
         want |= dict(step)
         assert dict(map(tuple, out.collect())) == want and store.notes("silver_t") == {"by": f"step {n}"}
-        folder = f"{tmp_path}/silver_t/version={store.version('silver_t')}"
+        folder = f"{tmp_path}/silver_t/{store.state('silver_t').folder}"
         assert len([d for d in os.listdir(folder) if d.startswith("_bucket=")]) <= len(step)
     before = store.read("silver_t", store.version("silver_t") - 1)
     assert dict(map(tuple, before.collect())) == want | {7: "a"}
@@ -142,3 +142,66 @@ def test_a_merged_table_rewrites_only_touched_buckets(spark, tmp_path):
     assert store.bucket_count("silver_t") == 0 and store.read("silver_t").count() == 1
     out = M.merge_table(store, "silver_t", table([(2, "x")]), "k", buckets=4)
     assert dict(map(tuple, out.collect())) == {1: "whole", 2: "x"} and store.bucket_count("silver_t") == 4
+
+
+def test_a_bucket_that_grows_too_big_splits_and_the_others_stay(spark, tmp_path):
+    from layerkit.sources.store import TableStore
+
+    store = TableStore(spark, str(tmp_path))
+    table = lambda low, high: spark.range(low, high).select("id", F.concat(F.lit("value "), F.col("id").cast("string")).alias("v"))
+    merge = lambda df: M.merge_table(store, "silver_t", df, "id", bucket_bytes=4000)
+    merge(table(0, 3))
+    counts, versions = [store.bucket_count("silver_t")], [store.state("silver_t")]
+    for high in (1000, 3000, 9000):
+        merge(table(0, high))
+        counts.append(store.bucket_count("silver_t"))
+    assert counts[0] == 1 and counts == sorted(counts) and counts[-1] > 8
+    before = store.state("silver_t")
+    merge(table(7, 8).withColumn("v", F.lit("changed")))
+    after = store.state("silver_t")
+    moved = {b for b in after.buckets if after.buckets[b] != before.buckets.get(b)}
+    # The one bucket of the key, and what a split of one bucket adds.
+    assert len(moved) <= 1 + 2 * (after.count - before.count) and after.count - before.count <= 1
+    out = {r.id: r.v for r in store.read("silver_t").collect()}
+    assert len(out) == 9000 and out[7] == "changed" and out[8] == "value 8"
+    assert versions[0].count == 1
+
+
+def test_splitting_moves_rows_of_split_buckets_only(spark):
+    hashes = spark.range(4000).select(F.xxhash64("id").alias("h"))
+    for count, grown in ((1, 2), (5, 6), (7, 8), (8, 9), (3, 17), (6, 6)):
+        placed = hashes.select(M._address(F.col("h"), count).alias("a"), M._address(F.col("h"), grown).alias("b")).collect()
+        assert {r.a for r in placed} == set(range(count)) and {r.b for r in placed} == set(range(grown))
+        assert {r.a for r in placed if r.a != r.b} <= M.split_parents(count, grown)
+        assert {r.a for r in placed if r.b >= count} == M.split_parents(count, grown)
+
+
+def test_null_keys_spread_over_buckets_and_stay(spark, tmp_path):
+    from layerkit.sources.store import TableStore
+
+    store = TableStore(spark, str(tmp_path))
+    rows_ = lambda mark: spark.range(300).select(F.lit(None).cast("long").alias("k"), F.concat(F.lit(mark), F.col("id").cast("string")).alias("v"), F.col("id").alias("n"))
+    M.merge_table(store, "silver_t", rows_("a"), "k", buckets=4)
+    # Fewer columns, in another order and of a narrower type.
+    M.merge_table(store, "silver_t", rows_("b").select("v", F.col("k").cast("int").alias("k")), "k", check=False, bucket_bytes=1500)
+    state = store.state("silver_t")
+    assert state.count > 4 and len(state.buckets) == state.count
+    out = store.read("silver_t")
+    assert out.count() == 600 and out.where("n is null").count() == 300 and dict(out.dtypes)["k"] == "bigint"
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    from layerkit.sources.store import ConcurrentWrite, TableStore
+
+    store = TableStore(spark, str(tmp_path))
+    store.write_silver(spark.range(3), "silver_t")
+    seen = store.state("silver_t")
+    M.merge_table(store, "silver_t", spark.range(2, 5), "id", before=seen)
+    with pytest.raises(ConcurrentWrite):
+        M.merge_table(store, "silver_t", spark.range(9, 10), "id", before=seen)
+    assert sorted(r.id for r in store.read("silver_t").collect()) == [0, 1, 2, 3, 4] and store.version("silver_t") == 2
+    # A marker that a lost writer left half written takes its number out of use.
+    (tmp_path / "silver_t" / "_versions" / "3.json").write_text("{")
+    assert store.version("silver_t") == 2
+    store.write_silver(spark.range(1), "silver_t")
+    assert store.version("silver_t") == 4 and store.read("silver_t").count() == 1

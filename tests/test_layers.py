@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from layerkit.functions.columns import col
 from layerkit.layers import pipeline as L
 from layerkit.quality import CheckFailed, assert_checks
-from layerkit.sources.sinks import TableStore
+from layerkit.sources.store import TableStore
 
 
 def rows(df):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from layerkit.sources import readers as R, sinks as S
+from layerkit.sources.store import TableStore
 from layerkit.sources.workbooks import read_workbooks
 from tests.workbook import write_workbook
 
@@ -116,7 +117,7 @@ def test_a_missing_sheet_is_named(spark, tmp_path):
 
 
 def test_raw_tables_append_and_evolve(spark, tmp_path):
-    store = S.TableStore(spark, str(tmp_path))
+    store = TableStore(spark, str(tmp_path))
     assert not store.exists("bronze_t")
     store.write_bronze(spark.createDataFrame([(1,)], "id int"), "bronze_t")
     store.write_bronze(spark.createDataFrame([(2, "x")], "id int, note string"), "bronze_t")
@@ -128,13 +129,64 @@ def test_raw_tables_append_and_evolve(spark, tmp_path):
         store.read_bronze("silver_t")
 
 
+def test_loads_are_known_without_opening_them(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    day = lambda n: F.lit(f"2024-01-0{n}").cast("timestamp")
+    for n, frame in enumerate((spark.range(5), spark.range(5, 9).withColumn("note", F.lit("x")), spark.range(9, 12).select(F.col("id").cast("int").alias("id"))), 1):
+        store.write_bronze(frame.withColumn("_load_timestamp", day(n)), "bronze_t", ends=("_load_timestamp", "id"))
+    loads = store.loads("bronze_t")
+    assert [x.order for x in loads] == [1, 2, 3] and store.raw_rows("bronze_t") == 12
+    assert all({"_load_timestamp", "id"} == set(f["ends"]) for x in loads for f in x.files if f["rows"])
+    raw = store.read_bronze("bronze_t")
+    assert dict(raw.dtypes) == {"id": "bigint", "_load_timestamp": "timestamp", "note": "string"}
+    assert rows(raw.select("id", "note")) == sorted([(i, "x" if 5 <= i < 9 else None) for i in range(12)], key=repr)
+    late = store.read_since("bronze_t", "_load_timestamp", day(2))
+    assert [r.id for r in late.orderBy("id").collect()] == [9, 10, 11]
+    assert late.inputFiles() and all(loads[2].name in f for f in late.inputFiles())
+    # Within a load single files are left out too.
+    assert [r.id for r in store.read_since("bronze_t", "id", 10).collect()] == [11] and len(store.read_since("bronze_t", "id", 10).inputFiles()) == 1
+    assert store.read_since("bronze_t", "id", 99).count() == 0
+    # A column whose ends were not noted is filtered only.
+    assert store.read_since("bronze_t", "note", "a").count() == 4
+    with pytest.raises(ValueError, match="no such column"):
+        store.read_since("bronze_t", "gone", 1)
+    # Deleting the data of the first load does not keep later ones from being read.
+    import shutil
+    shutil.rmtree(tmp_path / "bronze_t" / loads[0].name)
+    assert store.read_since("bronze_t", "_load_timestamp", day(1)).count() == 7
+
+
+def test_a_load_is_replaced_by_its_repetition_and_types_must_agree(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.write_bronze(spark.range(5), "bronze_t", "batch-1")
+    store.write_bronze(spark.range(7), "bronze_t", "batch-1")
+    assert store.read("bronze_t").count() == 7 and store.raw_rows("bronze_t") == 7
+    with pytest.raises(ValueError, match="id is bigint in one load and string"):
+        store.write_bronze(spark.createDataFrame([("a",)], "id string"), "bronze_t")
+    store.write_bronze(spark.range(0), "bronze_t", "empty")
+    assert store.read("bronze_t").count() == 7
+    spark.range(2).write.parquet(str(tmp_path / "bronze_other" / "part"))
+    assert store.read_bronze("bronze_other").count() == 2
+
+
+def test_many_loads_are_listed_by_a_job(spark, tmp_path, monkeypatch):
+    from layerkit.sources import store as module
+
+    store = TableStore(spark, str(tmp_path))
+    for n in range(4):
+        store.write_bronze(spark.range(n, n + 1), "bronze_t")
+    want = store.loads("bronze_t")
+    monkeypatch.setattr(module, "_FEW_LOADS", 2)
+    assert store.loads("bronze_t") == want and store.read("bronze_t").count() == 4
+
+
 def test_a_table_can_be_rebuilt_from_itself_and_half_written_versions_do_not_count(spark, tmp_path):
-    store = S.TableStore(spark, str(tmp_path))
+    store = TableStore(spark, str(tmp_path))
     store.write_silver(spark.range(3), "silver_t")
     store.write_silver(store.read("silver_t").filter("id > 0"), "silver_t")
     assert rows(store.read("silver_t")) == [(1,), (2,)] and store.version("silver_t") == 2
     assert store.read("silver_t", 1).count() == 3
-    (tmp_path / "silver_t" / "version=3").mkdir()
+    (tmp_path / "silver_t" / "data-3-lost").mkdir()
     assert store.version("silver_t") == 2
     with pytest.raises(ValueError, match="no table"):
         store.read("silver_other")

@@ -1,5 +1,5 @@
 import pytest
-from layerkit.sources.sinks import TableStore
+from layerkit.sources.store import TableStore
 from layerkit.streaming import ingest as I
 
 SCHEMA = "id int, t int, v string"
