@@ -53,20 +53,25 @@ TOOLS = {
 def derived_messages(conversations: DataFrame) -> DataFrame:
     """Messages with tool calls, made from the turns of real conversations.
 
-    Each turn of the user makes a call whose arguments come from its text, and
-    each answer holds the result. One call in seven waits for the one two turns
-    later, the others for the one two turns before unless that waits for them.
-    Some calls break their schema, name an unknown tool, or have no result.
+    Each turn of the user makes a call whose arguments come from its whole text,
+    and each answer holds the result. Four calls in seven wait for the one two turns
+    later, which may wait again, so chains of waits for later calls form; the
+    others wait for the ones two and four turns before, unless those wait for them. Some
+    calls break their schema, name an unknown tool, or have no result.
     """
     text, turn = F.coalesce(F.col("text"), F.lit("")), F.col("turn")
-    pick = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(7))
+    pick_of = lambda t: F.pmod(F.xxhash64("conv_id", t), F.lit(7))
+    pick, later = pick_of(turn), lambda t: pick_of(t) < 4
     id_ = lambda t: F.concat(F.lit("call-"), t.cast("string"))
     search = F.to_json(F.struct(F.pmod(F.length(text), F.lit(13)).alias("limit"), text.alias("query")))
-    lookup = F.to_json(F.struct(F.substring(F.lower(text), 1, 12).alias("key"), F.when(pick == 3, F.lit('"yes"')).otherwise(F.lit("true")).alias("x")))
-    lookup = F.concat(F.regexp_replace(lookup, r',"x":.*$', ""), F.lit(',"exact":'), F.when(pick == 3, F.lit('"yes"')).otherwise(F.lit("true")), F.lit("}"))
-    before = F.pmod(F.xxhash64("conv_id", turn - 2), F.lit(7))
-    waits = F.when(pick == 0, F.array(id_(turn + 2))).when(before == 0, F.array().cast("array<string>")).otherwise(F.array(id_(turn - 2)))
-    name = F.when(pick < 3, "search").when(pick < 6, "lookup").otherwise("browse")
+    exact = F.when(pick == 3, F.lit('"yes"')).otherwise(F.lit("true"))
+    key = F.to_json(F.struct(F.lower(text).alias("key")))
+    lookup = F.concat(F.left(key, F.length(key) - 1), F.lit(',"exact":'), exact, F.lit("}"))
+    before = F.array_compact(F.array(
+        F.when(~later(turn - 2), id_(turn - 2)), F.when(~(later(turn - 4) & later(turn - 2)), id_(turn - 4)),
+    ))
+    waits = F.when(later(turn), F.array(id_(turn + 2))).otherwise(before)
+    name = F.when(pick % 3 == 0, "search").when(pick % 3 == 1, "lookup").otherwise("browse")
     call = F.concat(
         F.lit('<tool_call>{"id":"'), id_(turn), F.lit('","name":"'), name, F.lit('","arguments":'),
         F.when(name == "lookup", lookup).otherwise(search), F.lit(',"after":'), F.to_json(waits), F.lit("}</tool_call>"),
@@ -116,14 +121,14 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 with v as (
-    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
     where vec_id is not null and embedding is not null
       and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), scored as (
-    select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
-    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+    select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+    from v q join v c on q.r <> c.r where q.vec_id % 100 = 0
 ), ranked as (
-    select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score from scored
+    select query_id, row_number() over (partition by r order by score desc, vec_id)::integer as rank, vec_id, score from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 10
 """)

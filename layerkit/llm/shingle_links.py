@@ -25,6 +25,8 @@ WORDS, SIMILAR = 5, (4, 5)
 LEAST_BUCKETS, FILL = 32, 4
 # Orders in which the texts of a signature stand, and those of a block that meet the ones of other blocks.
 _ORDERS, _SENT = 8, 3
+# Bytes of text whose signatures are worked out at once, and rows of one batch that goes out.
+_BLOCK_BYTES, _ROWS = 4 << 20, 1 << 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,7 +117,7 @@ def candidate_pairs(sent: DataFrame) -> DataFrame:
     the batch before is the first and the last row. No group is collected.
     """
     rank = F.xxhash64("node", F.pmod("signature", F.lit(_ORDERS)))
-    placed = sent.distinct().repartition(partitions(sent), "signature").sortWithinPartitions("signature", rank)
+    placed = sent.repartition(partitions(sent), "signature").sortWithinPartitions("signature", rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("shingle_links")
@@ -166,7 +168,7 @@ def described(docs: DataFrame, kept: list[str], extra: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("shingle_links")
-        for block in blocks(batches):
+        for block in blocks(batches, _BLOCK_BYTES):
             types.update({n: block.schema.field(n).type if n in kept else arrow[k] for n, k in fields.items()})
             texts = texts_of(block)
             sets = [shingle_set(t) for t in texts]
@@ -188,8 +190,8 @@ def described(docs: DataFrame, kept: list[str], extra: dict) -> DataFrame:
                 yield rows(None, 2, len(pairs), node=pairs[:, 0], other=pairs[:, 1])
             if len(order):
                 sent = np.flatnonzero(place < _SENT)
-                for at in range(0, len(sent), 1 << 18):
-                    part = sent[at : at + (1 << 18)]
+                for at in range(0, len(sent), _ROWS):
+                    part = sent[at : at + _ROWS]
                     yield rows(None, 1, len(part), node=its_node[part], size=its_size[part], signature=signature[part].view(np.int64))
 
     return docs.select(*kept, "text").mapInArrow(run, schema)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import deque
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,17 +19,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 from layerkit.llm.common import map_arrow
 from layerkit.session import stage
 
+_TAGS = ("tool_call", "tool_response")
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": (int, float),
 }
 
 
-def canonical(value) -> str:
-    """JSON with sorted keys and no white space; whole numbers without a point, other text as it is."""
-    if isinstance(value, float) and not math.isfinite(value):
+def _number(value: float) -> str:
+    """The one form of a number: whole ones as digits without a point; others by their shortest decimals, below 1e-6 with an exponent."""
+    if not math.isfinite(value):
         raise ValueError("not a JSON number")
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1 << 53:
-        value = int(value)
+    if value.is_integer():
+        return format(Decimal(repr(value or 0.0)).to_integral_value(), "f")
+    if abs(value) >= 1e-6:
+        return format(Decimal(repr(value)), "f")
+    mantissa, exponent = repr(value).split("e")
+    return f"{mantissa}e-{exponent.lstrip('-0')}"
+
+
+def canonical(value) -> str:
+    """JSON with sorted keys, no white space, and one form for equal numbers; other text as it is."""
+    if isinstance(value, float):
+        return _number(value)
     if isinstance(value, dict):
         return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in sorted(value)) + "}"
     if isinstance(value, list):
@@ -77,10 +90,48 @@ def schema_faults(value, schema: dict, place: str = "") -> list[str]:
     return faults
 
 
-def _blocks(messages: DataFrame, tag: str) -> DataFrame:
-    """Each block of one kind: conversation, turn, place in the message, JSON text."""
-    found = F.regexp_extract_all(F.col("text"), F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
-    return messages.select("conv_id", "turn", F.posexplode(found).alias("place", "json"))
+_DECODER = json.JSONDecoder()
+
+
+def blocks_of(text: str, tag: str) -> list[str]:
+    """JSON texts of the blocks of one kind. A tag inside a JSON string is part of it; what is no JSON ends at the next end tag."""
+    start, end, out, at = f"<{tag}>", f"</{tag}>", [], 0
+    while (at := text.find(start, at)) >= 0:
+        at += len(start)
+        begin = at + len(text[at:]) - len(text[at:].lstrip()) if text[at : at + 1].isspace() else at
+        try:
+            _, stop = _DECODER.raw_decode(text, begin)
+            close = stop
+            while text[close : close + 1].isspace():
+                close += 1
+            if not text.startswith(end, close):
+                raise ValueError("more than JSON")
+        except (ValueError, RecursionError):
+            stop = close = text.find(end, at)
+            if stop < 0:
+                break
+        out.append(text[at:stop])
+        at = close + len(end)
+    return out
+
+
+def _blocks(messages: DataFrame) -> DataFrame:
+    """Each block of both kinds: conversation, turn, ``tag``, place among those of its kind in the message, JSON text."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, tags, places, texts = [], [], [], []
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            for tag in _TAGS:
+                for place, block in enumerate(blocks_of(text, tag) if text else []):
+                    rows.append(i)
+                    tags.append(tag)
+                    places.append(place)
+                    texts.append(block)
+        at = pa.array(rows, pa.int64())
+        columns = [batch.column("conv_id").take(at), batch.column("turn").take(at), pa.array(tags, pa.string()), pa.array(places, pa.int32()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "tag", "place", "json"])
+
+    return map_arrow(messages, run, "conv_id long, turn long, tag string, place int, json string")
 
 
 def _field(name: str) -> Column:
@@ -97,22 +148,29 @@ def link_calls(messages: DataFrame) -> DataFrame:
     conversation has. The first result behind the call counts. Results are
     reduced to one row per identifier and call before the join, so a hot
     identifier never multiplies. Null texts hold no calls; messages without a
-    conversation or turn are left out; a repeated message row counts once.
+    conversation or turn are left out; a repeated message row counts once. Of calls
+    that share turn, place and id, as other messages of the same turn may bring
+    them, the one with the smallest hash comes first and the others are ``repeated``.
     """
     known = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("text").cast("string")).where(
         "conv_id is not null and turn is not null"
     )
-    calls = _blocks(known, "tool_call").select(
-        "conv_id", "turn", "place", _field("id").alias("call_id"), _field("name").alias("name"),
+    found = stage(_blocks(known).distinct(), "blocks")
+    calls = found.where("tag = 'tool_call'").select(
+        "conv_id", "turn", "place", F.xxhash64("json").alias("tie"), _field("id").alias("call_id"), _field("name").alias("name"),
         F.coalesce(_field("arguments"), F.lit("{}")).alias("arguments"),
-        F.from_json(F.coalesce(_field("after"), F.lit("[]")), "array<string>").alias("after"), "json",
+        F.from_json(F.coalesce(_field("after"), F.lit("[]")), "array<string>").alias("after"),
     )
     sound = F.col("call_id").isNotNull() & F.col("name").isNotNull()
-    calls = stage(calls.distinct().withColumn("sound", sound), "tool-calls")
-    at = F.struct("turn", "place")
+    calls = stage(calls.withColumn("sound", sound), "tool-calls")
+    at = F.struct("turn", "place", "tie")
     first = calls.where("sound").groupBy("conv_id", "call_id").agg(F.min(at).alias("first"))
-    results = _blocks(known, "tool_response").select("conv_id", _field("id").alias("call_id"), F.struct("turn", "place").alias("at"), _field("content").alias("content"))
-    behind = results.where("call_id is not null").join(first, ["conv_id", "call_id"]).where(F.col("at") > F.col("first"))
+    results = found.where("tag = 'tool_response'").select(
+        "conv_id", _field("id").alias("call_id"), F.struct("turn", "place").alias("at"), _field("content").alias("content"),
+    )
+    behind = results.where("call_id is not null").join(first, ["conv_id", "call_id"]).where(
+        F.col("at") > F.struct(F.col("first.turn").alias("turn"), F.col("first.place").alias("place"))
+    )
     answers = behind.groupBy("conv_id", "call_id").agg(F.min(F.struct("at", "content")).alias("answer"))
     linked = calls.join(first, ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left")
     own = F.col("first") == at
@@ -125,54 +183,114 @@ def link_calls(messages: DataFrame) -> DataFrame:
     )
 
 
-def order_calls(linked: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """``linked`` with ``step`` and ``depth``: (step, depth, turn, place) is a topological order of each conversation.
+# Calls and waits of a conversation that one task orders; larger ones are ordered by joins.
+ONE_TASK = 50_000
 
-    Calls come in the order they were made unless one waits for a later one.
-    ``step`` is the last turn and place among a call and all it waits for; calls
-    that wait within a step follow by ``depth``. Both are minima and maxima over
-    joins by identifier, so no conversation has to fit one task, and the rounds
-    follow the longest chain of calls that wait for later ones, not the length
-    of a conversation. Calls in a cycle, or that wait for one within its step,
-    have the depth -1. Identifiers that no call has are ignored.
-    """
-    taking = linked.where("status in ('linked', 'no_result')")
-    own = (F.col("turn") * (1 << 20) + F.col("place")).alias("own")
-    nodes = taking.select("conv_id", "call_id", own)
+
+def ordered_in_task(calls: list[tuple[str, int, list[str] | None]]) -> dict[str, tuple[int, int]]:
+    """``step`` and ``depth`` by identifier, for calls as (identifier, own place, identifiers waited for)."""
+    own = {c: at for c, at, _ in calls}
+    needs = {c: {n for n in after or [] if n in own} for c, _, after in calls}
+    waiting: dict[str, list[str]] = {}
+    for c, found in needs.items():
+        for n in found:
+            waiting.setdefault(n, []).append(c)
+    step: dict[str, int] = {}
+    # From the last call backwards, all that wait for a call, over any number of others, get its place.
+    for c in sorted(own, key=own.get, reverse=True):
+        reached = [c] if c not in step else []
+        while reached:
+            x = reached.pop()
+            if x not in step:
+                step[x] = own[c]
+                reached += [w for w in waiting.get(x, ()) if w not in step]
+    within = {c: sum(step[n] == step[c] for n in needs[c]) for c in own}
+    depth = {c: 0 for c, n in within.items() if not n}
+    ready = deque(depth)
+    while ready:
+        c = ready.popleft()
+        for w in waiting.get(c, ()):
+            if step[w] == step[c]:
+                within[w] -= 1
+                if not within[w]:
+                    # The last of its needs in order of depth frees it.
+                    depth[w] = depth[c] + 1
+                    ready.append(w)
+    return {c: (step[c], depth.get(c, -1)) for c in own}
+
+
+def _order_small(taking: DataFrame) -> DataFrame:
+    """Steps and depths of conversations that fit one task."""
+    grouped = taking.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "own", "after")).alias("calls"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        convs, ids, steps, depths = [], [], [], []
+        for conv, calls in zip(batch.column("conv_id").to_pylist(), batch.column("calls").to_pylist()):
+            for call_id, (step, depth) in ordered_in_task([(c["call_id"], c["own"], c["after"]) for c in calls]).items():
+                convs.append(conv)
+                ids.append(call_id)
+                steps.append(step)
+                depths.append(depth)
+        columns = [pa.array(convs, pa.int64()), pa.array(ids, pa.string()), pa.array(steps, pa.int64()), pa.array(depths, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["conv_id", "call_id", "step", "depth"])
+
+    return map_arrow(grouped, run, "conv_id long, call_id string, step long, depth int")
+
+
+def _order_large(taking: DataFrame) -> DataFrame:
+    """Steps and depths by rounds of joins, until no call moves: as many rounds as the longest chain of waits has calls."""
+    nodes = taking.select("conv_id", "call_id", "own")
     waits = taking.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("needs")).where("needs is not null")
-    edges = waits.join(nodes.select("conv_id", F.col("call_id").alias("needs"), F.col("own").alias("theirs")), ["conv_id", "needs"])
-    edges = edges.join(nodes, ["conv_id", "call_id"])
-    # Only what waits for a later call, or for one that does, can move.
+    edges = waits.join(nodes.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"])
     steps = stage(nodes.withColumn("step", F.col("own")), "steps")
-    edges = stage(edges.select("conv_id", "call_id", "needs", "own", "theirs"), "waits")
-    for _ in range(most_rounds):
+    edges = stage(edges.select("conv_id", "call_id", "needs"), "waits")
+    while True:
         theirs = steps.select("conv_id", F.col("call_id").alias("needs"), F.col("step").alias("their_step"))
         raised = edges.join(theirs, ["conv_id", "needs"]).groupBy("conv_id", "call_id").agg(F.max("their_step").alias("raised"))
-        raised = raised.join(steps, ["conv_id", "call_id"]).where("raised > step").select("conv_id", "call_id", "raised")
-        moved = stage(raised, "raised")
+        moved = stage(raised.join(steps, ["conv_id", "call_id"]).where("raised > step").select("conv_id", "call_id", "raised"), "raised")
         if moved.isEmpty():
             break
         steps = stage(steps.join(moved, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "own", F.greatest("step", "raised").alias("step")), "steps")
-    else:
-        raise RuntimeError("calls wait for later ones over too long a chain")
     # Within a step: a call that waits for one of the same step comes behind it.
     theirs = steps.select("conv_id", F.col("call_id").alias("needs"), F.col("step").alias("their_step"))
     within = edges.join(theirs, ["conv_id", "needs"]).join(steps.select("conv_id", "call_id", "step"), ["conv_id", "call_id"]).where("step = their_step")
     within = stage(within.select("conv_id", "call_id", "needs"), "within")
-    placed = None
-    left = stage(steps.join(within.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_semi").select("conv_id", "call_id"), "left")
-    done = stage(steps.join(left, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("depth")), "depths")
-    for depth in range(1, most_rounds + 1):
+    left = stage(within.select("conv_id", "call_id").distinct(), "left")
+    done, depth = steps.join(left, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("depth")), 0
+    while True:
+        depth += 1
         waiting = within.join(left, ["conv_id", "call_id"], "left_semi")
         blocked = waiting.join(left.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
         placed = stage(left.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(depth)), "depths")
         if placed.isEmpty():
             break
-        done = done.unionByName(placed)
-        left = stage(blocked, "left")
+        done = stage(done.unionByName(placed), "done")
+        left = stage(left.join(placed, ["conv_id", "call_id"], "left_anti"), "left")
     done = done.unionByName(left.withColumn("depth", F.lit(-1)))
-    order = steps.select("conv_id", "call_id", "step").join(done, ["conv_id", "call_id"])
-    taking = taking.join(order, ["conv_id", "call_id"], "left")
+    return steps.select("conv_id", "call_id", "step").join(done, ["conv_id", "call_id"])
+
+
+def order_calls(linked: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """``linked`` with ``step`` and ``depth``: (step, depth, turn, place) is a topological order of each conversation.
+
+    Calls come in the order they were made unless one waits for a later one.
+    ``step`` is the last turn and place among a call and all it waits for; calls
+    that wait within a step follow by ``depth``. Conversations of up to ``one_task``
+    calls and waits are ordered in one task each; larger ones by joins on
+    identifiers, in rounds that run until nothing moves, so no conversation has to
+    fit one task and no chain is too long. Calls in a cycle, or that wait for one within its
+    step, have the depth -1. Identifiers that no call has are ignored.
+    """
+    linked = stage(linked, "linked-calls")
+    taking = linked.where("status in ('linked', 'no_result')").withColumn("own", F.col("turn") * (1 << 20) + F.col("place"))
+    sizes = taking.groupBy("conv_id").agg(F.sum(F.lit(1) + F.coalesce(F.size("after"), F.lit(0))).alias("n"))
+    large = stage(sizes.where(F.col("n") > one_task).select("conv_id"), "large-conversations")
+    asked = taking.select("conv_id", "call_id", "own", "after")
+    if large.isEmpty():
+        order = _order_small(asked)
+    else:
+        order = _order_small(asked.join(large, "conv_id", "left_anti")).unionByName(_order_large(stage(asked.join(large, "conv_id", "left_semi"), "large-calls")))
+    taking = taking.drop("own").join(order, ["conv_id", "call_id"], "left")
     rest = linked.where("status not in ('linked', 'no_result')").withColumn("step", F.lit(None).cast("long")).withColumn("depth", F.lit(None).cast("int"))
     return taking.unionByName(rest)
 

@@ -14,12 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from layerkit.llm.common import matrix_of, whole_components
 from layerkit.session import stage
 
 # Candidates of one index, queries that one task answers over it, levels of a dimension.
 BLOCK, QUERIES_A_TASK, LEVELS = 16_384, 1024, 16
+# Bytes up to which all queries are broadcast.
+BROADCAST_BYTES = 32 << 20
 # Shares of the segments after which the bounds are looked at.
 _LOOKS = (0.25, 0.4, 0.55, 0.7, 0.85)
 
@@ -81,102 +85,98 @@ class ImpactIndex:
 
 
 def integer_vectors(df: DataFrame, id_column: str = "vec_id", column: str = "embedding", scale: int = 1024) -> DataFrame:
-    """``vec_id`` and ``v``, each component as floor(scale * component).
+    """``vec_id`` and ``v``, each component as floor(scale * component), for every sound row.
 
     Left out are null ids, null vectors and vectors that hold a null or
-    non-finite component. One row per id: of rows that repeat an id, the one with
-    the smallest vector counts.
+    non-finite component. Rows that repeat an id stay rows of their own.
     """
-    wide = F.transform(F.col(column), lambda x: x.cast("double"))
-    sound = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return (
-        df.where(F.col(id_column).isNotNull() & F.col(column).isNotNull()).where(sound)
-        .select(F.col(id_column).cast("long").alias("vec_id"), F.transform(wide, lambda x: F.floor(x * scale).cast("long")).alias("v"))
-        .groupBy("vec_id").agg(F.min("v").alias("v"))
-    )
+    return df.select(F.col(id_column).cast("long").alias("vec_id"), whole_components(column, scale).alias("v")).where("vec_id is not null and v is not null")
 
 
-def _matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
-    """Vectors as rows; shorter ones end in zeros."""
-    lengths = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(lists), dims), np.int64)
-    out[np.repeat(np.arange(len(lists)), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = lists.flatten().to_numpy(zero_copy_only=False)
-    return out
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """``dims``, ``rows``, ``ids`` and ``data``: up to ``size`` vectors of one task as one row of bytes, numbered by ``task`` and ``part``."""
 
-
-def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """``dims``, ``ids`` and ``data``: up to ``size`` vectors of one task as one row of bytes."""
-
-    def pack(ids: list, lists: list) -> pa.RecordBatch:
-        column = pa.concat_arrays(lists)
-        dims = int(np.diff(column.offsets.to_numpy()).max(initial=0))
-        columns = [pa.array([dims], pa.int32()), *(pa.array([np.ascontiguousarray(x, "<i8").tobytes()], pa.binary()) for x in (np.concatenate(ids), _matrix(column, dims)))]
-        return pa.RecordBatch.from_arrays(columns, names=["dims", "ids", "data"])
+    def pack(held: list[pa.RecordBatch], part: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        data = matrix_of(table.column("v"))
+        numbers = [table.column(c).to_numpy(zero_copy_only=False) for c in ("row", "vec_id")]
+        packed = [pa.array([np.ascontiguousarray(x, "<i8").tobytes()], pa.binary()) for x in (*numbers, data)]
+        columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([part], pa.int32()), pa.array([data.shape[1]], pa.int32()), *packed]
+        return pa.RecordBatch.from_arrays(columns, names=["task", "part", "dims", "rows", "ids", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lists, n = [], [], 0
+        held, n, part = [], 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                if n + part.num_rows > size:
-                    yield pack(ids, lists)
-                    ids, lists, n = [], [], 0
-                ids.append(part.column("vec_id").to_numpy(zero_copy_only=False))
-                lists.append(part.column("v"))
-                n += part.num_rows
+                piece = batch.slice(at, size)
+                if n + piece.num_rows > size:
+                    yield pack(held, part)
+                    held, n, part = [], 0, part + 1
+                held.append(piece)
+                n += piece.num_rows
         if n:
-            yield pack(ids, lists)
-
-    return vectors.mapInArrow(run, "dims int, ids binary, data binary")
-
+            yield pack(held, part)
 
-def _read(ids: bytes, data: bytes, dims: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, "<i8")
-    vectors = np.zeros((len(ids), wide), np.int64)
-    vectors[:, :dims] = np.frombuffer(data, "<i8").reshape(len(ids), dims)
-    return ids, vectors
+    return rows.mapInArrow(run, "task int, part int, dims int, rows binary, ids binary, data binary")
 
 
-def top_k(vectors: DataFrame, every: int = 100, k: int = 10, block: int = BLOCK, queries_a_task: int = QUERIES_A_TASK) -> DataFrame:
-    """The ``k`` highest inner products of each query with all other vectors.
+def top_k(vectors: DataFrame, every: int = 100, k: int = 10, block: int = BLOCK, queries_a_task: int = QUERIES_A_TASK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The ``k`` highest inner products of each query with all other rows.
 
-    ``vectors`` has unique ``vec_id`` and integer ``v`` (:func:`integer_vectors`).
-    Queries are the ids divisible by ``every``; a vector shorter than another
-    counts as ending in zeros. Returns ``query_id``, ``rank`` from 1, ``vec_id``
-    and ``score``; ties go to the smaller id, and a query with fewer candidates
-    than ``k`` gets all. Scores are exact while they fit 64 bits.
+    ``vectors`` has ``vec_id`` and integer ``v`` (:func:`integer_vectors`). Queries
+    are the rows whose id is divisible by ``every``, candidates all rows but the
+    query's own: rows that repeat an id are all candidates, and each of them is a query. A vector
+    shorter than another counts as ending in zeros. Returns ``query_id``, ``rank``
+    from 1, ``vec_id`` and ``score``; ties go to the smaller id, and a query with
+    fewer candidates than ``k`` gets all. Scores are exact while they fit 64 bits.
 
-    Candidates lie in blocks; each block meets each block of queries in one task,
-    so neither side is broadcast or held as a whole, and a task passes on ``k``
-    rows per query.
+    Candidates lie in blocks, evenly over the tasks. Queries lie in groups, which
+    are broadcast where all of them take ``broadcast_bytes`` at most; else each block meets
+    each group by a shuffle on both their numbers. A task passes on ``k`` rows per query.
     """
-    rows = stage(vectors, "vectors")
+    rows = stage(vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "vectors")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dims")).first()
+    n_groups = max(1, -(-size.asked // queries_a_task))
+    group = F.pmod(F.xxhash64("row"), F.lit(n_groups)).cast("int")
     asked = rows.where(F.col("vec_id") % every == 0)
-    n_groups = max(1, -(-asked.count() // queries_a_task))
-    group = F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int")
-    queries = asked.groupBy(group.alias("asked")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("queries"))
-    spread = _blocks(rows, block).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("asked"))
+    queries = asked.groupBy(group.alias("asked")).agg(F.sort_array(F.collect_list(F.struct("row", "vec_id", "v"))).alias("queries"))
+    tasks = max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-size.n // block))
+    spread = _blocks(rows.repartition(tasks, "row"), block)
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("asked")
+    if size.asked * (8 * size.dims + 32) <= broadcast_bytes:
+        met = spread.select("*", every_group).join(F.broadcast(stage(queries, "queries")), "asked")
+    else:
+        spread = stage(spread, "blocks")
+        last = spread.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
+        grid = F.explode(F.sequence(F.lit(0), F.lit(tasks * (last + 1) - 1))).alias("block")
+        numbered = spread.withColumn("block", F.col("task") * (last + 1) + F.col("part"))
+        met = numbered.select("*", every_group).join(queries.select("*", grid), ["block", "asked"])
+    best = met.mapInArrow(_search_with(k), "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
+def _search_with(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                found = batch.column("queries")[row].values
-                query_ids = found.field("vec_id").to_numpy(zero_copy_only=False)
-                lists = found.field("v")
-                dims = batch.column("dims")[row].as_py()
-                wide = max(dims, int(np.diff(lists.offsets.to_numpy()).max(initial=0)))
-                asked = _matrix(lists, wide)
-                ids, data = _read(batch.column("ids")[row].as_py(), batch.column("data")[row].as_py(), dims, wide)
+            for at in range(batch.num_rows):
+                found = batch.column("queries")[at].values
+                query_rows, query_ids = (found.field(c).to_numpy(zero_copy_only=False) for c in ("row", "vec_id"))
+                dims = batch.column("dims")[at].as_py()
+                asked = matrix_of(found.field("v"))
+                wide = max(dims, asked.shape[1])
+                rows, ids = (np.frombuffer(batch.column(c)[at].as_py(), "<i8") for c in ("rows", "ids"))
+                data = np.zeros((len(ids), wide), np.int64)
+                data[:, :dims] = np.frombuffer(batch.column("data")[at].as_py(), "<i8").reshape(len(ids), dims)
+                asked = np.pad(asked, ((0, 0), (0, wide - asked.shape[1])))
                 index, out = ImpactIndex(data), []
-                for query_id, query in zip(query_ids.tolist(), asked):
+                for row, query_id, query in zip(query_rows.tolist(), query_ids.tolist(), asked):
                     members, scores = index.top(query, k + 1)  # one more, as it may find itself
-                    own = ids[members] != query_id
+                    own = rows[members] != row
                     best = np.lexsort((ids[members][own], -scores[own]))[:k]
-                    out.append((np.full(len(best), query_id), ids[members][own][best], scores[own][best]))
+                    out.append((np.full(len(best), row), np.full(len(best), query_id), ids[members][own][best], scores[own][best]))
                 if out:
-                    columns = [pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(3)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+                    columns = [pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(4)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_row", "query_id", "vec_id", "score"])
 
-    best = spread.join(queries, "asked").mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return search

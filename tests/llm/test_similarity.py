@@ -118,24 +118,40 @@ def test_one_of_each_keeps_one_row_of_a_class(docs):
     assert simhash.one_of_each(docs([])).count() == 0
 
 
-def brute_top(vectors, every, k):
+def brute_top(rows, every, k):
     out = []
-    for q, v in vectors.items():
+    for n, (q, v) in enumerate(rows):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors.items() if i != q)[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(rows) if m != n)[:k]
+            out += [(q, place, i, -s) for place, (s, i) in enumerate(scores, 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block, group", [(16, 2), (1000, 1000)])
-def test_top_k_against_brute_force(spark, block, group):
+@pytest.mark.parametrize("block, group, broadcast_bytes", [(16, 2, 1 << 20), (16, 3, 0), (1000, 1000, 1 << 20), (1000, 1000, 0)])
+def test_top_k_against_brute_force(spark, block, group, broadcast_bytes):
     draw = random.Random(block)
-    vectors = {i: [draw.randint(-50, 50) for _ in range(8)] for i in range(-20, 150)}
-    vectors |= {i: [7, 0, 0, 0, 0, 0, 0, 0] for i in range(200, 240)}  # ties
-    vectors |= {300: [], 301: [5], 400: [0] * 8, 401: [1] * 12}
-    df = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<long>").repartition(3)
-    found = sorted(map(tuple, topk.top_k(df, every=20, k=5, block=block, queries_a_task=group).collect()))
-    assert found == brute_top(vectors, 20, 5)
+    rows = [(i, [draw.randint(-50, 50) for _ in range(8)]) for i in range(-20, 150)]
+    rows += [(i, [7, 0, 0, 0, 0, 0, 0, 0]) for i in range(200, 240)]  # ties
+    rows += [(300, []), (301, [5]), (400, [0] * 8), (401, [1] * 12)]
+    # Rows that repeat an id, with another vector and with the same, of queries too.
+    rows += [(7, [60] * 8), (7, [60] * 8), (20, [-60] * 8), (20, rows[40][1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    found = topk.top_k(df, every=20, k=5, block=block, queries_a_task=group, broadcast_bytes=broadcast_bytes).collect()
+    assert sorted(map(tuple, found)) == brute_top(rows, 20, 5)
+
+
+def test_top_k_query_and_its_twin_agree_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    from layerkit.llm import queries
+
+    draw = random.Random(3)
+    rows = [(i % 150, [draw.random() - 0.5 for _ in range(6)], 1) for i in range(400)] + [(100, [0.5] * 6, 1), (1, [0.9] * 6, 1), (1, [0.5] * 6, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE["op6_exact_top_k"]).fetchall()
+    assert sorted(map(tuple, queries.QUERIES["op6_exact_top_k"](spark, str(tmp_path)).collect())) == sorted(want)
 
 
 def test_few_candidates_and_none(spark):
@@ -146,9 +162,9 @@ def test_few_candidates_and_none(spark):
 
 def test_unsound_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [0.5, -0.0001], 1), (1, None, 1), (2, [1.0, None], 1), (3, [nan, 1.0], 1), (4, [inf, 1.0], 1), (None, [1.0, 1.0], 1), (5, [0.25, 0.5], 2), (5, [0.25, 0.5], 2), (6, [], 1)]
+    rows = [(0, [0.5, -0.0001], 1), (1, None, 1), (2, [1.0, None], 1), (3, [nan, 1.0], 1), (4, [inf, 1.0], 1), (None, [1.0, 1.0], 1), (5, [0.25, 0.5], 2), (5, [0.25, 0.75], 2), (6, [], 1)]
     df = spark.createDataFrame(rows, T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("v", T.LongType())]))
-    assert sorted((r.vec_id, r.v) for r in topk.integer_vectors(df).collect()) == [(0, [512, -1]), (5, [256, 512]), (6, [])]
+    assert sorted((r.vec_id, r.v) for r in topk.integer_vectors(df).collect()) == [(0, [512, -1]), (5, [256, 512]), (5, [256, 768]), (6, [])]
 
 
 @given(st.integers(1, 60), st.integers(1, 6), st.integers(1, 5), st.integers(1, 300), st.randoms(use_true_random=False))

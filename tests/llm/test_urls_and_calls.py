@@ -64,6 +64,10 @@ def test_canonical_json():
     assert tool_calls.canonical(value) == '{"a":{"A":12345678901234567890,"é\\n":"é\\""},"b":[1,2.5,0,1000,null,true]}'
     with pytest.raises(ValueError):
         tool_calls.canonical(float("nan"))
+    # One form for equal numbers, however they are written.
+    forms = {"1e20": "1" + "0" * 20, "1E+2": "100", "-0.0": "0", "1e-7": "1e-7", "0.00001": "0.00001", "1.5e300": "15" + "0" * 299, "123456789012345680000.0": "123456789012345680000", "0.1e1": "1", "2.50": "2.5", "-12.5e-9": "-1.25e-8"}
+    for written, form in forms.items():
+        assert tool_calls.canonical(json.loads(written)) == form and float(json.loads(form)) == json.loads(written)
 
 
 def test_schema_faults():
@@ -107,6 +111,75 @@ def test_links_by_identifier(spark):
     assert tool_calls.link_calls(messages(spark, [])).count() == 0
 
 
+def test_calls_of_one_turn_that_share_an_id(spark):
+    rows = [(1, 0, call("a", "one")), (1, 0, call("a", "two")), (1, 1, result("a", "A")), (1, 1, result("a", "B")), (1, 1, result("a", "A"))]
+    found = tool_calls.order_calls(tool_calls.link_calls(messages(spark, rows))).collect()
+    assert sorted((r.status, r.content) for r in found if r.status == "linked") == [("linked", "A")]
+    assert sorted(r.status for r in found) == ["linked", "repeated"] and {r.name for r in found} == {"one", "two"}
+
+
+def test_tags_inside_json_strings():
+    inner = '{"id": "a", "name": "f", "arguments": {"q": "x</tool_call><tool_call>{\\"y\\"} <tool_response>"}}'
+    text = f"say <tool_call> {inner} </tool_call> and <tool_call>{{broken</tool_call><tool_call>{{}} more</tool_call><tool_call>[1]"
+    found = tool_calls.blocks_of(text, "tool_call")
+    assert [f.strip() for f in found] == [inner, "{broken", "{} more"] and json.loads(found[0])
+    assert tool_calls.blocks_of("<tool_call>" * 3, "tool_call") == [] and tool_calls.blocks_of("", "tool_call") == []
+    assert tool_calls.blocks_of("<tool_call>" + "[" * 100_000 + "</tool_call>", "tool_call") == ["[" * 100_000]
+
+
+def brute_order(calls):
+    """(step, depth) by identifier from all that a call reaches; depth from within its step."""
+    own = {c: at for c, at, _ in calls}
+    needs = {c: [n for n in after if n in own] for c, _, after in calls}
+
+    def reach(c):
+        seen, todo = {c}, [c]
+        while todo:
+            for n in needs[todo.pop()]:
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        return seen
+
+    step = {c: max(own[n] for n in reach(c)) for c in own}
+    depth, moved = {}, True
+    while moved:
+        moved = False
+        for c in own:
+            inner = [n for n in needs[c] if step[n] == step[c]]
+            if c not in depth and all(n in depth for n in inner):
+                depth[c] = max((depth[n] + 1 for n in inner), default=0)
+                moved = True
+    return {c: (step[c], depth.get(c, -1)) for c in own}
+
+
+@pytest.mark.parametrize("one_task", [50_000, 0])
+def test_order_against_brute_force_over_whole_conversations(spark, one_task):
+    import random
+
+    draw = random.Random(4)
+    convs = {}
+    for conv in range(12 if one_task else 4):
+        n = draw.randint(1, 14)
+        convs[conv] = [(f"c{i}", i << 20, [f"c{draw.randrange(n + 1)}" for _ in range(draw.choice((0, 1, 1, 2)))]) for i in range(n)]
+    convs[99] = [(f"c{i}", i << 20, [f"c{i + 1}"] if i < 8 else []) for i in range(9)]
+    rows = [(conv, at >> 20, call(c, after=after)) for conv, calls in convs.items() for c, at, after in calls]
+    found = tool_calls.order_calls(tool_calls.link_calls(messages(spark, rows)), one_task).collect()
+    got = {conv: {r.call_id: (r.step, r.depth) for r in found if r.conv_id == conv} for conv in convs}
+    assert got == {conv: brute_order(calls) for conv, calls in convs.items()}
+    assert len(found) == len(rows)
+
+
+def test_a_chain_of_any_length_keeps_its_order(spark):
+    chain = [(1, i, call(f"c{i}", after=[f"c{i - 1}", "last"] if i else ["last"])) for i in range(300)] + [(1, 300, call("last"))]
+    back = [(2, i, call(f"c{i}", after=[f"c{i + 1}"])) for i in range(300)]
+    found = tool_calls.order_calls(tool_calls.link_calls(messages(spark, chain + back))).collect()
+    depth = {(r.conv_id, r.call_id): r.depth for r in found}
+    assert all(depth[1, f"c{i}"] == i + 1 for i in range(300)) and depth[1, "last"] == 0
+    assert all(depth[2, f"c{i}"] == 299 - i for i in range(300))
+    assert {(r.conv_id, r.step) for r in found} == {(1, 300 << 20), (2, 299 << 20)}
+
+
 def test_order_is_topological(spark):
     after = {"c0": ["c5"], "c1": ["c0"], "c2": ["c1", "gone"], "c3": ["c3x"], "c4": ["c3"], "c5": [], "c6": ["c2", "c5"], "p": ["q"], "q": ["p"], "r": ["q"], "s": ["s"]}
     rows = [(1, i, call(c, after=needs)) for i, (c, needs) in enumerate(after.items())] + [(2, 0, call("c0", after=["c1"]) + call("c1", after=["c2"]) + call("c2"))]
