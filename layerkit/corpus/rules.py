@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from layerkit.functions.columns import col
+from layerkit.session import spread
 from layerkit.sources.changes import merge
 
 
@@ -20,27 +21,29 @@ class Rule(NamedTuple):
     marker: str
     # Patterns over several lines are looked for in the whole text; a hit is on the line where it begins.
     whole_text: bool = False
+    # Texts of which every match holds one; only texts that do meet the pattern. Without any, all do.
+    literals: tuple[str, ...] = ()
 
 
 # Known risky patterns.
 RISKS = [
-    Rule("RISK-01", "AzureStorage.Blobs", r"AzureStorage\.Blobs\s*\(", "High", "marked"),
-    Rule("RISK-02", "Custom function", r"\([\w\s,]*\)\s*=>\s*let", "Medium", "marked", True),
-    Rule("RISK-03", "Excel.Workbook", r"Excel\.Workbook\s*\(", "High", "marked"),
-    Rule("RISK-04", "Table.Skip", r"Table\.Skip\s*\(", "Low", "clean"),
-    Rule("RISK-05", "Table.UnpivotOtherColumns", r"Table\.UnpivotOtherColumns\s*\(", "Medium", "clean"),
-    Rule("RISK-06", "Table.Pivot", r"Table\.Pivot\s*\(", "Medium", "clean"),
-    Rule("RISK-07", "Splitter.SplitTextByEachDelimiter", r"Splitter\.SplitTextByEachDelimiter\b", "Low", "clean"),
-    Rule("RISK-08", "Text.BeforeDelimiter / Text.AfterDelimiter", r"Text\.(Before|After)Delimiter\b", "Low", "clean"),
+    Rule("RISK-01", "AzureStorage.Blobs", r"AzureStorage\.Blobs\s*\(", "High", "marked", literals=("AzureStorage.Blobs",)),
+    Rule("RISK-02", "Custom function", r"\([\w\s,]*\)\s*=>\s*let", "Medium", "marked", True, literals=("=>",)),
+    Rule("RISK-03", "Excel.Workbook", r"Excel\.Workbook\s*\(", "High", "marked", literals=("Excel.Workbook",)),
+    Rule("RISK-04", "Table.Skip", r"Table\.Skip\s*\(", "Low", "clean", literals=("Table.Skip",)),
+    Rule("RISK-05", "Table.UnpivotOtherColumns", r"Table\.UnpivotOtherColumns\s*\(", "Medium", "clean", literals=("Table.UnpivotOtherColumns",)),
+    Rule("RISK-06", "Table.Pivot", r"Table\.Pivot\s*\(", "Medium", "clean", literals=("Table.Pivot",)),
+    Rule("RISK-07", "Splitter.SplitTextByEachDelimiter", r"Splitter\.SplitTextByEachDelimiter\b", "Low", "clean", literals=("Splitter.SplitTextByEachDelimiter",)),
+    Rule("RISK-08", "Text.BeforeDelimiter / Text.AfterDelimiter", r"Text\.(Before|After)Delimiter\b", "Low", "clean", literals=("Text.BeforeDelimiter", "Text.AfterDelimiter")),
     Rule("RISK-09", "Table.TransformColumnTypes with 50+ columns",
-         r'Table\.TransformColumnTypes\s*\([^{}]*\{\s*(?:\{[^{}]*\}\s*,?\s*){50}', "Low", "clean", True),
-    Rule("RISK-10", "Table.NestedJoin", r"Table\.NestedJoin\s*\(", "Low", "clean"),
-    Rule("RISK-11", "Table.AddColumn with a condition", r"Table\.AddColumn\s*\([^()]*each\s+if", "Low", "clean", True),
+         r'Table\.TransformColumnTypes\s*\([^{}]*\{\s*(?:\{[^{}]*\}\s*,?\s*){50}', "Low", "clean", True, literals=("Table.TransformColumnTypes",)),
+    Rule("RISK-10", "Table.NestedJoin", r"Table\.NestedJoin\s*\(", "Low", "clean", literals=("Table.NestedJoin",)),
+    Rule("RISK-11", "Table.AddColumn with a condition", r"Table\.AddColumn\s*\([^()]*each\s+if", "Low", "clean", True, literals=("Table.AddColumn",)),
     Rule("RISK-12", "Replacer.ReplaceText chain",
-         r"(?s)Table\.ReplaceValue\s*\(.*Table\.ReplaceValue\s*\(", "Low", "clean", True),
-    Rule("RISK-13", "Table.AddIndexColumn", r"Table\.AddIndexColumn\s*\(", "High", "marked"),
-    Rule("RISK-14", "Optional record access", r"\[Attributes\]\?\s*\[Hidden\]\?", "Low", "clean"),
-    Rule("RISK-15", "Hardcoded storage path", r"https://[\w]+\.blob\.core\.windows\.net/|abfss://", "Medium", "clean"),
+         r"(?s)Table\.ReplaceValue\s*\(.*Table\.ReplaceValue\s*\(", "Low", "clean", True, literals=("Table.ReplaceValue",)),
+    Rule("RISK-13", "Table.AddIndexColumn", r"Table\.AddIndexColumn\s*\(", "High", "marked", literals=("Table.AddIndexColumn",)),
+    Rule("RISK-14", "Optional record access", r"\[Attributes\]\?\s*\[Hidden\]\?", "Low", "clean", literals=("[Attributes]?",)),
+    Rule("RISK-15", "Hardcoded storage path", r"https://[\w]+\.blob\.core\.windows\.net/|abfss://", "Medium", "clean", literals=(".blob.core.windows.net/", "abfss://")),
 ]
 
 # Function names a text may use without being reported as unknown.
@@ -82,31 +85,53 @@ def _hit(rule: Rule, line_number: Column, excerpt: Column) -> Column:
     )
 
 
-def scan_rules(docs: DataFrame, rules: Sequence[Rule], file: str = "file_path", text: str = "text") -> DataFrame:
+def _may_match(text: Column, rules: Iterable[Rule]) -> Column:
+    """Whether a text holds a literal of one of the rules, or one of them has none."""
+    rules = list(rules)
+    if any(not r.literals for r in rules):
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [text.contains(x) for r in rules for x in r.literals], F.lit(False))
+
+
+def scan_rules(docs: DataFrame, rules: Sequence[Rule], file: str = "file_path", text: str = "text", tasks: int | None = None) -> DataFrame:
     """Lines that match a rule: ``(file_path, risk_id, pattern_name, severity, line_number, match_excerpt)``.
 
-    Rules are tried row by row: nothing is joined, and large corpora are not shuffled.
+    One scan of the texts serves all rules. A text, then each of its lines, is
+    first searched for the rules' literals; patterns are tried where one is
+    found. Rules over several lines mark where their matches begin. Nothing is
+    joined, and large corpora are not shuffled; ``tasks`` is for few texts that
+    lie in fewer tasks than that.
     """
     by_line = [r for r in rules if not r.whole_text]
     whole = [r for r in rules if r.whole_text]
-    lines = F.split("__text", _LINE_END)
-    parts = []
-    base = docs.select(col(file).alias("file_path"), col(text).alias("__text"))
-    if by_line:
-        numbered = base.select("file_path", F.posexplode(lines).alias("__i", "__line"))
-        hits = F.array(*[
-            F.when(F.col("__line").rlike(r.regex), _hit(r, F.col("__i") + 1, F.col("__line"))) for r in by_line
-        ])
-        parts.append(numbered.select("file_path", F.inline(F.array_compact(hits))))
-    for rule in whole:
-        # A mark before each match says on which lines matches begin, and how many.
-        text = F.translate("__text", _MARK, "")
-        marked = base.select("file_path", text.alias("__text")).where(F.col("__text").rlike(rule.regex))
-        marked = marked.select("file_path", F.posexplode(F.split(F.regexp_replace("__text", rule.regex, f"{_MARK}$0"), _LINE_END)).alias("__i", "__line"))
-        n = F.length("__line") - F.length(F.translate("__line", _MARK, ""))
-        hit = _hit(rule, F.col("__i") + 1, F.translate("__line", _MARK, ""))
-        parts.append(marked.where(n > 0).select("file_path", F.inline(F.array_repeat(hit, n))))
-    return reduce(DataFrame.unionByName, parts)
+    base = spread(docs.select(col(file).alias("file_path"), col(text).alias("__text")), tasks)
+    base = base.where(F.col("__text").isNotNull() & _may_match(F.col("__text"), rules))
+    # A mark before each match says on which lines matches begin, and how many.
+    marked = {
+        f"__marked{i}": F.when(
+            _may_match(F.col("__text"), [rule]),
+            F.split(F.regexp_replace(F.translate("__text", _MARK, ""), rule.regex, f"{_MARK}$0"), _LINE_END),
+        )
+        for i, rule in enumerate(whole)
+    }
+    lines = F.when(_may_match(F.col("__text"), by_line), F.split("__text", _LINE_END))
+    split = base.select("file_path", lines.alias("__lines"), *[c.alias(n) for n, c in marked.items()])
+
+    def numbered(name: str, no: int) -> Column:
+        return F.transform(name, lambda line, i: F.struct((i + 1).alias("at"), line.alias("line"), F.lit(no).alias("no")))
+
+    items = [numbered("__lines", -1)]
+    items += [F.filter(numbered(name, no), lambda x: x["line"].contains(_MARK)) for no, name in enumerate(marked)]
+    kind = "array<struct<at:int,line:string,no:int>>"
+    each = split.select("file_path", F.explode(F.concat(*[F.coalesce(x, F.array().cast(kind)) for x in items])).alias("x")).select("file_path", "x.*")
+    at, line, no = F.col("at"), F.col("line"), F.col("no")
+    hits = [F.when((no == -1) & _may_match(line, [r]) & line.rlike(r.regex), _hit(r, at, line)) for r in by_line]
+    out = F.array_compact(F.array(*hits)) if hits else None
+    for i, rule in enumerate(whole):
+        n = F.length(line) - F.length(F.translate(line, _MARK, ""))
+        again = F.array_repeat(_hit(rule, at, F.translate(line, _MARK, "")), n)
+        out = again if out is None else F.when(no == i, again).otherwise(out)
+    return each.select("file_path", F.inline(out))
 
 
 def rule_summary(hits: DataFrame) -> DataFrame:

@@ -85,6 +85,10 @@ def _as_texts(df: DataFrame, values: list) -> list[str]:
     return list(row)
 
 
+# Columns that a pivot over values found in the data makes at most, unless the caller says more.
+MOST_PIVOTED = 2000
+
+
 def pivot(
     df: DataFrame,
     column: str,
@@ -94,19 +98,24 @@ def pivot(
     how: str = "first",
     order_by=None,
     null_name: str = "null",
+    most_values: int = MOST_PIVOTED,
 ) -> DataFrame:
     """Turn the values of ``column`` into columns.
 
     ``keys`` default to every other column. Without ``values`` they are found
-    with one extra job; a null among them becomes the column ``null_name``.
+    with one extra job; a null among them becomes the column ``null_name``. They
+    may be ``most_values`` at most: no task passes on more of them and one, and a column that
+    has more, such as a key taken by mistake, raises before any comes to the driver.
     ``first`` takes the smallest value of a cell unless ``order_by`` says otherwise.
     """
     require(df, [column, value])
     if keys is None:
         keys = [c for c in df.columns if c not in (column, value)]
     if values is None:
-        # As many rows as the result gets columns.
-        found = [r[0] for r in df.select(col(column)).distinct().collect()]
+        # As many rows as the result gets columns, and one that tells of more.
+        found = [r[0] for r in df.select(col(column)).distinct().limit(most_values + 1).collect()]
+        if len(found) > most_values:
+            raise ValueError(f"{column} has more than {most_values} values to pivot by; pass most_values for a wider result")
         values = sorted(v for v in found if v is not None)
         if None in found:
             if null_name in map(str, values) or null_name in keys:

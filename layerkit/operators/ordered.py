@@ -247,7 +247,8 @@ def fill_down(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     filled = placed.withColumns({c: F.last(col(c), ignorenulls=True).over(within) for c in columns})
-    out = filled.join(F.broadcast(carried), same, "left")
+    # One row per range at most, of any width: Spark broadcasts it where it is small.
+    out = filled.join(carried, same, "left")
     carry = {c: F.coalesce(col(c), F.col(f"__carry{i}")) for i, c in enumerate(columns)}
     return out.select(*[carry.get(c, col(c)).alias(c) for c in df.columns])
 

@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from layerkit.corpus import classify as C, extract as E, redact as D, rules as R
 from layerkit.plans.base import query
+from layerkit.session import spread
+
+# Tasks for heavy work on texts that lie in few row groups.
+TASKS = 32
 
 # --- A corpus of section documents, one per part, whose content follows from its columns ---
 
@@ -31,7 +35,7 @@ def _section():
 
 
 def _sections(t):
-    return t.part.select(F.concat(F.lit("flow "), F.col("p_partkey").cast("string")).alias("dataflow_name"), _section().alias("text"))
+    return spread(t.part, TASKS).select(F.concat(F.lit("flow "), F.col("p_partkey").cast("string")).alias("dataflow_name"), _section().alias("text"))
 
 
 _FLOW = "'flow ' || p_partkey"
@@ -238,9 +242,9 @@ def backlog_update(t):
 # License lines, mail addresses, long numbers, tokens.
 _TEXT_RULES = [
     R.Rule("TEXT-01", "license", r"(?i)licen[sc]e", "Low", "clean"),
-    R.Rule("TEXT-02", "mail address", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "High", "marked"),
+    R.Rule("TEXT-02", "mail address", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "High", "marked", literals=("@",)),
     R.Rule("TEXT-03", "long number", r"\b[0-9]{9,}\b", "Medium", "marked"),
-    R.Rule("TEXT-04", "token", r'token = "[0-9a-f]+"', "High", "marked"),
+    R.Rule("TEXT-04", "token", r'token = "[0-9a-f]+"', "High", "marked", literals=('token = "',)),
 ]
 _TEXT_HITS = "(" + " union all ".join(
     f"select cast(doc_id as varchar) as file_path, '{r.risk_id}' as risk_id, '{r.pattern_name}' as pattern_name, "
@@ -257,7 +261,7 @@ def _texts(t):
 
 @query(f"select * from {_TEXT_HITS}")
 def rule_scan(t):
-    return R.scan_rules(_texts(t), _TEXT_RULES)
+    return R.scan_rules(_texts(t), _TEXT_RULES, tasks=TASKS)
 
 
 @query(
@@ -267,12 +271,12 @@ def rule_scan(t):
     """
 )
 def rule_summary(t):
-    return R.rule_summary(R.scan_rules(_texts(t), _TEXT_RULES))
+    return R.rule_summary(R.scan_rules(_texts(t), _TEXT_RULES, tasks=TASKS))
 
 
 @query(f"select severity, count(*) as occurrences from {_TEXT_HITS} group by 1")
 def severity_summary(t):
-    return R.severity_summary(R.scan_rules(_texts(t), _TEXT_RULES))
+    return R.severity_summary(R.scan_rules(_texts(t), _TEXT_RULES, tasks=TASKS))
 
 
 
@@ -291,39 +295,41 @@ def unknown_tokens(t):
     return R.unknown_names(_texts(t), known, pattern=r"@([A-Za-z0-9]+)\.")
 
 
+def _for_twin(pattern: str, replacement: str) -> list[tuple[str, str]]:
+    """A redaction rule in the dialect of an engine whose word classes are ASCII only and that has no word ends of other scripts.
+
+    Word characters and digits are spelled as classes. A match between word ends takes in the signs beside it and
+    puts them back; as neighbours share one, it is looked for twice.
+    """
+    word = r"\p{L}\p{N}_"
+    out = pattern.replace(r"[\w-]", f"[{word}-]").replace(r'[^"\s]', r'[^"\s\p{Z}]').replace(r"\d", r"\p{Nd}")
+    if not (out.startswith(r"\b") and out.endswith(r"\b")):
+        return [(out, replacement)]
+    inner = out[2:-2]
+    groups = inner.count("(") - inner.count("(?")
+    return [(f"(^|[^{word}]){inner}($|[^{word}])", f"\\1{replacement}\\{groups + 2}")] * 2
+
+
 def _redact_sql(column: str, source: str, keep: str) -> str:
-    """The redaction rules for an engine whose word classes are ASCII only."""
-    word = "\\p{L}\\p{N}_"
-    steps = [
-        (f"https://[{word}-]+\\.blob\\.core\\.windows\\.net/[{word}-]+/", "<REDACTED_URL>/<REDACTED_CONTAINER>/"),
-        (f"https://[{word}-]+\\.dfs\\.core\\.windows\\.net/[{word}-]+/", "<REDACTED_URL>/<REDACTED_CONTAINER>/"),
-        (f"https://[{word}-]+\\.blob\\.core\\.windows\\.net/", "<REDACTED_URL>/"),
-        (f"https://[{word}-]+\\.dfs\\.core\\.windows\\.net/", "<REDACTED_URL>/"),
-        ('https?://[a-zA-Z0-9.-]+(/[^"\\s\\p{Z}]*)?', "<REDACTED_URL>"),
-        ('"[^"]*\\.(csv|xlsx|xls|json|parquet|tsv|txt)"', '"<REDACTED_PATH>"'),
-        ("\\[([^\\[\\]=]+)\\]", "[<REDACTED_COL>]"),
-        ('#"[^"]+"', '#"<REDACTED_IDENT>"'),
-        (f"(^|[^{word}])([0-9]{{3,}})($|[^{word}])", "\\1<REDACTED_NUMBER>\\3"),
-        (f"(^|[^{word}])([0-9]{{3,}})($|[^{word}])", "\\1<REDACTED_NUMBER>\\3"),
-    ]
+    """All redaction rules, then the pass over quoted values."""
     out = column
-    for pattern, replacement in steps:
+    for pattern, replacement in (step for rule in D.REDACTIONS for step in _for_twin(*rule)):
         out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
     return f"""
     with r as (select {keep}, string_split({out}, '"') as p from {source})
     select {keep}, array_to_string(list_transform(p, lambda x, i: case when i % 2 = 0 and i < len(p)
-        and regexp_matches(x, '[{word}]') and not contains(x, '<REDACTED_') then '<REDACTED_VALUE>' else x end), '"') as {column}
+        and regexp_matches(x, '[\\p{{L}}\\p{{N}}_]') and not contains(x, '<REDACTED_') then '<REDACTED_VALUE>' else x end), '"') as {column}
     from r"""
 
 
 @query(_redact_sql("text", "documents", "doc_id"))
 def redact_text(t):
-    return D.redact(t.documents.select("doc_id", "text"), "text")
+    return D.redact(t.documents.select("doc_id", "text"), "text", tasks=TASKS)
 
 
 @query(_redact_sql("html", "pages", "page_id"))
 def redact_pages(t):
-    return D.redact(t.pages.select("page_id", "html"), "html")
+    return D.redact(t.pages.select("page_id", "html"), "html", tasks=TASKS)
 
 
 @query(

@@ -8,7 +8,7 @@ from layerkit.operators import aggregate as A, project as X
 from layerkit.plans.base import exact_sum, query
 from layerkit.profiling.infer import detect_headers
 from layerkit.quality import not_null
-from layerkit.session import scratch_path
+from layerkit.session import scratch_path, stage
 from layerkit.sources import changes as M, files, readers as R, sinks as S
 from layerkit.sources.store import TableStore
 from layerkit.streaming import ingest as I
@@ -138,6 +138,21 @@ def clustered_write(t):
     return S.recluster(df, _folder(t, "clustered"), ["l_partkey", "l_orderkey"], 8)
 
 
+@query(
+    """
+    select column_name, n as rows, true as over_half_excluded from
+      (select count(*) as n from lineitem) cross join (values ('l_partkey'), ('l_shipdate')) as t(column_name)
+    """
+)
+def z_clustered_write(t):
+    """Compacted into 64 files by two columns at once: the ends of most files exclude a value of either."""
+    df = t.lineitem.select("l_orderkey", "l_partkey", "l_shipdate", "l_quantity")
+    out = S.z_recluster(df, _folder(t, "z-clustered"), ["l_partkey", "l_shipdate"], 64)
+    middle = df.agg(*[F.expr(f"percentile_approx({c}, 0.5)").alias(c) for c in ("l_partkey", "l_shipdate")]).first()
+    found = S.file_pruning(out, {c: F.lit(middle[c]) for c in ("l_partkey", "l_shipdate")})
+    return found.select("column_name", "rows", (F.col("excluded") * 2 > F.col("files")).alias("over_half_excluded"))
+
+
 # --- Merge, change set, versions ---
 
 # Second state of customer: every third gets a new balance and a later date,
@@ -301,6 +316,35 @@ def scd2(t):
     return M.next_versions(first, _new(t), "c_custkey", attributes, F.lit("2024-02-01 00:00:00"), close_missing=True)
 
 
+_AT0 = "timestamp '2024-01-20 00:00:00'"
+
+
+@query(
+    f"""
+    with t as (select {_V} from {_OLD}), s as (select {_V} from {_NEW}),
+    m as (select c_custkey, c_acctbal - 1 as c_acctbal, c_mktsegment from customer where c_custkey % 4 = 0
+          union all select 2000000 + c_custkey, c_acctbal, c_mktsegment from customer where c_custkey % 4 = 0),
+    c as (select t.*, s.c_custkey is null as gone, s.c_acctbal is distinct from t.c_acctbal as changed,
+                 t.c_custkey % 4 = 0 as restated from t left join s on t.c_custkey = s.c_custkey),
+    v as (
+    select c_custkey, c_acctbal, c_mktsegment, {_AT1} as valid_from,
+           case when restated then {_AT0} when gone or changed then {_AT2} end as valid_to from c
+    union all select m.c_custkey, m.c_acctbal, m.c_mktsegment, {_AT0}, case when c.gone or c.changed then {_AT2} end from m left join c using (c_custkey)
+    union all select s.c_custkey, s.c_acctbal, s.c_mktsegment, {_AT2}, null
+    from s left join t on t.c_custkey = s.c_custkey where t.c_custkey is null or s.c_acctbal <> t.c_acctbal)
+    select sha256(c_custkey || '||' || strftime(valid_from, '%Y-%m-%d %H:%M:%S')) as version_key, *, valid_to is null as is_current from v
+    """
+)
+def scd2_late(t):
+    """A snapshot of the time between two loaded ones comes last: it cuts the versions of its time, and none overlap."""
+    attributes = ["c_acctbal", "c_mktsegment"]
+    first = M.start_versions(_old(t), "c_custkey", attributes, F.lit("2024-01-10 00:00:00"))
+    both = M.next_versions(first, _new(t), "c_custkey", attributes, F.lit("2024-02-01 00:00:00"), close_missing=True)
+    some = t.customer.filter(F.col("c_custkey") % 4 == 0).select("c_custkey", *attributes)
+    late = some.withColumn("c_acctbal", F.col("c_acctbal") - 1).union(some.withColumn("c_custkey", F.col("c_custkey") + 2000000))
+    return M.next_versions(stage(both, "versions"), late, "c_custkey", attributes, F.lit("2024-01-20 00:00:00"))
+
+
 # --- Dimensions, facts and the layered run ---
 
 

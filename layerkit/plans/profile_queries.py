@@ -4,8 +4,10 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from layerkit.functions.columns import col
 from layerkit.plans.base import query
-from layerkit.profiling import findings as G, infer as I, profile as P, relations as R
+from layerkit.profiling import findings as G, infer as I, profile as P, relations as R, state as V
+from layerkit.session import scratch_path
 
 # A view of orders with nulls, few values, negative amounts, and names that hint at keys.
 _SALES = """(select o_orderkey as order_id, o_custkey as customer_id, o_orderstatus as status,
@@ -275,7 +277,7 @@ def _raw(t):
     """
 )
 def infer_types(t):
-    return I.infer_types(_raw(t))
+    return I.infer_types(_raw(t), tasks=32)
 
 
 @query(
@@ -301,7 +303,7 @@ def date_format(t):
 )
 def apply_inferred_types(t):
     raw = _raw(t).drop("dotted")
-    typed = I.apply_inferred(raw, I.infer_types(raw))
+    typed = I.apply_inferred(raw, I.infer_types(raw, tasks=32))
     return typed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("day_first", "iso")})
 
 
@@ -399,7 +401,108 @@ def relationships(t):
     """Foreign keys found by name and type among key candidates, over whole tables, and how well they hold."""
     names = ("customer", "nation", "orders", "region", "lineitem", "part", "supplier", "events")
     tables = {n: getattr(t, n) for n in names}
-    links = R.candidate_links(P.key_profile(tables, R.linkable_columns(tables)))
+    links = R.named_links(tables)
     key = F.col("c_custkey")
     kept = t.customer.withColumn("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", -1 - key).otherwise(key))
     return R.relationships({**tables, "customer": kept}, links, min_match=50.0)
+
+
+_STATE_COLUMNS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "decimal", "o_orderpriority": "nvarchar"}
+
+
+def _state_sql(column, kind, source, load):
+    number = f"{column}::double" if kind != "nvarchar" else "null::double"
+    text = column if kind == "nvarchar" else "null::varchar"
+    length = "null::int" if kind == "decimal" else "{}" + f"(length({column}::varchar))::int"
+    return f"""
+    select '{load}' as profiled, '{column}' as column_name, '{kind}' as data_type, count(*) as total_count, count({column}) as non_null_count,
+      min({number}) as min_value, max({number}) as max_value, round(avg({number}), 4) as avg_value, min({text}) as min_text, max({text}) as max_text,
+      {length.format("min")} as min_length, {length.format("max")} as max_length, true as distinct_within_bound
+    from {source}"""
+
+
+@query(" union all ".join(
+    _state_sql(c, kind, source, load)
+    for source, load in (("orders", "all"), ("(select * from orders where o_orderstatus = 'O')", "open"), ("(select * from orders where o_orderstatus <> 'O')", "rest"))
+    for c, kind in _STATE_COLUMNS.items()
+))
+def profile_loads(t):
+    """Two loads profiled apart, and as one from their states alone; distinct values are estimated within a bound."""
+    path = scratch_path(t.spark, "states")
+    is_open = F.col("o_orderstatus") == "O"
+    loads = {"open": t.orders.filter(is_open), "rest": t.orders.filter(~is_open)}
+    for name, df in loads.items():
+        V.add_load(df, "orders", name, path, list(_STATE_COLUMNS))
+    states = V.load_states(t.spark, path)
+    exact = {name: df.agg(*[F.count_distinct(col(c)).alias(c) for c in _STATE_COLUMNS]).first() for name, df in {**loads, "all": t.orders}.items()}
+    out = None
+    for name, part in (("all", states), ("open", states.filter("load = 'open'")), ("rest", states.filter("load = 'rest'"))):
+        want = F.element_at(F.create_map(*[x for c in _STATE_COLUMNS for x in (F.lit(c), F.lit(exact[name][c]))]), F.col("column_name"))
+        # Of numbers with fractions the text's length is each engine's own.
+        length = lambda c: F.when(F.col("data_type") != "decimal", F.col(c)).alias(c)
+        one = V.merged_profile(part).select(
+            F.lit(name).alias("profiled"), "column_name", "data_type", "total_count", "non_null_count", "min_value", "max_value", F.round("avg_value", 4).alias("avg_value"),
+            "min_text", "max_text", length("min_length"), length("max_length"),
+            (F.abs(F.col("distinct_estimate") - want) <= F.greatest(want * V.DISTINCT_ERROR, F.lit(1))).alias("distinct_within_bound"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    """
+    select * exclude (place) from (
+      select c_nationkey, c_custkey, c_mktsegment, row_number() over (partition by c_nationkey order by md5('sample|' || c_custkey), c_custkey) as place from customer)
+    where place <= 7
+    """
+)
+def sample_per_nation(t):
+    """Seven customers of each nation, those with the smallest hashes."""
+    return P.sample_rows(t.customer.select("c_nationkey", "c_custkey", "c_mktsegment"), 7, "c_nationkey", "c_custkey")
+
+
+_BUYERS = {
+    "orders": ("orders", {"buyer": "o_custkey", "no": "o_orderkey"}), "customer": ("customer", {"id": "c_custkey", "country": "c_nationkey"}),
+    "nation": ("nation", {"code": "n_nationkey", "part_of": "n_regionkey"}), "region": ("region", {"number": "r_regionkey"}),
+    "line": ("lineitem", {"order_ref": "l_orderkey", "article": "l_partkey"}), "article_list": ("part", {"key": "p_partkey", "width": "p_size"}),
+}
+_UNIQUE = [("orders", "no"), ("customer", "id"), ("nation", "code"), ("region", "number"), ("article_list", "key")]
+
+
+def _inclusion_sql():
+    held = " union all ".join(f"select '{t}' as t, '{c}' as c, {old}::bigint as v from {table}" for t, (table, columns) in _BUYERS.items() for c, old in columns.items())
+    unique = ", ".join(f"('{t}', '{c}')" for t, c in _UNIQUE)
+    return f"""
+    with held as ({held}), counted as (select t, c, v, count(*) as n from held group by all),
+    sizes as (select t, c, count(*) as keys from counted group by all),
+    met as (
+      select a.t as child_table, a.c as child_column, p.t as parent_table, p.c as parent_column, count(*) as distinct_keys, count(b.v) as matched_keys,
+        count(b.v) / count(*) * 100 as match_percentage, coalesce(sum(a.n) filter (b.v is null), 0)::bigint as orphan_rows
+      from counted a join (values {unique}) as p(t, c) on p.t <> a.t left join counted b on b.t = p.t and b.c = p.c and b.v = a.v group by all
+    )
+    select met.*, keys as parent_keys, matched_keys / keys * 100 as coverage_percentage from met join sizes on sizes.t = parent_table and sizes.c = parent_column
+    where match_percentage >= 90 and matched_keys / keys * 100 >= 50"""
+
+
+@query(_inclusion_sql())
+def inclusions(t):
+    """Foreign keys between columns of unlike names, found by signatures of their values and counted exactly."""
+    tables = {name: getattr(t, table).select(*[F.col(old).alias(c) for c, old in columns.items()]) for name, (table, columns) in _BUYERS.items()}
+    return R.inclusions(tables, min_match=90.0, min_coverage=50.0)
+
+
+@query(
+    """
+    with p as (select 'o_orderstatus' as column_name, count(*) as total_count, count(distinct o_orderstatus) as distinct_count, max(length(o_orderstatus))::bigint as max_length from orders
+               union all select 'o_orderkey', count(*), count(distinct o_orderkey), max(length(o_orderkey::varchar))::bigint from orders)
+    select 'json' as form, * from p union all select 'csv', * from p
+    """
+)
+def saved_profile(t):
+    """A profile written as JSON and as CSV, and read back."""
+    found, path = P.profile(t.orders, "orders", ["o_orderstatus", "o_orderkey"]), scratch_path(t.spark, "profile")
+    for form in ("json", "csv"):
+        P.save_profile(found, f"{path}/{form}", form)
+    back = [t.spark.read.json(f"{path}/json").withColumn("form", F.lit("json")), t.spark.read.option("header", True).csv(f"{path}/csv").withColumn("form", F.lit("csv"))]
+    shown = ["form", "column_name", *[F.col(c).cast("bigint").alias(c) for c in ("total_count", "distinct_count", "max_length")]]
+    return back[0].select(*shown).unionByName(back[1].select(*shown))

@@ -118,6 +118,25 @@ def date_functions(t):
     )
 
 
+@query(
+    """
+    select event_id, ts as plain, date_trunc('second', ts) as formatted,
+           case when event_id % 9 <> 0 then date_trunc('second', ts) end as readable, date_trunc('day', ts)::timestamp as from_date
+    from events
+    """
+)
+def timestamp_functions(t):
+    """Instants read from texts: by the usual form, by a layout, with unreadable ones as null, and from dates."""
+    at, key = F.col("ts"), F.col("event_id")
+    text = F.date_format(at, "dd.MM.yyyy HH:mm:ss")
+    odd = F.when(key % 9 == 0, F.concat(F.lit("about "), text)).otherwise(text)
+    read = {
+        "plain": D.to_datetime(at.cast("string")), "formatted": D.to_datetime(text, "dd.MM.yyyy HH:mm:ss"),
+        "readable": D.to_datetime(odd, "dd.MM.yyyy HH:mm:ss", on_error="null"), "from_date": D.to_datetime(D.to_date(at).cast("string"), on_error="null"),
+    }
+    return t.events.select("event_id", *[c.cast("timestamp_ntz").alias(n) for n, c in read.items()])
+
+
 @query(
     """
     select l_orderkey, l_linenumber, l_partkey, l_quantity, round(l_quantity / 2) as half_up,

@@ -7,6 +7,7 @@ from layerkit.functions.columns import col
 from layerkit.operators import aggregate as A, joins as J, ordered as O, project as X, sets as S
 from layerkit.operators.recipe import run_recipe
 from layerkit.plans.base import exact_sum, query
+from layerkit.session import stage
 
 
 @query(
@@ -211,6 +212,23 @@ def tidy_customers(t):
     return X.tidy(df, names=["c_name"], emails=["c_mktsegment"], money=["c_acctbal"], keys=["c_custkey"])
 
 
+@query(
+    """
+    select o_orderpriority, count(*) as orders, (select count(*) from orders) as all_orders,
+           (select max(o_totalprice) from orders) - max(o_totalprice) as below_top
+    from orders group by 1
+    """
+)
+def buffered_orders(t):
+    """A table kept in memory and on disk while it is used twice."""
+    kept = X.buffer(t.orders.select("o_orderpriority", "o_totalprice"))
+    whole = kept.agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top")).first()
+    by_priority = kept.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"), (F.lit(whole.top) - F.max("o_totalprice")).alias("below_top"))
+    out = stage(by_priority.withColumn("all_orders", F.lit(whole.n).cast("bigint")), "buffered")
+    kept.unpersist()
+    return out
+
+
 # All rows take part. Customers of one segment have a shifted key, which leaves
 # their orders unmatched; so have cheap orders, which leaves customers unmatched.
 _KEPT = "(select * replace (case when c_mktsegment = 'BUILDING' then -1 - c_custkey else c_custkey end as c_custkey) from customer)"

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from layerkit.functions.columns import col
 from layerkit.operators.project import cast_types
+from layerkit.session import spread
 
 # Date layouts in order of preference (regex, name), and the shares that decide.
 DATE_LAYOUTS = [
@@ -110,24 +109,56 @@ def date_formats(df: DataFrame) -> DataFrame:
     return _per_column(df, [{"layout": layout_no(F.col("text"))}], _layout_aggregates()).select("column_name", *_layout_columns())
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """Type each text column could have: numeric, then date, if over 90 % of all rows convert."""
-    text, layout = F.col("text"), F.col("layout")
+# Shapes (digits as 9) of texts that are a date and nothing more, and the longest text whose shape tells that it is a whole number.
+_DATE_SHAPES = [
+    *[f"9999{x}{m}{x}{d}" for x in "-/" for m in ("9", "99") for d in ("9", "99")],
+    *[f"{m}{x}{d}{x}{y}" for x in "/-." for m in ("9", "99") for d in ("9", "99") for y in ("9999", "99")], "99999999",
+]
+_SHAPED = 18
+
+
+def _case(text: Column) -> Column:
+    """What stands for a text when its type is inferred, the same for all texts that convert alike.
+
+    A text that begins like no number and no date is one case. A short text without a date's
+    beginning goes by its shape, its digits all being 9. Dates, and what begins like one, go by themselves:
+    a column of dates has few.
+    """
+    shape = F.translate(text, "0123456789", "9" * 10)
+    dated = shape.isin(_DATE_SHAPES) | (layout_no(text).isNotNull())
+    plain = F.ltrim(text).rlike(r"^[0-9+.-]") | text.rlike(r"^\s")
+    return F.when(~plain, F.lit("x")).when((F.length(text) <= _SHAPED) & ~dated, shape).otherwise(text)
+
+
+def infer_types(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Type each text column could have: numeric, then date, if over 90 % of all rows convert.
+
+    Cells are counted by case first (:func:`_case`), before and after the shuffle; conversions are
+    tried once per case. ``tasks`` is for a table that lies in fewer tasks than that.
+    """
+    text, layout, n = F.col("text"), F.col("layout"), F.col("n")
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not names:
+        raise ValueError("no text column to look at")
+    cells = spread(df.select(*[col(c) for c in names]), tasks).select(F.posexplode(F.array(*[col(c) for c in names])).alias("position", "text"))
+    cases = cells.groupBy("position", _case(text).alias("text")).agg(F.count(F.lit(1)).alias("n"))
     values = {
         "month_first_": parse_date(text, False, layout).isNotNull(),
         "day_first_": parse_date(text, True, layout).isNotNull(),
         "number_": is_number(text),
         "integer_": F.trim(text).try_cast("bigint").isNotNull(),
     }
-    aggregates = {
-        "total": F.count(F.lit(1)),
-        "numbers": F.count_if("number_"),
-        "integers": F.count_if("integer_"),
-        "month_first": F.count_if("month_first_"),
-        "day_first": F.count_if("day_first_"),
-        **_layout_aggregates(),
-    }
-    found = _per_column(df, [{"layout": layout_no(text)}, values], aggregates).select("*", *_layout_columns())
+    count_if = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    first = F.when(layout.between(1, 4), F.regexp_extract(text, r"^(\d{1,2})", 1).try_cast("int"))
+    found = cases.withColumn("layout", layout_no(text)).withColumns(values).groupBy("position").agg(
+        F.sum(n).alias("total"), count_if(text.isNotNull()).alias("present"),
+        count_if(F.col("number_")).alias("numbers"), count_if(F.col("integer_")).alias("integers"),
+        count_if(F.col("month_first_")).alias("month_first"), count_if(F.col("day_first_")).alias("day_first"),
+        F.max(first).alias("first_field_"), F.lit(None).cast("string").alias("sample_"),
+        *[count_if(layout == i).alias(f"layout_{i}_") for i in range(len(DATE_LAYOUTS))],
+    )
+    named = F.array(*[F.lit(c) for c in names])
+    found = found.select(F.element_at(named, F.col("position") + 1).alias("column_name"), "*", *_layout_columns())
     best = F.greatest("month_first", "day_first")
     needed = TYPE_SHARE * F.col("total")
     return found.select(
@@ -183,13 +214,17 @@ def detect_headers(spark: SparkSession, path: str, separator: str = ",") -> Data
     column are shuffled. A quoted cell must not span lines. Files with blank lines
     only are missing a header; those of no bytes are not listed.
     """
-    quoted = rf"{re.escape(separator)}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
+    # A separator counts where an even number of quotes follows: of the pieces between quotes every other one, from the
+    # last backwards. They are marked, and the line is split at the marks: one pass, however long the line is.
+    mark, pieces = "\0", F.col("pieces")
+    outside = F.transform(pieces, lambda p, i: F.when((F.size(pieces) - 1 - i) % 2 == 0, F.replace(p, F.lit(separator), F.lit(mark))).otherwise(p))
     lines = spark.read.text(path, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file_path"), "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at")
     )
-    filled = lines.where(F.trim("value") != "")
-    cells = F.transform(F.split("value", quoted), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
-    first = filled.groupBy("file_path").agg(F.min_by("value", "at").alias("value")).select("file_path", cells.alias("names"))
+    filled = lines.where(F.trim("value") != "").withColumn("pieces", F.split(F.translate("value", mark, ""), '"', -1))
+    filled = filled.select("file_path", "at", F.split(F.array_join(outside, '"'), mark, -1).alias("cells"))
+    cells = F.transform("cells", lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
+    first = filled.groupBy("file_path").agg(F.min_by("cells", "at").alias("cells")).select("file_path", cells.alias("names"))
     number = is_number(F.col("cell"))
     columns = filled.select("file_path", F.posexplode(cells).alias("position", "cell")).groupBy("file_path", "position").agg(
         F.count_if(F.col("cell") != "").alias("n"), F.count_if(number).alias("numbers"), F.count(F.lit(1)).alias("lines"),

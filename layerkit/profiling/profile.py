@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from layerkit.functions.columns import as_list, col, require
+from layerkit.functions.columns import as_list, col, require, unused_name
 from layerkit.session import stage
 from layerkit.sources.sinks import export_csv, export_json
 
@@ -258,6 +258,24 @@ def sample_fraction(df: DataFrame, fraction: float, keys: str | Iterable[str] |
     return df.filter(F.pmod(F.xxhash64(*[col(n) for n in names]), F.lit(steps)) < int(fraction * steps))
 
 
+def sample_rows(df: DataFrame, n: int, by: str | Iterable[str] = (), keys: str | Iterable[str] | None = None, seed: str = "sample") -> DataFrame:
+    """Exactly ``n`` rows of each stratum (a value of ``by``), or all where it has fewer: those with the smallest hashes.
+
+    The hash is that of ``seed`` and ``keys``, by default of all columns, so the
+    sample is the same on every run, and a sample of fewer rows is part of one of
+    more. Each task passes on at most ``n`` rows of a stratum, however many it has.
+    """
+    names, by = df.columns if keys is None else as_list(keys), as_list(by)
+    require(df, [*names, *by])
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        raise ValueError("a sample this large is taken by share: sample_fraction")
+    place = unused_name(df, "__place")
+    text = [F.coalesce(col(k).cast("string"), F.lit("")) for k in names]
+    order = [F.md5(F.concat_ws("|", F.lit(seed), *text)), *[col(k).asc_nulls_first() for k in names]]
+    ranked = df.withColumn(place, F.row_number().over(Window.partitionBy(*[col(b) for b in by]).orderBy(*order)))
+    return ranked.filter(col(place) <= n).drop(place)
+
+
 def profile_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Compare two profiles by column name."""
     shown = ["data_type", "total_count", "null_percentage", "distinct_count", "cardinality_percentage"]

@@ -90,3 +90,16 @@ def task_count(df: DataFrame) -> int:
     if size is None:
         return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(df.sparkSession.sparkContext.defaultParallelism, size // _TASK_BYTES)
+
+
+def spread(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows dealt out to ``tasks`` tasks, where a scan would give its rows to fewer; without ``tasks``, as they are.
+
+    For heavy work per row over few, large row groups. A table whose scan has
+    as many tasks already is left alone, so at most ``tasks`` splits are shuffled.
+    """
+    size = estimated_bytes(df)
+    split = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    if not tasks or size is None or size >= tasks * split:
+        return df
+    return df.repartition(tasks)

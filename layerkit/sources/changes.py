@@ -298,31 +298,44 @@ def next_versions(
     close_missing: bool = False,
     check: bool = True,
 ) -> DataFrame:
-    """Apply a new snapshot to a versioned dimension.
-
-    A changed row closes at ``at`` and gets a successor; a new key starts; with
-    ``close_missing`` a key the snapshot lacks closes too. Closed rows are kept.
+    """Apply a snapshot to a versioned dimension, be it newer than all it holds or late.
+
+    Of each key the version that is valid at ``at`` is looked at. If its attributes
+    differ it ends at ``at`` and what is left of its time goes to a new version,
+    which is the current one where the old one was; a version that starts at ``at``
+    itself is restated in place. A key without a version at that time starts one,
+    which lasts until the key's next version, if it has a later one. With
+    ``close_missing`` the version of a key that the snapshot lacks ends at ``at``.
+    All other versions stay as they are, so the intervals of a key never overlap.
     """
     keys, attributes = as_list(keys), as_list(attributes)
     if check:
         require_unique(source, keys)
-    current = dimension.filter(F.col("is_current"))
-    history = dimension.filter(~F.col("is_current"))
+    moment = at.cast("timestamp_ntz")
+    holds = (col("valid_from") <= moment) & (col("valid_to").isNull() | (col("valid_to") > moment))
+    touched, others = dimension.filter(holds), dimension.filter(~F.coalesce(holds, F.lit(False)))
     started = start_versions(source.dropna(subset=keys), keys, attributes, at, key_name)
     columns = [key_name, *keys, *attributes, *VERSION_COLUMNS]
+    # Of a snapshot that is not late this is empty, which Spark sees at run time and then leaves the join out.
+    later = dimension.filter(col("valid_from") > moment).groupBy(*[col(k).alias(f"__l_{k}") for k in keys]).agg(F.min("valid_from").alias("__until"))
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(*[col(k).alias(f"__{name}_{k}") for k in keys], F.struct(*[col(c) for c in columns]).alias(f"__{name}"))
 
-    joined = side(current, "c").join(side(started, "n"), _equal((f"__c_{k}", f"__n_{k}") for k in keys), "full")
-    was, now = F.col("__c"), F.col("__n")
-    closed = was.withField("valid_to", at.cast("timestamp_ntz")).withField("is_current", F.lit(False))
-    same = reduce(lambda x, y: x & y, [was[a].eqNullSafe(now[a]) for a in attributes])
+    joined = side(touched, "c").join(side(started, "n"), _equal((f"__c_{k}", f"__n_{k}") for k in keys), "full")
+    joined = joined.join(later, _equal((f"__n_{k}", f"__l_{k}") for k in keys), "left")
+    was, now, until = F.col("__c"), F.col("__n"), F.col("__until")
+    closed = was.withField("valid_to", moment).withField("is_current", F.lit(False))
+    following = now.withField("valid_to", was["valid_to"]).withField("is_current", was["is_current"])
+    fresh = now.withField("valid_to", until).withField("is_current", until.isNull())
+    same = reduce(lambda x, y: x & y, [was[a].eqNullSafe(now[a]) for a in attributes], F.lit(True))
+    begins = was["valid_from"] == moment
     rows = (
-        F.when(was.isNull(), F.array(now))
-        .when(now.isNull(), F.array(closed if close_missing else was))
+        F.when(was.isNull(), F.array(fresh))
+        .when(now.isNull(), F.array(was) if not close_missing else F.when(~begins, F.array(closed)))
         .when(same, F.array(was))
-        .otherwise(F.array(closed, now))
+        .when(begins, F.array(following))
+        .otherwise(F.array(closed, following))
     )
     live = joined.select(F.explode(rows).alias("r")).select("r.*")
-    return history.select(*columns).unionByName(live)
+    return others.select(*columns).unionByName(live)

@@ -107,6 +107,29 @@ def test_versions(spark):
     assert third.filter("is_current").groupBy("id").count().filter("count > 1").count() == 0
 
 
+def test_late_snapshots_cut_the_version_of_their_time(spark):
+    t = {m: F.lit(f"2024-{m:02}-01").cast("timestamp_ntz") for m in range(1, 13)}
+    d = lambda m: m and datetime.datetime(2024, m, 1)
+    table = lambda data: spark.createDataFrame(data, "id int, v string")
+    shown = lambda df: rows(df.drop("version_key"))
+    want = lambda data: sorted([(i, v, d(a), d(b), b is None) for i, v, a, b in data], key=repr)
+    dim = M.start_versions(table([(1, "a"), (2, "b")]), "id", ["v"], t[3])
+    dim = M.next_versions(dim, table([(1, "A"), (2, "b"), (4, "d")]), "id", ["v"], t[9])
+    # Between two versions, before the first, of a new key, and in agreement.
+    dim = M.next_versions(dim, table([(1, "x"), (2, "b"), (3, "c")]), "id", ["v"], t[6])
+    assert shown(dim) == want([(1, "a", 3, 6), (1, "x", 6, 9), (1, "A", 9, None), (2, "b", 3, None), (3, "c", 6, None), (4, "d", 9, None)])
+    dim = M.next_versions(dim, table([(1, "old"), (2, "b"), (4, "d")]), "id", ["v"], t[1])
+    assert shown(dim.filter("id < 3")) == want([(1, "old", 1, 3), (1, "a", 3, 6), (1, "x", 6, 9), (1, "A", 9, None), (2, "b", 1, 3), (2, "b", 3, None)])
+    assert shown(dim.filter("id = 4")) == want([(4, "d", 1, 9), (4, "d", 9, None)])
+    # Restated at the very time a version starts; missing in a late snapshot.
+    dim = M.next_versions(dim, table([(1, "X"), (3, "c")]), "id", ["v"], t[6], close_missing=True)
+    assert shown(dim.filter("id in (1, 4)")) == want([(1, "old", 1, 3), (1, "a", 3, 6), (1, "X", 6, 9), (1, "A", 9, None), (4, "d", 1, 6), (4, "d", 9, None)])
+    assert shown(dim.filter("id = 2")) == [(2, "b", d(1), d(3), False), (2, "b", d(3), d(6), False)]
+    overlaps = dim.alias("a").join(dim.alias("b"), F.expr("a.id = b.id and a.valid_from < b.valid_from and coalesce(a.valid_to, date '2030-01-01') > b.valid_from"))
+    assert overlaps.isEmpty() and dim.filter("valid_to <= valid_from").isEmpty()
+    assert dim.select("version_key").distinct().count() == dim.count()
+
+
 def test_merge_rewrites_only_touched_buckets(spark, tmp_path):
     path = str(tmp_path / "t")
     M.write_buckets(spark.range(200).select("id", F.lit("old").alias("v")), path, "id", 16)

@@ -139,29 +139,52 @@ def test_a_hot_key_is_split_in_joins(spark, small_tasks, how):
 
 
 @pytest.mark.parametrize("how", ["left", "right", "outer", "expand", "expand_right"])
-@pytest.mark.parametrize("hot", ["left", "right"])
-def test_a_hot_key_of_either_side_is_split(spark, small_tasks, how, hot):
+@pytest.mark.parametrize("hot", ["left", "right", "both"])
+def test_a_hot_key_of_either_side_is_split(spark, small_tasks, monkeypatch, how, hot):
     from pyspark.sql import functions as F
 
-    from layerkit.operators.joins import join_on, merge_queries
+    from layerkit.operators import joins as J
     from layerkit.session import configure
 
     configure(spark)
-    many = spark.range(0, 60000, 1, 16).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("mk"), F.col("id").alias("m"))
-    one = spark.range(0, 30000, 1, 4).select((F.col("id") * 4).alias("ok"), F.lit("x").alias("v"))
-    left, right, lk, rk = (many, one, "mk", "ok") if hot == "left" else (one, many, "ok", "mk")
+    monkeypatch.setattr(J, "HOT_BYTES", 0)
+    many = spark.range(0, 60000, 1, 16).select(F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 1, None).otherwise(F.col("id")).alias("mk"), F.col("id").alias("m"))
+    one = spark.range(0, 30000, 1, 4).select((F.col("id") * 4).cast("int").alias("ok"), F.lit("x").alias("v"))
+    if hot == "both":
+        many = many.where("m % 30 = 0 or mk <> 0 or mk is null")  # 2,000 rows of key 0
+        one = one.union(spark.range(60).select(F.lit(0), F.lit("y")))
+    left, right, lk, rk = (one, many, "ok", "mk") if hot == "right" else (many, one, "mk", "ok")
     kind = {"expand": "left", "expand_right": "right"}.get(how, how)
     if how.startswith("expand"):
-        out = merge_queries(left, right, lk, rk, kind, expand={c: c for c in right.columns if c != rk})
+        out = J.merge_queries(left, right, lk, rk, kind, expand={c: c for c in right.columns if c != rk})
     else:
-        out = join_on(left, right, lk, rk, kind, many="any")
-    rows = out.collect()
-    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
-    keys = [0 if i % 3 == 0 else i for i in range(60000)]
-    matched = sum(1 for k in keys if k % 4 == 0)
-    alone = {"many": 60000 - matched, "one": 30000 - len({k for k in keys if k % 4 == 0})}
-    kept = ["many" if (kind == "left") == (hot == "left") else "one"] if kind != "outer" else ["many", "one"]
-    assert len(rows) == matched + sum(alone[k] for k in kept)
+        out = J.join_on(left, right, lk, rk, kind)
+    plain = left.join(right, left[lk] == right[rk], kind).select(*[c for c in left.columns + right.columns if c in out.columns])
+    assert out.exceptAll(plain).isEmpty() and plain.exceptAll(out).isEmpty()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 60000") == 1 and plan.count("Range (0, 30000") == 1 and plan.count("Join") == 1
+    hot_rows = out.where(F.col("m") % 3 == 0).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(hot_rows) > 3 and max(r["count"] for r in hot_rows) < 0.6 * sum(r["count"] for r in hot_rows)
+
+
+def test_hot_keys_are_looked_for_in_large_sides_only(spark):
+    from pyspark.sql import functions as F
+
+    from layerkit.operators import joins as J
+
+    left = spark.range(1000).select((F.col("id") % 2).alias("k"), "id")
+    assert sorted(J.hot_keys(left, F.col("k"), F.lit(True), share=0.3)) == [0, 1]
+    assert J.hot_keys(left.where("false"), F.col("k"), F.lit(True)) == []
+    out = J.join_on(left, left.select(F.col("k").alias("rk"), F.col("id").alias("other")), "k", "rk", "outer")
+    assert "at_" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["join_full", "nested_join_expand"])
+def test_an_outer_join_reads_each_side_once(plan, name):
+    text = plan(name, broadcast=False)
+    for table in ("orders", "customer"):
+        assert text.count(f"{table}.parquet") <= 1, text
+    assert text.count("SortMergeJoin") == 1
 
 
 def test_a_hot_partition_value_is_written_by_several_tasks(spark, small_tasks, tmp_path):

@@ -205,6 +205,120 @@ def test_percentiles_against_brute_force(spark):
     assert abs(rough[("b", 0.5)] - 249) <= 1
 
 
+@pytest.mark.parametrize("most, accuracy", [(1, 100), (5, 20), (50, 100), (10**6, 10_000)])
+def test_percentiles_by_narrowing_brackets(spark, most, accuracy):
+    import math
+    import random
+
+    rng = random.Random(most)
+    hot = [rng.choice([3.0, 3.0, 4.0, -1.0, None, float("nan"), rng.gauss(0, 50)]) for _ in range(3000)]
+    df = spark.createDataFrame([(v, i % 7, i * i) for i, v in enumerate(hot)], "a double, few int, wide long").repartition(5)
+    points = (0.0, 0.01, 0.25, 0.5, 0.51, 0.99, 1.0)
+    got = {(r[0], r[1]): r[2] for r in R.percentiles(df, ["a", "few", "wide"], points, most, accuracy).collect()}
+    key = lambda v: (v != v, v if v == v else 0)
+    for name, values in (("a", [v for v in hot if v is not None]), ("few", [i % 7 for i in range(3000)]), ("wide", [i * i for i in range(3000)])):
+        ordered = sorted(map(float, values), key=key)
+        for p in points:
+            want = ordered[max(math.ceil(p * len(ordered)), 1) - 1]
+            assert key(got[name, p]) == key(want), (name, p)
+    empty = R.percentiles(df.where("false"), ["a"], points)
+    assert empty.count() == 0 and R.percentiles(df.select(F.lit(None).cast("int").alias("n")), ["n"]).count() == 0
+
+
+def test_signatures_find_links_of_unlike_names(spark):
+    parent = spark.range(1000).select("id", (F.col("id") % 10).alias("small"))
+    child = spark.range(5000).select(F.when(F.col("id") % 50 == 0, F.col("id") + 10**6).otherwise(F.col("id") * 7 % 1000).cast("int").alias("ref"), F.concat(F.lit("t"), "id").alias("text"))
+    tables = {"a": parent, "b": child}
+    found = {(r.child_table, r.child_column, r.parent_table, r.parent_column): r for r in R.inclusions(tables, 80.0, 50.0).collect()}
+    assert set(found) == {("b", "ref", "a", "id")}
+    r = found["b", "ref", "a", "id"]
+    want = {7 * i % 1000 for i in range(5000) if i % 50}
+    assert (r.distinct_keys, r.matched_keys, r.orphan_rows, r.parent_keys) == (len(want) + 100, len(want), 100, 1000)
+    assert R.inclusions(tables, 99.9, 50.0).count() == 0
+    # Small numbers lie in any counted key; only a low coverage lets them pass.
+    loose = R.inclusions(tables, 80.0, 0.0).select("child_column", "parent_column").collect()
+    assert {tuple(r) for r in loose} == {("ref", "id")}
+    small = R.inclusion_candidates(R.key_signatures({"a": parent, "c": parent.select("small")}), 95.0, 50.0).collect()
+    assert all(r.child_column != "small" or r.coverage_estimate >= 45 for r in small)
+    assert R.inclusion_candidates(R.key_signatures({"a": parent.where("false"), "b": child}), 0.0).count() == 0
+
+
+def test_links_by_signatures_are_those_of_the_profile(spark):
+    tables = {
+        "customer": spark.range(400).select(F.col("id").alias("c_custkey"), (F.col("id") % 7).alias("c_nationkey"), F.lit("x").alias("c_name")),
+        "orders": spark.range(900).select(F.col("id").alias("o_orderkey"), (F.col("id") % 500).alias("o_custkey"), F.when(F.col("id") % 50 > 1, F.col("id")).alias("o_linekey")),
+        "nation": spark.range(7).select(F.col("id").alias("n_nationkey"), F.col("id").cast("double").alias("n_custkey")),
+        "line": spark.range(900).select((F.col("id") % 880).alias("l_orderkey"), F.col("id").alias("l_linekey")), "none": spark.range(0).select(F.col("id").alias("x_custkey")),
+    }
+    want = R.candidate_links(P.key_profile(tables, R.linkable_columns(tables)))
+    assert R.named_links(tables) == want and ("orders", "o_custkey", "customer", "c_custkey") in want
+    assert R.named_links({"a": spark.range(3)}) == []
+
+
+def test_large_signatures_bound_what_is_counted(spark):
+    a, b = spark.range(200_000), spark.range(100_000, 300_000).select(F.col("id").alias("other"))
+    found = R.inclusion_candidates(R.key_signatures({"a": a, "b": b}), 0.0).collect()
+    assert len(found) == 2 and all(abs(r.match_estimate - 50) < 5 for r in found)
+    assert R.inclusion_candidates(R.key_signatures({"a": a, "b": b}), 90.0).count() == 0
+
+
+def test_a_sample_of_exactly_n_rows_per_stratum(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), "id").repartition(6)
+    ten, four = P.sample_rows(df, 10, "g"), P.sample_rows(df, 4, "g")
+    sizes = {r.g: r["count"] for r in df.groupBy("g").count().collect()}
+    assert {r.g: r["count"] for r in ten.groupBy("g").count().collect()} == {g: min(10, n) for g, n in sizes.items()}
+    assert four.exceptAll(ten).isEmpty() and df.exceptAll(df.exceptAll(ten)).exceptAll(ten).isEmpty()
+    assert sorted(map(tuple, P.sample_rows(df.repartition(2), 4, "g").collect()), key=str) == sorted(map(tuple, four.collect()), key=str)
+    assert sorted(map(tuple, P.sample_rows(df, 4, "g", seed="other").collect()), key=str) != sorted(map(tuple, four.collect()), key=str)
+    assert P.sample_rows(df, 25).count() == 25 and P.sample_rows(df.where("false"), 5, "g").count() == 0
+    text = ten._jdf.queryExecution().executedPlan().toString()
+    assert text.index("WindowGroupLimit") < text.index("Exchange")
+    with pytest.raises(ValueError, match="share"):
+        P.sample_rows(df, 5000)
+
+
+def test_states_of_loads_merge_into_the_profile_of_all(spark, tmp_path):
+    from layerkit.profiling import state as V
+
+    path = str(tmp_path / "states")
+    rows = lambda low, high: spark.range(low, high).select(
+        "id", F.when(F.col("id") % 4 == 0, None).otherwise(F.concat(F.lit("v"), F.col("id") % 100)).alias("text"),
+        (F.col("id") / 4).alias("amount"), F.timestamp_seconds("id").alias("at"), (F.col("id") % 2 == 0).alias("even"),
+    )
+    V.add_load(rows(0, 1000), "t", "one", path)
+    V.add_load(rows(500, 3000), "t", "two", path)
+    V.add_load(rows(500, 3000), "t", "two", path)  # again: replaced
+    V.add_load(rows(0, 0), "t", "none", path)
+    found = {r.column_name: r for r in V.merged_profile(V.load_states(spark, path)).collect()}
+    assert [r.column_name for r in sorted(found.values(), key=lambda r: r.position)] == ["id", "text", "amount", "at", "even"]
+    assert all(r.total_count == 3500 and r.loads == 3 for r in found.values())
+    text, number = found["text"], found["id"]
+    assert (text.non_null_count, text.null_count, text.min_text, text.max_length) == (2625, 875, "v1", 3)
+    assert abs(text.distinct_estimate - 75) <= 2 and abs(number.distinct_estimate - 3000) <= 3000 * V.DISTINCT_ERROR
+    assert (number.min_value, number.max_value) == (0.0, 2999.0) and number.avg_value == (sum(range(1000)) + sum(range(500, 3000))) / 3500
+    assert (found["at"].data_type, found["at"].max_value, found["at"].avg_value) == ("datetime2", 2999.0, None)
+    one = {r.column_name: r for r in V.merged_profile(V.load_states(spark, path).where("load = 'one'")).collect()}
+    assert one["id"].total_count == 1000 and abs(one["id"].distinct_estimate - 1000) <= 30
+
+
+@pytest.mark.parametrize("text", [
+    "2024-01-31", "2024/1/3", "31/01/2024", "13/13/2024", "1.2.2024", "29.02.2023", "29.02.2024", "1/2/24", "20240131", "20241341", "12345678901234567890",
+    "2024-01-31 10:00:00", "2024-01-31 25:00:00", "2024-01-31x", "1234", " 12", "12 ", "+5", "-.5", ".", "1e5", "1e", "12a", "abc", "", " ", "x1", "99999999999999999999", "01/02/2024 rest", "\t7", "007", "é1", "١٢", None,
+])
+def test_types_of_single_texts(spark, text):
+    """The type of a column of one text is that of the conversions tried on it."""
+    df = spark.createDataFrame([(text,)] * 3, "t string")
+    found = I.infer_types(df).first()
+    c = F.col("t")
+    one = df.select(
+        I.is_number(c).alias("number"), F.trim(c).try_cast("bigint").isNotNull().alias("whole"),
+        I.parse_date(c, False).isNotNull().alias("month_first"), I.parse_date(c, True).isNotNull().alias("day_first"),
+    ).first()
+    want = "bigint" if one.whole else "decimal" if one.number else "datetime2" if one.month_first or one.day_first else "nvarchar"
+    assert found.data_type == want and found.total == 3 and found.numbers == (3 if one.number else 0)
+    assert found.dates == (3 if one.month_first or one.day_first else 0)
+
+
 def test_outliers(spark):
     df = spark.createDataFrame([(float(i),) for i in range(100)] + [(1000.0,), (-900.0,)], "v double")
     row = R.outliers(df, ["v"]).collect()[0]

@@ -209,6 +209,38 @@ def test_reclustering_gives_files_disjoint_ranges(spark, tmp_path):
     assert len(ranges) == 4 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
 
 
+def test_clustering_by_several_columns_narrows_files_in_each(spark, tmp_path):
+    # Two columns without any relation, one of them text, a hot value, nulls.
+    df = spark.range(20000).select(
+        "id", F.pmod(F.xxhash64("id"), F.lit(1000)).alias("a"),
+        F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 5 == 0, "hot").otherwise(F.sha1(F.col("id").cast("string"))).alias("b"),
+    ).repartition(5)
+    probes = {"a": 500, "b": "8"}
+    plain = S.file_pruning(S.recluster(df, str(tmp_path / "plain"), ["a", "b"], 64), probes).collect()
+    out = S.z_recluster(df, str(tmp_path / "z"), ["a", "b"], 64)
+    both = S.file_pruning(out, probes).collect()
+    assert {r.column_name: r.files for r in both} == {"a": 64, "b": 64} and all(r.rows == 20000 for r in both)
+    assert all(r.excluded >= 40 for r in both) and min(r.excluded for r in plain) < 10
+    assert df.exceptAll(out).isEmpty() and out.count() == 20000
+
+
+def test_ranks_and_interleaved_bits(spark):
+    from pyspark.sql import types as T
+
+    bounds = list(range(10, 1000, 7))
+    values = [None, -5, 9, 10, 11, 500, 993, 996, 997, 5000]
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    got = [r[0] for r in df.select(S._rank(F.col("v"), bounds, T.IntegerType())).collect()]
+    assert got == [0 if v is None else sum(b <= v for b in bounds) for v in values]
+    assert df.select(S._rank(F.col("v"), [], T.IntegerType())).distinct().count() == 1
+    pairs = spark.createDataFrame([(0, 0), (1, 0), (0, 1), (3, 3), (5, 2)], "x int, y int")
+    keys = [r[0] for r in pairs.select(S.interleaved([F.col("x"), F.col("y")], 3)).collect()]
+    assert keys == [0, 2, 1, 15, 0b100110]
+    with pytest.raises(ValueError, match="too many"):
+        S.z_clustered(spark.range(1).select(*[F.lit(0).alias(f"c{i}") for i in range(31)]), [f"c{i}" for i in range(31)], 2)
+    assert S.z_clustered(df.limit(0), ["v"], 3).count() == 0
+
+
 def test_a_hot_value_is_spread_over_files(spark, tmp_path):
     out = S.recluster(spark.range(4000).select(F.lit(1).alias("k"), "id"), str(tmp_path / "t"), "k", 4)
     sizes = [r[0] for r in out.groupBy(F.input_file_name()).count().select("count").collect()]
