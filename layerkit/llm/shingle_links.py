@@ -25,6 +25,7 @@ WORDS, SIMILAR = 5, (4, 5)
 LEAST_BUCKETS, FILL = 32, 4
 # Orders in which the texts of a signature stand, and those of a block that meet the ones of other blocks.
 _ORDERS, _SENT = 8, 3
+_SKETCH = 64
 # Bytes of text whose signatures are worked out at once, and rows of one batch that goes out.
 _BLOCK_BYTES, _ROWS = 4 << 20, 1 << 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -62,6 +63,26 @@ def node_of(shingles: np.ndarray) -> int:
         return int(mixed(np.array([whole]))[0])
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """A byte for each of 64 ranges of hashes: a hash of the smallest shingle in it, zero where it has none."""
+    out = np.zeros(_SKETCH, np.uint8)
+    at, first = np.unique(shingles >> np.uint64(64 - 6), return_index=True)
+    out[at.astype(np.int64)] = (mixed(shingles[first]) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return out.tobytes()
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs of sketches, as rows, leave it open that the sets are alike.
+
+    The share of equal bytes among those that are not both zero is about the sets' share in common; pairs more
+    than four standard deviations below the threshold, one in 30,000 of those right at it, are ruled out.
+    """
+    used = ((a > 0) | (b > 0)).sum(axis=1)
+    equal = ((a == b) & (a > 0)).sum(axis=1)
+    share = SIMILAR[0] / SIMILAR[1]
+    return equal >= share * used - 4 * np.sqrt(share * (1 - share) * used)
+
+
 def signatures(shingles: np.ndarray) -> np.ndarray:
     """A number for the content of every bucket that is not empty.
 
@@ -142,14 +163,14 @@ def described(docs: DataFrame, kept: list[str], extra: dict) -> DataFrame:
     """One pass over the texts: rows about texts, rows of signatures and candidate pairs, told apart by ``kind``.
 
     ``docs`` has ``text`` and the columns ``kept``. A row of kind 0 has these, the values of ``extra`` ({name: (type,
-    function of a text)}), ``node`` and ``size``; kind 1 a ``signature`` with ``node`` and ``size``; kind 2 a pair ``node``, ``other``.
+    function of a text)}), ``node``, ``size`` and ``sketch``; kind 1 a ``signature`` with ``node`` and ``size``; kind 2 a pair ``node``, ``other``.
     Texts of one block meet at once, so a signature that many of them share leaves the block three times at most.
     """
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields if f.name in kept}
     fields |= {name: kind for name, (kind, _) in extra.items()}
-    fields |= {"kind": "int", "node": "bigint", "size": "int", "signature": "bigint", "other": "bigint"}
+    fields |= {"kind": "int", "node": "bigint", "size": "int", "signature": "bigint", "other": "bigint", "sketch": "binary"}
     schema = ", ".join(f"`{n}` {k}" for n, k in fields.items())
-    arrow = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32()}
+    arrow = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
     def rows(batch: pa.RecordBatch | None, kind: int, n: int, **columns) -> pa.RecordBatch:
         out = []
@@ -174,7 +195,7 @@ def described(docs: DataFrame, kept: list[str], extra: dict) -> DataFrame:
             sets = [shingle_set(t) for t in texts]
             node = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
             size = np.array([len(s) for s in sets], np.int64)
-            yield rows(block, 0, len(texts), node=node, size=size, **{name: [fn(t) for t in texts] for name, (_, fn) in extra.items()})
+            yield rows(block, 0, len(texts), node=node, size=size, sketch=[sketch_of(s) for s in sets], **{name: [fn(t) for t in texts] for name, (_, fn) in extra.items()})
             _, first = np.unique(node, return_index=True)
             found = [signatures(sets[i]) for i in first]
             del sets
@@ -197,6 +218,17 @@ def described(docs: DataFrame, kept: list[str], extra: dict) -> DataFrame:
     return docs.select(*kept, "text").mapInArrow(run, schema)
 
 
+def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The ``pairs`` that sketches (``node``, ``sketch``) leave open: far smaller rows than sets, which only these need."""
+    left, right = (sketches.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}")) for n in ("a", "b"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _SKETCH) for c in ("sa", "sb")]
+        return batch.select(["a", "b"]).filter(pa.array(may_be_alike(*sides)))
+
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
+
+
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs`` (``a``, ``b``) whose sets are alike; ``texts`` has ``node`` and ``text``, one row for each node needed."""
 

@@ -219,14 +219,18 @@ def one_of_each(docs: DataFrame, most: int = 2, words: int = 3) -> DataFrame:
     texts = docs.select(F.col("text").cast("string").alias("text"), key.alias("row"))
     mark = lambda text: int(np.array([fingerprint(text, words)], np.uint64).view(np.int64)[0])
     pass_one = stage(shingle_links.described(texts, ["row"], {"fp": ("long", mark)}), "described")
-    found = pass_one.where("kind = 0").select("row", "fp", "node")
+    found = pass_one.where("kind = 0").select("row", "fp", "node", "sketch")
     sent = pass_one.where("kind = 1").select("signature", "node", "size")
     met = pass_one.where("kind = 2").select(F.col("node").alias("a"), F.col("other").alias("b"))
     pairs = stage(met.unionByName(shingle_links.candidate_pairs(sent)).distinct(), "candidate-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = stage(found.join(needed, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "candidates")
+    first = found.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("row", "sketch")).alias("first"))
+    first = stage(first.select("node", "first.row", "first.sketch"), "candidates")
+    pairs = stage(shingle_links.likely(pairs, first), "likely-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = stage(first.join(needed, "node", "left_semi").select("node", "row"), "likely-rows")
     # Rows equal in all columns have one key: any of them has the text.
-    theirs = texts.join(first, "row").select("node", "text").dropDuplicates(["node"])
+    theirs = texts.join(rows, "row").select("node", "text").dropDuplicates(["node"])
     alike = shingle_links.alike(pairs, theirs)
     links = alike.unionByName(_links_of_texts(found, most))
     roots = stage(connected_components(links), "roots")

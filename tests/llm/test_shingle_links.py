@@ -142,6 +142,21 @@ def test_sets_of_just_enough_in_common_share_a_signature(size):
     assert hit >= 197
 
 
+@pytest.mark.parametrize("size", [1, 3, 10, 60, 300, 3000])
+def test_sketches_rule_out_no_alike_sets(size):
+    rng = np.random.default_rng(size)
+    left = right = 0
+    for _ in range(300):
+        both = -(-8 * size // 9)
+        pool = rng.integers(0, 2**64, 2 * size - both, np.uint64)
+        far = rng.integers(0, 2**64, size, np.uint64)
+        a, b = np.unique(pool[:size]), np.unique(pool[size - both :])
+        rows = [np.frombuffer(shingle_links.sketch_of(x), np.uint8)[None] for x in (a, b, np.unique(np.append(a[: size // 3], far[size // 3 :])))]
+        left += bool(shingle_links.may_be_alike(rows[0], rows[1])[0])
+        right += bool(shingle_links.may_be_alike(rows[0], rows[2])[0])
+    assert left == 300 and (size < 60 or right < 10)
+
+
 def test_recall_over_all_documents(spark):
     """Every pair of documents of 0.8 or more, by all pairs that share a shingle, lies in one class."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
