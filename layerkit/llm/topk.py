@@ -140,7 +140,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, block: int = BLOCK,
     group = F.pmod(F.xxhash64("row"), F.lit(n_groups)).cast("int")
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = asked.groupBy(group.alias("asked")).agg(F.sort_array(F.collect_list(F.struct("row", "vec_id", "v"))).alias("queries"))
-    tasks = max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-size.n // block))
+    # Every block costs a query its look at the segments, so there are no more blocks than keep all cores busy.
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size.n // block))
     spread = _blocks(rows.repartition(tasks, "row"), block)
     every_group = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("asked")
     if size.asked * (8 * size.dims + 32) <= broadcast_bytes:
