@@ -1,10 +1,12 @@
 """Operator 4: toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols (insult, threat, target, ...) by a fixed lexicon and by
-stems learned from labels. Four small transducers, for negation, reported
-speech, threats and targets, read the symbols of a clause and weigh them; they
-are composed into one automaton. A document's evidence is the weight of its
-matched clauses, and a logistic curve fitted on labels turns it into a score.
+stems learned from labels. Five small transducers, for negation, reported
+speech, threats, insults and targets, read the symbols of a clause and weigh
+them; they are composed into one automaton. An insulting word alone says next to
+nothing: it takes a target in its clause, an epithet's opening ("such a"), or
+another insult beside it. A document's evidence is the weight of its matched
+clauses, and a logistic curve fitted on labels turns it into a score.
 """
 
 from __future__ import annotations
@@ -29,19 +31,22 @@ LEAST_RATIO = 50.0
 STEM_LENGTHS = (4, 5, 6)
 _SEED_WEIGHT = 3.0
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, OPENING = SYMBOLS = range(8)
+# Share of its weight that an insulting word keeps where no construction makes it an insult, and what a target behind it gives back.
+_LONE, _AIMED_LATE = 0.1, 2.5
 
 LEXICON = {
     INSULT: """idiot idiots moron morons stupid loser losers scum trash clown clowns pathetic disgusting worthless
         imbecile dumb dimwit vermin filth lowlife brainless cretin degenerate retarded bastard bitch asshole
         abschaum idioten versager arschloch dummkopf connard salaud imbécile ordure idiota imbécil estúpido basura""",
     THREAT: "kill hurt destroy beat stab shoot strangle murder töten umbringen tuer frapper matar golpear",
-    TARGET: """you your yours u he she they them him her du dich dir ihr euch sie tu toi te vous il elle ils
+    TARGET: """you your yours you're youre u he she they them him her du dich dir ihr euch sie tu toi te vous il elle ils
         tú usted ustedes él ella ellos eres""",
     NEGATION: "not no never nobody isn't aren't don't nicht kein keine nie pas jamais aucun nunca ningún jamás",
     REPORT: """said says saying quoted quote wrote writes reported claims claimed called calls alleged according
         sagte sagt schrieb dit écrit dijo dice escribió""",
     INTENT: "will gonna going shall should must i'll we'll werde werden vais allons voy vamos",
+    OPENING: "what such utter total solch solche quel quelle espèce qué vaya menudo menuda",
 }
 _WORDS = {w: symbol for symbol, words in LEXICON.items() for w in words.split()}
 _CORE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -67,7 +72,7 @@ class Transducer:
         """Composition: this one's output is read by ``other``; factors multiply, bonuses add."""
         arcs, number, queue = {}, {(0, 0): 0}, [(0, 0)]
         for pair in queue:
-            for symbol in range(INTENT + 1):
+            for symbol in SYMBOLS:
                 a, middle, f, x = self.step(pair[0], symbol)
                 b, out, g, y = other.step(pair[1], middle)
                 if (a, b) not in number:
@@ -78,7 +83,7 @@ class Transducer:
 
 
 def grammar() -> Transducer:
-    """Negation, then reported speech, then threats, then targets."""
+    """Negation, then reported speech, then threats, then insults, then targets."""
     # A negation weakens an insult or a threat among the two words after it.
     negation = Transducer({
         **{(s, NEGATION): (2, OTHER, 1.0, 0.0) for s in range(3)},
@@ -94,13 +99,20 @@ def grammar() -> Transducer:
         **{(s, INTENT): (1, OTHER, 1.0, 0.0) for s in (0, 1)},
         (0, THREAT): (0, OTHER, 0.0, 0.0), (1, THREAT): (1, THREAT, 1.0, 0.5),
     })
+    # An insult needs a target before it (state 1), another insult (2) or an opening up to two words before (3, 4);
+    # a target behind a lone one makes up for what that lost.
+    insult = Transducer({
+        **{(s, TARGET): (1, TARGET, 1.0, 0.0) for s in (0, 3, 4)}, (2, TARGET): (1, TARGET, 1.0, _AIMED_LATE),
+        (0, INSULT): (2, INSULT, _LONE, 0.0), (1, INSULT): (1, INSULT, 1.0, 0.0),
+        **{(s, INSULT): (2, INSULT, 1.0, 0.0) for s in (2, 3, 4)}, **{(s, OPENING): (3, OTHER, 1.0, 0.0) for s in (0, 3, 4)},
+    }, {3: 4, 4: 0})
     # A target in the clause sharpens what it meets, before or after.
     target = Transducer({
         (0, TARGET): (1, OTHER, 1.0, 0.0), (1, TARGET): (1, OTHER, 1.0, 0.0), (2, TARGET): (1, TARGET, 1.0, 1.0),
         **{(0, x): (2, x, 1.0, 0.0) for x in (INSULT, THREAT)}, **{(2, x): (2, x, 1.0, 0.0) for x in (INSULT, THREAT)},
         **{(1, x): (1, x, 1.0, 1.0) for x in (INSULT, THREAT)},
     })
-    return negation.then(reported).then(threat).then(target)
+    return negation.then(reported).then(threat).then(insult).then(target)
 
 
 def core(chunk: str) -> str:

@@ -11,7 +11,7 @@ from layerkit.llm import common, nbsvm, queries, toxicity, weak_rules
 from layerkit.llm.common import held_out, table
 from tests.llm.conftest import ODD
 
-SMALL = "/root/testdata/sf0.01"
+SMALL, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 INSULT, NEGATION, REPORT, TARGET, THREAT, INTENT = (
     toxicity.INSULT, toxicity.NEGATION, toxicity.REPORT, toxicity.TARGET, toxicity.THREAT, toxicity.INTENT,
 )
@@ -62,10 +62,13 @@ def test_classifiers_on_odd_input(spark, docs, fit, score, label):
     assert score(docs([]), fit(docs([]), labels, label)).count() == 0
 
 
-@pytest.mark.parametrize("name, label, least", [("op3_quality_classifier", "quality", 0.97), ("op4_toxicity_grammar", "toxic", 0.9)])
-def test_held_out_accuracy(spark, name, label, least):
-    found = queries.QUERIES[name](spark, SMALL).join(table(spark, SMALL, "labels"), "doc_id").where("held_out").select("predicted", label).collect()
-    assert np.mean([r.predicted == r[label] for r in found]) >= least
+@pytest.mark.parametrize("name, label, least", [("op3_quality_classifier", "quality", 0.95), ("op4_toxicity_grammar", "toxic", 0.85)])
+def test_held_out_recall_and_precision(spark, name, label, least):
+    """On the held-out rows of the largest table, label 1 is found, and what is found has it."""
+    found = queries.QUERIES[name](spark, LARGE).join(table(spark, LARGE, "labels"), "doc_id").where("held_out").select("predicted", label).collect()
+    true = sum(r.predicted == r[label] == 1 for r in found)
+    assert sum(r[label] == 1 for r in found) > 50
+    assert true >= least * sum(r[label] == 1 for r in found) and true >= 0.95 * sum(r.predicted for r in found)
 
 
 def weight(text, stems=None):
@@ -74,19 +77,23 @@ def weight(text, stems=None):
 
 
 def test_clauses_are_weighed():
-    plain = weight("what a moron is this")[0][2]
-    assert weight("you are a moron")[0][2] > plain
-    assert weight("a moron, that is what you are")[0][2] == plain  # another clause
-    assert weight("he is not a moron")[0][2] < plain
-    assert weight("she said moron to us")[0][2] < plain
-    assert weight("not many people here at all would say moron")[0][2] == plain  # too far away
+    lone, aimed = weight("the moron is here")[0][2], weight("you are a moron")[0][2]
+    # A word alone says next to nothing; a target, an opening or a second insult makes an insult of it.
+    assert lone < 0.1 * aimed
+    assert all(weight(t)[0][2] <= lone for t in ("take out the trash", "the clown at the circus made children laugh", "moron", "idiot"))
+    assert all(weight(t)[0][2] > 5 * lone for t in ("what a moron is this", "such utter scum", "moron and idiot", "the moron that you are"))
+    assert weight("a moron, that is what you are")[0][2] == lone  # another clause
+    assert weight("he is not a moron")[0][2] < 0.6 * aimed
+    assert weight("she said you moron to us")[0][2] < aimed
+    assert weight("not many people here at all would say you moron")[0][2] == aimed  # too far away
+    assert weight("what about that old moron")[0][2] == lone  # too far away
     assert weight("we will kill the process") and not weight("the kill switch")
     assert weight("I will kill you")[0][2] > weight("I will kill")[0][2]
     assert weight("nothing here") == [] and weight(None) == [] and weight("") == []
 
 
 def test_learned_stems_count_from_their_beginning():
-    assert weight("das ist loweichen hier", {"lowei*": 5.0})[0][2] == 5.0
+    assert weight("du bist loweichen hier", {"lowei*": 5.0})[0][2] == 6.0 and weight("das ist loweichen hier", {"lowei*": 5.0})[0][2] == 0.5
     assert not weight("das ist lowe hier", {"lowei*": 5.0})
 
 
