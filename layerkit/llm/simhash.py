@@ -28,6 +28,8 @@ SEGMENT = 2
 GROUPS = 5
 # Fingerprints of one cell that are compared with one another; fuller cells take the way of close_by_flips.
 FULL_CELL = 256
+# Row keys that are broadcast at most: some 20 bytes each.
+SENT_KEYS = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -205,6 +207,11 @@ def _links_of_texts(found: DataFrame, most: int) -> DataFrame:
     return equal.unionByName(near).where("a != b").distinct()
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """Written row keys, for all tasks where they are few, so that the texts they meet are not shuffled; counted first."""
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+
+
 def one_of_each(docs: DataFrame, most: int = 2, words: int = 3) -> DataFrame:
     """The rows of ``docs`` (columns as they are) of which each class of near-duplicates keeps one.
 
@@ -212,7 +219,7 @@ def one_of_each(docs: DataFrame, most: int = 2, words: int = 3) -> DataFrame:
     five-word shingles are alike by 0.8 or more (:mod:`shingle_links`), which fingerprints alone do not tell; classes go
     over links of both kinds. The row of the smallest id stays, null ids last; among rows of that id the one with the
     smallest hash. Rows equal in all columns are one row. What goes is found from keys, so texts are read twice (those
-    of candidates three times) and shuffled only where the list of keys that go is too large for Spark to broadcast.
+    of candidates three times) and shuffled only where there are over a million keys to look for.
     """
     columns = [F.col(f"`{c}`").cast("string") if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(*columns).alias("x"), F.hash(*columns).alias("h"))
@@ -230,7 +237,7 @@ def one_of_each(docs: DataFrame, most: int = 2, words: int = 3) -> DataFrame:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     rows = stage(first.join(needed, "node", "left_semi").select("node", "row"), "likely-rows")
     # Rows equal in all columns have one key: any of them has the text.
-    theirs = texts.join(rows, "row").select("node", "text").dropDuplicates(["node"])
+    theirs = texts.join(_sent(rows), "row").select("node", "text").dropDuplicates(["node"])
     alike = shingle_links.alike(pairs, theirs)
     links = alike.unionByName(_links_of_texts(found, most))
     roots = stage(connected_components(links), "roots")
@@ -243,7 +250,7 @@ def one_of_each(docs: DataFrame, most: int = 2, words: int = 3) -> DataFrame:
     while own in taken:
         own += "_"
     keyed = docs.withColumn(own, key)
-    gone = once.select(F.col("row").alias(own))
-    kept = keyed.join(gone, own, "left_anti")
-    again = keyed.join(once.where("stays").select(F.col("row").alias(own)), own, "left_semi").dropDuplicates([own])
+    gone, twice = once.select(F.col("row").alias(own)), once.where("stays").select(F.col("row").alias(own))
+    kept = keyed.join(_sent(gone), own, "left_anti")
+    again = keyed.join(_sent(twice), own, "left_semi").dropDuplicates([own])
     return kept.unionByName(again).drop(own)
