@@ -1,6 +1,7 @@
 """Equi-joins.
 
-Spark picks the physical join from table sizes; nothing is broadcast by hint.
+Spark picks the physical join from table sizes; nothing is broadcast by hint, and
+a side that ``salt`` repeats never is.
 Partitions of a sort-merge join that a hot key makes too big are split at run
 time (``session.configure``), but Spark does so only for a side whose rows an
 outer join keeps, and for neither side of a full join. The hot keys of the other
@@ -102,7 +103,7 @@ def join_on(
     side), so other names must not repeat. ``key_type`` brings both sides' keys
     to one type first, with unreadable keys matching nothing. ``salt=n`` spreads
     the left rows of every key over ``n`` tasks and repeats the right rows ``n``
-    times: for inner, left and anti joins with a hot key on the left. ``salt=1``
+    times, which are shuffled and never broadcast: for inner, left and anti joins with a hot key on the left. ``salt=1``
     repeats nothing; it only makes Spark shuffle a right side that is already
     laid out by the key, which splitting a hot key at run time needs.
 
@@ -145,6 +146,9 @@ def join_on(
         spread = row_hash(left) if salt > 1 else F.xxhash64(*[col(k) for k in ak])
         a = a.withColumn("__lsalt", F.pmod(spread, F.lit(salt)).cast("int"))
         b = b.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        if salt > 1:
+            # The optimizer's size estimate leaves the repetitions out, so it may broadcast what the driver cannot hold.
+            b = b.hint("merge")
         joined = a.join(b, _condition(a, ak, b, bk) & (a["__lsalt"] == b["__rsalt"]), how)
     elif how in ("left", "right", "outer"):
         joined = _outer(a, ak, b, bk, how, row_hash(left), row_hash(right), unique_right)

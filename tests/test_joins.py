@@ -72,6 +72,17 @@ def test_salting_changes_nothing(spark, how):
     assert rows(plain) == rows(salted)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_a_repeated_side_is_never_broadcast(spark, how):
+    left = spark.range(2000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    right = spark.range(3).select(F.col("id").alias("rk"))
+    out = J.join_on(left, right, "k", "rk", how, salt=5)
+    assert out.count() == sum(1 for i in range(2000) if how == "left" or (i % 7 < 3) == (how == "inner"))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_salt_is_refused_where_it_would_repeat_rows(sides):
     with pytest.raises(ValueError):
         J.join_on(*sides, "id", "rid", "right", salt=3)
