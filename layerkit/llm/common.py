@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from layerkit.session import RUNTIME_SETTINGS, estimated_bytes
+from layerkit.session import RUNTIME_SETTINGS, estimated_bytes, fit_shuffles
 
 # Rows and bytes of one batch that travels to a Python task, so that a batch of
 # very long texts stays small.
@@ -25,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Settings for a session that runs these operators; returns the session."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    fit_shuffles(spark, None)
     # Python workers on machines that hold this package at the same place find it there.
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from layerkit.session import configure
+from layerkit.session import configure, estimated_bytes, fit_shuffles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,9 +18,14 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.sizes: dict[str, int] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Shuffles fit all tables that the query has read so far.
+        self.sizes[name] = estimated_bytes(df) or 0
+        fit_shuffles(self.spark, sum(self.sizes.values()))
+        return df
 
 
 def query(sql: str | None = None, name: str | None = None):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +22,59 @@ RUNTIME_SETTINGS = {
 }
 
 
+# Shuffled bytes that one task takes in: behind a shuffle rows may grow thirtyfold, as by two hashed keys.
+SHUFFLE_TASK_BYTES = 16 << 20
+# Input bytes per partition of a shuffle, while there are few; a map task holds no rows for up to as many partitions.
+_PARTITION_BYTES, _FEW_PARTITIONS = 256 << 10, 200
+
+_ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+# Where the size that the session gave to a partition is kept.
+_FILE_BYTES = "layerkit.fileBytes"
+
+
+def _setting_bytes(spark: SparkSession, key: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply :data:`RUNTIME_SETTINGS` to a session and return it."""
+    """Apply :data:`RUNTIME_SETTINGS` to a session, and :data:`SHUFFLE_TASK_BYTES` where it has more; return it."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    given = _setting_bytes(spark, _ADVISORY)
+    if given > SHUFFLE_TASK_BYTES:
+        spark.conf.set(_FILE_BYTES, str(given))
+        spark.conf.set(_ADVISORY, str(SHUFFLE_TASK_BYTES))
     return spark
 
 
+@contextmanager
+def sized_files(spark: SparkSession) -> Iterator[None]:
+    """While a table is written by rebalanced partitions: files as large as the session had them before :func:`configure`."""
+    now, given = spark.conf.get(_ADVISORY), spark.conf.get(_FILE_BYTES, None)
+    if given is None or now != str(SHUFFLE_TASK_BYTES):
+        yield
+        return
+    spark.conf.set(_ADVISORY, given)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ADVISORY, now)
+
+
+def fit_shuffles(spark: SparkSession, size: int | None) -> None:
+    """Let shuffles start with partitions by the bytes of a query's input; small ones are merged at run time.
+
+    With a fixed number, what one task sorts and groups would grow with the
+    input. Without a size, the session's number of partitions holds.
+    """
+    if size is None:
+        spark.conf.unset(_INITIAL)
+        return
+    wanted = max(min(_FEW_PARTITIONS, size // _PARTITION_BYTES), size // SHUFFLE_TASK_BYTES)
+    spark.conf.set(_INITIAL, str(max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
 # Temporary folders of local-mode applications that name none.
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -99,7 +147,7 @@ def spread(df: DataFrame, tasks: int | None) -> DataFrame:
     as many tasks already is left alone, so at most ``tasks`` splits are shuffled.
     """
     size = estimated_bytes(df)
-    split = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    split = _setting_bytes(df.sparkSession, "spark.sql.files.maxPartitionBytes")
     if not tasks or size is None or size >= tasks * split:
         return df
     return df.repartition(tasks)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from layerkit.functions.columns import as_list, col, require, row_hash
 from layerkit.functions.numbers import key_hash
-from layerkit.session import stage
+from layerkit.session import sized_files, stage
 from layerkit.sources import files
 from layerkit.sources.sinks import write_partitioned
 from layerkit.sources.store import BUCKET, TableStore, Version
@@ -142,9 +142,10 @@ def merge_buckets(
     if set is None:
         set = {c: c for c in source.columns if c not in keys and c != BUCKET}
     merged = stage(_merged(target, source, [BUCKET, *keys], _no_more(target, source), update_when, set), "merge")
-    merged.hint("rebalance", F.col(BUCKET)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        BUCKET
-    ).parquet(path)
+    with sized_files(spark):
+        merged.hint("rebalance", F.col(BUCKET)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            BUCKET
+        ).parquet(path)
     return len(touched)
 
 

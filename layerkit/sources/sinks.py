@@ -7,14 +7,15 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from layerkit.functions.columns import as_list, col, require, row_hash, unused_name
-from layerkit.session import stage
+from layerkit.session import sized_files, stage
 
 
 def write_partitioned(df: DataFrame, path: str, columns: str | Iterable[str], mode: str = "overwrite") -> None:
     """Write one folder per value. Spark evens out the tasks: small values share one, a big one is split."""
     columns = as_list(columns)
     require(df, columns)
-    df.hint("rebalance", *[col(c) for c in columns]).write.mode(mode).partitionBy(*columns).parquet(path)
+    with sized_files(df.sparkSession):
+        df.hint("rebalance", *[col(c) for c in columns]).write.mode(mode).partitionBy(*columns).parquet(path)
 
 
 def export_csv(df: DataFrame, path: str, limit: int | None = None) -> None:
